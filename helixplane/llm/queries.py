@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, lines, substring, suffix
 from .common import table
 
 
@@ -16,6 +16,39 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op6_bpe": op6_bpe}
-#: None of these can be said in SQL but those named here.
-ORACLE: dict[str, str] = {}
+def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(substring.dedup_substrings(table(spark, sf_dir, "documents"), 50))
+
+
+def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(suffix.dedup_suffixes(table(spark, sf_dir, "documents"), 50))
+
+
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digests(lines.dedup_lines(table(spark, sf_dir, "documents"), 10, 2))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring": op1_substring,
+    "op4_suffix": op4_suffix,
+    "op6_bpe": op6_bpe,
+    "op7_lines": op7_lines,
+}
+#: DuckDB SQL for those that SQL can express; tests hold the others against plain versions.
+ORACLE: dict[str, str] = {
+    "op1_substring": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        x AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+        f AS (SELECT s, min(doc_id) AS m FROM x GROUP BY s HAVING min(doc_id) <> max(doc_id)),
+        c AS (SELECT DISTINCT doc_id, i + j AS p FROM x JOIN f USING (s), range(50) AS t(j) WHERE m < doc_id),
+        u AS (SELECT doc_id, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS p FROM d),
+        k AS (SELECT doc_id, count(c.p) AS n, string_agg(t, ' ' ORDER BY p) FILTER (WHERE c.p IS NULL) AS kept FROM u LEFT JOIN c USING (doc_id, p) GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
+    "op7_lines": r"""
+        WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
+        l AS (SELECT doc_id, unnest(a) AS line, unnest(range(len(a))) AS i FROM s),
+        n AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM l),
+        f AS (SELECT k, min(doc_id) AS m FROM n WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) >= 2),
+        r AS (SELECT doc_id, line, i, coalesce(m <> doc_id, false) AS gone FROM n LEFT JOIN f USING (k))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM r GROUP BY doc_id""",
+}

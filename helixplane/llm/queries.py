@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, lines, substring, suffix
+from . import bpe, lines, substring, suffix, topk
 from .common import table
 
 
@@ -28,11 +29,16 @@ def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digests(lines.dedup_lines(table(spark, sf_dir, "documents"), 10, 2))
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring": op1_substring,
     "op4_suffix": op4_suffix,
     "op6_bpe": op6_bpe,
     "op7_lines": op7_lines,
+    "op9_topk": op9_topk,
 }
 #: DuckDB SQL for those that SQL can express; tests hold the others against plain versions.
 ORACLE: dict[str, str] = {
@@ -51,4 +57,13 @@ ORACLE: dict[str, str] = {
         f AS (SELECT k, min(doc_id) AS m FROM n WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) >= 2),
         r AS (SELECT doc_id, line, i, coalesce(m <> doc_id, false) AS gone FROM n LEFT JOIN f USING (k))
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM r GROUP BY doc_id""",
+    "op9_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+            FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+        ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, substring, suffix, topk
+from . import bpe, fingerprint, lines, substring, suffix, topk
 from .common import table
 
 
@@ -33,12 +33,17 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.digests(fingerprint.fingerprints(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring": op1_substring,
     "op4_suffix": op4_suffix,
     "op6_bpe": op6_bpe,
     "op7_lines": op7_lines,
     "op9_topk": op9_topk,
+    "op10_fingerprints": op10_fingerprints,
 }
 #: DuckDB SQL for those that SQL can express; tests hold the others against plain versions.
 ORACLE: dict[str, str] = {

@@ -176,3 +176,28 @@ def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     first = np.cumsum(length) - length
     return np.arange(total, dtype=np.int64) + np.repeat(start - first, length)
+
+
+def span_slices(size: np.ndarray, most: int) -> list[slice]:
+    """Slices of neighbouring spans of about so much in sum."""
+    ends = np.cumsum(size)
+    out, low = [], 0
+    while low < len(size):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + most, "right")))
+        out.append(slice(low, high))
+        low = high
+    return out
+
+
+def take_spans(data: np.ndarray, start: np.ndarray, size: np.ndarray, into: np.ndarray | None = None, at: np.ndarray | None = None) -> np.ndarray:
+    """The spans of data, one after the other, or at the given places of another array; the index of few of them is in memory at a time."""
+    out = np.empty(int(size.sum()), data.dtype) if into is None else into
+    done = 0
+    for s in span_slices(size, 1 << 18):
+        part = data[ranges(start[s], size[s])]
+        if at is None:
+            out[done : done + len(part)] = part
+        else:
+            out[ranges(at[s], size[s])] = part
+        done += len(part)
+    return out

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, lines, substring, suffix, topk
+from . import bpe, fingerprint, lines, minhash, substring, suffix, topk
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(substring.dedup_substrings(table(spark, sf_dir, "documents"), 50))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), 5, 75)
+
+
 def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digests(suffix.dedup_suffixes(table(spark, sf_dir, "documents"), 50))
 
@@ -39,6 +43,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring": op1_substring,
+    "op3_minhash": op3_minhash,
     "op4_suffix": op4_suffix,
     "op6_bpe": op6_bpe,
     "op7_lines": op7_lines,
@@ -71,4 +76,15 @@ ORACLE: dict[str, str] = {
             FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
         ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op3_minhash": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS a FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, array_to_string(a[i:i + 4], ' ') AS g FROM (SELECT doc_id, a, unnest(range(1, greatest(len(a) - 3, 2))) AS i FROM w WHERE len(a) > 0)
+        ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        l AS (
+            SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s AS x JOIN s AS y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL)
+            JOIN n AS p ON p.doc_id = a JOIN n AS q ON q.doc_id = b WHERE 100 * c >= 75 * (p.n + q.n - c)
+        ), r AS (SELECT doc_id AS a, doc_id AS c FROM w UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.a)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM (SELECT a AS doc_id, min(c) AS component_id FROM r GROUP BY a) LEFT JOIN n USING (doc_id)""",
 }

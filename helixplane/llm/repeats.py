@@ -23,11 +23,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_KEYS, gram_hash, pack, prefix_hash, ranges, real_id, sliding_min, span_hash, texts_of, unpack, words
+from .common import BYTE_KEYS, gram_hash, pack, prefix_hash, ranges, real_id, sliding_min, span_hash, span_slices, take_spans, texts_of, unpack, words
 from .exchange import ANSWER, ASKED, answer, ask, bucket_of, chunked, rows_of, told
 
-#: Most windows of a super-k-mer; longer runs, of periodic text, are cut.
-LONGEST = 256
+#: Most windows of a super-k-mer (longer runs, of periodic text, are cut), and windows that are sorted in one block, unless one minimiser has more.
+LONGEST, SORTED = 256, 150_000
 #: Returns for each of all windows (fragment by fragment) a number that equal windows share.
 Sorter = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
 
@@ -48,7 +48,7 @@ class Chunk:
             n = end - start
             self.at = np.concatenate(([0], np.cumsum(n + 1)))
             self.bytes = np.full(self.at[-1], 0x20, np.uint8)
-            self.bytes[ranges(self.at[:-1], n)] = data[ranges(start, n)]
+            take_spans(data, start, n, self.bytes, self.at[:-1])
         self.t = t
 
     def windows(self, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,7 +114,7 @@ def _emit_fragments(unit: str, k: int, m: int, buckets: int, hot_chunks: int) ->
         for x, y in zip(ends[:-1], ends[1:], strict=True):
             o = slice(occ[x], occ[y])
             size = end[x:y] - begin[x:y]
-            out.append(pack(value[g[x:y]], content[g[x:y]], n[g[x:y]].astype(np.uint32), size.astype(np.uint32), c.bytes[ranges(begin[x:y], size)], occurs[x:y].astype(np.uint32), c.ids[row[o]], row[o].astype(np.uint32), (a[o] - c.first[row[o]]).astype(np.uint32)))
+            out.append(pack(value[g[x:y]], content[g[x:y]], n[g[x:y]].astype(np.uint32), size.astype(np.uint32), take_spans(c.bytes, begin[x:y], size), occurs[x:y].astype(np.uint32), c.ids[row[o]], row[o].astype(np.uint32), (a[o] - c.first[row[o]]).astype(np.uint32)))
         return rows_of(["bucket", "chunk", "blob"], bucket[some], [key[0].as_py()] * len(some), out)
 
     return run
@@ -129,8 +129,12 @@ def _distinct(value: np.ndarray, content: np.ndarray, size: np.ndarray, at: np.n
     first = order[g][number]
     other = np.flatnonzero(first != np.arange(len(order)))
     if len(other):
-        same = data[ranges(at[other], size[other])] == data[ranges(at[first[other]], size[other])]
-        bad = other[~np.logical_and.reduceat(same, np.cumsum(size[other]) - size[other])]
+        same = np.empty(len(other), bool)
+        for s in span_slices(size[other], 1 << 18):
+            x, y = other[s], first[other[s]]
+            equal = data[ranges(at[x], size[x])] == data[ranges(at[y], size[x])]
+            same[s] = np.logical_and.reduceat(equal, np.cumsum(size[x]) - size[x])
+        bad = other[~same]
         names: dict = {}
         for k in bad:  # two texts with equal hashes
             number[k] = len(g) + names.setdefault((number[k], data[at[k] : at[k] + size[k]].tobytes()), len(names))
@@ -160,19 +164,26 @@ def _settle(k: int, sort: Sorter) -> Callable:
         lone[order] = np.repeat(sizes == 1, sizes)
         whole = np.flatnonzero(lone[frag] & (doc > least[frag]))
         out = [(chunk[whole], row[whole], start[whole], n[rep[frag[whole]]])]
-        many = np.flatnonzero(~lone)
+        many = order[~lone[order]]  # by minimiser
         if len(many):
             r = rep[many]
-            local = np.cumsum(size[r]) - size[r]
-            same = sort(data[ranges(at[r], size[r])], local, size[r], n[r], k)
-            of = np.repeat(least[many], n[r])
-            first = np.full(int(same.max()) + 1, np.iinfo(np.int64).max)
-            np.minimum.at(first, same, of)
+            w_first = np.empty(int(n[r].sum()), np.int64)
+            g = _runs(value[r])
+            per_key = np.add.reduceat(n[r], g)
+            ends, done = np.append(g, len(r)), 0
+            for keys in span_slices(per_key, SORTED):  # blocks of whole minimisers
+                s = r[ends[keys.start] : ends[keys.stop]]
+                local = np.cumsum(size[s]) - size[s]
+                same = sort(take_spans(data, at[s], size[s]), local, size[s], n[s], k)
+                first = np.full(int(same.max()) + 1, np.iinfo(np.int64).max)
+                np.minimum.at(first, same, np.repeat(least[number[s]], n[s]))
+                w_first[done : done + len(same)] = first[same]
+                done += len(same)
             begins = np.zeros(count, np.int64)
             begins[many] = np.cumsum(n[r]) - n[r]
             occ = np.flatnonzero(~lone[frag])
             length = n[rep[frag[occ]]]
-            w = first[same[ranges(begins[frag[occ]], length)]]
+            w = w_first[ranges(begins[frag[occ]], length)]
             which, offset = np.repeat(occ, length), ranges(np.zeros(len(occ), np.int64), length)
             yes = np.flatnonzero(w < doc[which])
             which, offset = which[yes], offset[yes]

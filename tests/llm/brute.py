@@ -99,3 +99,30 @@ def lines(rows):
 
 def ordered(rows):
     return sorted((tuple(r) for r in rows), key=lambda r: (key(r[0]), r[1:]))
+
+
+def shingle_set(text, n=5):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
+
+
+def near_duplicates(rows, n=5, percent=75):
+    sets = [shingle_set(t, n) for _, t in rows]
+    parent = {key(d): key(d) for d, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if a and b and min(len(a), len(b)) * 100 >= percent * max(len(a), len(b)) and 100 * len(a & b) >= percent * len(a | b):
+                x, y = sorted((root(key(rows[i][0])), root(key(rows[j][0]))))
+                parent[y] = x
+    out = []
+    for (d, _), s in zip(rows, sets):
+        c = root(key(d))
+        out.append((d, len(s), None if c == NO_ID else c, c == key(d)))
+    return out

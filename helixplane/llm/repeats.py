@@ -233,7 +233,7 @@ def remove_repeats(docs: DataFrame, unit: str, k: int, m: int, sort: Sorter, chu
     rows = rows.select("chunk", "doc_id", "text")
     buckets = 1 + size // bucket_bytes
     by_chunk = lambda: rows.groupBy("chunk")
-    asked = by_chunk().applyInArrow(_emit_minimisers(unit, k, m, buckets), ASKED)
+    asked = by_chunk().applyInArrow(_emit_minimisers(unit, k, m, 1 + buckets // 2), ASKED)
     answers = asked.groupBy("bucket").applyInArrow(answer(2), ANSWER)
     fragments = by_chunk().cogroup(answers.groupBy("chunk")).applyInArrow(_emit_fragments(unit, k, m, buckets, hot_chunks), ASKED)
     spans = fragments.groupBy("bucket").applyInArrow(_settle(k, sort), ANSWER)

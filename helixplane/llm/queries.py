@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, lines, minhash, substring, suffix, topk
+from . import bpe, fingerprint, lines, minhash, pii, substring, suffix, topk
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digests(lines.dedup_lines(table(spark, sf_dir, "documents"), 10, 2))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_suffix": op4_suffix,
     "op6_bpe": op6_bpe,
     "op7_lines": op7_lines,
+    "op8_pii": op8_pii,
     "op9_topk": op9_topk,
     "op10_fingerprints": op10_fingerprints,
 }

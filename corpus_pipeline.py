@@ -1,10 +1,74 @@
-"""The corpus pipeline: stages over documents, each written and read again by the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next.
+
+1. Toxicity: documents that the classifier chain finds toxic go.
+2. Line dedup: lines stay only in the first document that holds them; n_chars follows the text.
+3. MinHash near-dedup: the first document of each group of near-duplicates stays.
+4. Mixing: documents are put in the order of the mix to target weights (files and rows in order).
+5. BPE: what stays is encoded and decoded; token counts and digests come out.
+
+Null text stays null; columns beyond doc_id and text are carried. SQL can't express the classifier or
+BPE, so there is no ORACLE_SQL; tests hold run() against plain versions of the stages.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from helixplane.llm import bpe, lines, minhash, mixing, toxicity
+from helixplane.llm.common import materialise, table
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def _wrapped(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all other columns as one."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*others, F.col("text").isNull().alias("no text")).alias("rest"))
+
+
+def _unwrapped(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*[F.when(~F.col("rest")["no text"], F.col("text")).alias(c) if c == "text" else F.col("doc_id") if c == "doc_id" else F.col("rest")[c].alias(c) for c in columns])
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = toxicity.judge(_wrapped(docs), table(spark, sf_dir, "labels"), "rest").filter(~F.col("toxic"))
+    return _unwrapped(out, docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(_wrapped(docs)).withColumn("rest", F.col("carried")["rest"])
+    out = _unwrapped(out, docs.columns)
+    return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))) if "n_chars" in docs.columns else out
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id"))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = mixing.mix(docs)
+    out = out.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place")
+    return out.select(*[c if c in ("doc_id", "source") else F.col("carried")[c].alias(c) for c in docs.columns])
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_lines),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("BPE", tokenize),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import real_id
 from .exchange import ANSWER, ASKED, answer, ask, chunked, told
@@ -71,8 +72,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
 
     asked = rows.select("chunk", "doc_id", "text", "carried").groupBy("chunk").applyInArrow(emit, ASKED)
     answers = asked.groupBy("bucket").applyInArrow(answer(min_docs), ANSWER)
-    kind = rows.schema["carried"].dataType.simpleString()
-    out = rows.select("chunk", "doc_id", "text", "carried").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(apply, f"doc_id long, text string, n_lines long, n_dropped long, carried {kind}")
+    kinds = T.StructType.fromDDL("doc_id long, text string, n_lines long, n_dropped long").add("carried", rows.schema["carried"].dataType)
+    out = rows.select("chunk", "doc_id", "text", "carried").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(apply, kinds)
     return out.withColumn("doc_id", real_id(F.col("doc_id")))
 
 

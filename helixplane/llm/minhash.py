@@ -35,7 +35,7 @@ from .common import BYTE_KEYS, gram_hash, id_and_text, materialise, mix, prefix_
 
 K = 64
 #: Rows and bytes of text in a block of a group; texts whose sets are made at a time.
-BLOCK_ROWS, BLOCK_BYTES, AT_ONCE = 768, 6 << 20, 200
+BLOCK_ROWS, BLOCK_BYTES, AT_ONCE = 384, 6 << 20, 200
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 

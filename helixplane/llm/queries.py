@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, lines, minhash, pii, substring, suffix, topk
+from . import bpe, fingerprint, lines, minhash, mixing, pii, substring, suffix, topk, toxicity
 from .common import table
 
 
+def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source")).drop("carried")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.digests(bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
@@ -21,6 +25,11 @@ def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(substring.dedup_substrings(table(spark, sf_dir, "documents"), 50))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "p_junk", "p_toxic", "toxic")
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), 5, 75)
 
@@ -47,8 +56,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring": op1_substring,
+    "op2_toxicity": op2_toxicity,
     "op3_minhash": op3_minhash,
     "op4_suffix": op4_suffix,
+    "op5_mix": op5_mix,
     "op6_bpe": op6_bpe,
     "op7_lines": op7_lines,
     "op8_pii": op8_pii,

@@ -15,7 +15,7 @@ units that share a minimiser, the least hash of the m-grams in a window, form a
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +28,16 @@ from .exchange import ANSWER, ASKED, answer, ask, bucket_of, chunked, rows_of, t
 
 #: Most windows of a super-k-mer (longer runs, of periodic text, are cut), and windows that are sorted in one block, unless one minimiser has more.
 LONGEST, SORTED = 256, 150_000
+#: Bytes of text whose windows are worked out at a time, unless one text is longer.
+AT_ONCE = 1 << 19
 #: Returns for each of all windows (fragment by fragment) a number that equal windows share.
 Sorter = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
 
 
 class Chunk:
-    """The texts of a chunk as units, in an order that doesn't depend on the order of arrival."""
+    """Some texts of a chunk as units."""
 
     def __init__(self, t: pa.Table, unit: str):
-        t = t.take(pc.sort_indices(t, [("doc_id", "ascending"), ("text", "ascending")]))
         self.ids = t.column("doc_id").to_numpy()
         data, off = texts_of(t.column("text"))
         keys = BYTE_KEYS[data]
@@ -49,7 +50,6 @@ class Chunk:
             self.at = np.concatenate(([0], np.cumsum(n + 1)))
             self.bytes = np.full(self.at[-1], 0x20, np.uint8)
             take_spans(data, start, n, self.bytes, self.at[:-1])
-        self.t = t
 
     def windows(self, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, start and minimiser of each window."""
@@ -58,6 +58,13 @@ class Chunk:
         return np.repeat(np.arange(len(n)), n), start, sliding_min(gram_hash(self.hash, m), k - m + 1)[start]
 
 
+def _blocks(t: pa.Table, unit: str) -> Iterator[tuple[int, Chunk]]:
+    """A chunk's rows, in an order that doesn't depend on that of arrival, some at a time, with the number of the first."""
+    t = t.take(pc.sort_indices(t, [("doc_id", "ascending"), ("text", "ascending")]))
+    for s in span_slices(np.diff(texts_of(t.column("text"))[1]), AT_ONCE):
+        yield s.start, Chunk(t.slice(s.start, s.stop - s.start), unit)
+
+
 def _runs(*same: np.ndarray) -> np.ndarray:
     """Where a run of equal entries begins."""
     new = np.ones(len(same[0]), bool)
@@ -70,10 +77,12 @@ def _runs(*same: np.ndarray) -> np.ndarray:
 
 def _emit_minimisers(unit: str, k: int, m: int, buckets: int) -> Callable:
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        c = Chunk(t, unit)
-        row, _, least = c.windows(k, m)
-        at = _runs(row, least)
-        doc, least = c.ids[row[at]], least[at]
+        found = []
+        for _, c in _blocks(t, unit):
+            row, _, least = c.windows(k, m)
+            at = _runs(row, least)
+            found.append((c.ids[row[at]], least[at]))
+        doc, least = (np.concatenate([f[j] for f in found]) for j in range(2))
         order = np.lexsort((doc, least))
         order = order[_runs(doc[order], least[order])]
         return ask(key[0].as_py(), buckets, least[order], np.zeros(len(order), np.uint64), doc[order])
@@ -88,33 +97,36 @@ def _emit_fragments(unit: str, k: int, m: int, buckets: int, hot_chunks: int) ->
             return rows_of(["bucket", "chunk", "blob"], [], [], [])
         order = np.argsort(shared)
         shared, hot = shared[order], chunks[order] > hot_chunks
-        c = Chunk(t, unit)
-        row, start, least = c.windows(k, m)
-        at = np.minimum(np.searchsorted(shared, least), len(shared) - 1)
-        held = np.flatnonzero(shared[at] == least)
-        row, start, least, hot = row[held], start[held], least[held], hot[at[held]]
-        if hot.any():
-            least = np.where(hot, span_hash(c.hash, start, start + k), least)
-        at = _runs(row, least, start - np.arange(len(start)))
-        n = np.diff(np.append(at, len(start)))
-        pieces = -(-n // LONGEST)
-        cut = ranges(np.zeros(len(n), np.int64), pieces) * LONGEST
-        at, n = np.repeat(at, pieces) + cut, np.minimum(np.repeat(n, pieces) - cut, LONGEST)
-        a, value, row = start[at], least[at], row[at]
-        content = span_hash(c.hash, a, a + n + k - 1)
+        found = []
+        for first_row, c in _blocks(t, unit):
+            row, start, least = c.windows(k, m)
+            at = np.minimum(np.searchsorted(shared, least), len(shared) - 1)
+            held = np.flatnonzero(shared[at] == least)
+            row, start, least, split = row[held], start[held], least[held], hot[at[held]]
+            if split.any():
+                least = np.where(split, span_hash(c.hash, start, start + k), least)
+            at = _runs(row, least, start - np.arange(len(start)))
+            n = np.diff(np.append(at, len(start)))
+            pieces = -(-n // LONGEST)
+            cut = ranges(np.zeros(len(n), np.int64), pieces) * LONGEST
+            at, n = np.repeat(at, pieces) + cut, np.minimum(np.repeat(n, pieces) - cut, LONGEST)
+            a, row = start[at], row[at]
+            begin, end = c.at[a], c.at[a + n + k - 1] - (unit == "word")
+            found.append((least[at], span_hash(c.hash, a, a + n + k - 1), n, c.ids[row], first_row + row, a - c.first[row], end - begin, take_spans(c.bytes, begin, end - begin)))
+        value, content, n, doc, row, start, size, data = (np.concatenate([f[j] for f in found]) for j in range(8))
+        begin = np.cumsum(size) - size
         order = np.lexsort((content, value))
-        a, n, value, content, row = a[order], n[order], value[order], content[order], row[order]
+        value, content, n, doc, row, start, size, begin = (x[order] for x in (value, content, n, doc, row, start, size, begin))
         g = _runs(value, content)
-        occurs = np.diff(np.append(g, len(a)))
-        begin, end = c.at[a[g]], c.at[a[g] + n[g] + k - 1] - (unit == "word")
+        occurs = np.diff(np.append(g, len(value)))
         bucket = bucket_of(value[g], buckets)
         some = _runs(bucket)
         ends, out = np.append(some, len(g)), []
-        occ = np.append(g, len(a))
+        occ = np.append(g, len(value))
         for x, y in zip(ends[:-1], ends[1:], strict=True):
             o = slice(occ[x], occ[y])
-            size = end[x:y] - begin[x:y]
-            out.append(pack(value[g[x:y]], content[g[x:y]], n[g[x:y]].astype(np.uint32), size.astype(np.uint32), take_spans(c.bytes, begin[x:y], size), occurs[x:y].astype(np.uint32), c.ids[row[o]], row[o].astype(np.uint32), (a[o] - c.first[row[o]]).astype(np.uint32)))
+            i = g[x:y]
+            out.append(pack(value[i], content[i], n[i].astype(np.uint32), size[i].astype(np.uint32), take_spans(data, begin[i], size[i]), occurs[x:y].astype(np.uint32), doc[o], row[o].astype(np.uint32), start[o].astype(np.uint32)))
         return rows_of(["bucket", "chunk", "blob"], bucket[some], [key[0].as_py()] * len(some), out)
 
     return run
@@ -200,40 +212,47 @@ def _settle(k: int, sort: Sorter) -> Callable:
 
 def _remove(unit: str, k: int) -> Callable:
     def run(t: pa.Table, blobs: pa.Table) -> pa.Table:
-        c = Chunk(t, unit)
-        total, first = int(c.first[-1]), c.first
-        gone = np.zeros(total, bool)
         parts = [unpack(b) for b in blobs.column("blob").to_pylist()]
-        if parts:
-            row, start, n = (np.concatenate([p[j] for p in parts]).astype(np.int64) for j in range(3))
-            begin = first[row] + start
-            step = np.bincount(begin, minlength=total + 1) - np.bincount(begin + n + k - 1, minlength=total + 1)
-            gone = np.cumsum(step)[:-1] > 0
-        sums = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[first])
-        opens = gone.copy()
-        opens[1:] &= ~gone[:-1]
-        inner = first[:-1][first[:-1] < total]
-        opens[inner] = gone[inner]
-        units = np.diff(c.at)
-        stay = np.repeat(~gone, units)
-        kept, ends = c.bytes[stay], np.concatenate(([0], np.cumsum(units * ~gone)))[first]
-        if unit == "word":  # without the space after the last word
-            tail = np.flatnonzero(np.diff(ends))
-            kept = np.delete(kept, ends[1:][tail] - 1)
-            ends = ends - np.concatenate(([0], np.cumsum(np.diff(ends) > 0)))
-        text = pa.Array.from_buffers(pa.binary(), len(c.ids), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(kept))])
-        return pa.table({"doc_id": pa.array(c.ids), "kept": text, "n_units": pa.array(np.diff(first)), "n_removed": pa.array(sums(gone)), "n_spans": pa.array(sums(opens))})
+        row, start, n = (np.concatenate([p[j] for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64) for j in range(3))
+        order = np.argsort(row, kind="stable")
+        row, start, n = row[order], start[order], n[order]
+        out = []
+        for base, c in _blocks(t, unit):
+            own = slice(*np.searchsorted(row, (base, base + len(c.ids))))
+            out.append(_kept(c, unit, row[own] - base, start[own], n[own] + k - 1))
+        return pa.concat_tables(out)
 
     return run
 
 
+def _kept(c: Chunk, unit: str, row: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.Table:
+    """What stays of some texts without the spans of n units from start."""
+    total, first = int(c.first[-1]), c.first
+    begin = first[row] + start
+    gone = np.cumsum(np.bincount(begin, minlength=total + 1) - np.bincount(begin + n, minlength=total + 1))[:-1] > 0
+    sums = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[first])
+    opens = gone.copy()
+    opens[1:] &= ~gone[:-1]
+    inner = first[:-1][first[:-1] < total]
+    opens[inner] = gone[inner]
+    units = np.diff(c.at)
+    stay = np.repeat(~gone, units)
+    kept, ends = c.bytes[stay], np.concatenate(([0], np.cumsum(units * ~gone)))[first]
+    if unit == "word":  # without the space after the last word
+        tail = np.flatnonzero(np.diff(ends))
+        kept = np.delete(kept, ends[1:][tail] - 1)
+        ends = ends - np.concatenate(([0], np.cumsum(np.diff(ends) > 0)))
+    text = pa.Array.from_buffers(pa.binary(), len(c.ids), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(kept))])
+    return pa.table({"doc_id": pa.array(c.ids), "kept": text, "n_units": pa.array(np.diff(first)), "n_removed": pa.array(sums(gone)), "n_spans": pa.array(sums(opens))})
+
+
 def remove_repeats(docs: DataFrame, unit: str, k: int, m: int, sort: Sorter, chunk_bytes: int, bucket_bytes: int, hot_chunks: int) -> DataFrame:
     """doc_id, kept (binary), n_units, n_removed, n_spans (maximal removed runs)."""
     rows, size = chunked(docs.select("doc_id", "text"), chunk_bytes)
     rows = rows.select("chunk", "doc_id", "text")
     buckets = 1 + size // bucket_bytes
     by_chunk = lambda: rows.groupBy("chunk")
-    asked = by_chunk().applyInArrow(_emit_minimisers(unit, k, m, 1 + buckets // 2), ASKED)
+    asked = by_chunk().applyInArrow(_emit_minimisers(unit, k, m, buckets), ASKED)
     answers = asked.groupBy("bucket").applyInArrow(answer(2), ANSWER)
     fragments = by_chunk().cogroup(answers.groupBy("chunk")).applyInArrow(_emit_fragments(unit, k, m, buckets, hot_chunks), ASKED)
     spans = fragments.groupBy("bucket").applyInArrow(_settle(k, sort), ANSWER)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .repeats import remove_repeats
 
 MINIMISER_WORDS = 20
-CHUNK_BYTES, BUCKET_BYTES, HOT_CHUNKS = 2 << 20, 12 << 20, 20_000
+CHUNK_BYTES, BUCKET_BYTES, HOT_CHUNKS = 4 << 20, 12 << 20, 20_000
 
 
 def sort_windows(data: np.ndarray, at: np.ndarray, size: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:

@@ -23,7 +23,7 @@ from .common import ranges
 from .repeats import remove_repeats
 
 MINIMISER_BYTES = 24
-CHUNK_BYTES, BUCKET_BYTES, HOT_CHUNKS = 1 << 20, 6 << 20, 20_000
+CHUNK_BYTES, BUCKET_BYTES, HOT_CHUNKS = 4 << 20, 6 << 20, 20_000
 #: A difference cover: any two residues modulo 7 come into the cover by one common step.
 MODULUS, COVER = 7, (0, 1, 3)
 STEP = [[next(d for d in range(MODULUS) if (a + d) % MODULUS in COVER and (b + d) % MODULUS in COVER) for b in range(MODULUS)] for a in range(MODULUS)]

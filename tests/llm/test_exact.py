@@ -46,6 +46,7 @@ def test_hot_minimisers_and_small_chunks_change_nothing(spark, monkeypatch, name
     monkeypatch.setattr(module, "CHUNK_BYTES", 2000)
     monkeypatch.setattr(module, "BUCKET_BYTES", 5000)
     monkeypatch.setattr(module, "HOT_CHUNKS", 1)
+    monkeypatch.setattr("helixplane.llm.repeats.AT_ONCE", 700)
     random.seed(5)
     base = [f"w{random.randrange(4000)}" for _ in range(400)]
     rows = []

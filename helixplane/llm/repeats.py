@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_KEYS, gram_hash, pack, prefix_hash, ranges, real_id, sliding_min, span_hash, span_slices, take_spans, texts_of, unpack, words
+from .common import BYTE_KEYS, gram_hash, mix, pack, prefix_hash, ranges, real_id, sliding_min, span_hash, span_slices, take_spans, texts_of, unpack, words
 from .exchange import ANSWER, ASKED, answer, ask, bucket_of, chunked, rows_of, told
 
 #: Most windows of a super-k-mer (longer runs, of periodic text, are cut), and windows that are sorted in one block, unless one minimiser has more.
@@ -75,13 +75,18 @@ def _runs(*same: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _spread(least: np.ndarray) -> np.ndarray:
+    """Minimisers are small hashes, by choice; their buckets need even ones."""
+    return mix(least ^ np.uint64(0x3C6EF372FE94F82B))
+
+
 def _emit_minimisers(unit: str, k: int, m: int, buckets: int) -> Callable:
     def run(key: tuple, t: pa.Table) -> pa.Table:
         found = []
         for _, c in _blocks(t, unit):
             row, _, least = c.windows(k, m)
             at = _runs(row, least)
-            found.append((c.ids[row[at]], least[at]))
+            found.append((c.ids[row[at]], _spread(least[at])))
         doc, least = (np.concatenate([f[j] for f in found]) for j in range(2))
         order = np.lexsort((doc, least))
         order = order[_runs(doc[order], least[order])]
@@ -100,19 +105,20 @@ def _emit_fragments(unit: str, k: int, m: int, buckets: int, hot_chunks: int) ->
         found = []
         for first_row, c in _blocks(t, unit):
             row, start, least = c.windows(k, m)
-            at = np.minimum(np.searchsorted(shared, least), len(shared) - 1)
-            held = np.flatnonzero(shared[at] == least)
-            row, start, least, split = row[held], start[held], least[held], hot[at[held]]
+            at = _runs(row, least)
+            n, value = np.diff(np.append(at, len(start))), _spread(least[at])
+            place = np.minimum(np.searchsorted(shared, value), len(shared) - 1)
+            held = np.flatnonzero(shared[place] == value)
+            a, row, n, value, split = start[at[held]], row[at[held]], n[held], value[held], hot[place[held]]
             if split.any():
-                least = np.where(split, span_hash(c.hash, start, start + k), least)
-            at = _runs(row, least, start - np.arange(len(start)))
-            n = np.diff(np.append(at, len(start)))
+                w = ranges(a[split], n[split])
+                a, row = np.concatenate((a[~split], w)), np.concatenate((row[~split], np.repeat(row[split], n[split])))
+                value, n = np.concatenate((value[~split], span_hash(c.hash, w, w + k))), np.concatenate((n[~split], np.ones(len(w), np.int64)))
             pieces = -(-n // LONGEST)
             cut = ranges(np.zeros(len(n), np.int64), pieces) * LONGEST
-            at, n = np.repeat(at, pieces) + cut, np.minimum(np.repeat(n, pieces) - cut, LONGEST)
-            a, row = start[at], row[at]
+            a, row, value, n = np.repeat(a, pieces) + cut, np.repeat(row, pieces), np.repeat(value, pieces), np.minimum(np.repeat(n, pieces) - cut, LONGEST)
             begin, end = c.at[a], c.at[a + n + k - 1] - (unit == "word")
-            found.append((least[at], span_hash(c.hash, a, a + n + k - 1), n, c.ids[row], first_row + row, a - c.first[row], end - begin, take_spans(c.bytes, begin, end - begin)))
+            found.append((value, span_hash(c.hash, a, a + n + k - 1), n, c.ids[row], first_row + row, a - c.first[row], end - begin, take_spans(c.bytes, begin, end - begin)))
         value, content, n, doc, row, start, size, data = (np.concatenate([f[j] for f in found]) for j in range(8))
         begin = np.cumsum(size) - size
         order = np.lexsort((content, value))

@@ -66,3 +66,10 @@ def contig_prefix(name: Column) -> Column:
 def hamming(a: Column, b: Column) -> Column:
     """Mismatches between strings of equal length."""
     return F.aggregate(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x)
+
+
+def pieces(seq: Column, size: int, overlap: int) -> Column:
+    """Array of pieces of so many bases, each with the start of the next (up to size bases): long sequences are cut once, from left to right."""
+    cut = F.regexp_extract_all(seq, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    after = F.concat(F.slice(cut, 2, F.greatest(F.size(cut), F.lit(1))), F.array(F.lit("")))
+    return F.zip_with(cut, after, lambda a, b: F.concat(a, F.substring(b, 1, overlap)))

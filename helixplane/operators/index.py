@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixplane.functions.sequence import is_known
+from helixplane.functions.sequence import is_known, pieces
 
 #: Sequences with so many copies in the genome count as repeats.
 MIN_COPIES = 150
+#: Bases of a piece in which k-mers are enumerated.
+PIECE = 256
 
 
 def kmers(contigs: DataFrame, k: int, step: int = 1, omit_last: bool = False, start: str | None = None) -> DataFrame:
@@ -16,11 +18,18 @@ def kmers(contigs: DataFrame, k: int, step: int = 1, omit_last: bool = False, st
 
     omit_last: leave out each contig's last k-mer. start: a column to add to positions, for segments.
     """
-    n = F.length("seq") - k - (1 if omit_last else 0)
-    rows = contigs.filter(n >= 0).withColumn("loc", F.explode(F.sequence(F.lit(0), n, F.lit(step))))
-    kmer = F.substring(F.upper(F.col("seq")), F.col("loc") + 1, F.lit(k))
-    loc = F.col("loc") + (F.col(start) if start else F.lit(0))
-    return rows.select("chr", loc.alias("loc"), kmer.alias("kmer")).filter(is_known(F.col("kmer")))
+    size = max(PIECE, k)
+    first = F.col("part") * size + (F.col(start) if start else F.lit(0))
+    rows = contigs.filter(F.length("seq") >= k).select("chr", *([start] if start else []), F.length("seq").alias("n"), F.posexplode(pieces(F.upper(F.col("seq")), size, k - 1)).alias("part", "piece"))
+    rows = rows.filter(F.length("piece") >= k)
+    found = F.transform(F.sequence(F.lit(0), F.length("piece") - k, F.lit(1)), lambda i: F.struct(i.alias("i"), F.substring(F.col("piece"), i + 1, F.lit(k)).alias("kmer")))
+    rows = rows.select("chr", "n", "part", first.alias("first"), F.inline(found))
+    rows = rows.filter(is_known(F.col("kmer")))
+    if omit_last:
+        rows = rows.filter(F.col("part") * size + F.col("i") < F.col("n") - k)
+    if step > 1:
+        rows = rows.filter((F.col("part") * size + F.col("i")) % step == 0)
+    return rows.select("chr", (F.col("first") + F.col("i")).alias("loc"), "kmer")
 
 
 def repeats(index: DataFrame, min_copies: int = MIN_COPIES) -> DataFrame:

@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixplane.functions.quality import read_score
-from helixplane.functions.sequence import at, hamming, reverse_complement, without_n
+from helixplane.functions.sequence import at, hamming, pieces, reverse_complement, without_n
 
 from .index import blocks
 
 MOST_PROBES, MOST_HITS, MOST_FRAGMENT = 5, 5000, 524_287
+#: Bases of the pieces in which genomes join.
+PIECE = 2048
 
 
 def _regions(reads: DataFrame, k: int, most: int) -> DataFrame:
@@ -95,17 +97,17 @@ def read_starts(merged: DataFrame, reads: DataFrame, contigs: DataFrame, k: int)
     return rows.select("read_id", "mate", "chr", F.col("start").cast("long").alias("start"), "length", "strand")
 
 
-def rescore(candidates: DataFrame, reads: DataFrame, contigs: DataFrame) -> DataFrame:
-    """Candidates with the score of the whole read against the genome. Contigs join by key: large ones belong in chunks (see chunks)."""
-    rows = candidates.join(reads.select("read_id", "mate", "seq"), ["read_id", "mate"]).join(contigs.select("chr", F.col("seq").alias("contig")), "chr")
+def rescore(candidates: DataFrame, reads: DataFrame, contigs: DataFrame, size: int = PIECE) -> DataFrame:
+    """Candidates with the score of the whole read against the genome; null where a read leaves its contig. Genomes join in pieces, by place; reads have `size` bases at most."""
+    rows = candidates.join(reads.select("read_id", "mate", "seq"), ["read_id", "mate"]).withColumn("piece_no", F.floor(F.col("start") / size).cast("int"))
+    rows = rows.join(chunks(contigs, size, size), ["chr", "piece_no"])
     read = F.when(F.col("strand") == "+", F.upper("seq")).otherwise(reverse_complement(F.col("seq")))
-    return rows.withColumn("penalty", read_score(read, at(F.upper("contig"), F.col("start"), F.col("length")))).drop("seq", "contig")
+    return rows.withColumn("penalty", read_score(read, at(F.col("piece"), F.col("start") - F.col("piece_no") * size, F.col("length")))).drop("seq", "piece", "piece_no")
 
 
 def chunks(contigs: DataFrame, size: int, overlap: int) -> DataFrame:
-    """Contigs as (chr, chunk, start, seq) of bounded size that overlap, so that any read lies within the chunk of its start."""
-    rows = contigs.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / size).cast("int"))))
-    return rows.select("chr", "chunk", (F.col("chunk") * size).alias("start"), F.substring("seq", F.col("chunk") * size + 1, F.lit(size + overlap)).alias("seq"))
+    """(chr, piece_no, piece): contigs in pieces that overlap, so that any read lies within the piece of its start."""
+    return contigs.select("chr", F.posexplode(pieces(F.upper("seq"), size, overlap)).alias("piece_no", "piece"))
 
 
 def fragment_length(start1: Column, length1: Column, start2: Column, length2: Column) -> Column:

@@ -1,4 +1,640 @@
-"""The queries of the driver contract."""
+"""The queries of the driver contract: operators over the driver's whole tables, each with DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from helixplane.functions import quality, sam, sequence, stats
+from helixplane.operators import density, diploid, errors, fragments, index, peaks, reads, sampling, search, traces
+from helixplane.sources import sinks, text
+
+from . import driver_tables as t
+from .driver_tables import A, B, C, D, L, M, P, R
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+K = 20
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(c) -> object:
+    return F.round(c, 6)
+
+
+# --- sequences and qualities
+
+
+@query(f"WITH {C} SELECT chr, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc FROM c")
+def seq_revcomp(s, d):
+    return t.contigs(s, d).select("chr", sequence.reverse_complement(F.col("seq")).alias("rc"))
+
+
+@query(f"WITH {C} SELECT chr, translate(seq, 'ACGT', 'TGCA') AS comp, reverse(seq) AS rev FROM c")
+def seq_complement_reverse(s, d):
+    return t.contigs(s, d).select("chr", sequence.complement(F.col("seq")).alias("comp"), F.reverse("seq").alias("rev"))
+
+
+@query(f"WITH {C} SELECT chr, translate(replace(seq, 'AA', 'NN'), 'Nn', 'AA') AS clean FROM c")
+def seq_clean_n(s, d):
+    return t.contigs(s, d).select("chr", sequence.without_n(F.replace("seq", F.lit("AA"), F.lit("NN"))).alias("clean"))
+
+
+@query(f"WITH {C} SELECT instr('ACGT', b) - 1 AS code, count(*) AS n FROM (SELECT unnest(string_split(seq, '')) AS b FROM c WHERE seq <> '') GROUP BY 1")
+def base_codes(s, d):
+    return t.contigs(s, d).filter("seq <> ''").select(F.explode(F.split("seq", "")).alias("b")).filter("b <> ''").groupBy(sequence.base_code(F.col("b")).cast("long").alias("code")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {C} SELECT chr, CASE WHEN length(seq) >= 12 THEN list_sum(list_transform(range(12), lambda i: (instr('ACGT', seq[i + 1]) - 1) * (4 ** (11 - i))::BIGINT))::BIGINT END AS packed, CASE WHEN length(seq) >= 12 THEN left(seq, 12) END AS unpacked FROM c")
+def seq_pack(s, d):
+    rows = t.contigs(s, d).withColumn("packed", F.when(F.length("seq") >= 12, sequence.pack(F.substring("seq", 1, 12))))
+    return rows.select("chr", "packed", sequence.unpack(F.col("packed"), 12).alias("unpacked"))
+
+
+@query("SELECT p_partkey, round(pow(10, -(33 + p_size - 33) / 10.0), 6) AS p, round(pow(10, -(p_size - 5) / 10.0) / (1 + pow(10, -(p_size - 5) / 10.0)), 6) AS p_odds, chr((33 + p_size)::INT) AS q FROM part")
+def quality_probabilities(s, d):
+    q = F.chr((33 + F.col("p_size")).cast("long"))
+    p = quality.error_probability(q, 33)
+    return t.read(s, d, "part").select("p_partkey", r6(p).alias("p"), r6(quality.error_probability(q, 38, True)).alias("p_odds"), quality.quality_character(p, 33).alias("q"))
+
+
+@query("""WITH x AS (SELECT p_brand, min(list_min(list_transform(string_split(p_name, ''), lambda c: ascii(c)))) AS lo, max(list_max(list_transform(string_split(p_name, ''), lambda c: ascii(c)))) AS hi FROM part GROUP BY p_brand)
+    SELECT p_brand, lo AS least, hi AS most, CASE WHEN hi = 73 THEN 'sanger' WHEN hi = 74 THEN 'illumina_1.8' WHEN hi BETWEEN 75 AND 90 THEN 'shifted_50' WHEN lo < 64 THEN 'solexa' WHEN lo < 66 THEN 'illumina_1.3' WHEN lo < 70 THEN 'illumina_1.5' WHEN lo < 90 THEN 'shifted_50' END AS encoding FROM x""")
+def quality_encoding(s, d):
+    codes = F.transform(F.filter(F.split("p_name", ""), lambda c: c != ""), F.ascii)
+    rows = t.read(s, d, "part").groupBy("p_brand").agg(F.min(F.array_min(codes)).alias("least"), F.max(F.array_max(codes)).alias("most"))
+    return rows.withColumn("encoding", quality.encoding(F.col("least"), F.col("most")))
+
+
+_PROBS = "list_transform(string_split(seq, ''), lambda b: CASE b WHEN 'A' THEN 0.01 WHEN 'C' THEN 0.003 WHEN 'G' THEN 0.001 ELSE 0.0003 END)"
+
+
+def _probs():
+    return F.transform(F.filter(F.split("seq", ""), lambda b: b != ""), lambda b: F.when(b == "A", 0.01).when(b == "C", 0.003).when(b == "G", 0.001).otherwise(0.0003))
+
+
+@query(f"""WITH {C}, x AS (SELECT chr, {_PROBS} AS p FROM c WHERE seq <> '')
+    SELECT chr, round(list_sum(list_transform(p, lambda e: (1 - e) * log10(1 - e) + e * (log10(e) - 0.477121))), 6) AS mean,
+    round(list_sum(list_transform(p, lambda e: (1 - e) * pow(log10(1 - e), 2) + e * pow(log10(e) - 0.477121, 2) - pow((1 - e) * log10(1 - e) + e * (log10(e) - 0.477121), 2))), 6) AS variance FROM x""")
+def penalty_moments(s, d):
+    mean, variance = quality.score_moments(_probs())
+    return t.contigs(s, d).filter("seq <> ''").select("chr", r6(mean).alias("mean"), r6(variance).alias("variance"))
+
+
+@query(f"""WITH {C}, x AS (SELECT chr, {_PROBS} AS p FROM c WHERE seq <> ''), n AS (SELECT chr, len(p) - floor(list_sum(p))::INT - 1 AS n FROM x)
+    SELECT chr, n::BIGINT AS effective FROM n WHERE pow(4, n) / 2 > 1000000""")
+def effective_length_filter(s, d):
+    p = _probs()
+    rows = t.contigs(s, d).filter("seq <> ''").filter(quality.is_informative(p, F.lit(1_000_000)))
+    return rows.select("chr", quality.effective_length(p).cast("long").alias("effective"))
+
+
+@query(f"WITH {C} SELECT chr, -hamming(left(seq, length(seq) - 1), right(seq, length(seq) - 1))::DOUBLE AS score FROM c WHERE length(seq) > 1")
+def penalty_mismatch(s, d):
+    n = F.length("seq") - 1
+    rows = t.contigs(s, d).filter("length(seq) > 1")
+    return rows.select("chr", quality.read_score(F.substring("seq", F.lit(1), n), F.substring("seq", F.lit(2), n)).alias("score"))
+
+
+@query()
+def thresholds(s, d):
+    rows = [("probe", k, n, *stats.probe_thresholds(k, n, 0.1, 0.05)) for k in (20, 24) for n in range(1, 6)] + [("read", n, 1, *stats.read_thresholds(n, 0.1, 0.05)) for n in range(25, 201, 25)]
+    return s.createDataFrame(rows, "what string, length int, probes int, floor int, spread int")
+
+
+# --- index
+
+
+@query(f"WITH {C}, k AS (SELECT chr, unnest(range(length(seq) - {K} + 1)) AS loc, seq FROM c WHERE length(seq) >= {K}) SELECT chr, count(*) AS n, sum(loc)::BIGINT AS locs, count(DISTINCT substr(seq, loc + 1, {K})) AS n_kmers FROM k GROUP BY chr")
+def kmer_explode(s, d):
+    return index.kmers(t.contigs(s, d), K).groupBy("chr").agg(F.count(F.lit(1)).alias("n"), F.sum("loc").alias("locs"), F.countDistinct("kmer").alias("n_kmers"))
+
+
+_KMERS = f"{C}, k AS (SELECT chr, loc, substr(seq, loc + 1, {K}) AS kmer FROM (SELECT chr, unnest(range(length(seq) - {K} + 1)) AS loc, seq FROM c WHERE length(seq) >= {K}))"
+
+
+@query(f"WITH {_KMERS} SELECT kmer, count(*) AS copies FROM k GROUP BY kmer HAVING count(*) >= 20")
+def kmer_repeats_collapse(s, d):
+    return index.repeats(index.kmers(t.contigs(s, d), K), 20)
+
+
+@query(f"WITH {_KMERS}, x AS (SELECT kmer FROM k GROUP BY kmer HAVING count(*) >= 20) SELECT chr, count(*) AS n, sum(loc)::BIGINT AS locs FROM k JOIN x USING (kmer) GROUP BY chr")
+def kmer_repeats_expand(s, d):
+    kmers = index.kmers(t.contigs(s, d), K)
+    return index.expand_repeats(index.repeats(kmers, 20), kmers).groupBy("chr").agg(F.count(F.lit(1)).alias("n"), F.sum("loc").alias("locs"))
+
+
+@query(f"WITH {_KMERS}, x AS (SELECT kmer FROM k GROUP BY kmer HAVING count(*) < 20) SELECT chr, count(*) AS n FROM k JOIN x USING (kmer) GROUP BY chr")
+def kmer_unique_part(s, d):
+    kmers = index.kmers(t.contigs(s, d), K)
+    return index.unique_part(kmers, index.repeats(kmers, 20)).groupBy("chr").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- probes, search, candidates
+
+_PROBES = f"""{R}, q AS (SELECT *, floor(length(seq) / n)::INT AS size FROM (SELECT *, least(floor(length(seq) / {K}), 5)::INT AS n FROM r) WHERE n > 0),
+    v AS (SELECT *, probe_no * size AS region FROM (SELECT *, unnest(range(n)) AS probe_no FROM q)),
+    w AS (SELECT *, substr(seq, o + 1, {K}) AS win FROM (SELECT *, unnest(range(region, region + greatest(size - {K} - 1, 0) + 1)) AS o FROM v))"""
+_BEST = _PROBES + f""", pr AS (SELECT read_id, mate, probe_no, o AS "offset", {K} AS length, win AS seq FROM (SELECT *, row_number() OVER (PARTITION BY read_id, mate, probe_no ORDER BY len(regexp_replace(win, '[^N]', '', 'g')), o) AS rn FROM w) WHERE rn = 1)"""
+
+
+@query(f"WITH {_BEST} SELECT read_id, mate, probe_no, \"offset\", length, seq FROM pr")
+def probe_select_best(s, d):
+    return search.select_probes(t.reads(s, d), K)
+
+
+@query(f"""WITH {_PROBES.rsplit(", w AS", 1)[0].rsplit("w AS", 1)[0].rstrip().rstrip(",")}, z AS (SELECT *, region + ((read_id * 31 + probe_no * 17 + 5) % greatest(size - {K} + 1, 1))::INT AS o FROM v)
+    SELECT read_id, mate, probe_no, o AS "offset", {K} AS length, substr(seq, o + 1, {K}) AS seq FROM z""")
+def probe_select_hashed(s, d):
+    return search.hashed_probes(t.reads(s, d), K, 5)
+
+
+_TARGETS = _BEST + ", tg AS (SELECT *, '+' AS strand, seq AS target FROM pr UNION ALL SELECT *, '-', reverse(translate(seq, 'ACGT', 'TGCA')) FROM pr)"
+_HITS = (
+    f"{_KMERS}, {_TARGETS}"
+    + """, kd AS (SELECT DISTINCT kmer FROM k), td AS (SELECT DISTINCT target FROM tg),
+    nr AS (SELECT DISTINCT target, kmer, -hamming(target, kmer)::DOUBLE AS penalty FROM td JOIN kd ON substr(target, 1, 6) = substr(kmer, 1, 6) OR substr(target, 7, 7) = substr(kmer, 7, 7) OR substr(target, 14, 7) = substr(kmer, 14, 7)),
+    h AS (SELECT read_id, mate, probe_no, "offset", strand, chr, loc, penalty FROM tg JOIN nr USING (target) JOIN k USING (kmer) WHERE penalty >= -2)"""
+).replace(
+    "nr AS (SELECT DISTINCT target, kmer, -hamming(target, kmer)::DOUBLE AS penalty FROM td JOIN kd ON substr(target, 1, 6) = substr(kmer, 1, 6) OR substr(target, 7, 7) = substr(kmer, 7, 7) OR substr(target, 14, 7) = substr(kmer, 14, 7))",
+    "nr AS (SELECT DISTINCT target, kmer, -hamming(target, kmer)::DOUBLE AS penalty FROM (SELECT target, kmer FROM td JOIN kd ON substr(target, 1, 6) = substr(kmer, 1, 6) UNION SELECT target, kmer FROM td JOIN kd ON substr(target, 7, 7) = substr(kmer, 7, 7) UNION SELECT target, kmer FROM td JOIN kd ON substr(target, 14, 7) = substr(kmer, 14, 7)))",
+)
+
+
+def _hits(s, d) -> DataFrame:
+    rows = t.reads(s, d)
+    return search.search(search.select_probes(rows, K), index.kmers(t.contigs(s, d), K), K, 2)
+
+
+@query(f"WITH {_KMERS}, {_TARGETS} SELECT read_id, probe_no, strand, chr, loc FROM tg JOIN k ON target = kmer")
+def search_exact(s, d):
+    rows = search.search_exact(search.select_probes(t.reads(s, d), K), index.kmers(t.contigs(s, d), K))
+    return rows.select("read_id", "probe_no", "strand", "chr", "loc")
+
+
+@query(f"WITH {_HITS} SELECT read_id, probe_no, strand, chr, loc, penalty FROM (SELECT *, max(penalty) OVER (PARTITION BY read_id, mate, probe_no) AS best FROM h) WHERE penalty >= best - 1")
+def search_pigeonhole(s, d):
+    return search.best_within(_hits(s, d), ["read_id", "mate", "probe_no"], "penalty", 1.0).select("read_id", "probe_no", "strand", "chr", "loc", "penalty")
+
+
+@query(f"WITH {_HITS}, n AS (SELECT read_id, probe_no, count(*) AS n FROM h GROUP BY ALL) SELECT read_id, probe_no, n AS n_hits FROM n WHERE n > 10")
+def hit_limit_guard(s, d):
+    return search.guard(_hits(s, d), ["read_id", "probe_no"], 10)[1]
+
+
+_DIAGONALS = _HITS + """, g AS (SELECT read_id, mate, strand, chr, CASE WHEN strand = '+' THEN loc - "offset" ELSE loc + "offset" END AS diagonal, count(DISTINCT probe_no)::INT AS n_probes, max(penalty) AS penalty FROM h GROUP BY ALL)"""
+
+
+@query(f"WITH {_DIAGONALS} SELECT * FROM g")
+def probe_merge_diagonal(s, d):
+    return search.merge_diagonals(_hits(s, d))
+
+
+_CANDIDATES = _DIAGONALS + f""", cd AS (SELECT read_id, mate, chr, strand, start::BIGINT AS start, length, -hamming(CASE WHEN strand = '+' THEN rs ELSE reverse(translate(rs, 'ACGT', 'TGCA')) END, substr(cs, start + 1, length))::DOUBLE AS penalty
+    FROM (SELECT g.*, r.seq AS rs, c.seq AS cs, length(r.seq) AS length, CASE WHEN strand = '+' THEN diagonal ELSE diagonal + {K} - length(r.seq) END AS start FROM g JOIN r USING (read_id, mate) JOIN c USING (chr)) WHERE start >= 0 AND start + length <= length(cs))"""
+
+
+def _candidates(s, d) -> DataFrame:
+    rows, genome = t.reads(s, d), t.contigs(s, d)
+    return search.rescore(search.read_starts(search.merge_diagonals(_hits(s, d)), rows, genome, K), rows, genome)
+
+
+@query(f"WITH {_CANDIDATES} SELECT read_id, mate, chr, strand, start, length::INT AS length, penalty FROM cd")
+def candidate_rescore(s, d):
+    return _candidates(s, d)
+
+
+@query(f"WITH {_CANDIDATES}, x AS (SELECT *, greatest(max(penalty) OVER (PARTITION BY read_id), 2 * (-floor(0.1 * length) - 1)) AS best FROM cd) SELECT read_id, chr, start, strand, penalty FROM x WHERE penalty > best - (floor(0.05 * length) + 1)")
+def reads_mapped(s, d):
+    rows = _candidates(s, d).withColumn("floor", 2 * (-F.floor(F.col("length") * F.lit(0.1)) - 1.0))
+    return search.best_within(rows, ["read_id"], "penalty", F.floor(F.col("length") * F.lit(0.05)) + 1.0, F.col("floor"), strict=True).select("read_id", "chr", "start", "strand", "penalty")
+
+
+@query(f"WITH {_CANDIDATES} SELECT read_id, CASE WHEN read_id NOT IN (SELECT read_id FROM pr) THEN 1 WHEN read_id NOT IN (SELECT read_id FROM h) THEN 4 ELSE 8 END AS error FROM r WHERE read_id NOT IN (SELECT read_id FROM cd WHERE penalty > -5)")
+def reject_reasons(s, d):
+    rows = t.reads(s, d)
+    return reads.rejects(rows, (1, search.select_probes(rows, K)), (4, _hits(s, d)), (8, _candidates(s, d).filter("penalty > -5")))
+
+
+@query(f"WITH {_CANDIDATES} SELECT read_id, chr, strand, trim, CASE WHEN strand = '+' THEN start + trim ELSE start END AS start, (length - trim)::INT AS length, round(penalty + trim * -1.30103, 6) AS penalty FROM (SELECT cd.*, r.seq, unnest([0, 1]) AS trim FROM cd JOIN r USING (read_id, mate)) WHERE trim = 0 OR left(seq, 1) = 'G'")
+def untemplated_g_variants(s, d):
+    rows = _candidates(s, d).join(t.reads(s, d).select("read_id", "mate", "seq"), ["read_id", "mate"])
+    return reads.untemplated_g(rows).withColumn("penalty", r6("penalty"))
+
+
+_PAIRS = f"{M}, q AS (SELECT *, mapping_no % 2 + 1 AS mate FROM m), pp AS (SELECT x.read_id, x.chr, x.start AS start1, y.start AS start2, greatest(x.stop, y.stop) - least(x.start, y.start) AS frag_len, round(x.score + y.score, 6) AS score FROM q AS x JOIN q AS y ON x.read_id = y.read_id AND x.chr = y.chr AND x.mate = 1 AND y.mate = 2)"
+
+
+@query(f"WITH {_PAIRS} SELECT read_id, chr, start1, start2, frag_len, score FROM pp WHERE frag_len <= 1000")
+def pair_join_fraglen(s, d):
+    rows = t.mappings(s, d).withColumn("mate", F.col("mapping_no") % 2 + 1).withColumn("length", F.col("stop") - F.col("start")).withColumn("penalty", F.col("score"))
+    return search.pair(rows, most=1000).select("read_id", "chr", "start1", "start2", "frag_len", r6("score").alias("score"))
+
+
+@query(f"WITH {M}, x AS (SELECT *, greatest(max(score) OVER (PARTITION BY read_id), -2.0) AS best FROM m) SELECT read_id, mapping_no, round(score, 6) AS score FROM x WHERE round(score - best + 1.5, 6) > 0")
+def top_within_delta(s, d):
+    rows = t.mappings(s, d).withColumn("tenths", F.round(F.col("score") * 10))
+    return search.best_within(rows, ["read_id"], "tenths", 15.0, -20.0, strict=True).select("read_id", "mapping_no", r6("score").alias("score"))
+
+
+@query(f"WITH {M} SELECT read_id, count(*)::INT AS n, string_agg(chr || ':' || start || '-' || stop || strand, ',' ORDER BY chr, start, stop, strand) AS places FROM m GROUP BY read_id")
+def mapped_read_nested(s, d):
+    rows = reads.nest(t.mappings(s, d), ["chr", "start", "stop", "strand"])
+    one = lambda x: F.concat(x["chr"].cast("string"), F.lit(":"), x["start"].cast("string"), F.lit("-"), x["stop"].cast("string"), x["strand"])
+    return rows.select("read_id", F.size("mappings").alias("n"), F.array_join(F.transform("mappings", one), ",").alias("places"))
+
+
+@query(f"WITH {M} SELECT read_id, row_number() OVER (PARTITION BY read_id ORDER BY chr, start, stop, strand) - 1 AS mapping_no, chr, start, stop, strand FROM m")
+def sublocation_explode(s, d):
+    return reads.unnest(reads.nest(t.mappings(s, d), ["chr", "start", "stop", "strand"])).withColumn("mapping_no", F.col("mapping_no").cast("long"))
+
+
+@query("SELECT o_orderkey AS read_id, 9 AS error FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def reject_antijoin(s, d):
+    rows = t.read(s, d, "orders").select(F.col("o_orderkey").alias("read_id"))
+    return reads.rejects(rows, (9, t.mappings(s, d)))
+
+
+@query(f"""WITH {P}, rd AS (SELECT o_orderkey AS read_id, 'order_' || o_orderkey AS name, translate(o_orderpriority, '12345-ABCDEFGHIJKLMNOPQRSTUVWXYZ ', 'ACGTACGTACGTACGTACGTACGTACGTACGTA') AS seq FROM orders)
+    SELECT read_id, mapping_no, concat_ws(chr(9), name, CASE WHEN strand = '-' THEN '16' ELSE '0' END, 'supplier_' || chr, (start + 1)::VARCHAR, (CASE WHEN cond_prb >= 1 THEN 254 ELSE least(254, floor(-10 * log10(1 - cond_prb)))::INT END)::VARCHAR, (stop - start) || 'M', '*', '0', '0',
+    CASE WHEN strand = '-' THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END, CASE WHEN strand = '-' THEN reverse(seq) ELSE seq END, 'PQ:i:' || least(254, floor(-10 * score))::INT, 'XQ:f:' || printf('%.6f', score), 'XP:f:' || printf('%.4f', cond_prb) || '00') AS line
+    FROM p JOIN rd USING (read_id)""".replace("chr(9)", "e'\\t'"))
+def sam_lines(s, d):
+    seq = F.translate("o_orderpriority", "12345-ABCDEFGHIJKLMNOPQRSTUVWXYZ ", "ACGTACGTACGTACGTACGTACGTACGTACGTA")
+    rows = t.read(s, d, "orders").select(F.col("o_orderkey").alias("read_id"), F.concat(F.lit("order_"), F.col("o_orderkey").cast("string")).alias("name"), seq.alias("seq"), seq.alias("qual"))
+    genome = t.read(s, d, "supplier").select(F.col("s_suppkey").alias("chr"), F.concat(F.lit("supplier_"), F.col("s_suppkey").cast("string")).alias("name"))
+    mapped = density.conditional(t.mappings(s, d)).withColumn("log_seq_error", F.col("score"))
+    lines = reads.sam_lines(mapped, rows, genome)
+    # probabilities to 4 places: engines add in different orders
+    last = F.regexp_extract("line", r"XP:f:([0-9.]+)$", 1)
+    return lines.select("read_id", "mapping_no", F.concat(F.regexp_replace("line", r"XP:f:[0-9.]+$", "XP:f:"), F.format_string("%.4f", F.round(last.cast("double"), 4)), F.lit("00")).alias("line"))
+
+
+@query("SELECT l_orderkey AS read_id, l_linenumber AS mapping_no, (3 | CASE WHEN l_returnflag = 'R' THEN 16 ELSE 0 END | CASE WHEN l_linenumber % 2 = 1 THEN 64 ELSE 128 END)::INT AS flag, concat(CASE WHEN l_linenumber > 1 THEN (l_linenumber - 1) || 'S' ELSE '' END, (l_quantity::INT + 10) || 'M') AS cigar, l_quantity::INT + 10 AS covers FROM lineitem")
+def sam_flags_cigars(s, d):
+    rows = t.read(s, d, "lineitem")
+    n, clip = F.col("l_quantity").cast("int") + 10, F.col("l_linenumber") - 1
+    cigar = sam.soft_clipped(n + clip, clip, F.lit(0))
+    return rows.select(F.col("l_orderkey").alias("read_id"), F.col("l_linenumber").alias("mapping_no"), sam.flag(F.lit(True), F.col("l_returnflag") == "R", F.col("l_linenumber") % 2 == 1).alias("flag"), sam.cigar_text(cigar).alias("cigar"), sam.cigar_length(cigar).alias("covers"))
+
+
+@query(f"WITH {P}, x AS (SELECT *, 1500 AS contig FROM p) SELECT read_id, mapping_no FROM x WHERE start >= 0 AND stop <= contig AND start < stop AND cond_prb BETWEEN 0 AND 1")
+def verify_bounds(s, d):
+    genome = t.read(s, d, "supplier").select(F.col("s_suppkey").alias("chr"), F.repeat(F.lit("A"), F.lit(1500)).alias("seq"))
+    return reads.within_bounds(density.conditional(t.mappings(s, d)), genome).select("read_id", "mapping_no")
+
+
+@query("WITH m AS (SELECT max(l_orderkey) + 1 AS n FROM lineitem) SELECT run_id, read_id, count(*) AS n FROM (SELECT 0 AS run_id, l_orderkey AS read_id FROM lineitem UNION ALL SELECT 1, o_orderkey + n FROM orders, m) GROUP BY ALL")
+def run_merge(s, d):
+    one = t.read(s, d, "lineitem").select(F.col("l_orderkey").alias("read_id"))
+    two = t.read(s, d, "orders").select(F.col("o_orderkey").alias("read_id"))
+    return reads.merge_runs(one, two).groupBy("run_id", "read_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- text formats
+
+
+@query(f"WITH {L}, x AS (SELECT file, line_no // 4 AS read_id, max(CASE WHEN line_no % 4 = 0 THEN line END) AS head, max(CASE WHEN line_no % 4 = 1 THEN line END) AS seq, max(CASE WHEN line_no % 4 = 3 THEN line END) AS qual FROM (SELECT file, line_no, CASE line_no % 4 WHEN 0 THEN '@' || line WHEN 3 THEN lag(line, 2) OVER (PARTITION BY file ORDER BY line_no) ELSE line END AS line FROM l) GROUP BY ALL) SELECT file, read_id, regexp_replace(substr(head, 2), '\\s+\\S*$', '') AS name, seq, qual FROM x WHERE qual IS NOT NULL AND seq IS NOT NULL")
+def fastq_parse(s, d):
+    before = F.lag("line", 2).over(Window.partitionBy("file").orderBy("line_no"))
+    rows = t.text_lines(s, d)
+    rows = rows.withColumn("line", F.when(F.col("line_no") % 4 == 0, F.concat(F.lit("@"), "line")).when(F.col("line_no") % 4 == 3, before).otherwise(F.col("line")))
+    return text.fastq(rows)
+
+
+@query(f"WITH {L}, g AS (SELECT *, count(*) FILTER (WHERE line_no % 3 = 1) OVER (PARTITION BY file ORDER BY line_no) AS grp FROM l), x AS (SELECT file, grp, max(CASE WHEN line_no % 3 = 1 THEN regexp_extract(line, '^\\s*(\\S*)', 1) END) AS name, regexp_replace(string_agg(CASE WHEN line_no % 3 <> 1 THEN line END, '' ORDER BY line_no), '[^A-Za-z]', '', 'g') AS seq FROM g GROUP BY file, grp) SELECT file, coalesce(name, 'Default') AS name, seq, length(seq)::INT AS len, row_number() OVER (ORDER BY file, grp) AS chr FROM x WHERE seq <> ''")
+def fasta_parse(s, d):
+    rows = t.text_lines(s, d)
+    rows = rows.withColumn("line", F.when(F.col("line_no") % 3 == 1, F.concat(F.lit(">"), "line")).when(F.col("line").startswith(">"), F.concat(F.lit(" "), "line")).otherwise(F.col("line")))
+    return text.fasta(rows).withColumn("chr", F.col("chr").cast("long"))
+
+
+@query("SELECT l_orderkey AS file, (l_returnflag || l_linestatus) AS track, 'chr' || l_suppkey AS chrom, l_partkey AS pos, l_quantity AS value FROM lineitem")
+def wiggle_parse(s, d):
+    own = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_returnflag", "l_linestatus")
+    rows = t.read(s, d, "lineitem").withColumn("n", F.row_number().over(own))
+    text_ = F.array(F.concat(F.lit('track type=wiggle_0 name="'), "l_returnflag", "l_linestatus", F.lit('"')), F.concat(F.lit("variableStep chrom=chr"), F.col("l_suppkey").cast("string")), F.concat_ws("\t", F.col("l_partkey").cast("string"), F.col("l_quantity").cast("string")))
+    lines = rows.select(F.col("l_orderkey").alias("file"), "n", F.posexplode(text_).alias("k", "line")).select("file", (F.col("n") * 3 + F.col("k")).alias("line_no"), "line")
+    return text.wiggle(lines)
+
+
+@query(f"WITH {D}, x AS (SELECT track, chr, pos, sum(value) AS value FROM d GROUP BY ALL), y AS (SELECT * FROM x WHERE value > 60) SELECT track, chr, pos, (pos + 1) || e'\\t' || printf('%e', value) AS line FROM y UNION ALL SELECT DISTINCT track, chr, -1, 'variableStep chrom=s' || chr FROM y UNION ALL SELECT DISTINCT track, -1, -2, 'track type=wiggle_0 name=' || track FROM y")
+def wiggle_lines(s, d):
+    rows = t.densities(s, d).groupBy("track", "chr", "pos").agg(F.sum("value").alias("value"))
+    genome = t.read(s, d, "supplier").select(F.col("s_suppkey").alias("chr"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("name"))
+    return sinks.wiggle_lines(rows, genome, 60.0)
+
+
+@query("SELECT conv_id AS file, turn % 2 AS thread, count(*) FILTER (WHERE k = 'read_id') OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn, i) AS read_no, k AS key, v AS value FROM (SELECT conv_id, turn, unnest([0, 1]) AS i, unnest(['read_id', 'n_chars']) AS k, unnest([turn::VARCHAR, length(text)::VARCHAR]) AS v FROM conversations)")
+def log_to_rows(s, d):
+    pair = lambda k, v: F.concat(F.lit("10:00 [thread "), (F.col("turn") % 2).cast("string"), F.lit(f"] {k} "), v.cast("string"))
+    rows = t.read(s, d, "conversations").select(F.col("conv_id").alias("file"), "turn", F.posexplode(F.array(pair("read_id", F.col("turn")), pair("n_chars", F.length("text")))).alias("k", "line"))
+    return text.log_rows(rows.select("file", (F.col("turn") * 2 + F.col("k")).alias("line_no"), "line")).withColumn("thread", F.col("thread").cast("int"))
+
+
+@query(f"WITH {C} SELECT chr, substr(seq, 4, greatest(length(seq) - 8, 0)::INT) AS seq, length(substr(seq, 4, greatest(length(seq) - 8, 0)::INT))::INT AS n FROM c")
+def fixed_trim(s, d):
+    rows = text.trimmed(t.contigs(s, d).withColumn("qual", F.col("seq")), 3, 5)
+    return rows.select("chr", "seq", F.length("qual").alias("n"))
+
+
+_PRIMERS = ["ACGTTA", "TTAG", "CATAGCA", "GAT", "TGACCA", "AAC", "TCG"]
+
+
+@query(f"WITH {C}, q AS (SELECT unnest({_PRIMERS}) AS primer), x AS (SELECT chr, seq, coalesce(max(length(primer)), 0)::INT AS n FROM c LEFT JOIN q ON length(seq) >= length(primer) AND CASE WHEN length(seq) >= length(primer) THEN hamming(left(seq, length(primer)), primer) END <= 1 GROUP BY ALL) SELECT chr, substr(seq, n + 1) AS seq, n AS trimmed FROM x WHERE n > 0")
+def primer_trim(s, d):
+    primers = s.createDataFrame([(p,) for p in _PRIMERS], "primer string")
+    return text.primer_trimmed(t.contigs(s, d).select("chr", "seq"), primers, 1, strict=True)
+
+
+@query("SELECT o_orderkey AS read_id, o_orderkey % 2 + 1 AS mate FROM orders")
+def split_mates(s, d):
+    rows = t.read(s, d, "orders").select(F.col("o_orderkey").alias("read_id"), F.concat(F.lit("r/"), (F.col("o_orderkey") % 2 + 1).cast("string")).alias("name"))
+    one, two = text.split_mates(rows)
+    return one.select("read_id", F.lit(1).cast("long").alias("mate")).unionByName(two.select("read_id", F.lit(2).cast("long").alias("mate")))
+
+
+@query("SELECT o_orderkey AS read_id, m AS mate, CASE m WHEN 1 THEN o_orderpriority ELSE reverse(o_orderpriority) END AS seq FROM orders, (SELECT unnest([1, 2]) AS m)")
+def paired_reads(s, d):
+    own = F.col("o_orderpriority")
+    one = lambda m, x: t.read(s, d, "orders").select(F.col("o_orderkey").alias("read_id"), F.concat(F.col("o_orderkey").cast("string"), F.lit(f"/{m}")).alias("name"), x.alias("seq"), x.alias("qual"))
+    return text.paired(one(1, own), one(2, F.reverse(own))).select("read_id", "mate", "seq")
+
+
+# --- diploid genomes
+
+
+@query(f"WITH {A}, q AS (SELECT user_id AS prefix, event_id % 2000 AS pos FROM events), z AS (SELECT prefix, pat, mat FROM a WHERE pat > 0) SELECT q.prefix, q.pos, CASE WHEN z.mat = 0 THEN 0 ELSE z.mat + q.pos - z.pat END AS mat FROM q ASOF LEFT JOIN z ON q.prefix = z.prefix AND q.pos >= z.pat")
+def diploid_asof_lift(s, d):
+    asked = t.read(s, d, "events").select(F.col("user_id").alias("prefix"), F.pmod("event_id", F.lit(2000)).cast("int").alias("pos"))
+    return diploid.lift(asked, t.dmap(s, d)).select("prefix", F.col("pos").cast("long").alias("pos"), F.col("mat").cast("long").alias("mat"))
+
+
+_SEGMENTS = f"""{A}, n AS (SELECT *, first(CASE WHEN pat > 0 THEN pat END IGNORE NULLS) OVER w AS np, first(CASE WHEN mat > 0 THEN mat END IGNORE NULLS) OVER w AS nm FROM a WINDOW w AS (PARTITION BY prefix ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+    sg AS (SELECT prefix, ord, CASE WHEN pat > 0 AND mat > 0 THEN 'shared' WHEN pat > 0 THEN 'paternal' ELSE 'maternal' END AS kind, CASE WHEN pat > 0 THEN pat - 1 END AS pat_start, CASE WHEN mat > 0 THEN mat - 1 END AS mat_start,
+    CASE WHEN pat > 0 AND mat > 0 THEN least(np - pat, nm - mat) WHEN pat > 0 THEN np - pat ELSE nm - mat END AS length FROM n)""".replace("first(CASE", "first_value(CASE")
+
+
+@query(f"WITH {_SEGMENTS} SELECT prefix, ord, kind, pat_start, mat_start, length FROM sg WHERE length > 0")
+def diploid_segments(s, d):
+    return diploid.segments(t.dmap(s, d)).select("prefix", F.col("ord").cast("long").alias("ord"), "kind", *[F.col(c).cast("long").alias(c) for c in ("pat_start", "mat_start", "length")])
+
+
+@query("SELECT l_orderkey AS read_id, 'PATERNAL' AS source, l_partkey AS loc FROM lineitem WHERE l_partkey > 0 UNION ALL SELECT l_orderkey, 'MATERNAL', l_suppkey FROM lineitem WHERE l_suppkey > 0")
+def haplotype_expand(s, d):
+    return diploid.expand(t.read(s, d, "lineitem").select(F.col("l_orderkey").alias("read_id"), F.col("l_partkey").alias("pat"), F.col("l_suppkey").alias("mat")))
+
+
+@query(f"WITH {C}, x AS (SELECT chr, seq, replace(seq, 'GATA', 'GCTA') AS mut FROM c WHERE seq <> ''), y AS (SELECT chr, unnest(range(length(seq))) AS i, seq, mut FROM x WHERE seq <> mut) SELECT chr AS prefix, i AS pat_pos, i AS mat_pos, substr(seq, i + 1, 1) AS pat_base, substr(mut, i + 1, 1) AS mat_base FROM y WHERE substr(seq, i + 1, 1) <> substr(mut, i + 1, 1)")
+def snp_detect(s, d):
+    rows = t.contigs(s, d).filter("seq <> ''").select(F.col("chr").alias("prefix"), "seq")
+    shared = rows.select("prefix", F.lit("shared").alias("kind"), F.lit(0).cast("long").alias("pat_start"), F.lit(0).cast("long").alias("mat_start"), F.length("seq").alias("length"))
+    return diploid.snps(rows, rows.withColumn("seq", F.replace("seq", F.lit("GATA"), F.lit("GCTA"))), shared)
+
+
+# --- density and expectation-maximisation
+
+_SITES = P + ", z AS (SELECT chr, track, site AS pos, sum(cond_prb) AS value FROM p GROUP BY ALL)"
+
+
+def _prior(s, d) -> DataFrame:
+    return density.conditional(t.mappings(s, d))
+
+
+@query(f"WITH {P} SELECT read_id, mapping_no, round(cond_prb, 6) AS cond_prb FROM p")
+def softmax_cond_prb(s, d):
+    return _prior(s, d).select("read_id", "mapping_no", r6("cond_prb").alias("cond_prb"))
+
+
+@query(f"WITH {_SITES} SELECT chr, track, pos, round(value, 6) AS value FROM z")
+def density_start_sites(s, d):
+    return density.start_sites(_prior(s, d)).withColumn("value", r6("value"))
+
+
+_PILE = P + ", f AS (SELECT chr, track, unnest(range(start, stop)) AS pos, cond_prb / (stop - start) AS v FROM p), pile AS (SELECT chr, track, pos, sum(v) AS value FROM f GROUP BY ALL)"
+
+
+@query(f"WITH {_PILE} SELECT chr, track, pos, round(value, 6) AS value FROM pile")
+def density_interval_pileup(s, d):
+    return density.bases(density.fragments(_prior(s, d))).withColumn("value", F.round(F.abs("value"), 6))
+
+
+_SHAPE = [0.4, 0.3, 0.2, 0.1]
+
+
+def _shape(s) -> DataFrame:
+    return s.createDataFrame(list(enumerate(_SHAPE)), "offset int, d double")
+
+
+@query(f"WITH {P}, sh AS (SELECT unnest(range(4)) AS o, unnest({_SHAPE}) AS w), x AS (SELECT chr, track, CASE WHEN track = 0 THEN site + o ELSE site - o END AS pos, cond_prb * w AS v FROM p, sh) SELECT chr, track, pos, round(sum(v), 6) AS value FROM x WHERE pos >= 0 GROUP BY ALL")
+def density_profile_convolve(s, d):
+    return density.profile(_prior(s, d), _shape(s)).withColumn("value", r6("value"))
+
+
+_NEAR = """{to} AS (SELECT {of}.* REPLACE (pow(10, score) * (around + 2 * 2.220446049250313e-16) / sum(pow(10, score) * (around + 2 * 2.220446049250313e-16)) OVER (PARTITION BY read_id) AS cond_prb), sum(pow(10, score) * (around + 2 * 2.220446049250313e-16)) OVER (PARTITION BY read_id) AS lhd{more}
+    FROM {of} JOIN (SELECT s.chr, s.track, s.site, coalesce(sum(z.value), 0) AS around FROM (SELECT DISTINCT chr, track, site FROM {of}) AS s LEFT JOIN {z} AS z ON z.chr = s.chr AND z.track = s.track AND z.pos BETWEEN s.site - 100 AND s.site + 99 GROUP BY ALL) USING (chr, track, site))"""
+_E1 = _SITES + ", " + _NEAR.format(to="e1", of="p", z="z", more="")
+
+
+@query(f"WITH {_E1} SELECT read_id, mapping_no, round(cond_prb, 6) AS cond_prb FROM e1")
+def estep_window_sum(s, d):
+    rows = _prior(s, d)
+    return density.near_start(rows, density.start_sites(rows)).select("read_id", "mapping_no", r6("cond_prb").alias("cond_prb"))
+
+
+@query(f"WITH {_PILE}, a AS (SELECT p.read_id, p.mapping_no, any_value(score) AS score, sum(coalesce(pile.value, 0)) AS area FROM p LEFT JOIN pile ON pile.chr = p.chr AND pile.pos >= p.start AND pile.pos < p.stop GROUP BY ALL) SELECT read_id, mapping_no, round(pow(10, score) * area / sum(pow(10, score) * area) OVER (PARTITION BY read_id), 5) AS cond_prb FROM a")
+def estep_fragments(s, d):
+    rows = _prior(s, d)
+    return density.over_fragment(rows, density.fragments(rows)).select("read_id", "mapping_no", F.round("cond_prb", 5).alias("cond_prb"))
+
+
+@query(f"WITH {_E1}, w AS (SELECT e1.read_id, sum(abs(e1.cond_prb - p.cond_prb)) AS change, max(lhd) AS lhd FROM e1 JOIN p USING (read_id, mapping_no) GROUP BY e1.read_id) SELECT round(max(change), 5) AS max_change, round(sum(log10(lhd)), 3) AS log_lhd FROM w")
+def convergence_stats(s, d):
+    rows = _prior(s, d)
+    out = density.convergence(rows, density.near_start(rows, density.start_sites(rows)))
+    return out.select(F.round("max_change", 5).alias("max_change"), F.round("log_lhd", 3).alias("log_lhd"))
+
+
+@query(f"WITH {_E1}, z1 AS (SELECT chr, track, site AS pos, sum(cond_prb) AS value FROM e1 GROUP BY ALL), e0 AS (SELECT * EXCLUDE (lhd) FROM e1), {_NEAR.format(to='e2', of='e0', z='z1', more='')} SELECT read_id, mapping_no, round(cond_prb, 6) AS cond_prb FROM e2")
+def em_two_iterations(s, d):
+    rows = _prior(s, d)
+    for _ in range(2):
+        rows = density.near_start(rows, density.start_sites(rows)).drop("lhd")
+    return rows.select("read_id", "mapping_no", r6("cond_prb").alias("cond_prb"))
+
+
+@query()
+def em_converged(s, d):
+    rows, _ = density.iterate(t.mappings(s, d), stop_ratio=-1)
+    return rows.select("read_id", "mapping_no", F.round("cond_prb", 4).alias("cond_prb"))
+
+
+@query(f"WITH {_SITES} SELECT chr, track, pos, round(value / sum(value) OVER (PARTITION BY track), 9) AS value FROM z")
+def trace_normalise(s, d):
+    return density.normalised(density.start_sites(_prior(s, d)), "track").withColumn("value", F.round("value", 9))
+
+
+@query(f"WITH {P} SELECT s_suppkey AS chr, track, coalesce(sum(cond_prb), 0)::DECIMAL(18, 3)::DOUBLE AS total FROM supplier LEFT JOIN p ON chr = s_suppkey WHERE track IS NOT NULL GROUP BY ALL")
+def marginal_density(s, d):
+    rows = density.start_sites(_prior(s, d)).groupBy("chr", "track").agg(F.round(F.sum("value"), 3).alias("total"))
+    return rows.join(t.read(s, d, "supplier").select(F.col("s_suppkey").alias("chr")), "chr", "left_semi")
+
+
+# --- samples and bootstraps
+
+_U = lambda *k: __import__("functools").reduce(lambda x, y: f"(((({x}) * 69069 + ({y}) * 31337 + 12345) % 1000003) * ((({x}) * 69069 + ({y}) * 31337 + 12345) % 1000003) + (({x}) * 69069 + ({y}) * 31337 + 12345) % 1000003 * 3 + 1) % 1000003", k, "7")
+_CHOSEN = "{to} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY CASE WHEN up >= u THEN 0 ELSE 1 END, mapping_no) AS rn FROM (SELECT *, round(sum(cond_prb) OVER (PARTITION BY {by} ORDER BY mapping_no), 9) AS up, {u} / 1000003 AS u FROM {of})) WHERE rn = 1)"
+
+
+@query(f"WITH {P}, {_CHOSEN.format(to='ch', by='read_id', u=_U('read_id', '3'), of='p')} SELECT read_id, mapping_no FROM ch")
+def weighted_choice(s, d):
+    return sampling.choose(_prior(s, d), sampling.uniform(F.col("read_id"), 3)).select("read_id", "mapping_no")
+
+
+_EDGES = "CASE " + " ".join(f"WHEN u2 < {e!r} THEN {k}" for e, k in zip(__import__("itertools").accumulate(0.36787944117144233 / __import__("math").factorial(k) for k in range(8)), range(8))) + " ELSE 8 END"
+
+
+@query(f"WITH {P}, x AS (SELECT p.*, bs FROM p, (SELECT unnest(range(5)) AS bs)), {_CHOSEN.format(to='ch', by='bs, read_id', u=_U('read_id', 'bs', '11'), of='x')}, y AS (SELECT *, {_EDGES} AS weight FROM (SELECT *, {_U('read_id', 'bs', '12')} / 1000003 AS u2 FROM ch)) SELECT bs, chr, track, site AS pos, sum(weight)::DOUBLE AS value FROM y WHERE weight > 0 GROUP BY ALL")
+def bootstrap_density(s, d):
+    drawn = sampling.bootstraps(_prior(s, d), 5, 11)
+    pos = F.when(F.col("strand") == "+", F.col("start")).otherwise(F.col("stop") - 1)
+    return drawn.groupBy(F.col("bs").cast("long").alias("bs"), "chr", F.when(F.col("strand") == "+", 0).otherwise(1).alias("track"), pos.alias("pos")).agg(F.sum("weight").cast("double").alias("value"))
+
+
+@query()
+def random_start(s, d):
+    return sampling.random_start(t.mappings(s, d), 1, batches=3).select("read_id", "mapping_no")
+
+
+# --- traces
+
+
+@query(f"WITH {D} SELECT chr, track, pos, sum(value) AS sum_value, CASE WHEN count(*) < 7 THEN greatest(max(value), 0) ELSE max(value) END AS max_value, CASE WHEN count(*) < 7 THEN least(min(value), 0) ELSE min(value) END AS min_value FROM d GROUP BY ALL")
+def trace_min_max_sum(s, d):
+    rows = t.densities(s, d)
+    one = lambda how: traces.aggregate(rows, how, 7).withColumnRenamed("value", f"{how}_value")
+    return one("sum").join(one("max"), traces.KEYS).join(one("min"), traces.KEYS)
+
+
+@query(f"WITH {D} SELECT chr, track, pos, max(value) AS value FROM d GROUP BY ALL HAVING max(value) >= 25")
+def wiggle_aggregate_threshold(s, d):
+    return traces.over_threshold(traces.aggregate(t.densities(s, d), "max", 7), 25.0)
+
+
+@query(f"WITH {D} SELECT chr, pos, sum(value) AS value FROM d GROUP BY ALL HAVING sum(value) >= 40")
+def wiggle_merge(s, d):
+    return traces.over_threshold(traces.aggregate(t.densities(s, d), "sum", 7, ["chr", "pos"]), 40.0)
+
+
+@query(f"WITH {D}, x AS (SELECT sample, chr, pos, min(value) AS lo, max(value) AS hi, sum(value) AS su FROM d GROUP BY ALL) SELECT chr, pos, min(lo) AS min_value, max(hi) AS max_value, sum(su) AS sum_value FROM x GROUP BY ALL")
+def aggregate_of_aggregates(s, d):
+    return traces.levels(t.densities(s, d), ["chr", "pos"])
+
+
+@query(f"WITH {C} SELECT chr, tr AS track, 0 AS start, length(seq)::INT AS stop, round(1 / (sum(length(seq)) OVER () ), 12) AS value FROM c, (SELECT unnest([0, 1]) AS tr)")
+def trace_uniform(s, d):
+    return traces.uniform(t.contigs(s, d), 2).withColumn("value", F.round("value", 12))
+
+
+# --- peaks
+
+_GT = B + """, ip AS (SELECT * FROM b WHERE status = 'F'), nc AS (SELECT * FROM b WHERE status = 'O'),
+    g AS (SELECT chr, track, pos, sum(CASE WHEN coalesce(ip.value, 0) > coalesce(nc.value, 0) THEN 1.0 WHEN coalesce(ip.value, 0) = coalesce(nc.value, 0) THEN 0.5 ELSE 0 END)::DOUBLE + (25 - count(*)) * 0.5::DOUBLE AS count FROM ip FULL JOIN nc USING (bs, chr, track, pos) GROUP BY ALL)"""
+_TAIL = "(SELECT sum(factorial(25) / (factorial(i) * factorial(25 - i)))::DOUBLE / 33554432 FROM range({k}, 26) AS q(i))"
+_PV = "pv AS (SELECT k, " + _TAIL.format(k="0").replace("range(0, 26) AS q(i)", "(SELECT unnest(range(26)) AS i) WHERE i >= k") + " AS p FROM (SELECT unnest(range(26)) AS k))"
+
+
+@query(f"WITH {_GT} SELECT chr, track, pos, count FROM g")
+def ip_gt_nc_counts(s, d):
+    return peaks.higher_counts(t.bootstraps(s, d, "F"), t.bootstraps(s, d, "O"))
+
+
+@query(f"WITH {B} SELECT ip.chr, ip.track, ip.pos, sum(CASE WHEN nc.value IS NULL OR ip.value > nc.value THEN 1.0 WHEN ip.value = nc.value THEN 0.5 ELSE 0 END)::DOUBLE AS count FROM (SELECT * FROM b WHERE status = 'F') AS ip LEFT JOIN (SELECT * FROM b WHERE status = 'O') AS nc USING (bs, chr, track, pos) GROUP BY ALL")
+def ip_gt_nc_wiggles(s, d):
+    return peaks.higher_counts_of_wiggles(t.bootstraps(s, d, "F"), t.bootstraps(s, d, "O"))
+
+
+@query(f"WITH {_PV} SELECT l_orderkey, l_linenumber, round(p, 9) AS p FROM lineitem JOIN pv ON k = floor(l_quantity / 2)::INT")
+def binomial_pvalue(s, d):
+    return t.read(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(peaks.half_p_value(F.col("l_quantity") / 2), 9).alias("p"))
+
+
+@query(f"WITH {_GT}, {_PV} SELECT chr, track, pos, round(1 - p, 9) AS value FROM g JOIN pv ON k = floor(count)::INT")
+def peaks_per_sample(s, d):
+    return peaks.scores(peaks.higher_counts(t.bootstraps(s, d, "F"), t.bootstraps(s, d, "O"))).select("chr", "track", "pos", F.round("value", 9).alias("value"))
+
+
+@query(f"WITH {D}, sm AS (SELECT sample, -sample::DOUBLE / 2 AS log_lhd FROM (SELECT DISTINCT sample FROM d)), w AS (SELECT sample, pow(10, log_lhd - (SELECT max(log_lhd) FROM sm)) AS w FROM sm) SELECT chr, track, pos, round(sum(w * value) / sum(w), 6) AS value FROM d JOIN w USING (sample) GROUP BY ALL")
+def peaks_weighted_combine(s, d):
+    rows = t.densities(s, d)
+    samples = rows.select("sample").distinct().select("sample", (-F.col("sample") / 2).alias("log_lhd"))
+    return peaks.combined(rows, samples).withColumn("value", r6("value"))
+
+
+# --- fragment lengths and errors
+
+_FL = M + ", q AS (SELECT read_id, min(stop - start) AS len FROM m GROUP BY read_id HAVING min(stop - start) = max(stop - start)), n AS (SELECT len, count(*) AS n FROM q GROUP BY len), u AS (SELECT *, sum(n) OVER (ORDER BY len) AS up, sum(n) OVER () AS total FROM n), fl AS (SELECT len, n / total AS p FROM u WHERE up > total * 0.001 AND up <= total * 0.99)"
+
+
+@query(f"WITH {_FL} SELECT len, round(p, 9) AS p FROM fl")
+def fl_dist_empirical(s, d):
+    return fragments.empirical(t.mappings(s, d)).withColumn("p", F.round("p", 9))
+
+
+@query("WITH x AS (SELECT i AS len, exp(-pow((i - 200) / 25.0, 2) / 2) AS d FROM range(150, 251) AS r(i)) SELECT len, round(d / sum(d) OVER (), 9) AS p FROM x")
+def fl_dist_normal(s, d):
+    return fragments.normal(s, 200, 25).withColumn("p", F.round("p", 9))
+
+
+@query(f"WITH {_FL}, x AS (SELECT unnest(range(len)) AS o, p / len AS v FROM fl) SELECT o AS \"offset\", round(sum(v), 9) AS d FROM x GROUP BY o")
+def bs_profile(s, d):
+    return fragments.binding_profile(fragments.empirical(t.mappings(s, d))).withColumn("d", F.round("d", 9))
+
+
+@query(f"WITH {_FL} SELECT read_id, mapping_no, stop - start AS frag_len, round(coalesce(p, 0), 9) AS fl_prb FROM m LEFT JOIN fl ON len = stop - start")
+def fl_prob_lookup(s, d):
+    rows = t.mappings(s, d).withColumn("frag_len", F.col("stop") - F.col("start"))
+    return fragments.with_probability(rows, fragments.empirical(t.mappings(s, d))).select("read_id", "mapping_no", "frag_len", F.round("fl_prb", 9).alias("fl_prb"))
+
+
+_ERRORS = f"{C}, e AS (SELECT chr, seq, translate(seq, 'ACGT', '5:?D') AS qual, replace(seq, 'GATA', 'GCTA') AS mut FROM c WHERE seq <> ''), x AS (SELECT unnest(range(length(seq))) AS i, seq, qual, mut FROM e), n AS (SELECT 1 AS mate, '+' AS strand, ascii(substr(qual, i + 1, 1)) AS qual, i + 1 AS pos, count(*) AS n, count(*) FILTER (WHERE substr(seq, i + 1, 1) <> substr(mut, i + 1, 1)) AS mm FROM x GROUP BY ALL)"
+
+
+def _errors(s, d) -> DataFrame:
+    rows = t.contigs(s, d).filter("seq <> ''").select(F.lit(1).alias("mate"), F.lit("+").alias("strand"), F.col("seq").alias("read"), F.replace("seq", F.lit("GATA"), F.lit("GCTA")).alias("genome"), F.translate("seq", "ACGT", "5:?D").alias("quality"))
+    return errors.counts(rows)
+
+
+@query(f"WITH {_ERRORS} SELECT mate, strand, qual, pos, n, mm FROM n")
+def error_counts(s, d):
+    return _errors(s, d).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(f"WITH {_ERRORS} SELECT mate, strand, min(qual) AS min_qual, max(qual) AS max_qual, max(pos) AS max_pos, sum(n)::BIGINT AS n, sum(mm)::BIGINT AS mm FROM n GROUP BY mate, strand")
+def error_limits(s, d):
+    return errors.limits(_errors(s, d)).withColumn("max_pos", F.col("max_pos").cast("long"))
+
+
+@query()
+def error_model_fit(s, d):
+    return errors.fit(_errors(s, d)).withColumn("p", F.round("p", 5))
+
+
+def flagship(s: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads in, posterior density out."""
+    from .mapper import map_reads, posterior_density
+
+    mappings, _ = map_reads(t.reads(s, sf_dir), t.contigs(s, sf_dir), K)
+    return posterior_density(mappings)

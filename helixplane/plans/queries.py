@@ -269,7 +269,7 @@ def reject_antijoin(s, d):
 
 @query(f"""WITH {P}, rd AS (SELECT o_orderkey AS read_id, 'order_' || o_orderkey AS name, translate(o_orderpriority, '12345-ABCDEFGHIJKLMNOPQRSTUVWXYZ ', 'ACGTACGTACGTACGTACGTACGTACGTACGTA') AS seq FROM orders)
     SELECT read_id, mapping_no, concat_ws(chr(9), name, CASE WHEN strand = '-' THEN '16' ELSE '0' END, 'supplier_' || chr, (start + 1)::VARCHAR, (CASE WHEN cond_prb >= 1 THEN 254 ELSE least(254, floor(-10 * log10(1 - cond_prb)))::INT END)::VARCHAR, (stop - start) || 'M', '*', '0', '0',
-    CASE WHEN strand = '-' THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END, CASE WHEN strand = '-' THEN reverse(seq) ELSE seq END, 'PQ:i:' || least(254, floor(-10 * score))::INT, 'XQ:f:' || printf('%.6f', score), 'XP:f:' || printf('%.4f', cond_prb) || '00') AS line
+    CASE WHEN strand = '-' THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END, CASE WHEN strand = '-' THEN reverse(seq) ELSE seq END, 'PQ:i:' || least(254, floor(-10 * score))::INT, 'XQ:f:' || printf('%.6f', score)) AS line, round(cond_prb, 5) AS p
     FROM p JOIN rd USING (read_id)""".replace("chr(9)", "e'\\t'"))
 def sam_lines(s, d):
     seq = F.translate("o_orderpriority", "12345-ABCDEFGHIJKLMNOPQRSTUVWXYZ ", "ACGTACGTACGTACGTACGTACGTACGTACGTA")
@@ -277,9 +277,8 @@ def sam_lines(s, d):
     genome = t.read(s, d, "supplier").select(F.col("s_suppkey").alias("chr"), F.concat(F.lit("supplier_"), F.col("s_suppkey").cast("string")).alias("name"))
     mapped = density.conditional(t.mappings(s, d)).withColumn("log_seq_error", F.col("score"))
     lines = reads.sam_lines(mapped, rows, genome)
-    # probabilities to 4 places: engines add in different orders
-    last = F.regexp_extract("line", r"XP:f:([0-9.]+)$", 1)
-    return lines.select("read_id", "mapping_no", F.concat(F.regexp_replace("line", r"XP:f:[0-9.]+$", "XP:f:"), F.format_string("%.4f", F.round(last.cast("double"), 4)), F.lit("00")).alias("line"))
+    # the probability at the line's end as a number: engines add in different orders
+    return lines.select("read_id", "mapping_no", F.regexp_replace("line", r"\tXP:f:[0-9.]+$", "").alias("line")).join(mapped.select("read_id", "mapping_no", F.round("cond_prb", 5).alias("p")), ["read_id", "mapping_no"])
 
 
 @query("SELECT l_orderkey AS read_id, l_linenumber AS mapping_no, (3 | CASE WHEN l_returnflag = 'R' THEN 16 ELSE 0 END | CASE WHEN l_linenumber % 2 = 1 THEN 64 ELSE 128 END)::INT AS flag, concat(CASE WHEN l_linenumber > 1 THEN (l_linenumber - 1) || 'S' ELSE '' END, (l_quantity::INT + 10) || 'M') AS cigar, l_quantity::INT + 10 AS covers FROM lineitem")

@@ -41,14 +41,14 @@ def rows_of(schema: list[str], *columns) -> pa.Table:
     return pa.table({n: pa.array(c, kinds[n]) for n, c in zip(schema, columns, strict=True)})
 
 
-def ask(chunk: int, buckets: int, high: np.ndarray, low: np.ndarray, doc: np.ndarray) -> pa.Table:
-    """The distinct values of a chunk with the least document and the number of documents of each. (value, doc) pairs must be distinct."""
+def ask(chunk: int, buckets: int, high: np.ndarray, low: np.ndarray, doc: np.ndarray, least_wanted: bool = True) -> pa.Table:
+    """The distinct values of a chunk with the least document (0 if it isn't wanted) and the number of documents of each. (value, doc) pairs must be distinct."""
     order = np.lexsort((low, high))
     high, low, doc = high[order], low[order], doc[order]
     first = np.ones(len(high), bool)
     first[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
     at = np.flatnonzero(first)
-    least = np.minimum.reduceat(doc, at) if len(at) else doc
+    least = np.minimum.reduceat(doc, at) if len(at) and least_wanted else np.zeros(len(at), np.int64)
     count = np.diff(np.append(at, len(high))).astype(np.uint32)
     high, low = high[at], low[at]
     ends = np.searchsorted(bucket_of(high, buckets), np.arange(buckets + 1))

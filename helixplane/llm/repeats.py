@@ -76,8 +76,8 @@ def _runs(*same: np.ndarray) -> np.ndarray:
 
 
 def _spread(least: np.ndarray) -> np.ndarray:
-    """Minimisers are small hashes, by choice; their buckets need even ones."""
-    return mix(least ^ np.uint64(0x3C6EF372FE94F82B))
+    """Minimisers are small hashes, by choice; their buckets need even ones. 48 bits travel: strings are compared in any case."""
+    return mix(least ^ np.uint64(0x3C6EF372FE94F82B)) & ~np.uint64(0xFFFF)
 
 
 def _emit_minimisers(unit: str, k: int, m: int, buckets: int) -> Callable:
@@ -90,7 +90,7 @@ def _emit_minimisers(unit: str, k: int, m: int, buckets: int) -> Callable:
         doc, least = (np.concatenate([f[j] for f in found]) for j in range(2))
         order = np.lexsort((doc, least))
         order = order[_runs(doc[order], least[order])]
-        return ask(key[0].as_py(), buckets, least[order], np.zeros(len(order), np.uint64), doc[order])
+        return ask(key[0].as_py(), buckets, least[order], np.zeros(len(order), np.uint64), doc[order], least_wanted=False)
 
     return run
 

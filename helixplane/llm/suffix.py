@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import ranges
 from .repeats import remove_repeats
 
-MINIMISER_BYTES = 24
+MINIMISER_BYTES = 16
 CHUNK_BYTES, BUCKET_BYTES, HOT_CHUNKS = 4 << 20, 6 << 20, 20_000
 #: A difference cover: any two residues modulo 7 come into the cover by one common step.
 MODULUS, COVER = 7, (0, 1, 3)

@@ -13,8 +13,7 @@ def uniform(*keys: Column | int) -> Column:
     x: Column = F.lit(7).cast("long")
     for k in keys:
         x = F.pmod(x * 69_069 + (F.lit(k) if isinstance(k, int) else k) * 31_337 + 12_345, F.lit(PRIME))
-        x = F.pmod(x * x + x * 3 + 1, F.lit(PRIME))
-    return x / PRIME
+    return F.pmod(x * x + x * 3 + 1, F.lit(PRIME)) / PRIME
 
 
 def choose(mappings: DataFrame, u: Column, *keys: str) -> DataFrame:
@@ -43,7 +42,7 @@ def bootstraps(mappings: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """(bs, …, weight): each read drawn a Poisson(1) number of times, at one chosen mapping, for n bootstraps at once."""
     rows = mappings.withColumn("bs", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     drawn = choose(rows, uniform(F.col("read_id"), F.col("bs"), seed), "bs")
-    return drawn.withColumn("weight", poisson_weight(uniform(F.col("read_id"), F.col("bs"), seed + 1))).filter("weight > 0")
+    return drawn.withColumn("u", uniform(F.col("read_id"), F.col("bs"), seed + 1)).withColumn("weight", poisson_weight(F.col("u"))).filter("weight > 0").drop("u")
 
 
 def random_start(mappings: DataFrame, sample: int, batches: int = 16, window: int = 100) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -493,19 +495,28 @@ def marginal_density(s, d):
 
 # --- samples and bootstraps
 
-_U = lambda *k: __import__("functools").reduce(lambda x, y: f"(((({x}) * 69069 + ({y}) * 31337 + 12345) % 1000003) * ((({x}) * 69069 + ({y}) * 31337 + 12345) % 1000003) + (({x}) * 69069 + ({y}) * 31337 + 12345) % 1000003 * 3 + 1) % 1000003", k, "7")
+
+
+def _u(*keys: str) -> str:
+    x = "7"
+    for k in keys:
+        x = f"(({x}) * 69069 + ({k}) * 31337 + 12345) % 1000003"
+    return f"list_transform([{x}], lambda x: (x * x + x * 3 + 1) % 1000003)[1]"
+
+
 _CHOSEN = "{to} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY CASE WHEN up >= u THEN 0 ELSE 1 END, mapping_no) AS rn FROM (SELECT *, round(sum(cond_prb) OVER (PARTITION BY {by} ORDER BY mapping_no), 9) AS up, {u} / 1000003 AS u FROM {of})) WHERE rn = 1)"
 
 
-@query(f"WITH {P}, {_CHOSEN.format(to='ch', by='read_id', u=_U('read_id', '3'), of='p')} SELECT read_id, mapping_no FROM ch")
+@query(f"WITH {P}, {_CHOSEN.format(to='ch', by='read_id', u=_u('read_id', '3'), of='p')} SELECT read_id, mapping_no FROM ch")
 def weighted_choice(s, d):
     return sampling.choose(_prior(s, d), sampling.uniform(F.col("read_id"), 3)).select("read_id", "mapping_no")
 
 
-_EDGES = "CASE " + " ".join(f"WHEN u2 < {e!r} THEN {k}" for e, k in zip(__import__("itertools").accumulate(0.36787944117144233 / __import__("math").factorial(k) for k in range(8)), range(8))) + " ELSE 8 END"
+_STEPS = itertools.accumulate(0.36787944117144233 / math.factorial(k) for k in range(8))
+_EDGES = "CASE " + " ".join(f"WHEN u2 < {e!r} THEN {k}" for k, e in enumerate(_STEPS)) + " ELSE 8 END"
 
 
-@query(f"WITH {P}, x AS (SELECT p.*, bs FROM p, (SELECT unnest(range(5)) AS bs)), {_CHOSEN.format(to='ch', by='bs, read_id', u=_U('read_id', 'bs', '11'), of='x')}, y AS (SELECT *, {_EDGES} AS weight FROM (SELECT *, {_U('read_id', 'bs', '12')} / 1000003 AS u2 FROM ch)) SELECT bs, chr, track, site AS pos, sum(weight)::DOUBLE AS value FROM y WHERE weight > 0 GROUP BY ALL")
+@query(f"WITH {P}, x AS (SELECT p.*, bs FROM p, (SELECT unnest(range(5)) AS bs)), {_CHOSEN.format(to='ch', by='bs, read_id', u=_u('read_id', 'bs', '11'), of='x')}, y AS (SELECT *, {_EDGES} AS weight FROM (SELECT *, {_u('read_id', 'bs', '12')} / 1000003 AS u2 FROM ch)) SELECT bs, chr, track, site AS pos, sum(weight)::DOUBLE AS value FROM y WHERE weight > 0 GROUP BY ALL")
 def bootstrap_density(s, d):
     drawn = sampling.bootstraps(_prior(s, d), 5, 11)
     pos = F.when(F.col("strand") == "+", F.col("start")).otherwise(F.col("stop") - 1)
@@ -551,7 +562,7 @@ def trace_uniform(s, d):
 
 _GT = B + """, ip AS (SELECT * FROM b WHERE status = 'F'), nc AS (SELECT * FROM b WHERE status = 'O'),
     g AS (SELECT chr, track, pos, sum(CASE WHEN coalesce(ip.value, 0) > coalesce(nc.value, 0) THEN 1.0 WHEN coalesce(ip.value, 0) = coalesce(nc.value, 0) THEN 0.5 ELSE 0 END)::DOUBLE + (25 - count(*)) * 0.5::DOUBLE AS count FROM ip FULL JOIN nc USING (bs, chr, track, pos) GROUP BY ALL)"""
-_TAIL = "(SELECT sum(factorial(25) / (factorial(i) * factorial(25 - i)))::DOUBLE / 33554432 FROM range({k}, 26) AS q(i))"
+_TAIL = "(SELECT sum(factorial(25) / (factorial(i::INT) * factorial((25 - i)::INT)))::DOUBLE / 33554432 FROM range({k}, 26) AS q(i))"
 _PV = "pv AS (SELECT k, " + _TAIL.format(k="0").replace("range(0, 26) AS q(i)", "(SELECT unnest(range(26)) AS i) WHERE i >= k") + " AS p FROM (SELECT unnest(range(26)) AS k))"
 
 

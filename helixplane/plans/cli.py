@@ -34,7 +34,7 @@ def run(spark: SparkSession, config: Config) -> sinks.Run:
     out.write("reads", load_reads(spark, config))
     reads = out.read("reads")
     lengths = text.fragment_lengths(spark, config.fragment_lengths) if config.fragment_lengths else None
-    mappings, rejects = map_reads(reads, contigs, config.k, config.floor_p, out.read("kmers").select("chr", "loc", "kmer"), lengths)
+    mappings, rejects = map_reads(reads, contigs, config.k, config.floor_p, out.read("kmers").select("chr", "loc", "kmer"), lengths, config.model)
     out.write("mappings", mappings)
     out.write("rejects", rejects)
     mappings = out.read("mappings")

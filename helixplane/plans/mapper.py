@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixplane.functions.stats import probe_thresholds
-from helixplane.operators import density, index, reads as reads_, search
+from helixplane.operators import density, estimated, index, reads as reads_, search
 
 
-def map_reads(reads: DataFrame, contigs: DataFrame, k: int, floor_p: float = 0.1, kmers: DataFrame | None = None, fragment_lengths: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(mappings, rejects) under the mismatch model.
+def map_reads(reads: DataFrame, contigs: DataFrame, k: int, floor_p: float = 0.1, kmers: DataFrame | None = None, fragment_lengths: DataFrame | None = None, model: str = "mismatch") -> tuple[DataFrame, DataFrame]:
+    """(mappings, rejects) under the mismatch model, or one whose error frequencies are estimated from the mismatch model's best candidates.
 
     reads: (read_id, mate, name, seq, qual), mate 1 alone or 1 and 2. mappings: (read_id, mapping_no, chr,
     start, stop, strand, log_seq_error, score, cond_prb), paired ones over the whole fragment with its mate 1's strand.
@@ -30,13 +30,20 @@ def map_reads(reads: DataFrame, contigs: DataFrame, k: int, floor_p: float = 0.1
     found = search.rescore(search.read_starts(search.merge_diagonals(hits), reads, contigs, k), reads, contigs).filter("penalty is not null").checkpoint()
     length = F.col("length")
     floor, spread = -F.floor(floor_p * length) - 1.0, F.floor(floor_p / 2 * length) + 1.0
+    if model == "estimated":
+        frequencies = estimated.learn(found, reads, contigs).checkpoint()
+        found = estimated.rescore(found, reads, contigs, frequencies).filter("penalty is not null").checkpoint()
+        floors_ = found.groupBy("read_id").agg(F.min("floor").alias("read_floor"))
+        floor, spread = F.col("read_floor"), F.lit(2.0)
     single = reads.filter("mate = 2").isEmpty()
     if single:
-        good = found.withColumn("score", F.col("penalty")).withColumn("floor", 2 * floor)
+        good = found.withColumn("score", F.col("penalty"))
+        good = (good.join(floors_, "read_id") if model == "estimated" else good).withColumn("floor", 2 * floor)
         good = search.best_within(good, ["read_id"], "score", spread, F.col("floor"), strict=True)
         good = good.select("read_id", "chr", "start", (F.col("start") + length).alias("stop"), "strand", F.col("score").alias("log_seq_error"), "score")
     else:
         pairs = search.pair(found, fragment_lengths).withColumn("length", F.col("length1") + F.col("length2"))
+        pairs = pairs.join(floors_, "read_id") if model == "estimated" else pairs
         good = search.best_within(pairs.withColumn("floor", 2 * floor), ["read_id"], "score", spread, F.col("floor"), strict=True)
         good = good.select("read_id", "chr", F.least("start1", "start2").alias("start"), (F.least("start1", "start2") + F.col("frag_len")).alias("stop"), F.col("strand1").alias("strand"), (F.col("penalty1") + F.col("penalty2")).alias("log_seq_error"), "score")
     mappings = density.conditional(reads_.numbered(good, "chr", "start", "strand", "stop", "score")).checkpoint()

@@ -195,3 +195,25 @@ def test_config():
 def test_runs_are_merged(spark):
     one = spark.createDataFrame([(0,), (4,)], "read_id long")
     assert sorted((r.run_id, r.read_id) for r in reads.merge_runs(one, one, one.limit(0), one).collect()) == [(0, 0), (0, 4), (1, 5), (1, 9), (3, 10), (3, 14)]
+
+
+def test_estimated_model(spark, genome):
+    rows, truth = simulated(genome, 40, 60, 2, seed=11)
+    mapped, _ = map_reads(spark.createDataFrame(rows, READS), spark.createDataFrame(genome, CONTIGS), 20, model="estimated")
+    got = mapped.collect()
+    assert {(i, *t) for i, t in truth.items()} <= {(r.read_id, r.chr, r.start, r.strand) for r in got}
+    assert all(r.score < 0 for r in got)
+
+
+def test_assays(spark):
+    from helixplane.plans import assays
+
+    rows = mapped_rows(spark, 120)
+    trace, samples = assays.posterior_samples(rows, 2, most=2)
+    assert abs(trace.agg(F.sum("value")).first()[0] - 240) < 1e-6 and samples.count() == 2
+    peak = spark.createDataFrame([(i, 0, 1, 500, 530, "+", 0.0) for i in range(60)], rows.schema)
+    scored = assays.with_control(peak, mapped_rows(spark, 60, 7), most=3)
+    top = scored.orderBy(F.desc("value"), "pos").first()
+    assert top.pos == 500 and top["count"] == 25.0 and top.value > 0.99
+    assert assays.most_likely(rows).count() > 0
+    assert assays.placed_by(rows, density.start_sites(density.conditional(rows))).count() == rows.count()

@@ -30,7 +30,7 @@ from .common import materialise
 
 BLOCK, RESOLUTION = 32, 1024
 #: Rows in a range of hash values of a source; most sources whose plan is broadcast.
-RANGE_ROWS, MOST_SOURCES = 4000, 2000
+RANGE_ROWS, MOST_SOURCES = 1000, 2000
 
 
 def whole_weights(weights: Mapping[int, float], slots: int) -> dict[int, int]:

@@ -191,9 +191,9 @@ def search_pigeonhole(s, d):
     return search.best_within(_hits(s, d), ["read_id", "mate", "probe_no"], "penalty", 1.0).select("read_id", "probe_no", "strand", "chr", "loc", "penalty")
 
 
-@query(f"WITH {_HITS}, n AS (SELECT read_id, probe_no, count(*) AS n FROM h GROUP BY ALL) SELECT read_id, probe_no, n AS n_hits FROM n WHERE n > 10")
+@query(f"WITH {_HITS}, n AS (SELECT read_id, probe_no, count(*) AS n FROM h GROUP BY ALL) SELECT read_id, probe_no, n AS n_hits FROM n WHERE n > 3")
 def hit_limit_guard(s, d):
-    return search.guard(_hits(s, d), ["read_id", "probe_no"], 10)[1]
+    return search.guard(_hits(s, d), ["read_id", "probe_no"], 3)[1]
 
 
 _DIAGONALS = _HITS + """, g AS (SELECT read_id, mate, strand, chr, CASE WHEN strand = '+' THEN loc - "offset" ELSE loc + "offset" END AS diagonal, count(DISTINCT probe_no)::INT AS n_probes, max(penalty) AS penalty FROM h GROUP BY ALL)"""

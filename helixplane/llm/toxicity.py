@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from .common import BYTE_KEYS, WHITE, id_and_text, prefix_hash, real_id, span_hash, texts_of
 
 BITS, HEADS = 18, (4, 5, 6)
-MAX_ROWS, MAX_FEATURES, FOLDS, EPOCHS = 12_000, 4096, 5, 12
+MAX_ROWS, MAX_FEATURES, FOLDS, EPOCHS = 8_000, 4096, 5, 12
 AT_ONCE = 1 << 20
 #: Least chi-square statistic, and rows, of a feature that gets a weight; how far classes are balanced, from 0 to 1.
 CHI, MIN_ROWS, BALANCE = 30.0, 4, 0.5
@@ -83,16 +83,19 @@ class Linear:
         if not 0 < good < len(rows):
             return self
         # only features that go with the label beyond chance have a weight
-        n = np.diff(off)[rows]
-        at = slots[np.repeat(off[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        a = np.bincount(at, np.repeat(y[rows], n), minlength=1 << BITS)
-        b = np.bincount(at, minlength=1 << BITS) - a
+        a, both = np.zeros(1 << BITS), np.zeros(1 << BITS)
+        for some in np.array_split(rows, max(1, len(rows) // 500)):
+            n = off[some + 1] - off[some]
+            at = slots[np.repeat(off[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            a += np.bincount(at, np.repeat(y[some], n), minlength=1 << BITS)
+            both += np.bincount(at, minlength=1 << BITS)
+        b = both - a
         c, d = good - a, len(rows) - good - b
         chi = (a * d - b * c) ** 2 * len(rows) / np.maximum((a + b) * (c + d) * good * (len(rows) - good), 1e-9)
         use = (chi >= CHI) & (a + b >= MIN_ROWS)
         kept = use[slots]
         place = np.cumsum(use) - 1
-        slots, off = place[slots[kept]], np.concatenate(([0], np.cumsum(kept)))[off]
+        slots, off = place[slots[kept]].astype(np.int32), np.concatenate(([0], np.cumsum(kept)))[off]
         w = np.zeros(int(use.sum()))
         square, square_v, square_b = np.full(len(w), 1e-3), np.full(dense.shape[1], 1.0), 1.0
         rng = np.random.default_rng(7)
@@ -164,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], max
     lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
     off = np.concatenate(([0], np.cumsum(np.diff(lists.offsets.to_numpy().astype(np.int64))))) if got.num_rows else np.zeros(1, np.int64)
     y = np.column_stack([got.column(n).to_numpy() for n in names]).astype(np.float64) if got.num_rows else np.zeros((0, len(names)))
-    return fit_chain(lists.flatten().to_numpy().astype(np.int64), off, y)
+    return fit_chain(lists.flatten().to_numpy(), off, y)
 
 
 def score(docs: DataFrame, chain: list[Linear], categories: list[str], *more: str) -> DataFrame:

@@ -23,7 +23,7 @@ from .common import real_id
 from .exchange import ANSWER, ASKED, answer, ask, chunked, told
 
 STRIP = b" \t\n\x0b\x0c\r"
-CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 64 << 20
+CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
 
 
 def _keys(text: bytes, min_chars: int) -> tuple[list[bytes], list[bytes | None]]:

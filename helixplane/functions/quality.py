@@ -68,3 +68,18 @@ def effective_length(p: Column) -> Column:
 
 def is_informative(p: Column, genome_length: Column) -> Column:
     return F.pow(F.lit(4.0), effective_length(p)) / 2 > genome_length
+
+
+def expected_score(p: Column) -> Column:
+    """Sum of p log10 p over an array of probabilities; 0 counts nothing."""
+    return F.aggregate(p, F.lit(0.0), lambda a, x: a + F.when(x > 0, x * F.log10(x)).otherwise(0.0))
+
+
+def drawn_base(u: Column, a: Column, c: Column, g: Column) -> Column:
+    """The base that a uniform number draws from the chances of A, C and G; T has the rest."""
+    return F.when(u < a, "A").when(u < a + c, "C").when(u < a + c + g, "G").otherwise("T")
+
+
+def is_distribution(chances: Column, tolerance: float = 1e-6) -> Column:
+    """Whether an array of log10 probabilities sums to 1."""
+    return F.abs(F.aggregate(chances, F.lit(0.0), lambda a, x: a + F.pow(F.lit(10.0), x)) - 1) <= tolerance

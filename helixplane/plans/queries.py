@@ -36,6 +36,13 @@ def r6(c) -> object:
     return F.round(c, 6)
 
 
+def _u(*keys: str) -> str:
+    x = "7"
+    for k in keys:
+        x = f"(({x}) * 69069 + ({k}) * 31337 + 12345) % 1000003"
+    return f"list_transform([{x}], lambda x: (x * x + x * 3 + 1) % 1000003)[1]"
+
+
 # --- sequences and qualities
 
 
@@ -116,6 +123,28 @@ def thresholds(s, d):
     return s.createDataFrame(rows, "what string, length int, probes int, floor int, spread int")
 
 
+@query(f"WITH {C}, x AS (SELECT chr, {_PROBS} AS p FROM c WHERE seq <> '') SELECT chr, round(list_sum(list_transform(p, lambda e: e * log10(e))), 6) AS expected FROM x")
+def expected_scores(s, d):
+    return t.contigs(s, d).filter("seq <> ''").select("chr", r6(quality.expected_score(_probs())).alias("expected"))
+
+
+@query(f"SELECT l_orderkey AS read_id, l_linenumber AS n, CASE WHEN u < 0.4 THEN 'A' WHEN u < 0.4 + 0.3 THEN 'C' WHEN u < 0.4 + 0.3 + 0.2 THEN 'G' ELSE 'T' END AS base FROM (SELECT *, {_u('l_orderkey', 'l_linenumber')} / 1000003 AS u FROM lineitem)")
+def drawn_bases(s, d):
+    u = sampling.uniform(F.col("l_orderkey"), F.col("l_linenumber"))
+    return t.read(s, d, "lineitem").select(F.col("l_orderkey").alias("read_id"), F.col("l_linenumber").alias("n"), quality.drawn_base(u, F.lit(0.4), F.lit(0.3), F.lit(0.2)).alias("base"))
+
+
+@query("SELECT c_custkey, split_part(c_name, '#', 1) AS kind, split_part(replace(c_name, '#', '_'), '_', 1) AS prefix FROM customer")
+def contig_prefixes(s, d):
+    return t.read(s, d, "customer").select("c_custkey", F.substring_index("c_name", "#", 1).alias("kind"), sequence.contig_prefix(F.replace("c_name", F.lit("#"), F.lit("_"))).alias("prefix"))
+
+
+@query(f"WITH {P} SELECT chr, unnest(range(min_start, max_stop)) AS pos FROM (SELECT chr, min(start) AS min_start, max(stop) AS max_stop FROM p GROUP BY chr)")
+def covered_span(s, d):
+    spans = t.mappings(s, d).groupBy("chr").agg(F.min("start").alias("a"), F.max("stop").alias("b"))
+    return spans.select("chr", F.explode(F.sequence("a", F.col("b") - 1)).alias("pos"))
+
+
 # --- index
 
 
@@ -497,13 +526,6 @@ def marginal_density(s, d):
 
 
 
-def _u(*keys: str) -> str:
-    x = "7"
-    for k in keys:
-        x = f"(({x}) * 69069 + ({k}) * 31337 + 12345) % 1000003"
-    return f"list_transform([{x}], lambda x: (x * x + x * 3 + 1) % 1000003)[1]"
-
-
 _CHOSEN = "{to} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY CASE WHEN up >= u THEN 0 ELSE 1 END, mapping_no) AS rn FROM (SELECT *, round(sum(cond_prb) OVER (PARTITION BY {by} ORDER BY mapping_no), 9) AS up, {u} / 1000003 AS u FROM {of})) WHERE rn = 1)"
 
 

@@ -57,3 +57,21 @@ def test_sam(spark):
     rows = spark.createDataFrame([(True, True, False, 1.0), (False, False, True, 0.9), (True, False, True, 0.5)], "p boolean, r boolean, f boolean, x double")
     got = rows.select(sam.flag(F.col("p"), F.col("r"), F.col("f")).alias("flag"), sam.mapping_quality(F.col("x")).alias("q")).collect()
     assert [(r.flag, r.q) for r in got] == [(147, 254), (0, 10), (67, 3)]
+
+
+def test_simulated_floor_is_near_the_gamma_fit():
+    p = [0.01] * 60
+    mean = sum((1 - x) * math.log10(1 - x) + x * (math.log10(x) - 0.477121) for x in p)
+    assert stats.simulated_floor(p, draws=800, rounds=3) < mean < 0
+
+
+def test_genome_groups():
+    from helixplane.sources.inputs import genome_groups
+
+    got = genome_groups(["a/chr1.fa", "chr2_paternal.fa", "chr2_maternal.fa", "chr2.map"], 20)
+    assert got == {"chr1": {"reference": "a/chr1.fa"}, "chr2": {"paternal": "chr2_paternal.fa", "maternal": "chr2_maternal.fa", "map": "chr2.map"}}
+    for bad in (["chr1.fa", "chr1_x.fa"], ["chr2_paternal.fa", "chr2_maternal.fa"]):
+        with pytest.raises(ValueError):
+            genome_groups(bad)
+    with pytest.raises(ValueError):
+        genome_groups(["chr1.fa"], 21)

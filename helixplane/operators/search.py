@@ -55,12 +55,13 @@ def search(probes: DataFrame, index: DataFrame, k: int, mismatches: int) -> Data
     """Hits with up to so many mismatches, on both strands.
 
     Two strings that differ in m places agree in one of m + 1 parts: parts join by equality, and only
-    distinct pairs of sequences are compared, once.
+    distinct pairs of sequences are compared, once. The index isn't shuffled where the probes are small
+    enough for Spark to broadcast; take repeats out first (index.unique_part) where they aren't.
     """
     parts = mismatches + 1
     targets = both_strands(probes)
     wanted = blocks(targets.select(F.col("target").alias("kmer")).distinct(), k, parts).withColumnRenamed("kmer", "target")
-    held = blocks(index.select("kmer").distinct(), k, parts)
+    held = blocks(index.select("kmer"), k, parts)
     near = wanted.join(held, ["part", "block"]).select("target", "kmer").distinct().withColumn("penalty", -hamming(F.col("target"), F.col("kmer")).cast("double"))
     near = near.filter(F.col("penalty") >= -mismatches)
     return targets.join(near, "target").join(index, "kmer").drop("kmer", "target")

@@ -1,19 +1,19 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-A source's documents form blocks of BLOCK. Weights are whole numbers of RESOLUTION slots: block j of a
-source with weight w (its slots over all slots) is released at slot floor(j / w) and due before slot
-ceil((j + 1) / w); in each slot the released block with the earliest deadline runs. As the weights sum
-to 1, every deadline is met, so after any number of slots each source is less than one block from its
-share. The schedule repeats every RESOLUTION slots: only one period is worked out, on the driver, and
-block j's slot follows from j by arithmetic. When a source has no blocks left, the weights of the
-others are scaled to sum to 1, and a new schedule begins there.
+A source's documents form blocks of BLOCK. Block j of a source with weight w (its share of all weights)
+is released at slot floor(j / w) and due before slot ceil((j + 1) / w), in whole numbers without
+rounding; in each slot the released block with the earliest deadline runs. As the weights sum to 1,
+every deadline is met, so after any number of slots of a phase each source is less than one block from
+its share. When a source has no blocks left, the weights of the others are scaled to sum to 1, and a
+new schedule, the next phase, begins there.
 
 Documents of a source are dealt into blocks in the order of a hash of their id: counted in ranges of
 that hash first, so no task ranks a whole source. Every row gets one place; nothing is dropped or
 repeated. A null source is a source of its own. Sources without a target weight, or with weight 0 or
 less, follow when all others are through, in the order of their names. Rows with a null doc_id, and
 rows that repeat, get a place each (equal rows in any order). An empty table gives an empty one; other
-columns are carried. The driver holds a few numbers for each source and phase, not for each row.
+columns are carried. The driver works out the schedule block by block and holds a number for each
+block, which is one for BLOCK rows.
 """
 
 from __future__ import annotations
@@ -21,16 +21,18 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Mapping
+from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
 
-BLOCK, RESOLUTION = 32, 1024
-#: Rows in a range of hash values of a source; most sources whose plan is broadcast.
-RANGE_ROWS, MOST_SOURCES = 1000, 2000
+BLOCK = 32
+#: Rows in a range of hash values of a source; blocks of a source in a row of the plan; most sources and blocks whose plan is broadcast.
+RANGE_ROWS, PIECE, MOST_SOURCES, MOST_BLOCKS = 1000, 1024, 2000, 2_000_000
 
 
 def whole_weights(weights: Mapping[int, float], slots: int) -> dict[int, int]:
@@ -50,55 +52,81 @@ def whole_weights(weights: Mapping[int, float], slots: int) -> dict[int, int]:
     return out
 
 
-def period(slots: Mapping[int, int]) -> dict[int, np.ndarray]:
-    """Each source's slots in one period, by earliest deadline first; ties to the heavier, then the smaller key."""
-    n = sum(slots.values())
-    release: list[list[tuple]] = [[] for _ in range(n)]
-    for k, a in slots.items():
-        for j in range(a):
-            release[j * n // a].append((-(-(j + 1) * n // a), -a, k))
-    ready: list[tuple] = []
-    out: dict[int, list[int]] = {k: [] for k in slots}
-    for t in range(n):
-        for job in release[t]:
-            heapq.heappush(ready, job)
+def exact_weights(weights: Mapping[int, float]) -> dict[int, int]:
+    """Whole numbers in the proportions of the weights, without rounding."""
+    exact = {k: Fraction(w) for k, w in weights.items()}
+    scale = math.lcm(*(x.denominator for x in exact.values()))
+    out = {k: int(x * scale) for k, x in exact.items()}
+    shared = math.gcd(*out.values())
+    return {k: x // shared for k, x in out.items()}
+
+
+def period(weights: Mapping[int, int], left: Mapping[int, int] | None = None) -> dict[int, np.ndarray]:
+    """Each source's slots by earliest deadline first, ties to the heavier, then the smaller key: one period, or until a source has run all its blocks that are left."""
+    n = sum(weights.values())
+    # a source's next block only; the one after it is due later and can't run before
+    ready = [(-(-n // w), -w, k) for k, w in weights.items()]
+    heapq.heapify(ready)
+    later: list[tuple] = []
+    out: dict[int, list[int]] = {k: [] for k in weights}
+    t = 0
+    while left is not None or t < n:
+        while later and later[0][0] <= t:
+            heapq.heappush(ready, heapq.heappop(later)[1])
         due, _, k = heapq.heappop(ready)
         if due <= t:
             raise AssertionError("a deadline was missed")
         out[k].append(t)
-    return {k: np.array(v) for k, v in out.items()}
+        t += 1
+        j, w = len(out[k]), weights[k]
+        if left is not None and j == left[k]:
+            break
+        release, job = j * n // w, (-(-(j + 1) * n // w), -w, k)
+        if release <= t:
+            heapq.heappush(ready, job)
+        else:
+            heapq.heappush(later, (release, job))
+    return {k: np.array(v, np.int64) for k, v in out.items()}
 
 
-def phases(blocks: Mapping[int, int], weights: Mapping[int, float], resolution: int) -> list[tuple]:
-    """(source, first block, first slot, slots in a period, the source's slots in it) of each phase; sources without weight follow one by one."""
+def phases(blocks: Mapping[int, int], weights: Mapping[int, float], resolution: int | None = None) -> list[tuple]:
+    """(source, first block, first slot, slots, the source's slots among them) of each phase in which it runs; sources without weight follow one by one."""
     left = {k: n for k, n in blocks.items() if n > 0}
     done, slot, out = dict.fromkeys(left, 0), 0, []
     while True:
         live = {k: weights[k] for k in left if weights.get(k, 0) > 0}
         if not live:
             break
-        plan = period(whole_weights(live, resolution))
+        plan = period(exact_weights(live) if resolution is None else whole_weights(live, resolution), left)
         n = sum(map(len, plan.values()))
-        ends = {k: (left[k] - 1) // len(p) * n + int(p[(left[k] - 1) % len(p)]) + 1 for k, p in plan.items()}
-        length = min(ends.values())
         for k, p in plan.items():
-            out.append((k, done[k], slot, n, p.tolist()))
-            ran = length // n * len(p) + int(np.searchsorted(p, length % n))
-            done[k] += ran
-            left[k] -= ran
+            if len(p):
+                out.append((k, done[k], slot, n, p))
+            done[k] += len(p)
+            left[k] -= len(p)
         left = {k: x for k, x in left.items() if x > 0}
-        slot += length
+        slot += n
     for k in sorted(left):
-        out.append((k, 0, slot, 1, [0]))
+        out.append((k, 0, slot, left[k], np.arange(left[k])))
         slot += left[k]
     return out
 
 
-def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block: int = BLOCK, resolution: int = RESOLUTION) -> DataFrame:
+def pieces(plan: list[tuple], names: Mapping[int, str]) -> pa.Table:
+    """(s, piece, slots): the slots of every PIECE blocks of each source."""
+    whole: dict[int, list[np.ndarray]] = {}
+    for k, _, first, _, own in plan:
+        whole.setdefault(k, []).append(first + own)
+    rows = [(names[k], j // PIECE, x[j : j + PIECE]) for k, parts in whole.items() for x in [np.concatenate(parts)] for j in range(0, len(x), PIECE)]
+    return pa.table([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["s", "piece", "slots"])
+
+
+def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block: int = BLOCK, resolution: int | None = None) -> DataFrame:
     """doc_id, source, block (of the source), slot (of the block in the mix), place (of the document in its block), and carried, the other columns as a struct.
 
     weights: of sources, to any sum; if None, the square root of each source's number of documents, which
-    lifts small sources and holds back large ones.
+    lifts small sources and holds back large ones. resolution: rounds the weights to so many slots a
+    period, 1 at least for a source; None takes them as they are.
     """
     spark = docs.sparkSession
     others = [c for c in docs.columns if c not in ("doc_id", "source")]
@@ -115,19 +143,14 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bloc
     number = {r.source: k for k, r in enumerate(total)}
     sizes = {number[r.source]: -(-r.n // block) for r in total}
     share = {number[s]: w for s, w in weights.items() if s in number} if weights is not None else {number[r.source]: math.sqrt(r.n) for r in total}
-    plan = spark.createDataFrame([(total[k]["name"], *rest) for k, *rest in phases(sizes, share, resolution)], "name string, first_block long, first_slot long, n int, own array<int>")
+    plan = spark.createDataFrame(pieces(phases(sizes, share, resolution), {k: r["name"] for k, r in enumerate(total)}))
     before = Window.partitionBy("name").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("name", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     inside = Window.partitionBy("name", "range").orderBy("key", "doc_id")
     placed = keyed.withColumn("rank", F.row_number().over(inside) - 1).join(offsets, ["name", "range"])
     at = F.col("before") + F.col("rank")
     placed = placed.select("doc_id", "source", "name", "carried", F.floor(at / block).alias("block"), F.pmod(at, F.lit(block)).cast("int").alias("place"))
-    ends = Window.partitionBy("name").orderBy("first_block")
-    plan = plan.withColumn("end_block", F.coalesce(F.lead("first_block").over(ends), F.lit(2**62))).filter("end_block > first_block")
-    plan = plan.select(F.col("name").alias("s"), "first_block", "end_block", "first_slot", "n", "own")
-    # RESOLUTION numbers a phase, and as many phases as sources at most
-    plan = F.broadcast(plan) if len(total) <= MOST_SOURCES else plan
-    out = placed.join(plan, (F.col("name") == F.col("s")) & (F.col("block") >= F.col("first_block")) & (F.col("block") < F.col("end_block")))
-    j, size = F.col("block") - F.col("first_block"), F.size("own")
-    slot = F.col("first_slot") + F.floor(j / size) * F.col("n") + F.element_at("own", (F.pmod(j, size) + 1).cast("int"))
+    plan = F.broadcast(plan) if len(total) <= MOST_SOURCES and sum(sizes.values()) <= MOST_BLOCKS else plan
+    out = placed.join(plan, (F.col("name") == F.col("s")) & (F.floor(F.col("block") / PIECE) == F.col("piece")))
+    slot = F.element_at("slots", (F.pmod(F.col("block"), F.lit(PIECE)) + 1).cast("int"))
     return out.select("doc_id", "source", "block", slot.cast("long").alias("slot"), "place", "carried")

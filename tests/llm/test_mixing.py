@@ -61,3 +61,22 @@ def test_odd_rows(spark):
     assert sorted(brute.key(r.doc_id) for r in out) == sorted(brute.key(r.doc_id) for r in docs.collect())
     assert len({(r.slot, r.place) for r in out}) == len(out) and {r.carried.slot for r in out} == {1}
     assert mixing.mix(docs.limit(0)).collect() == []
+
+
+def test_sources_stay_within_one_block_of_unrounded_weights_over_long_runs(spark):
+    weights = {**{f"s{k}": 1.0 for k in range(19)}, "rare": 0.003}
+    sizes = {s: 1200 if s != "rare" else 5 for s in weights}
+    rows = spark.createDataFrame([(1000 * k + j, s) for k, (s, n) in enumerate(sizes.items()) for j in range(n)], "doc_id long, source string")
+    out = sorted((r.slot, r.source) for r in mixing.mix(rows, weights, block=1).collect())
+    assert [t for t, _ in out] == list(range(len(rows.collect())))
+    total, ran, ended = sum(weights.values()), Counter(), False
+    for t, s in out:
+        ran[s] += 1
+        assert all(abs(ran[x] - (t + 1) * w / total) < 1 for x, w in weights.items())
+        if ran[s] == sizes[s]:  # the first phase's end
+            break
+    assert t > 20_000
+
+
+def test_exact_weights_keep_proportions():
+    assert mixing.exact_weights({0: 0.5, 1: 3, 2: 2.0**-40}) == {0: 2**39, 1: 3 * 2**40, 2: 1}

@@ -4,7 +4,7 @@
 2. Line dedup: lines stay only in the first document that holds them; n_chars follows the text.
 3. MinHash near-dedup: the first document of each group of near-duplicates stays.
 4. Mixing: documents are put in the order of the mix to target weights (files and rows in order).
-5. BPE: what stays is encoded and decoded; token counts and digests come out.
+5. BPE: what stays is encoded and decoded; token counts and digests come out, in the order of the mix.
 
 Null text stays null; columns beyond doc_id and text are carried. SQL can't express the classifier or
 BPE, so there is no ORACLE_SQL; tests hold run() against plain versions of the stages.
@@ -13,6 +13,7 @@ BPE, so there is no ORACLE_SQL; tests hold run() against plain versions of the s
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,8 +55,20 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*[c if c in ("doc_id", "source") else F.col("carried")[c].alias(c) for c in docs.columns])
 
 
+def _with_place(docs: DataFrame) -> DataFrame:
+    """doc_id, text and place_, which sorts rows as the files and their rows lie; Spark itself reads the largest splits first. Rows that aren't read from Parquet files keep the order that they have."""
+    try:
+        part = F.expr("try_cast(regexp_extract(_metadata.file_name, 'part-([0-9]+)', 1) as int)")
+        return docs.select("doc_id", "text", F.struct(part.alias("part"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")).alias("place_"))
+    except AnalysisException:
+        return docs.select("doc_id", "text", F.struct(F.monotonically_increasing_id().alias("row")).alias("place_"))
+
+
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+    encoded = bpe.encode_decode(_with_place(docs), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, "place_")
+    # digests are small; written first, as finding the ranges to sort by would encode all texts once more
+    out = materialise(bpe.digests(encoded, "place_"), "digests")
+    return out.repartitionByRange("place_").sortWithinPartitions("place_").drop("place_")
 
 
 STAGES = [

@@ -215,8 +215,8 @@ def some(sizes: list[int], most: int) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
-def encode_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, ids (array of int) of the whole text, and decoded (binary), the bytes of these ids."""
+def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, *more: str) -> DataFrame:
+    """doc_id, ids (array of int) of the whole text, and decoded (binary), the bytes of these ids; other columns if asked for."""
     with open(ranks_path, "rb") as f:
         file = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -229,17 +229,18 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 raw, sizes = enc.decode(ids, counts)
                 offsets = lambda x: np.concatenate(([0], np.cumsum(x))).astype(np.int32)
                 decoded = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets(sizes)), pa.py_buffer(np.ascontiguousarray(raw))])
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets(counts)), pa.array(ids, pa.int32())), decoded], ["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets(counts)), pa.array(ids, pa.int32())), decoded, *map(rows.column, more)], ["doc_id", "ids", "decoded", *more])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.length(text).alias("n"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.length(text).alias("n"), *more)
+    return rows.mapInArrow(run, ", ".join(["doc_id long, ids array<int>, decoded binary", *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in more)]))
 
 
-def digests(encoded: DataFrame) -> DataFrame:
+def digests(encoded: DataFrame, *more: str) -> DataFrame:
     return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+        *more,
     )

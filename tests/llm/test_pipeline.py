@@ -51,3 +51,24 @@ def test_mix_is_the_order_of_the_files(spark, sf_dir, tmp_path):
 
     files = sorted((tmp_path / "mix").glob("part-*.parquet"))
     assert [d for f in files for d in pq.read_table(f).column("doc_id").to_pylist()] == order
+
+
+def test_run_comes_in_the_order_of_the_mix(spark, sf_dir, monkeypatch):
+    from helixplane.llm import mixing
+
+    conf = {"spark.sql.shuffle.partitions": "7", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "20k", "spark.sql.files.openCostInBytes": "1k"}
+    before = {k: spark.conf.get(k) for k in conf}
+    monkeypatch.setattr(cp, "STAGES", cp.STAGES[-2:])
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = [r.doc_id for r in cp.run(spark, sf_dir).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == [r.doc_id for r in mixing.mix(table(spark, sf_dir, "documents")).orderBy("slot", "place").collect()]
+
+
+def test_tokenize_keeps_the_order_of_rows_from_elsewhere(spark):
+    docs = spark.createDataFrame([(9 - k, f"text {k}") for k in range(9)], "doc_id long, text string").repartition(3).cache()
+    assert [r.doc_id for r in cp.tokenize(spark, docs, "").collect()] == [r.doc_id for r in docs.collect()]

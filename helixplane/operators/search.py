@@ -11,8 +11,8 @@ from helixplane.functions.sequence import at, hamming, pieces, reverse_complemen
 from .index import blocks
 
 MOST_PROBES, MOST_HITS, MOST_FRAGMENT = 5, 5000, 524_287
-#: Bases of the pieces in which genomes join.
-PIECE = 2048
+#: Bases of the pieces in which genomes join; of the shortest part by which probes and genomes join as they are.
+PIECE, SHORTEST = 2048, 4
 
 
 def _regions(reads: DataFrame, k: int, most: int) -> DataFrame:
@@ -51,16 +51,27 @@ def search_exact(probes: DataFrame, index: DataFrame) -> DataFrame:
     return targets.join(index, targets.target == index.kmer).withColumn("penalty", F.lit(0.0)).drop("kmer", "target")
 
 
+def _near_blocks(rows: DataFrame) -> DataFrame:
+    """(part, block, kmer): as index.blocks, with each block and all that differ from it in one base."""
+    places = F.sequence(F.lit(1), F.length("block"))
+    changed = F.flatten(F.transform(places, lambda i: F.transform(F.array(*map(F.lit, "ACGT")), lambda b: F.concat(F.substring(F.col("block"), F.lit(1), i - 1), b, F.substring(F.col("block"), i + 1, F.length("block"))))))
+    return rows.withColumn("block", F.explode(F.array_distinct(F.array_union(F.array("block"), changed))))
+
+
 def search(probes: DataFrame, index: DataFrame, k: int, mismatches: int) -> DataFrame:
     """Hits with up to so many mismatches, on both strands.
 
     Two strings that differ in m places agree in one of m + 1 parts: parts join by equality, and only
-    distinct pairs of sequences are compared, once. The index isn't shuffled where the probes are small
-    enough for Spark to broadcast; take repeats out first (index.unique_part) where they aren't.
+    distinct pairs of sequences are compared, once. Where such parts have fewer than SHORTEST bases, the
+    strings are cut into m / 2 + 1 parts instead, of which one differs in a base at most. The index isn't
+    shuffled where the probes are small enough for Spark to broadcast; take repeats out first
+    (index.unique_part) where they aren't.
     """
-    parts = mismatches + 1
+    short = k // (mismatches + 1) < SHORTEST
+    parts = mismatches // 2 + 1 if short else mismatches + 1
     targets = both_strands(probes)
-    wanted = blocks(targets.select(F.col("target").alias("kmer")).distinct(), k, parts).withColumnRenamed("kmer", "target")
+    wanted = blocks(targets.select(F.col("target").alias("kmer")).distinct(), k, parts)
+    wanted = (_near_blocks(wanted) if short else wanted).withColumnRenamed("kmer", "target")
     held = blocks(index.select("kmer"), k, parts)
     near = wanted.join(held, ["part", "block"]).select("target", "kmer").distinct().withColumn("penalty", -hamming(F.col("target"), F.col("kmer")).cast("double"))
     near = near.filter(F.col("penalty") >= -mismatches)

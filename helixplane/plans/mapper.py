@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +24,11 @@ def map_reads(reads: DataFrame, contigs: DataFrame, k: int, floor_p: float = 0.1
     floors = {n: -probe_thresholds(k, n, floor_p, floor_p / 2)[0] for n in range(1, search.MOST_PROBES + 1)}
     spreads = {n: probe_thresholds(k, n, floor_p, floor_p / 2)[1] for n in range(1, search.MOST_PROBES + 1)}
     table = lambda d: F.element_at(F.create_map(*[F.lit(x) for kv in d.items() for x in kv]), F.col("n").cast("int"))
-    most = min(max(floors.values()), k // 4 - 1)
-    hits = search.search(probes, kmers, k, most).join(counts, ["read_id", "mate"])
-    hits = hits.filter(F.col("penalty") >= -table(floors))
+    # each class of probes is searched with its own floor
+    classed = probes.join(counts, ["read_id", "mate"]).checkpoint()
+    present = {r.n for r in classed.select("n").distinct().collect()}
+    by_floor = {m: sorted(n for n in present if floors[n] == m) for m in sorted({floors[n] for n in present or {1}})}
+    hits = functools.reduce(DataFrame.unionByName, [search.search(classed.filter(F.col("n").isin(ns)), kmers, k, m) for m, ns in by_floor.items()])
     hits = search.best_within(hits, ["read_id", "mate", "probe_no"], "penalty", table(spreads).cast("double")).drop("n")
     hits, void = search.guard(hits, ["read_id", "mate", "probe_no"])
     found = search.rescore(search.read_starts(search.merge_diagonals(hits), reads, contigs, k), reads, contigs).filter("penalty is not null").checkpoint()

@@ -217,3 +217,30 @@ def test_assays(spark):
     assert top.pos == 500 and top["count"] == 25.0 and top.value > 0.99
     assert assays.most_likely(rows).count() > 0
     assert assays.placed_by(rows, density.start_sites(density.conditional(rows))).count() == rows.count()
+
+
+def test_short_reads_are_found_up_to_their_probes_floor(spark, genome):
+    seq = genome[1][2]
+    rows = []
+    for i, (at, wrong) in enumerate([(100, (1, 4, 9, 13, 18)), (700, (0, 3, 8, 12, 16)), (1500, (2, 5, 6, 11, 15)), (1900, (3,))]):
+        s = list(seq[at : at + 25])
+        for p in wrong:
+            s[p] = "CGTA"["ACGT".index(s[p])]
+        s = "".join(s)
+        rows.append((i, 1, f"r{i}", back(s) if i == 3 else s, "I" * 25))
+    mapped, _ = map_reads(spark.createDataFrame(rows, READS), spark.createDataFrame(genome, CONTIGS), 20)
+    got = {(r.read_id, r.chr, r.start) for r in mapped.collect()}
+    assert {(0, 2, 100), (1, 2, 700), (2, 2, 1500), (3, 2, 1900)} <= got
+
+
+@pytest.mark.parametrize("mismatches", [3, 4])
+def test_searches_with_short_parts_equal_brute_force(spark, mismatches):
+    rng = random.Random(4)
+    k, seq = 10, "".join(rng.choice("ACGT") for _ in range(800))
+    contigs = spark.createDataFrame([(1, "c", seq)], CONTIGS)
+    probes = [(i, 1, 0, 0, k, "".join(rng.choice("ACGT") for _ in range(k))) for i in range(8)]
+    hits = search.search(spark.createDataFrame(probes, "read_id long, mate int, probe_no int, offset int, length int, seq string"), index.kmers(contigs, k), k, mismatches)
+    count = lambda a, b: sum(x != y for x, y in zip(a, b))
+    expect = {(i, s, at, -float(count(t, seq[at : at + k]))) for i, *_, p in probes for s, t in (("+", p), ("-", back(p))) for at in range(len(seq) - k + 1) if count(t, seq[at : at + k]) <= mismatches}
+    got = [(r.read_id, r.strand, r.loc, r.penalty) for r in hits.collect()]
+    assert len(got) == len(expect) and set(got) == expect

@@ -52,15 +52,16 @@ def bases(runs: DataFrame) -> DataFrame:
     return runs.select("chr", "track", F.explode(F.sequence("pos", F.col("end") - 1)).alias("pos"), "value")
 
 
-def profile(mappings: DataFrame, shape: DataFrame) -> DataFrame:
+def profile(mappings: DataFrame, shape: DataFrame, contigs: DataFrame | None = None) -> DataFrame:
     """M-step of single-end fragments: each start carries the binding-site profile (offset, d), forward or mirrored.
 
-    Mappings with one place are summed before the profile is laid over them.
+    Mappings with one place are summed before the profile is laid over them. contigs: (chr, length), at whose ends profiles are cut.
     """
     anchor = F.when(F.col("strand") == "+", F.col("start")).otherwise(F.col("stop") - 1)
     sums = mappings.groupBy("chr", _track().alias("track"), anchor.alias("anchor")).agg(F.sum("cond_prb").alias("p"))
     pos = F.when(F.col("track") == 0, F.col("anchor") + F.col("offset")).otherwise(F.col("anchor") - F.col("offset"))
     laid = sums.crossJoin(F.broadcast(shape)).withColumn("pos", pos).filter("pos >= 0")  # the profile has a row for each base of a fragment
+    laid = laid if contigs is None else laid.join(F.broadcast(contigs.select("chr", "length")), "chr").filter("pos < length")
     return laid.groupBy("chr", "track", "pos").agg(F.sum(F.col("p") * F.col("d")).alias("value"))
 
 
@@ -94,6 +95,20 @@ def over_fragment(mappings: DataFrame, runs: DataFrame) -> DataFrame:
     return _renormalised(rows.withColumn("weight", F.pow(F.lit(10.0), "score") * F.greatest(F.col("a1") - F.col("a0"), F.lit(0.0)))).drop("a0", "a1")
 
 
+def over_profile(mappings: DataFrame, density: DataFrame, shape: DataFrame) -> DataFrame:
+    """E-step of single-end fragments: cond_prb ∝ 10^score × density of both tracks times the binding-site profile (offset, d), from the read's first base on, forward or mirrored.
+
+    Each place where reads begin is asked for once. A read without any density keeps its scores' shares.
+    """
+    site = F.when(F.col("strand") == "+", F.col("start")).otherwise(F.col("stop") - 1).cast("long")
+    at = F.when(F.col("track") == 0, F.col("site") + F.col("offset")).otherwise(F.col("site") - F.col("offset"))
+    asked = mappings.select("chr", _track().alias("track"), site.alias("site")).distinct().crossJoin(F.broadcast(shape.select("offset", "d"))).withColumn("pos", at)
+    both = density.groupBy("chr", F.col("pos").cast("long").alias("pos")).agg(F.sum("value").alias("value"))
+    areas = asked.join(both, ["chr", "pos"]).groupBy("chr", "track", "site").agg(F.sum(F.col("value") * F.col("d")).alias("area"))
+    rows = mappings.withColumn("track", _track()).withColumn("site", site).join(areas, ["chr", "track", "site"], "left")
+    return _renormalised(rows.withColumn("weight", F.pow(F.lit(10.0), "score") * F.coalesce("area", F.lit(0.0)))).drop("track", "site", "area")
+
+
 def _renormalised(rows: DataFrame) -> DataFrame:
     w = Window.partitionBy("read_id")
     total, plain = F.sum("weight").over(w), F.pow(F.lit(10.0), "score")

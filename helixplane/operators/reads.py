@@ -67,16 +67,17 @@ def within_bounds(mappings: DataFrame, contigs: DataFrame) -> DataFrame:
     return rows.filter((F.col("start") >= 0) & (F.col("stop") <= F.col("contig")) & (F.col("start") < F.col("stop")) & F.col("cond_prb").between(0, 1)).drop("contig")
 
 
-def sam_lines(mappings: DataFrame, reads: DataFrame, contigs: DataFrame) -> DataFrame:
-    """(read_id, mapping_no, line) of single-end mappings with cond_prb and log_seq_error; positions 1-based; reverse reads reverse complemented, their qualities reversed."""
+def sam_lines(mappings: DataFrame, reads: DataFrame, contigs: DataFrame, soft_clip: int = 0) -> DataFrame:
+    """(read_id, mapping_no, line) of single-end mappings with cond_prb and log_seq_error; positions 1-based; reverse reads reverse complemented, their qualities reversed. soft_clip: the reads' first bases that weren't mapped."""
     from helixplane.functions.sequence import reverse_complement
 
     rows = mappings.join(reads.select("read_id", F.col("name").alias("read_name"), "seq", "qual"), "read_id").join(contigs.select("chr", F.col("name").alias("contig_name")), "chr")
     back = F.col("strand") == "-"
     number = lambda c: F.format_string("%.6f", c)
+    matched, clip = F.concat((F.col("stop") - F.col("start")).cast("string"), F.lit("M")), F.lit(f"{soft_clip}S" if soft_clip else "")
     line = F.concat_ws(
         "\t", "read_name", sam.flag(F.lit(False), back, F.lit(True)).cast("string"), "contig_name", (F.col("start") + 1).cast("string"), sam.mapping_quality(F.col("cond_prb")).cast("string"),
-        F.concat((F.col("stop") - F.col("start")).cast("string"), F.lit("M")), F.lit("*"), F.lit("0"), F.lit("0"), F.when(back, reverse_complement(F.col("seq"))).otherwise(F.col("seq")), F.when(back, F.reverse("qual")).otherwise(F.col("qual")),
+        F.when(back, F.concat(matched, clip)).otherwise(F.concat(clip, matched)), F.lit("*"), F.lit("0"), F.lit("0"), F.when(back, reverse_complement(F.col("seq"))).otherwise(F.col("seq")), F.when(back, F.reverse("qual")).otherwise(F.col("qual")),
         F.concat(F.lit("PQ:i:"), sam.score_quality(F.col("log_seq_error")).cast("string")), F.concat(F.lit("XQ:f:"), number(F.col("log_seq_error"))), F.concat(F.lit("XP:f:"), number(F.col("cond_prb"))),
     )
     return rows.select("read_id", "mapping_no", line.alias("line"))

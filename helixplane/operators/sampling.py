@@ -45,20 +45,24 @@ def bootstraps(mappings: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return drawn.withColumn("u", uniform(F.col("read_id"), F.col("bs"), seed + 1)).withColumn("weight", poisson_weight(F.col("u"))).filter("weight > 0").drop("u")
 
 
-def random_start(mappings: DataFrame, sample: int, batches: int = 16, window: int = 100) -> DataFrame:
+def random_start(mappings: DataFrame, sample: int, batches: int = 16, window: int = 100, m_step=None, e_step=None) -> DataFrame:
     """One chosen mapping a read, as a start for EM: reads come in batches, each placed by the density of those before (and a prior).
 
     Placing reads one by one depends on their order and can't be spread; batches, by a hash of the read, can.
+    m_step, e_step: the assay's, by default those of start sites within the window.
     """
     from . import density as d
 
+    m_step = m_step or d.start_sites
+    e_step = e_step or (lambda rows, density: d.near_start(rows, density, window))
+
     batch = F.floor(uniform(F.col("read_id"), sample) * batches)
     prior = d.conditional(mappings).withColumn("batch", batch)
     placed = None
     for b in range(batches):
         own = prior.filter(F.col("batch") == b).drop("batch")
         if placed is not None:
-            own = d.near_start(own.drop("cond_prb"), d.start_sites(placed.withColumn("cond_prb", F.lit(1.0))), window).drop("lhd")
+            own = e_step(own.drop("cond_prb"), m_step(placed.withColumn("cond_prb", F.lit(1.0)))).drop("lhd")
         drawn = choose(own, uniform(F.col("read_id"), sample, 5)).select("read_id", "mapping_no", "chr", "start", "stop", "strand", "score")
         placed = (drawn if placed is None else placed.unionByName(drawn)).checkpoint()
     return placed

@@ -8,23 +8,24 @@ from pyspark.sql import functions as F
 from helixplane.operators import density, peaks, sampling
 
 
-def posterior_samples(mappings: DataFrame, n: int, most: int = density.MOST_ITERATIONS) -> tuple[DataFrame, DataFrame]:
-    """(density with a sample column, samples with their log_lhd): random starts, each iterated to its end."""
+def posterior_samples(mappings: DataFrame, n: int, most: int = density.MOST_ITERATIONS, m_step=density.start_sites, e_step=density.near_start) -> tuple[DataFrame, DataFrame]:
+    """(density of start sites with a sample column, samples with their log_lhd): random starts, each iterated to its end by the assay's steps."""
     spark, out, found = mappings.sparkSession, None, []
     for k in range(n):
-        start = sampling.random_start(mappings, k).withColumn("cond_prb", F.lit(1.0))
-        first = density.near_start(density.conditional(mappings).drop("cond_prb"), density.start_sites(start)).drop("lhd").checkpoint()
-        rows, history = _iterated(first, most)
+        start = sampling.random_start(mappings, k, m_step=m_step, e_step=e_step).withColumn("cond_prb", F.lit(1.0))
+        first = e_step(density.conditional(mappings).drop("cond_prb"), m_step(start)).drop("lhd").checkpoint()
+        rows, history = _iterated(first, most, m_step, e_step)
         found.append((k, float(history)))
         own = density.start_sites(rows).withColumn("sample", F.lit(k))
         out = own if out is None else out.unionByName(own)
     return out, spark.createDataFrame(found, "sample int, log_lhd double")
 
 
-def _iterated(rows: DataFrame, most: int) -> tuple[DataFrame, float]:
+def _iterated(rows: DataFrame, most: int, m_step=density.start_sites, e_step=density.near_start) -> tuple[DataFrame, float]:
     lhd = 0.0
     for _ in range(most):
-        after = density.near_start(rows, density.normalised(density.start_sites(rows))).checkpoint()
+        places = m_step(rows)
+        after = e_step(rows, density.normalised(places) if m_step is density.start_sites else places).checkpoint()
         row = density.convergence(rows, after).first()
         rows, lhd = after.drop("lhd"), row.log_lhd or 0.0
         if (row.max_change or 0.0) < density.LEAST_CHANGE:

@@ -8,9 +8,10 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixplane.operators import density, index
+from helixplane.operators import density, fragments, index
 from helixplane.sources import sinks, text
 
+from . import assays
 from .config import Config
 from .mapper import map_reads
 
@@ -25,6 +26,17 @@ def load_reads(spark: SparkSession, config: Config) -> DataFrame:
     return text.paired(text.fastq(text.lines(spark, config.pair1)), text.fastq(text.lines(spark, config.pair2)))
 
 
+def steps(config: Config, contigs: DataFrame, lengths: DataFrame | None) -> tuple:
+    """The assay's M-step and E-step: start sites for cage, whole fragments for pairs of chip, binding-site profiles for its single reads."""
+    if config.assay == "cage":
+        return density.start_sites, density.near_start
+    if not config.unpaired:
+        return density.fragments, density.over_fragment
+    shape = fragments.binding_profile(lengths).checkpoint()
+    ends = contigs.select("chr", F.length("seq").alias("length"))
+    return lambda rows: density.profile(rows, shape, ends), lambda rows, places: density.over_profile(rows, places, shape)
+
+
 def run(spark: SparkSession, config: Config) -> sinks.Run:
     """Maps, writes all tables, SAM and wiggle below config.output."""
     out = sinks.Run(spark, config.output)
@@ -34,20 +46,28 @@ def run(spark: SparkSession, config: Config) -> sinks.Run:
     out.write("reads", load_reads(spark, config))
     reads = out.read("reads")
     lengths = text.fragment_lengths(spark, config.fragment_lengths) if config.fragment_lengths else None
-    mappings, rejects = map_reads(reads, contigs, config.k, config.floor_p, out.read("kmers").select("chr", "loc", "kmer"), lengths, config.model)
+    clip = config.clipped
+    shorn = reads.withColumn("seq", F.substr("seq", F.lit(clip + 1))).withColumn("qual", F.substr("qual", F.lit(clip + 1))) if clip else reads
+    mappings, rejects = map_reads(shorn, contigs, config.k, config.floor_p, out.read("kmers").select("chr", "loc", "kmer"), lengths, config.model)
     out.write("mappings", mappings)
     out.write("rejects", rejects)
     mappings = out.read("mappings")
+    samples = None
     if config.assay:
-        m, e = (density.start_sites, density.near_start) if config.assay == "cage" else (density.fragments, density.over_fragment)
+        m, e = steps(config, contigs, lengths)
+        if config.samples:
+            samples, found = assays.posterior_samples(mappings, config.samples, m_step=m, e_step=e)
+            # sample 0 is the density of the run itself
+            samples = samples.withColumn("sample", F.col("sample") + 1)
+            out.write("samples", found.withColumn("sample", F.col("sample") + 1))
         mappings, _ = density.iterate(mappings, m, e, stop_ratio=-1 if config.assay == "cage" else 1.05)
     sites = density.start_sites(mappings).withColumn("sample", F.lit(0))
-    out.write("density", sites)
-    sinks.write_wiggle(out.read("density"), contigs, config.threshold, f"{config.output}/wiggle")
+    out.write("density", sites if samples is None else sites.unionByName(samples))
+    sinks.write_wiggle(out.read("density").filter("sample = 0"), contigs, config.threshold, f"{config.output}/wiggle")
     if config.unpaired:
         from helixplane.operators.reads import sam_header, sam_lines
 
-        sinks.write_sam(sam_lines(mappings, reads, contigs), sam_header(contigs), f"{config.output}/sam")
+        sinks.write_sam(sam_lines(mappings, reads, contigs, clip), sam_header(contigs), f"{config.output}/sam")
     sinks.write_rejects(reads, out.read("rejects"), f"{config.output}/rejected_fastq")
     return out
 

@@ -31,9 +31,16 @@ class Config:
             raise ValueError("chip needs fragment lengths")
         if self.model not in ("mismatch", "estimated"):
             raise ValueError("models are mismatch and estimated")
+        if self.samples and not self.assay:
+            raise ValueError("samples need an assay")
         if self.assay == "cage":
             self.soft_clip += 1
 
+    @property
+    def clipped(self) -> int:
+        """Bases cut from reads before mapping; without the one that cage adds for untemplated Gs, which runs don't handle."""
+        return self.soft_clip - (self.assay == "cage")
+
     def dumps(self) -> str:
         return json.dumps(dataclasses.asdict(self), indent=1)
 

@@ -244,3 +244,46 @@ def test_searches_with_short_parts_equal_brute_force(spark, mismatches):
     expect = {(i, s, at, -float(count(t, seq[at : at + k]))) for i, *_, p in probes for s, t in (("+", p), ("-", back(p))) for at in range(len(seq) - k + 1) if count(t, seq[at : at + k]) <= mismatches}
     got = [(r.read_id, r.strand, r.loc, r.penalty) for r in hits.collect()]
     assert len(got) == len(expect) and set(got) == expect
+
+
+def test_profile_steps_equal_plain_sums(spark):
+    shape = [0.5, 0.3, 0.2]
+    rows = [(0, 0, 1, 0, 4, "+", -0.5), (0, 1, 1, 5, 9, "-", -0.2), (0, 2, 1, 90, 94, "+", 0.0), (1, 0, 1, 98, 100, "+", 0.0), (2, 0, 1, 0, 2, "-", -1.0), (2, 1, 1, 6, 10, "+", -1.1)]
+    mappings = spark.createDataFrame(rows, "read_id long, mapping_no int, chr int, start int, stop int, strand string, score double")
+    profile = spark.createDataFrame(list(enumerate(shape)), "offset long, d double")
+    ends = spark.createDataFrame([(1, 100)], "chr int, length int")
+    prior = density.conditional(mappings)
+    places = density.profile(prior, profile, ends)
+    assert {r.pos for r in places.filter("pos > 95").collect()} == {98, 99}
+    value = {}
+    for r in places.collect():
+        value[r.pos] = value.get(r.pos, 0.0) + r.value
+    weight = {}
+    for read, no, _, start, stop, strand, score in rows:
+        first, step = (start, 1) if strand == "+" else (stop - 1, -1)
+        weight[read, no] = 10**score * sum(value.get(first + step * i, 0.0) * d for i, d in enumerate(shape))
+    got = {(r.read_id, r.mapping_no): r.cond_prb for r in density.over_profile(prior.drop("cond_prb"), places, profile).collect()}
+    assert set(got) == set(weight) and all(abs(p - weight[k] / sum(w for x, w in weight.items() if x[0] == k[0])) < 1e-12 for k, p in got.items())
+    bare = density.over_profile(prior.drop("cond_prb"), places.limit(0), profile).collect()
+    assert sorted((r.read_id, r.mapping_no, round(r.cond_prb, 9)) for r in bare) == sorted((r.read_id, r.mapping_no, round(r.cond_prb, 9)) for r in prior.collect())
+
+
+def test_command_line_single_chip_with_samples_and_soft_clip(spark, genome, tmp_path, monkeypatch):
+    from helixplane.plans import cli
+
+    used = []
+    for name in ("over_profile", "over_fragment"):
+        monkeypatch.setattr(density, name, lambda *a, f=getattr(density, name), name=name: used.append(name) or f(*a))
+    rows, truth = simulated(genome, 12, 50, 0, seed=6)
+    (tmp_path / "g.fa").write_text("".join(f">{n}\n{s}\n" for _, n, s in genome))
+    # three bases that aren't the genome's before each read
+    (tmp_path / "r.fq").write_text("".join(f"@{n}\nTTT{s}\n+\nIII{q}\n" for _, _, n, s, q in rows))
+    (tmp_path / "fl.txt").write_text("100\t0.5\n150\t0.5\n")
+    out = cli.run(spark, Config(genome=[str(tmp_path / "g.fa")], output=str(tmp_path / "run"), unpaired=str(tmp_path / "r.fq"), assay="chip", fragment_lengths=str(tmp_path / "fl.txt"), samples=1, soft_clip=3, model="mismatch"))
+    assert set(used) == {"over_profile"}
+    mappings = out.read("mappings").collect()
+    assert {(i, *t) for i, t in truth.items()} <= {(r.read_id, r.chr, r.start, r.strand) for r in mappings} and {r.stop - r.start for r in mappings} == {50}
+    assert {r.sample: round(r.v, 6) for r in out.read("density").groupBy("sample").agg(F.sum("value").alias("v")).collect()} == {0: 12.0, 1: 12.0}
+    assert [r.sample for r in out.read("samples").collect()] == [1]
+    sam = [x.split("\t") for p in sorted((tmp_path / "run/sam").glob("part*")) for x in p.read_text().splitlines() if x[0] != "@"]
+    assert {(int(x[1]) & 16, x[5], len(x[9])) for x in sam} == {(0, "3S50M", 53), (16, "50M3S", 53)}

@@ -17,8 +17,9 @@ set where it has no more. Documents with equal sets form a class, of which the f
 
 Null or empty text, or text without words, has an empty set and is linked with nothing. Texts with
 fewer words than a shingle have the sequence as one shingle. Rows with a null doc_id count after all
-others, as one document; rows that repeat a doc_id give a row each. An empty table gives an empty one;
-other columns don't matter.
+others, as one document; rows that repeat a doc_id give a row each. Texts that share a doc_id are
+compared each (classes have numbers of their own), and all that they are linked with is one component.
+An empty table gives an empty one; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -64,8 +65,13 @@ def overlap(size: int, percent: int) -> int:
     return max(1, math.floor(K * p - 6.2 * math.sqrt(K * p * (1 - p))) + 1)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and text_key, which tells the texts of a doc_id apart."""
+    return id_and_text(docs).withColumn("text_key", F.xxhash64("text"))
+
+
 def signatures(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, set_id (16 bytes that equal sets share), sketch (bottom K values, as signed integers), n_bytes."""
+    """doc_id, text_key, n_shingles, set_id (16 bytes that equal sets share), sketch (bottom K values, as signed integers), n_bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,9 +81,9 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
                 sets = shingle_sets(data, off, n)
                 two = [(int(s.sum()), int(mix(s ^ np.uint64(0x5555555555555555)).sum())) if len(s) else None for s in sets]
                 ids = [x and (x[0] % 2**64).to_bytes(8, "big") + (x[1] % 2**64).to_bytes(8, "big") for x in two]
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array(ids, pa.binary()), pa.array([s[:K].view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(np.diff(off))], ["doc_id", "n_shingles", "set_id", "sketch", "n_bytes"])
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_key"), pa.array(map(len, sets), pa.int64()), pa.array(ids, pa.binary()), pa.array([s[:K].view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(np.diff(off))], ["doc_id", "text_key", "n_shingles", "set_id", "sketch", "n_bytes"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, n_shingles long, set_id binary, sketch array<long>, n_bytes long")
+    return _keyed(docs).mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_id binary, sketch array<long>, n_bytes long")
 
 
 def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
@@ -218,31 +224,41 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
     """doc_id, n_shingles, component_id (the least doc_id that links reach), kept (whether it is the document itself)."""
     signed = materialise(signatures(docs, n), "signatures")
     full = signed.filter("n_shingles > 0")
-    classes = full.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    classes = materialise(classes, "classes")
-    first = signed.join(classes.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    classes = full.groupBy("set_id").agg(F.min(F.struct("doc_id", "text_key")).alias("x")).select("set_id", "x.doc_id", "x.text_key")
+    classes = materialise(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    first = signed.dropDuplicates(["doc_id", "text_key"]).join(classes.select("doc_id", "text_key", "class"), ["doc_id", "text_key"])
+    # from here to the comparison, doc_id is the number of a class and id the first document's
+    first = first.select(F.col("class").alias("doc_id"), F.col("doc_id").alias("id"), "text_key", "n_shingles", "sketch", "n_bytes")
     lists = materialise(_prefixes(first.select("doc_id", "n_shingles", "sketch"), percent), "lists")
     centres = materialise(lists.groupBy("value").agg(F.min("doc_id").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("value", "centre"), "centres")
     met = lists.join(centres, "value").select("centre", "doc_id").distinct()
-    met = materialise(met.join(first.select("doc_id", "n_bytes"), "doc_id"), "met")
+    met = materialise(met.join(first.select("doc_id", "id", "text_key", "n_bytes"), "doc_id"), "met")
     blocks = met.groupBy("centre").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n_bytes") / BLOCK_BYTES)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n"))
     blocks = materialise(blocks.filter("n > 1").select("centre", "blocks"), "blocks")
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     dealt = met.join(blocks, "centre").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("doc_id", "centre", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    texts = id_and_text(docs)
-    rows = dealt.join(texts, "doc_id")
+    dealt = dealt.select("doc_id", "id", "text_key", "centre", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    texts = _keyed(docs).withColumnRenamed("doc_id", "id")
+    rows = dealt.join(texts, ["id", "text_key"])
 
     def compare(t: pa.Table) -> pa.Table:
         ids, side = t.column("doc_id").to_numpy(), t.column("own").to_numpy()
         ids, at = np.unique(ids, return_index=True)
         t, side = t.take(pa.array(at)), side[at]
         sets = shingle_sets(*texts_of(t.column("text")), n)
-        out = group_links(ids, sets, side, percent)
+        out = t.column("id").to_numpy()[group_links(np.arange(len(ids)), sets, side, percent)]
+        out = out[out[:, 0] != out[:, 1]]
         return pa.table({"a": pa.array(out[:, 0]), "b": pa.array(out[:, 1])})
 
     links = rows.groupBy("centre", "low", "high").applyInArrow(compare, "a long, b long")
-    found = components(links)
+    # documents with several texts link these texts' classes
+    kinds = signed.groupBy("doc_id").agg(F.min(x := F.coalesce(F.xxhash64("set_id"), F.lit(0))).alias("low"), F.max(x).alias("high"))
+    several = materialise(kinds.filter("low <> high").select("doc_id"), "several")
+    own = full.select("doc_id", "set_id").join(several, "doc_id", "left_semi").distinct().join(classes.select("set_id", F.col("doc_id").alias("b")), "set_id")
+    found = components(links.union(own.select(F.col("doc_id").alias("a"), "b").filter("a <> b")))
     of_class = materialise(classes.join(found, "doc_id", "left").select("set_id", F.coalesce("component", "doc_id").alias("component_id")), "members")
     out = signed.select("doc_id", "n_shingles", "set_id").join(of_class, "set_id", "left")
+    # texts without words go with the others of their document
+    rest = several.join(found, "doc_id").select("doc_id", "component")
+    out = out.filter("n_shingles > 0").unionByName(out.filter("n_shingles = 0").join(rest, "doc_id", "left").withColumn("component_id", F.col("component")).drop("component"))
     return out.select(real_id(F.col("doc_id")).alias("doc_id"), "n_shingles", real_id(F.coalesce("component_id", "doc_id")).alias("component_id"), (F.coalesce("component_id", "doc_id") == F.col("doc_id")).alias("kept"))

@@ -53,3 +53,14 @@ def test_components_of_long_chains(spark):
     pairs = [(k, k + 1) for k in range(1, 60)] + [(100, k) for k in range(101, 160)] + [(500, 160), (159, 500)]
     got = {r.doc_id: r.component for r in minhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {k: 1 for k in range(1, 61)} | {k: 100 for k in [*range(100, 161), 500]}
+
+
+def test_texts_that_share_an_id_are_compared_each(spark):
+    rng = random.Random(2)
+    texts = [[f"w{rng.randrange(5000)}" for _ in range(60)] for _ in range(8)]
+    near = lambda k, n: " ".join([*texts[k][:-1], f"other{n}"])
+    rows = [(None, " ".join(texts[0])), (None, " ".join(texts[1])), (None, ""), (3, near(0, 3)), (4, near(1, 4))]
+    rows += [(5, " ".join(texts[2])), (5, " ".join(texts[3])), (5, None), (2, near(3, 2)), (6, near(2, 6)), (7, " ".join(texts[4])), (7, " ".join(texts[5])), (8, near(5, 8)), (9, " ".join(texts[6]))]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string")
+        assert brute.ordered(minhash.near_duplicates(docs).collect()) == brute.ordered(brute.near_duplicates(order))

@@ -7,12 +7,13 @@ as they will see. At prediction the chain's full models are applied in order.
 
 Features of a text are its distinct words in lower case, and their first 4, 5 and 6 bytes, hashed
 into 2 ** BITS; each counts once however long the text. Models are fitted on the driver on a bounded
-sample, MAX_ROWS labelled rows at most, those of least hash of doc_id, and the fixed-size weights are
-broadcast; everything is scored.
+sample, MAX_ROWS labelled rows at most, those of least hash of doc_id, of each at most MAX_FEATURES
+features, those of least hash (a text has more from about a thousand distinct words on), and the
+fixed-size weights are broadcast; everything is scored, by all of its features.
 
 Null or empty text has no features and gets the models' intercepts. Labels that are null, or rows
-without a text row, don't train. Where a category has rows of one label only, or none, its model is a
-constant. Repeated rows are scored each; an empty table gives an empty one; other columns don't matter.
+without a text row, don't train. Where a category has rows of one label only, its model is a constant;
+without any, nothing is of the category. Repeated rows are scored each; an empty table gives an empty one; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from .common import BYTE_KEYS, WHITE, id_and_text, prefix_hash, real_id, span_ha
 BITS, HEADS = 18, (4, 5, 6)
 MAX_ROWS, MAX_FEATURES, FOLDS, EPOCHS = 8_000, 4096, 5, 12
 AT_ONCE = 1 << 20
+#: The log-odds against a category that no row trains.
+NEVER = 8.0
 #: Least chi-square statistic, and rows, of a feature that gets a weight; how far classes are balanced, from 0 to 1.
 CHI, MIN_ROWS, BALANCE = 30.0, 4, 0.5
 #: Bytes that part words: white space and ASCII punctuation; A-Z are lowered.
@@ -78,6 +81,9 @@ class Linear:
         return sums[off[1:]] - sums[off[:-1]] + dense @ self.v + self.b
 
     def fit(self, slots: np.ndarray, off: np.ndarray, dense: np.ndarray, y: np.ndarray, rows: np.ndarray) -> Linear:
+        if not len(rows):
+            self.b = -NEVER
+            return self
         good = y[rows].sum()
         self.b = float(np.log((good + 0.5) / (len(rows) - good + 0.5)))
         if not 0 < good < len(rows):

@@ -44,3 +44,10 @@ def test_odd_rows(spark):
         assert sorted(brute.key(r.doc_id) for r in out) == sorted(brute.key(r.doc_id) for r in docs.collect())
         assert all(0 <= r.p_toxic <= 1 for r in out)
     assert tox.judge(docs.limit(0), labels).collect() == []
+
+
+def test_nothing_is_toxic_without_training_rows(spark):
+    docs = brute.odd_documents(spark)
+    labels = spark.createDataFrame([(99, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    for l in (labels, labels.limit(0)):
+        assert tox.judge(docs, l).filter("toxic").collect() == []

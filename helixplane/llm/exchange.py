@@ -1,10 +1,11 @@
 """Chunks of documents that ask buckets of values which values other chunks hold too.
 
-Documents are dealt into chunks of bounded size by a hash of their id, so a group of copies, or a
-source with a third of all rows, spreads evenly. A chunk sends each value once, whatever the number of
-its documents that hold it; a bucket owns a range of values and answers each chunk that asked. So a
-value that very many documents share costs one entry a chunk, and neither a task nor the driver ever
-gathers the documents of a group.
+Documents are dealt into chunks of bounded size by a hash of their id and text, so a group of copies, a
+source with a third of all rows, or very many rows without an id spread evenly; only rows that repeat
+in both share a chunk. A chunk sends each value once, whatever the number of its documents that hold
+it; a bucket owns a range of values and answers each chunk that asked. So a value that very many
+documents share costs one entry a chunk, and neither a task nor the driver ever gathers the documents
+of a group.
 """
 
 from __future__ import annotations
@@ -23,13 +24,13 @@ ASKED = "bucket int, chunk int, blob binary"
 ANSWER = "chunk int, blob binary"
 
 
-def chunked(docs: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int]:
-    """(chunk, doc_id, text, carried) and the bytes of text; carried holds the other columns as a struct, or nothing."""
+def chunked(docs: DataFrame, chunk_bytes: int, *by: str) -> tuple[DataFrame, int]:
+    """(chunk, doc_id, text, carried) and the bytes of text; carried holds the other columns as a struct, or nothing. Rows are dealt by the columns named, doc_id and text by default."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     carried = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(0)
     rows = id_and_text(docs, carried.alias("carried"))
     size, _ = total_bytes(rows)
-    return rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, math.ceil(size / chunk_bytes)))).cast("int")), size
+    return rows.withColumn("chunk", F.pmod(F.xxhash64(*(by or ("doc_id", "text"))), F.lit(max(1, math.ceil(size / chunk_bytes)))).cast("int")), size
 
 
 def bucket_of(values: np.ndarray, buckets: int) -> np.ndarray:

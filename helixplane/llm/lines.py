@@ -42,7 +42,8 @@ def _keys(text: bytes, min_chars: int) -> tuple[list[bytes], list[bytes | None]]
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataFrame:
     """doc_id, text (what stays), n_lines, n_dropped, carried (the other columns as a struct)."""
-    rows, size = chunked(docs, CHUNK_BYTES)
+    # that two documents hold a line shows if a document has rows in several chunks too; greater numbers need its rows together
+    rows, size = chunked(docs, CHUNK_BYTES, *(["doc_id"] if min_docs > 2 else []))
     buckets = 1 + size // BUCKET_BYTES
 
     def emit(key: tuple, t: pa.Table) -> pa.Table:

@@ -5,12 +5,14 @@ units that share a minimiser, the least hash of the m-grams in a window, form a
 
 1. Each chunk of documents sends the distinct minimisers of its super-k-mers to buckets. A minimiser
    that only one document holds proves that no window of its super-k-mers is in another document.
-2. Super-k-mers of the other minimisers travel, packed as one string each, identical ones of a chunk
-   once, to the bucket of their minimiser. Where a minimiser is in over `hot_chunks` chunks, its windows
-   go to the buckets of their own hashes instead: an exact way to split what one bucket couldn't hold.
-3. A bucket compares strings exactly: where all strings of a minimiser are equal nothing need be sorted;
-   the windows of all others are sorted, and equal windows get their least document.
-4. Chunks remove what the windows cover that have a smaller least document.
+2. Super-k-mers of the other minimisers travel, packed as strings, to the bucket of their minimiser.
+   A chunk sends a string once, with the least and the greatest of its documents that hold it; where it
+   occurs stays in the chunk. Where a minimiser is in over `hot_chunks` chunks, its windows go to the
+   buckets of their own hashes instead: an exact way to split what one bucket couldn't hold.
+3. A bucket takes its minimisers in blocks of bounded size: it sorts the windows of all distinct strings
+   of a block, so that equal windows meet, exactly, and tells each chunk the least document of those
+   windows of a string that an earlier document has.
+4. Chunks remove what these windows cover, in every document after the least.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_KEYS, gram_hash, mix, pack, prefix_hash, ranges, real_id, sliding_min, span_hash, span_slices, take_spans, texts_of, unpack, words
+from .common import BYTE_KEYS, gram_hash, hand_back, mix, pack, prefix_hash, ranges, real_id, sliding_min, span_hash, span_slices, take_spans, texts_of, unpack, words
 from .exchange import ANSWER, ASKED, answer, ask, bucket_of, chunked, rows_of, told
 
 #: Most windows of a super-k-mer (longer runs, of periodic text, are cut), and windows that are sorted in one block, unless one minimiser has more.
@@ -82,6 +84,7 @@ def _spread(least: np.ndarray) -> np.ndarray:
 
 def _emit_minimisers(unit: str, k: int, m: int, buckets: int) -> Callable:
     def run(key: tuple, t: pa.Table) -> pa.Table:
+        hand_back()
         found = []
         for _, c in _blocks(t, unit):
             row, _, least = c.windows(k, m)
@@ -97,7 +100,9 @@ def _emit_minimisers(unit: str, k: int, m: int, buckets: int) -> Callable:
 
 def _emit_fragments(unit: str, k: int, m: int, buckets: int, hot_chunks: int) -> Callable:
     def run(key: tuple, t: pa.Table, blobs: pa.Table) -> pa.Table:
+        hand_back()
         shared, _, _, chunks = told(blobs)
+        me = key[0].as_py()
         if not len(shared):
             return rows_of(["bucket", "chunk", "blob"], [], [], [])
         order = np.argsort(shared)
@@ -120,20 +125,22 @@ def _emit_fragments(unit: str, k: int, m: int, buckets: int, hot_chunks: int) ->
             begin, end = c.at[a], c.at[a + n + k - 1] - (unit == "word")
             found.append((value, span_hash(c.hash, a, a + n + k - 1), n, c.ids[row], first_row + row, a - c.first[row], end - begin, take_spans(c.bytes, begin, end - begin)))
         value, content, n, doc, row, start, size, data = (np.concatenate([f[j] for f in found]) for j in range(8))
-        begin = np.cumsum(size) - size
-        order = np.lexsort((content, value))
-        value, content, n, doc, row, start, size, begin = (x[order] for x in (value, content, n, doc, row, start, size, begin))
-        g = _runs(value, content)
-        occurs = np.diff(np.append(g, len(value)))
-        bucket = bucket_of(value[g], buckets)
+        del found
+        at = np.cumsum(size) - size
+        number = _distinct(value, content, size, at, data)
+        order = np.argsort(number, kind="stable")
+        g = _runs(number[order])
+        least, greatest = (f.reduceat(doc[order], g) if len(g) else doc for f in (np.minimum, np.maximum))
+        first = order[g]
+        bucket = bucket_of(value[first], buckets)
         some = _runs(bucket)
         ends, out = np.append(some, len(g)), []
-        occ = np.append(g, len(value))
         for x, y in zip(ends[:-1], ends[1:], strict=True):
-            o = slice(occ[x], occ[y])
-            i = g[x:y]
-            out.append(pack(value[i], content[i], n[i].astype(np.uint32), size[i].astype(np.uint32), take_spans(data, begin[i], size[i]), occurs[x:y].astype(np.uint32), doc[o], row[o].astype(np.uint32), start[o].astype(np.uint32)))
-        return rows_of(["bucket", "chunk", "blob"], bucket[some], [key[0].as_py()] * len(some), out)
+            i = first[x:y]
+            out.append(pack(np.array([x], np.uint32), np.diff(value[i], prepend=np.uint64(0)), n[i].astype(np.uint16), size[i].astype(np.uint32), take_spans(data, at[i], size[i]), least[x:y], greatest[x:y] - least[x:y]))
+        # where the strings are stays with the chunk: a note to itself, by a bucket of its own
+        out.append(pack(np.diff(np.append(g, len(order))).astype(np.uint32), row[order].astype(np.uint32), start[order].astype(np.uint32)))
+        return rows_of(["bucket", "chunk", "blob"], np.append(bucket[some], buckets + me), [me] * len(out), out)
 
     return run
 
@@ -159,73 +166,78 @@ def _distinct(value: np.ndarray, content: np.ndarray, size: np.ndarray, at: np.n
     return np.unique(number, return_inverse=True)[1]
 
 
-def _settle(k: int, sort: Sorter) -> Callable:
-    def run(rows: pa.Table) -> pa.Table:
+def _settle(k: int, sort: Sorter, buckets: int) -> Callable:
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        if key[0].as_py() >= buckets:
+            return rows.select(["chunk", "blob"])
+        hand_back()
         parts = [unpack(b) for b in rows.column("blob").to_pylist()]
-        cat = lambda j: np.concatenate([p[j] for p in parts])
-        value, content, n, size, data, occurs = cat(0), cat(1), cat(2).astype(np.int64), cat(3).astype(np.int64), cat(4), cat(5).astype(np.int64)
-        doc, row, start = cat(6).astype(np.int64), cat(7), cat(8)
-        chunk = np.repeat(rows.column("chunk").to_numpy(), [len(p[6]) for p in parts])
+        chunk = np.repeat(rows.column("chunk").to_numpy(), [len(p[1]) for p in parts])
+        string = np.concatenate([p[0][0] + np.arange(len(p[1]), dtype=np.uint32) for p in parts])
+        value = np.concatenate([np.cumsum(p[1], dtype=np.uint64) for p in parts])
+        n, size, least, more = (np.concatenate([p[j] for p in parts]).astype(np.int64) for j in (2, 3, 5, 6))
+        data = np.concatenate([p.pop(4) for p in parts])
         del parts
         at = np.cumsum(size) - size
-        number = _distinct(value, content, size, at, data)
-        frag = np.repeat(number, occurs)
-        count = int(number.max()) + 1 if len(number) else 0
-        least = np.full(count, np.iinfo(np.int64).max)
-        np.minimum.at(least, frag, doc)
-        rep = np.zeros(count, np.int64)
-        rep[number] = np.arange(len(number))
-        order = np.argsort(value[rep], kind="stable")
-        g = _runs(value[rep][order])
-        lone = np.zeros(count, bool)
-        sizes = np.diff(np.append(g, count))
-        lone[order] = np.repeat(sizes == 1, sizes)
-        whole = np.flatnonzero(lone[frag] & (doc > least[frag]))
-        out = [(chunk[whole], row[whole], start[whole], n[rep[frag[whole]]])]
-        many = order[~lone[order]]  # by minimiser
-        if len(many):
-            r = rep[many]
-            w_first = np.empty(int(n[r].sum()), np.int64)
-            g = _runs(value[r])
-            per_key = np.add.reduceat(n[r], g)
-            ends, done = np.append(g, len(r)), 0
-            for keys in span_slices(per_key, SORTED):  # blocks of whole minimisers
-                s = r[ends[keys.start] : ends[keys.stop]]
-                local = np.cumsum(size[s]) - size[s]
-                same = sort(take_spans(data, at[s], size[s]), local, size[s], n[s], k)
-                first = np.full(int(same.max()) + 1, np.iinfo(np.int64).max)
-                np.minimum.at(first, same, np.repeat(least[number[s]], n[s]))
-                w_first[done : done + len(same)] = first[same]
-                done += len(same)
-            begins = np.zeros(count, np.int64)
-            begins[many] = np.cumsum(n[r]) - n[r]
-            occ = np.flatnonzero(~lone[frag])
-            length = n[rep[frag[occ]]]
-            w = w_first[ranges(begins[frag[occ]], length)]
-            which, offset = np.repeat(occ, length), ranges(np.zeros(len(occ), np.int64), length)
-            yes = np.flatnonzero(w < doc[which])
-            which, offset = which[yes], offset[yes]
-            s = _runs(which, offset - np.arange(len(offset)))
-            out.append((chunk[which[s]], row[which[s]], start[which[s]] + offset[s], np.diff(np.append(s, len(which)))))
-        chunk, row, start, n = (np.concatenate([o[j] for o in out]) for j in range(4))
-        order = np.argsort(chunk, kind="stable")
-        to = _runs(chunk[order])
-        ends = np.append(to, len(order))
-        return rows_of(["chunk", "blob"], chunk[order][to], [pack(row[o := order[x:y]].astype(np.uint32), start[o].astype(np.uint32), n[o].astype(np.uint32)) for x, y in zip(ends[:-1], ends[1:], strict=True)])
+        order = np.argsort(value, kind="stable")
+        g = _runs(value[order])
+        ends, out = np.append(g, len(order)), []
+        for keys in span_slices(np.add.reduceat(n[order], g), SORTED):  # blocks of whole minimisers
+            mine = order[ends[keys.start] : ends[keys.stop]]
+            out.append(_block(k, sort, value[mine], n[mine], least[mine], least[mine] + more[mine], size[mine], take_spans(data, at[mine], size[mine])))
+            out[-1][0] = mine[out[-1][0]]
+        which, offset, run, first = (np.concatenate([o[j] for o in out]) for j in range(4))
+        by = np.argsort(chunk[which], kind="stable")
+        which, offset, run, first = which[by], offset[by], run[by], first[by]
+        to = _runs(chunk[which])
+        ends = np.append(to, len(which))
+        return rows_of(["chunk", "blob"], chunk[which][to], [pack(string[which[x:y]], offset[x:y].astype(np.uint16), run[x:y].astype(np.uint16), first[x:y]) for x, y in zip(ends[:-1], ends[1:], strict=True)])
 
     return run
 
 
+def _block(k: int, sort: Sorter, value: np.ndarray, n: np.ndarray, least: np.ndarray, greatest: np.ndarray, size: np.ndarray, data: np.ndarray) -> list[np.ndarray]:
+    """Runs of the strings' windows that a document before the string's last one has too: string, first window, windows, least document. Windows of distinct strings are sorted."""
+    at = np.cumsum(size) - size
+    number = _distinct(value, span_hash(prefix_hash(BYTE_KEYS[data]), at, at + size), size, at, data)
+    count = int(number.max()) + 1
+    rep = np.zeros(count, np.int64)
+    rep[number] = np.arange(len(number))
+    held = np.full(count, np.iinfo(np.int64).max)
+    np.minimum.at(held, number, least)
+    local = np.cumsum(size[rep]) - size[rep]
+    same = sort(take_spans(data, at[rep], size[rep]), local, size[rep], n[rep], k)
+    first = np.full(int(same.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(first, same, np.repeat(held, n[rep]))
+    first = first[same]
+    begins = np.cumsum(n[rep]) - n[rep]
+    first = first[ranges(begins[number], n)]
+    which, offset = np.repeat(np.arange(len(n)), n), ranges(np.zeros(len(n), np.int64), n)
+    yes = np.flatnonzero(first < greatest[which])
+    which, offset, first = which[yes], offset[yes], first[yes]
+    s = _runs(which, offset - np.arange(len(offset)), first)
+    return [which[s], offset[s], np.diff(np.append(s, len(which))), first[s]]
+
+
 def _remove(unit: str, k: int) -> Callable:
     def run(t: pa.Table, blobs: pa.Table) -> pa.Table:
+        hand_back()
         parts = [unpack(b) for b in blobs.column("blob").to_pylist()]
-        row, start, n = (np.concatenate([p[j] for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64) for j in range(3))
-        order = np.argsort(row, kind="stable")
-        row, start, n = row[order], start[order], n[order]
+        own, says = [p for p in parts if len(p) == 3], [p for p in parts if len(p) == 4]
+        row = start = n = np.zeros(0, np.int64)
+        if says:
+            occurs, row, start = (x.astype(np.int64) for x in own[0])
+            string, offset, n, least = (np.concatenate([p[j] for p in says]).astype(np.int64) for j in range(4))
+            times, begins = occurs[string], (np.cumsum(occurs) - occurs)[string]
+            at = ranges(begins, times)
+            row, start, n, least = row[at], start[at] + np.repeat(offset, times), np.repeat(n, times), np.repeat(least, times)
+            later = np.flatnonzero(least < np.sort(t.column("doc_id").to_numpy())[row])
+            later = later[np.argsort(row[later], kind="stable")]
+            row, start, n = row[later], start[later], n[later]
         out = []
         for base, c in _blocks(t, unit):
-            own = slice(*np.searchsorted(row, (base, base + len(c.ids))))
-            out.append(_kept(c, unit, row[own] - base, start[own], n[own] + k - 1))
+            mine = slice(*np.searchsorted(row, (base, base + len(c.ids))))
+            out.append(_kept(c, unit, row[mine] - base, start[mine], n[mine] + k - 1))
         return pa.concat_tables(out)
 
     return run
@@ -261,6 +273,6 @@ def remove_repeats(docs: DataFrame, unit: str, k: int, m: int, sort: Sorter, chu
     asked = by_chunk().applyInArrow(_emit_minimisers(unit, k, m, buckets), ASKED)
     answers = asked.groupBy("bucket").applyInArrow(answer(2), ANSWER)
     fragments = by_chunk().cogroup(answers.groupBy("chunk")).applyInArrow(_emit_fragments(unit, k, m, buckets, hot_chunks), ASKED)
-    spans = fragments.groupBy("bucket").applyInArrow(_settle(k, sort), ANSWER)
+    spans = fragments.groupBy("bucket").applyInArrow(_settle(k, sort, buckets), ANSWER)
     out = by_chunk().cogroup(spans.groupBy("chunk")).applyInArrow(_remove(unit, k), "doc_id long, kept binary, n_units long, n_removed long, n_spans long")
     return out.withColumn("doc_id", real_id(F.col("doc_id")))

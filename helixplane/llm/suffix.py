@@ -1,11 +1,12 @@
 """Suffix-array dedup over bytes: every byte is removed that a 50-byte string covers which also starts
 in a document with a smaller doc_id.
 
-Strings that no other document shares are told apart by their minimisers before anything is sorted
-(see repeats.py). The rest is sorted blockwise with a difference cover: in a block, the suffixes at
-positions of the cover {0, 1, 3} modulo 7 are ranked first, by doubling; then one suffix bucket at a
-time is sorted by its first 8 bytes, and what ties is ordered by the ranks of the cover positions that
-both suffixes reach within 7 bytes. Memory: three ranks for each 7 bytes, and one bucket.
+Strings that no other document shares are told apart by their minimisers before anything is sorted,
+and what is left meets by them (see repeats.py). All windows that may be shared are then sorted
+blockwise with a difference cover: in a block, the suffixes at positions of the cover {0, 1, 3} modulo 7
+are ranked first, by doubling; then one suffix bucket at a time is sorted by its first 8 bytes, and what
+ties is ordered by the ranks of the cover positions that both suffixes reach within 7 bytes. Equal
+windows are neighbours in that order. Memory: three ranks for each 7 bytes, and one bucket.
 
 Null text is empty text. Overlaps count; strings are judged on the input; matches never cross
 documents, and strings that repeat only within one stay. Rows that share a doc_id, and all rows with a

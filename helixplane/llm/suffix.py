@@ -32,33 +32,36 @@ STEP = [[next(d for d in range(MODULUS) if (a + d) % MODULUS in COVER and (b + d
 BUCKET = 1 << 17
 
 
-def _load(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The 8 bytes at each position as a number in the order of strings."""
-    return data[at[:, None] + np.arange(8)].view(">u8").reshape(-1).astype(np.uint64)
+def _words(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position on as a number in the order of strings."""
+    return np.ndarray((len(data) - 7,), ">u8", np.ascontiguousarray(data), 0, (1,)).astype(np.uint64)
 
 
-def cover_ranks(data: np.ndarray, depth: int) -> np.ndarray:
+def _ranked(key: np.ndarray) -> np.ndarray:
+    return np.unique(key, return_inverse=True)[1].astype(np.uint64)
+
+
+def cover_ranks(words: np.ndarray, depth: int) -> np.ndarray:
     """Ranks of the suffixes at cover positions by their first bytes, at least so many; index 3 * (p // 7) + place in the cover."""
-    blocks = (len(data) - 8) // MODULUS
-    at = (np.arange(blocks)[:, None] * MODULUS + np.array(COVER)).reshape(-1)
-    rank = np.unique(_load(data, at) >> np.uint64(8), return_inverse=True)[1].astype(np.uint64)
+    blocks = len(words) // MODULUS
+    rank = _ranked(words[(np.arange(blocks)[:, None] * MODULUS + np.array(COVER)).reshape(-1)] >> np.uint64(8))
     reach, step = MODULUS, len(COVER)
     while reach < depth:
         after = np.zeros(len(rank), np.uint64)
         after[:-step] = rank[step:] + np.uint64(1)
-        rank = np.unique((rank << np.uint64(32)) | after, return_inverse=True)[1].astype(np.uint64)
+        rank = _ranked((rank << np.uint64(32)) | after)
         reach, step = 2 * reach, 2 * step
     return rank
 
 
 def sort_windows(data: np.ndarray, at: np.ndarray, size: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
-    """Equal windows of k bytes get the same number."""
+    """Equal windows of k bytes get the same number, in the order of the windows."""
     pos = ranges(at, n)
-    data = np.concatenate((data, np.zeros(k + 3 * MODULUS + 8, np.uint8)))
-    rank = cover_ranks(data, k)
+    words = _words(np.concatenate((data, np.zeros(k + 3 * MODULUS + 8, np.uint8))))
+    rank = cover_ranks(words, k)
     place = np.array([COVER.index(c) if c in COVER else 0 for c in range(MODULUS)])
     rank_at = lambda p: rank[len(COVER) * (p // MODULUS) + place[p % MODULUS]]
-    head = _load(data, pos)
+    head = words[pos]
     two = (head >> np.uint64(48)).astype(np.int64)
     ends = np.cumsum(np.bincount(two, minlength=1 << 16))
     number, now, low = np.empty(len(pos), np.int64), 0, 0
@@ -79,10 +82,11 @@ def sort_windows(data: np.ndarray, at: np.ndarray, size: np.ndarray, n: np.ndarr
         if len(tied):
             bucket[tied] = bucket[tied[_order_ties(pos[bucket[tied]], group[tied].astype(np.uint64), rank_at)]]
             p, q = pos[bucket[tied[1:]]], pos[bucket[tied[:-1]]]
-            same = group[tied[1:]] == group[tied[:-1]]
+            same = np.flatnonzero(group[tied[1:]] == group[tied[:-1]])
             for step in [*range(8, k - 8, 8), k - 8]:
-                same[same] = _load(data, p[same] + step) == _load(data, q[same] + step)
-            new[tied[1:]] = ~same
+                same = same[words[p[same] + step] == words[q[same] + step]]
+            new[tied[1:]] = True
+            new[tied[1:][same]] = False
         number[bucket] = now + np.cumsum(new) - 1
         now += int(new.sum())
     return number
@@ -92,14 +96,22 @@ def _order_ties(pos: np.ndarray, group: np.ndarray, rank_at) -> np.ndarray:
     """The order of suffixes within each group, groups being in order already: each residue class counts how many of every other class go before its suffixes."""
     residue = pos % MODULUS
     classes = [np.flatnonzero(residue == c) for c in range(MODULUS)]
+    by_step: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+
+    def ordered(c: int, d: int) -> tuple[np.ndarray, np.ndarray]:
+        """A class by its ranks d bytes on: keys, and whose they are."""
+        if (c, d) not in by_step:
+            key = (group[classes[c]] << np.uint64(32)) | rank_at(pos[classes[c]] + d)
+            order = np.argsort(key)
+            by_step[c, d] = key[order], classes[c][order]
+        return by_step[c, d]
+
     before = np.zeros(len(pos), np.int64)
     for a, mine in enumerate(classes):
         for b, other in enumerate(classes):
             if len(mine) and len(other):
-                d = STEP[a][b]
-                key = lambda x: (group[x] << np.uint64(32)) | rank_at(pos[x] + d)  # noqa: B023, E731
-                theirs = np.sort(key(other))
-                before[mine] += np.searchsorted(theirs, key(mine), "right" if b < a else "left")
+                keys, whose = ordered(a, STEP[a][b])
+                before[whose] += np.searchsorted(ordered(b, STEP[a][b])[0], keys, "right" if b < a else "left")
     return np.argsort(before, kind="stable")
 
 

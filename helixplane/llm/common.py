@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import uuid
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +49,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _folders[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+_folders: dict[int, tuple] = {}
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the folders of materialise()'s frames, which nothing may read any more."""
+    for df in frames:
+        ref, path = _folders.pop(id(df), (None, None))
+        if ref is not None and ref() is df:
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def id_and_text(docs: DataFrame, *more: str) -> DataFrame:

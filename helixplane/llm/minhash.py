@@ -8,11 +8,15 @@ set where it has no more. Documents with equal sets form a class, of which the f
    class need only be listed under its rarest values: very frequent shingles generate no candidates
    where a document has enough others. This is exact for sets of up to K; beyond, a link is missed only
    if under 27 of the union's 64 smallest values are common at similarity 0.75, a chance below 1e-8.
-2. Every class of a list is paired with the first class of the list, its centre: linear in the list.
-   Classes that share a list meet in the group of its centre, once for all lists of that centre.
-3. In a group, sketch overlaps and the estimate from the union's sketch filter; full sets decide, by
-   integer counts. Large groups are cut into blocks, and pairs of blocks are compared in tasks of their
-   own, so no task holds a whole group. Only a spanning forest of the links found leaves a task.
+2. Every class of a list is paired with one class of the list, its centre: linear in the list. The
+   centre is the class whose sketch values most others hold, such as the original of a family of near
+   copies. Classes that share a list meet in the group of its centre, once for all lists of that centre.
+3. A pair is filtered by the sketches' overlap, then by the estimate from the union's sketch; full sets
+   decide, by integer counts. A group's members are compared with its centre first, in blocks of their
+   own. Members that the centre is linked with are one component already; so only those that it isn't
+   linked with (for copies of one text: none or few) are compared with the other members, by pairs of
+   blocks in tasks of their own. No task holds a whole group, and only a spanning forest of the links
+   found leaves a task.
 4. Components: the least class reachable, by contraction, each round written to the shared folder.
 
 Null or empty text, or text without words, has an empty set and is linked with nothing. Texts with
@@ -32,11 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_KEYS, gram_hash, id_and_text, materialise, mix, prefix_hash, real_id, span_hash, texts_of, words
+from .common import BYTE_KEYS, discard, gram_hash, id_and_text, materialise, mix, prefix_hash, real_id, span_hash, texts_of, words
 
 K = 64
 #: Rows and bytes of text in a block of a group; texts whose sets are made at a time.
 BLOCK_ROWS, BLOCK_BYTES, AT_ONCE = 384, 6 << 20, 200
+#: Pairs whose unions are sketched at a time.
+ESTIMATED = 8192
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -87,7 +93,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
-    """(value, doc_id): what each class is listed under."""
+    """(value, doc_id, weight): what each class is listed under, and how often others hold its sketch's values."""
     values = classes.select("doc_id", "n_shingles", F.explode("sketch").alias("value"))
     held = values.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     need = F.lit(overlap(10**9, percent))
@@ -104,7 +110,8 @@ def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
         .withColumn("rest", (F.col("sketched") - need + 1 - (F.col("sketched") - F.size("held"))).cast("int"))
         .filter("rest > 0")
     )
-    return own.select("doc_id", F.explode(F.slice("held", 1, F.col("rest"))).alias("x")).select("doc_id", F.col("x.value").alias("value"))
+    weight = F.aggregate("held", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    return own.select("doc_id", weight.alias("weight"), F.explode(F.slice("held", 1, F.col("rest"))).alias("x")).select("doc_id", "weight", F.col("x.value").alias("value"))
 
 
 def _forest(links: np.ndarray) -> np.ndarray:
@@ -145,39 +152,47 @@ def _counts(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def group_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> np.ndarray:
-    """A spanning forest of the links in a group; of sides 0 and 1 only pairs across, unless one side is empty."""
-    size = np.array([len(s) for s in sets], np.float64)
-    across = len(np.unique(side)) > 1
+def _estimated(sketches: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many of the K least values of each pair's union both sketches hold."""
+    table = np.full((len(sketches), K), np.iinfo(np.uint64).max)
+    for row, x in zip(table, sketches, strict=True):
+        row[: len(x)] = x
+    out = np.empty(len(i), np.int64)
+    for low in range(0, len(i), ESTIMATED):
+        both = np.sort(np.concatenate((table[i[low : low + ESTIMATED]], table[j[low : low + ESTIMATED]]), axis=1), axis=1)
+        again = both[:, 1:] == both[:, :-1]
+        rank = np.arange(2, 2 * K + 1) - np.cumsum(again, axis=1)  # of distinct values
+        out[low : low + ESTIMATED] = (again & (rank <= K) & (both[:, 1:] != np.iinfo(np.uint64).max)).sum(axis=1)
+    return out
 
-    def linked(common: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return 100 * common >= percent * (size[i] + size[j] - common)
 
-    sketches = [s[:K] for s in sets]
-    rough = _counts(sketches)
+def _linked(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the pairs (i, j) are linked: sketches and the union's sketch filter, full sets decide."""
+    size = np.array([len(s) for s in sets], np.float64)
     least = np.array([overlap(int(n), percent) for n in size])
-    able = rough >= np.minimum(least[:, None], least)
-    able &= np.minimum(size[:, None], size) * 100 >= percent * np.maximum(size[:, None], size)
-    able &= np.tri(len(sets), k=-1, dtype=bool).T
-    if across:
+    able = np.minimum(size[i], size[j]) * 100 >= percent * np.maximum(size[i], size[j])
+    at = np.flatnonzero(able)
+    at = at[_estimated([s[:K] for s in sets], i[at], j[at]) >= np.minimum(least[i[at]], least[j[at]])]
+    out = np.zeros(len(i), bool)
+    if len(at) > 4 * len(sets):
+        common = _counts(sets)[i[at], j[at]].astype(np.float64)
+    else:
+        common = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i[at].tolist(), j[at].tolist(), strict=True)], np.float64)
+    out[at] = 100 * common >= percent * (size[i[at]] + size[j[at]] - common)
+    return out
+
+
+def group_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> np.ndarray:
+    """A spanning forest of the links in a group; of sides 0 and 1 only pairs across, unless one side is empty."""
+    rough = _counts([s[:K] for s in sets])
+    least = np.array([overlap(len(s), percent) for s in sets])
+    able = (rough >= np.minimum(least[:, None], least)) & np.tri(len(sets), k=-1, dtype=bool).T
+    if len(np.unique(side)) > 1:
         able &= side[:, None] != side
     i, j = np.nonzero(able)
     if not len(i):
         return np.zeros((0, 2), np.int64)
-    whole = (size[i] <= K) & (size[j] <= K)
-    if len(i) <= 4 * len(sets):
-        common = rough[i, j].astype(np.float64)
-        for x in np.flatnonzero(~whole).tolist():
-            a, b = sketches[i[x]], sketches[j[x]]
-            union = np.union1d(a, b)[:K]  # the union's own sketch
-            both = np.intersect1d(a, b, assume_unique=True)
-            if np.searchsorted(both, union[-1], "right") < min(least[i[x]], least[j[x]]):
-                common[x] = 0
-            else:
-                common[x] = len(np.intersect1d(sets[i[x]], sets[j[x]], assume_unique=True))
-    else:
-        common = _counts(sets)[i, j].astype(np.float64)
-    yes = linked(common, i, j)
+    yes = _linked(sets, i, j, percent)
     return _forest(np.column_stack((ids[i[yes]], ids[j[yes]])))
 
 
@@ -194,30 +209,34 @@ def components(links: DataFrame) -> DataFrame:
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         to = materialise(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")), "to")
         steps.append(to)
-        one = links.join(to, "a").select(F.col("to").alias("x"), "b")
-        one = materialise(one, "half").join(to.withColumnRenamed("a", "b").withColumnRenamed("to", "y"), "b")
-        links = materialise(one.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        half = materialise(links.join(to, "a").select(F.col("to").alias("x"), "b"), "half")
+        one = half.join(to.withColumnRenamed("a", "b").withColumnRenamed("to", "y"), "b")
+        before, links = links, materialise(one.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        discard(before, half)
         if links.isEmpty():
             break
     # follow the steps back from the last: those who were pointed to last are resolved first
     done = _rooted(steps[-1])
     for to in reversed(steps[:-1]):
-        known = done.withColumnRenamed("doc_id", "to").withColumnRenamed("component", "up")
+        known = done.select(F.col("doc_id").alias("to"), F.col("component").alias("up"))
         own = _rooted(to)
-        done = materialise(own.withColumnRenamed("component", "to").join(known, "to", "left").select("doc_id", F.coalesce("up", "to").alias("component")), "components")
+        before, done = done, materialise(own.withColumnRenamed("component", "to").join(known, "to", "left").select("doc_id", F.coalesce("up", "to").alias("component")), "components")
+        discard(before, own)
+    discard(*steps)
     return done
 
 
 def _rooted(to: DataFrame) -> DataFrame:
     """Pointers followed to their ends by doubling; they only lead to smaller ids."""
-    to = to.select(F.col("a").alias("doc_id"), F.col("to").alias("component"))
+    to, out = to.select(F.col("a").alias("doc_id"), F.col("to").alias("component")), None
     while True:
         up = to.select(F.col("doc_id").alias("component"), F.col("component").alias("up"))
-        out = materialise(to.join(up, "component", "left").select("doc_id", F.coalesce("up", "component").alias("next"), F.col("component").alias("was")), "pointers")
-        moved = out.filter("next <> was").isEmpty()
-        to = out.select("doc_id", F.col("next").alias("component"))
-        if moved:
-            return to
+        before, out = out, materialise(to.join(up, "component", "left").select("doc_id", F.coalesce("up", "component").alias("component"), F.col("component").alias("was")), "pointers")
+        if before is not None:
+            discard(before)
+        if out.filter("component <> was").isEmpty():
+            return out
+        to = out.select("doc_id", "component")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
@@ -230,27 +249,60 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
     # from here to the comparison, doc_id is the number of a class and id the first document's
     first = first.select(F.col("class").alias("doc_id"), F.col("doc_id").alias("id"), "text_key", "n_shingles", "sketch", "n_bytes")
     lists = materialise(_prefixes(first.select("doc_id", "n_shingles", "sketch"), percent), "lists")
-    centres = materialise(lists.groupBy("value").agg(F.min("doc_id").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("value", "centre"), "centres")
+    centres = lists.groupBy("value").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("no"))).alias("x"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    centres = materialise(centres.select("value", (-F.col("x.no")).alias("centre")), "centres")
     met = lists.join(centres, "value").select("centre", "doc_id").distinct()
     met = materialise(met.join(first.select("doc_id", "id", "text_key", "n_bytes"), "doc_id"), "met")
-    blocks = met.groupBy("centre").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n_bytes") / BLOCK_BYTES)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n"))
-    blocks = materialise(blocks.filter("n > 1").select("centre", "blocks"), "blocks")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    dealt = met.join(blocks, "centre").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("doc_id", "id", "text_key", "centre", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    discard(lists, centres)
     texts = _keyed(docs).withColumnRenamed("doc_id", "id")
-    rows = dealt.join(texts, ["id", "text_key"])
+    needed = lambda: F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n_bytes") / BLOCK_BYTES)).cast("int")
+    deal = lambda blocks: F.pmod(F.xxhash64("doc_id"), F.col(blocks)).cast("int")
+
+    # each member with its centre, which goes to all blocks of its group
+    others = met.filter("doc_id <> centre")
+    blocks = materialise(others.groupBy("centre").agg(needed().alias("blocks")), "blocks")
+    hubs = met.filter("doc_id = centre").join(blocks, "centre").select("centre", "doc_id", "id", "text_key", "n_bytes", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"))
+    star = others.join(blocks, "centre").withColumn("own", deal("blocks")).select(*hubs.columns).unionByName(hubs).join(texts, ["id", "text_key"])
+
+    def with_centre(key: tuple, t: pa.Table) -> pa.Table:
+        ids = t.column("doc_id").to_numpy()
+        ids, at = np.unique(ids, return_index=True)  # rows that repeat
+        t = t.take(pa.array(at))
+        hub = int(np.searchsorted(ids, key[0].as_py()))
+        members = np.flatnonzero(np.arange(len(ids)) != hub)
+        sets = shingle_sets(*texts_of(t.column("text")), n)
+        yes = _linked(sets, np.full(len(members), hub), members, percent)
+        kept = t.take(pa.array(members)).select(["centre", "doc_id", "id", "text_key", "n_bytes"])
+        return kept.append_column("hub", pa.array(np.full(len(members), t.column("id")[hub].as_py()))).append_column("linked", pa.array(yes))
+
+    tried = star.groupBy("centre", "own").applyInArrow(with_centre, "centre long, doc_id long, id long, text_key long, n_bytes long, hub long, linked boolean")
+    tried = materialise(tried, "tried")
+    links = tried.filter("linked and hub <> id").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+
+    # members that their centre isn't linked with, against all others: blocks of them first, then of the linked ones
+    loose = F.when(~F.col("linked"), True)
+    dealt = tried.groupBy("centre").agg(
+        *[F.coalesce(F.greatest(F.ceil(F.count(c) / BLOCK_ROWS), F.ceil(F.sum(F.when(c, F.col("n_bytes"))) / BLOCK_BYTES)), F.lit(0)).cast("int").alias(name) for c, name in ((loose, "loose"), (F.when(F.col("linked"), True), "tied"))],
+        F.count(F.lit(1)).alias("n"),
+    )
+    dealt = materialise(dealt.filter("loose > 0 and n > 1").select("centre", "loose", "tied"), "dealt")
+    own = F.when(F.col("linked"), F.col("loose") + deal("tied")).otherwise(deal("loose"))
+    partners = F.sequence(F.lit(0), F.when(F.col("linked"), F.col("loose")).otherwise(F.col("loose") + F.col("tied")) - 1)
+    rest = tried.join(dealt, "centre").withColumn("own", own).withColumn("other", F.explode(partners))
+    rest = rest.select("doc_id", "id", "text_key", "centre", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
 
-    def compare(t: pa.Table) -> pa.Table:
+    def compare(key: tuple, t: pa.Table) -> pa.Table:
         ids, side = t.column("doc_id").to_numpy(), t.column("own").to_numpy()
         ids, at = np.unique(ids, return_index=True)
         t, side = t.take(pa.array(at)), side[at]
+        if key[1] != key[2] and side.min() == side.max():  # the other block is empty
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         sets = shingle_sets(*texts_of(t.column("text")), n)
         out = t.column("id").to_numpy()[group_links(np.arange(len(ids)), sets, side, percent)]
         out = out[out[:, 0] != out[:, 1]]
         return pa.table({"a": pa.array(out[:, 0]), "b": pa.array(out[:, 1])})
 
-    links = rows.groupBy("centre", "low", "high").applyInArrow(compare, "a long, b long")
+    links = links.union(rest.join(texts, ["id", "text_key"]).groupBy("centre", "low", "high").applyInArrow(compare, "a long, b long"))
     # documents with several texts link these texts' classes
     kinds = signed.groupBy("doc_id").agg(F.min(x := F.coalesce(F.xxhash64("set_id"), F.lit(0))).alias("low"), F.max(x).alias("high"))
     several = materialise(kinds.filter("low <> high").select("doc_id"), "several")

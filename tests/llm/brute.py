@@ -1,7 +1,9 @@
 """Plain versions of the operators, and awkward inputs for them."""
 
 import hashlib
+import math
 import re
+from fractions import Fraction
 
 SHARED = " ".join(f"common{i}" for i in range(70))
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -126,3 +128,121 @@ def near_duplicates(rows, n=5, percent=75):
         c = root(key(d))
         out.append((d, len(s), None if c == NO_ID else c, c == key(d)))
     return out
+
+
+def mixed(rows, weights=None, block=32):
+    """rows: (hash of the id, doc_id, source). The order of the mix, slot by slot: of all released blocks the one that is due first."""
+    name = lambda s: "n" if s is None else "s" + s
+    own: dict = {}
+    for h, d, s in sorted(rows, key=lambda r: (r[0], key(r[1]))):
+        own.setdefault(s, []).append(d)
+    number = {s: k for k, s in enumerate(sorted(own, key=name))}
+    w = {s: Fraction(math.sqrt(len(x)) if weights is None else weights.get(s, 0)) for s, x in own.items()}
+    blocks = {s: [x[k : k + block] for k in range(0, len(x), block)] for s, x in own.items()}
+    order = []
+    while live := [s for s in blocks if blocks[s] and w[s] > 0]:
+        total = sum(w[s] for s in live)
+        done, t = dict.fromkeys(live, 0), 0
+        while all(blocks[s] for s in live):
+            ready = [(math.ceil((done[s] + 1) * total / w[s]), -w[s], number[s], s) for s in live if math.floor(done[s] * total / w[s]) <= t]
+            s = min(ready)[3]
+            order += blocks[s].pop(0)
+            done[s] += 1
+            t += 1
+    for s in sorted(blocks, key=name):
+        order += sum(blocks[s], [])
+    return order
+
+
+M = (1 << 64) - 1
+
+
+def spread(x):
+    for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        x = (x ^ (x >> shift)) * times & M
+    return x
+
+
+def phrase_names(data: bytes, byte_keys, base, levels=4, rounds=3):
+    """Names of the phrases of each level, symbol by symbol."""
+    sym, label, out = [int(byte_keys[b]) for b in data], list(data), []
+    for _ in range(levels if data else 0):
+        runs = [k for k in range(len(sym)) if k == 0 or sym[k] != sym[k - 1]]
+        many = [b - a for a, b in zip(runs, [*runs[1:], len(sym)])]
+        label = [label[k] for k in runs]
+        sym = [sym[k] if n == 1 else spread((sym[k] + n * 0x9E3779B97F4A7C15) & M) for k, n in zip(runs, many)]
+        for _ in range(rounds):
+            new = []
+            for k, x in enumerate(label):
+                differ = x ^ label[k - 1] if k else 1
+                place = (differ & -differ).bit_length() - 1 if differ else 0
+                new.append(2 * place + (x >> place & 1))
+            label = new
+        at = [k for k in range(len(sym)) if k == 0 or (k + 1 < len(sym) and label[k] > label[k - 1] and label[k] >= label[k + 1])]
+        sym = label = [spread((sum(x * pow(base, i, 1 << 64) for i, x in enumerate(sym[a:b])) + b - a) & M) for a, b in zip(at, [*at[1:], len(sym)])]
+        out.append(set(sym))
+    return out + [set()] * (levels - len(out))
+
+
+def fingerprint(data: bytes, byte_keys, base):
+    one, two, three, four = phrase_names(data, byte_keys, base)
+    upper = sorted(three | four)
+    return [x >> 16 for x in upper[:64]], [x >> 16 for x in sorted(one | two)[:32]] if len(upper) < 16 else []
+
+
+def likeness(a, b):
+    pairs = [(a[0], b[0], 64)] + ([(a[1], b[1], 32)] if a[1] and b[1] else [])
+    unions = [(set(x) & set(y), sorted(set(x) | set(y))[:n]) for x, y, n in pairs]
+    total = sum(len(u) for _, u in unions)
+    return sum(len(both & set(u)) for both, u in unions) / total if total else 1.0
+
+
+def discovered(texts, kinds, valid, token, shapes, confidence=0.8, seeds=5):
+    """All spans of each text: base ones, and those that contexts make known, round by round."""
+    word, space = r"[^\x20\x09-\x0D]", r"[\x20\x09-\x0D]"
+
+    def patterns(before, after):
+        found = [("L ", re.search(rf"({word}+){space}+\Z", before)), ("LL ", re.search(rf"({word}+{space}+{word}+){space}+\Z", before)), ("R ", re.match(rf"{space}+({word}+)", after))]
+        return {n + re.sub(rf"{space}+", " ", m[1]).lower() for n, m in found if m and not re.search("[0-9@]", m[1])}
+
+    def matches(pattern, text):
+        found = list(re.finditer(pattern, text, re.A))
+        ends, starts = [0, *(m.end() for m in found)], [*(m.start() for m in found), len(text)]
+        return [(m, patterns(text[ends[k] : m.start()], text[m.end() : starts[k + 1]])) for k, m in enumerate(found)]
+
+    base, loose, seen, able = [], [], set(), set()
+    for text in texts:
+        own = [(m.start(), i, m.end(), k, p, m[0].lower()) for i, (k, pattern) in enumerate(kinds.items()) for m, p in matches(pattern, text) if valid(k, m[0])]
+        base.append(sorted(x[:4] for x in own))
+        seen |= {(x, k, s) for _, _, _, k, p, s in own for x in p}
+        some = []
+        for m, p in matches(token, text):
+            surface = re.sub("[.,;:!?]+\Z", "", m[0].lower())
+            end = m.start() + len(surface)
+            if len(m[0]) >= 6 and ("@" in m[0] or len(re.findall("[0-9]", m[0])) >= 4) and not any(a < end and b > m.start() for a, _, b, _ in base[-1]):
+                some.append((m.start(), end, surface))
+                able |= {(x, surface) for x in p}
+        loose.append(some)
+    everything: dict = {}
+    for x in [x for x, _, _ in seen] + [x for x, _ in able]:
+        everything[x] = everything.get(x, 0) + 1
+    known: dict = {}
+    while True:
+        good: dict = {}
+        for x, k in [(x, k) for x, k, _ in seen] + [(x, known[s]) for x, s in able if s in known]:
+            good[x, k] = good.get((x, k), 0) + 1
+        strong = {(x, k): n / everything[x] for (x, k), n in good.items() if n >= seeds and n / everything[x] >= confidence}
+        doubt: dict = {}
+        for x, s in able:
+            for k in kinds:
+                if (x, k) in strong and re.search(shapes[k], s):
+                    doubt[s, k] = doubt.get((s, k), 1.0) * max(1 - strong[x, k], 1e-9)
+        best: dict = {}
+        for (s, k), d in doubt.items():
+            if s not in known:
+                best[s] = max(best.get(s, (0, "")), (1 - d, k))
+        if not best:
+            break
+        known |= {s: k for s, (_, k) in best.items()}
+    names = list(kinds)
+    return [sorted(b + [(a, names.index(known[s]), e, known[s]) for a, e, s in some if s in known]) for b, some in zip(base, loose)]

@@ -1,6 +1,8 @@
 """Base spans against plain patterns; discovery from contexts."""
 
+import random
 import re
+import time
 
 import pytest
 
@@ -49,6 +51,52 @@ def test_base_spans(spark, sf_dir, source):
     assert got == {r.doc_id: plain(r.text) for r in docs.collect()}
 
 
+def planted(seed=5):
+    """Identifiers beyond the base patterns in contexts of base ones, and the same shapes in other contexts."""
+    rng = random.Random(seed)
+    word = lambda: rng.choice("alpha beta gamma delta omega sigma kappa theta".split())
+    frames = {"email": ["please write to {} today", "mail me at {} or not"], "phone": ["my telephone number is {} thanks", "call me on {} tomorrow"], "ip": ["server address was {} again"]}
+    base = {"email": lambda: f"{word()}{rng.randrange(999)}@{word()}.org", "phone": lambda: f"+44 20 {rng.randrange(1000, 9999)} {rng.randrange(1000, 9999)}", "ip": lambda: ".".join(str(rng.randrange(256)) for _ in range(4))}
+    new = {"email": lambda: f"{word()}.{rng.randrange(9999)}@localhost", "phone": lambda: f"0{rng.randrange(100, 999)} {rng.randrange(100, 999)} {rng.randrange(1000, 9999)}", "ip": lambda: ":".join(f"{rng.randrange(4096, 65536):x}" for _ in range(6))}
+    texts, hidden = [], []
+    for k in range(560):
+        kind = rng.choice(list(frames))
+        secret = k >= 500
+        value = (new if secret else base)[kind]()
+        before = " ".join(word() for _ in range(rng.randrange(1, 9)))
+        texts.append(f"{before} {rng.choice(frames[kind]).format(value)} {word()} item {rng.randrange(1000, 9999)}-{rng.randrange(10000)} of {rng.randrange(1990, 2030)}")
+        hidden.append((kind, value) if secret else None)
+    return texts, hidden
+
+
+def test_spans_against_a_plain_version_and_recall_of_discovery(spark):
+    texts, hidden = planted()
+    more = [t for t in TEXTS if t] + ["", "a 12345 b 555 0199 22 c", "x" * 300 + " 4444 " + "word " * 900]
+    docs = spark.createDataFrame(list(enumerate(texts + more)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.digests(pii.find(docs)).collect()}
+    expect = brute.discovered(texts + more, KINDS, valid, pii.TOKEN, pii.SHAPE)
+    assert got == {k: ",".join(f"{n}:{a}:{b}" for a, _, b, n in spans) for k, spans in enumerate(expect)}
+    found = [f"{h[0]}:{texts[k].index(h[1])}:{texts[k].index(h[1]) + len(h[1])}" in got[k].split(",") for k, h in enumerate(hidden) if h]
+    assert sum(found) >= 0.9 * len(found)
+    clean = [k for k, h in enumerate(hidden) if not h]
+    assert sum(got[k] != ",".join(f"{n}:{a}:{b}" for a, _, b, n in sorted(sum(([(m.start(), i, m.end(), q) for m in re.finditer(p, texts[k], re.A) if valid(q, m[0])] for i, (q, p) in enumerate(KINDS.items())), []))) for k in clean) == 0
+
+
+def test_rows_that_share_an_id_get_the_spans_of_their_own_text(spark):
+    rows = [(k, f"please mail to user{k}@host{k}.example now") for k in range(8)]
+    rows += [(20, "please mail to hidden7731@localhost now"), (20, "nothing at all here"), (None, "and mail to hidden7731@localhost too"), (None, "no id")]
+    got = sorted((brute.key(r.doc_id), r.spans) for r in pii.digests(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect())
+    assert [s for d, s in got if d == 20] == ["", "email:15:35"] and [s for d, s in got if d == brute.NO_ID] == ["", "email:12:32"]
+
+
+def test_very_long_texts_take_time_in_proportion(spark):
+    text = " ".join(f"token{k} 4{k:07d}" if k % 3 else f"u{k}@h.example" for k in range(48_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    r = pii.digests(pii.find(docs)).first()
+    assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == plain(text)[0] and time.time() - began < 60
+
+
 def test_discovery_and_odd_rows(spark):
     rows = [(k, f"please mail to user{k}@host{k}.example now") for k in range(8)]
     rows += [(20, "please mail to hidden7731@localhost now"), (21, "nothing to hidden7731@localhost see"), (22, "a clean text of 2024 words"), (None, "please mail to user@a.b now"), (23, None), (0, rows[0][1])]

@@ -13,7 +13,8 @@ repeated. A null source is a source of its own. Sources without a target weight,
 less, follow when all others are through, in the order of their names. Rows with a null doc_id, and
 rows that repeat, get a place each (equal rows in any order). An empty table gives an empty one; other
 columns are carried. The driver works out the schedule block by block and holds a number for each
-block, which is one for BLOCK rows.
+block and a row for each source; so that this has a bound, blocks are larger than asked for where there
+would be more than MOST_BLOCKS of them, by the same rule for all sources.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 BLOCK = 32
-#: Rows in a range of hash values of a source; blocks of a source in a row of the plan; most sources and blocks whose plan is broadcast.
+#: Rows in a range of hash values of a source; blocks of a source in a row of the plan; most sources whose plan is broadcast, and most blocks.
 RANGE_ROWS, PIECE, MOST_SOURCES, MOST_BLOCKS = 1000, 1024, 2000, 2_000_000
 
 
@@ -132,12 +133,13 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bloc
     others = [c for c in docs.columns if c not in ("doc_id", "source")]
     carried = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(0)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), carried.alias("carried"))
-    key = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.lit(11))
+    key = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.lit(11)), 1)
     n = rows.count()
+    block = max(block, math.ceil(n / MOST_BLOCKS))
     ranges = max(1, math.ceil(n / RANGE_ROWS))
     # equality of names that hold for null too, so the window's partitioning serves the join
     rows = rows.withColumn("name", F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit(""))))
-    keyed = rows.withColumn("key", key).withColumn("range", F.floor((F.shiftrightunsigned("key", 33).cast("double")) / 2**31 * ranges).cast("int"))
+    keyed = rows.withColumn("key", key).withColumn("range", F.floor(F.shiftright("key", 32).cast("double") / 2**31 * ranges).cast("int"))
     counts = materialise(keyed.groupBy("name", "range").agg(F.first("source").alias("source"), F.count(F.lit(1)).alias("n")), "counts")
     total = counts.groupBy("name").agg(F.first("source").alias("source"), F.sum("n").alias("n")).orderBy("name").collect()  # a row for each source
     number = {r.source: k for k, r in enumerate(total)}
@@ -150,7 +152,7 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bloc
     placed = keyed.withColumn("rank", F.row_number().over(inside) - 1).join(offsets, ["name", "range"])
     at = F.col("before") + F.col("rank")
     placed = placed.select("doc_id", "source", "name", "carried", F.floor(at / block).alias("block"), F.pmod(at, F.lit(block)).cast("int").alias("place"))
-    plan = F.broadcast(plan) if len(total) <= MOST_SOURCES and sum(sizes.values()) <= MOST_BLOCKS else plan
+    plan = F.broadcast(plan) if len(total) <= MOST_SOURCES else plan
     out = placed.join(plan, (F.col("name") == F.col("s")) & (F.floor(F.col("block") / PIECE) == F.col("piece")))
     slot = F.element_at("slots", (F.pmod(F.col("block"), F.lit(PIECE)) + 1).cast("int"))
     return out.select("doc_id", "source", "block", slot.cast("long").alias("slot"), "place", "carried")

@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from helixplane.llm import mixing
@@ -55,6 +56,23 @@ def test_documents(spark, sf_dir, monkeypatch):
     assert all(abs(ran[s] - first_end * math.sqrt(n) / total) < 1.5 for s, n in counts.items())
 
 
+@pytest.mark.parametrize("block", [1, 4, 32])
+def test_against_a_plain_schedule(spark, sf_dir, monkeypatch, block):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 20)
+    odd = brute.odd_documents(spark).withColumnRenamed("chunk", "source").select("doc_id", "source").dropDuplicates(["doc_id"])
+    for docs, weights in ((table(spark, sf_dir, "documents"), None), (odd, {"a": 1, None: 2, "zz": 9, "d": 0}), (odd, None)):
+        rows = [(r.h, r.doc_id, r.source) for r in docs.selectExpr("shiftrightunsigned(xxhash64(coalesce(doc_id, -1L), 11), 1) as h", "doc_id", "source").collect()]
+        got = [r.doc_id for r in mixing.mix(docs, weights, block).orderBy("slot", "place").collect()]
+        assert got == brute.mixed(rows, weights, block)
+
+
+def test_large_tables_have_larger_blocks(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 20)
+    docs = table(spark, sf_dir, "documents")
+    out = mixing.mix(docs, block=1).collect()
+    assert {r.place for r in out} == set(range(10)) and len(out) == docs.count() == 200
+
+
 def test_odd_rows(spark):
     docs = brute.odd_documents(spark).withColumnRenamed("chunk", "source").selectExpr("*", "1 as slot", "2 as block")
     out = mixing.mix(docs, {"a": 1, None: 2, "zz": 9, "d": 0}, block=2, resolution=16).collect()
@@ -78,5 +96,16 @@ def test_sources_stay_within_one_block_of_unrounded_weights_over_long_runs(spark
     assert t > 20_000
 
 
+def test_a_million_slots_stay_within_one_block_of_their_targets():
+    weights = {0: 1.0, 1: 0.7310585, 2: 0.00257, 3: 0.3}
+    blocks = {0: 500_000, 1: 600_000, 2: 600_000, 3: 600_000}
+    plan = mixing.period(mixing.exact_weights(weights), blocks)
+    n, total = sum(map(len, plan.values())), sum(weights.values())
+    assert n > 1_000_000 - 50_000
+    for k, own in plan.items():
+        before = np.arange(len(own)) - own * (weights[k] / total)  # ahead of its share as each block begins, and when it is through
+        assert before.max() < 1 and before.min() > -1 and (before + 1 - weights[k] / total).max() < 1
+
+
 def test_exact_weights_keep_proportions():
     assert mixing.exact_weights({0: 0.5, 1: 3, 2: 2.0**-40}) == {0: 2**39, 1: 3 * 2**40, 2: 1}

@@ -5,15 +5,18 @@ of equal symbols becomes one; each symbol's label is the lowest bit in which it
 before, and that bit, taken again until labels are small; a phrase begins where a label is a local
 maximum; its name, the hash of its symbols, is a symbol of the next level. A boundary depends on a few
 neighbours only, so equal substrings have the same phrases inside, wherever they start. A fingerprint is
-the bottom-k sketch, by the names' own hash values, of the distinct phrase names of levels BOTTOM to TOP (phrases of about
-30 and 80 bytes);
-likeness of two is the share of the smallest k of their union that both hold.
+the bottom-k sketch, by the names' own hash values, of the distinct phrase names of levels 3 and 4
+(phrases of about 30 and 80 bytes), KEPT at most; a text with fewer than SHORT of them, which is one of
+a few hundred bytes, adds the sketch of its names of levels 1 and 2 (about 3 and 9 bytes), FINE at most.
+Likeness of two is the share of the smallest k of their union that both hold, over both kinds of names
+if both fingerprints have the finer ones.
 
 Nothing is gathered per group: documents are sorted by id within ranges of ids, each range also gets
-the first document of the next, and tasks stream through them. Null text is empty text; the fingerprint
-of empty text is empty, and two empty ones are alike (1). A null doc_id sorts after all others. Rows
-that repeat an id are neighbours, ordered by text. A lone document is its own next one. An empty table
-gives an empty one; other columns don't matter. Texts of any length are parsed whole.
+the first document of the next, and tasks stream through them. Ids that fill whole ranges, null among
+them, are split by a hash of the text. Null text is empty text; the fingerprint of empty text is empty,
+and two empty ones are alike (1). A null doc_id sorts after all others. Rows that repeat an id are
+neighbours, ordered by a hash of their texts, then the text. A lone document is its own next one. An
+empty table gives an empty one; other columns don't matter. Texts of any length are parsed whole.
 """
 
 from __future__ import annotations
@@ -27,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_KEYS, NO_ID, id_and_text, mix, prefix_hash, real_id, span_hash
+from .common import BYTE_KEYS, id_and_text, mix, prefix_hash, real_id, span_hash
 
-KEPT, BOTTOM, TOP, ROUNDS = 64, 3, 4, 3
+KEPT, SHORT, FINE, BOTTOM, TOP, ROUNDS = 64, 16, 32, 3, 4, 3
 #: Documents in a range of ids, most ranges, and bytes that are parsed at a time.
 RANGE_ROWS, MOST_RANGES, AT_ONCE = 500, 20_000, 1 << 19
 
@@ -62,11 +65,12 @@ def _phrases(label: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return np.flatnonzero(peak | opens)
 
 
-def parse(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
-    """The distinct phrase names of each text, smallest first, KEPT at most."""
+def parse(data: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The distinct phrase names of each text, smallest first: KEPT at most of the upper levels, and FINE at most of the lower ones where there are fewer than SHORT."""
     n = len(off) - 1
     doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(off))
-    sym, label, names, owners = BYTE_KEYS[data], data, [], []
+    sym, label = BYTE_KEYS[data], data
+    upper, lower = [], []
     for level in range(1, TOP + 1):
         if not len(sym):
             break
@@ -79,53 +83,72 @@ def parse(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
         at = _phrases(label, doc)
         sym = label = span_hash(prefix_hash(sym), at, np.append(at[1:], len(sym)))
         doc = doc[at]
-        if level >= BOTTOM:
-            names.append(sym)
-            owners.append(doc)
-    if not names:
-        return [np.zeros(0, np.uint64)] * n
-    names, owners = np.concatenate(names), np.concatenate(owners)
+        (upper if level >= BOTTOM else lower).append((sym, doc))
+    coarse, held = _least(upper, n, KEPT, np.ones(n, bool))
+    fine, _ = _least(lower, n, FINE, held < SHORT)
+    return list(zip(coarse, fine, strict=True))
+
+
+def _least(found: list[tuple[np.ndarray, np.ndarray]], n: int, most: int, wanted: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The least distinct names of each text that wants them, and how many distinct ones it has."""
+    names, owners = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, t) for k, t in enumerate((np.uint64, np.int32)))
+    some = wanted[owners]
+    names, owners = names[some], owners[some]
     order = np.lexsort((names, owners))
     names, owners = names[order], owners[order]
     new = np.ones(len(names), bool)
     new[1:] = (names[1:] != names[:-1]) | (owners[1:] != owners[:-1])
     names, owners = names[new], owners[new]
     ends = np.searchsorted(owners, np.arange(n + 1))
-    return [names[a : min(b, a + KEPT)] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return [names[a : min(b, a + most)] for a, b in zip(ends[:-1], ends[1:], strict=True)], np.diff(ends)
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    union = np.union1d(a, b)[:KEPT]
-    return float(np.isin(union, np.intersect1d(a, b, assume_unique=True), assume_unique=True).sum() / len(union))
+def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    kinds = [(a[0], b[0], KEPT)]
+    if len(a[1]) and len(b[1]):
+        kinds.append((a[1], b[1], FINE))
+    common = total = 0
+    for x, y, most in kinds:
+        union = np.union1d(x, y)[:most]
+        common += int(np.isin(union, np.intersect1d(x, y, assume_unique=True), assume_unique=True).sum())
+        total += len(union)
+    return common / total if total else 1.0
 
 
-def _cut(sketch: np.ndarray) -> np.ndarray:
+def _cut(sketches: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The 48 bits of each name that a fingerprint keeps."""
-    return sketch >> np.uint64(16)
+    return sketches[0] >> np.uint64(16), sketches[1] >> np.uint64(16)
+
+
+def _text(sketches: tuple[np.ndarray, np.ndarray]) -> str:
+    """12 hexadecimal digits a name; the finer names, if any, after a dot."""
+    upper, lower = (p.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes().hex() for p in sketches)
+    return f"{upper}.{lower}" if lower else upper
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited (the text whose second half is the start of the next document), fingerprint, edited_fingerprint, near_edited, near_next."""
-    spark, rows = docs.sparkSession, id_and_text(docs)
+    spark, rows = docs.sparkSession, id_and_text(docs).withColumn("hash", F.xxhash64("text"))
     n = rows.count()
     ranges_ = max(1, min(MOST_RANGES, math.ceil(n / RANGE_ROWS)))
-    known = rows.filter(F.col("doc_id") < NO_ID)
-    cuts = sorted(set((known.agg(F.percentile_approx("doc_id", F.array(*[F.lit(k / ranges_) for k in range(1, ranges_)]), 10 * ranges_ + 1000)).first()[0] if ranges_ > 1 else None) or []))
-    edges = np.array(cuts, np.int64)
+    cuts = (rows.agg(F.percentile_approx("doc_id", F.array(*[F.lit(k / ranges_) for k in range(1, ranges_)]), 10 * ranges_ + 1000)).first()[0] if ranges_ > 1 else None) or []
+    edges = np.array(sorted(cuts), np.int64)
 
     @F.pandas_udf("int")
-    def part_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, ids.to_numpy(), "right").astype(np.int32))
-
-    rows = rows.withColumn("part", part_of("doc_id"))
-    firsts = sorted((r.part, r.doc_id) for r in rows.groupBy("part").agg(F.min("doc_id").alias("doc_id")).collect())
-    # two numbers for each range, MOST_RANGES at most; the first document of all follows the last
-    before = spark.createDataFrame([(d, firsts[k - 1][0]) for k, (_, d) in enumerate(firsts)], "doc_id long, part int")
-    tails = id_and_text(docs).join(F.broadcast(before), "doc_id").groupBy("doc_id", "part").agg(F.min("text").alias("text"))
-    both = rows.select("part", F.lit(0).alias("tail"), "doc_id", "text").unionByName(tails.select("part", F.lit(1).alias("tail"), "doc_id", "text"))
-    sorted_ = both.repartition("part").sortWithinPartitions("part", "tail", "doc_id", "text")
+    def part_of(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        ids, hashes = ids.to_numpy(), hashes.to_numpy()
+        low, high = np.searchsorted(edges, ids, "left"), np.searchsorted(edges, ids, "right")
+        own = np.maximum(high - low - 1, 0)  # ranges that one id fills: split by the hash
+        share = np.floor((hashes / 2.0**64 + 0.5).clip(0, 1 - 2**-53) * own).astype(np.int64)
+        return pd.Series(np.where(own > 0, low + 1 + share, high).astype(np.int32))
+
+    rows = rows.withColumn("part", part_of("doc_id", "hash"))
+    firsts = sorted((r.part, r.x.doc_id, r.x.hash) for r in rows.groupBy("part").agg(F.min(F.struct("doc_id", "hash")).alias("x")).collect())
+    # three numbers for each range, MOST_RANGES at most; the first document of all follows the last
+    before = spark.createDataFrame([(d, h, p, firsts[k - 1][0]) for k, (p, d, h) in enumerate(firsts)], "doc_id long, hash long, part int, to int")
+    tails = rows.join(F.broadcast(before), ["doc_id", "hash", "part"]).groupBy("to", "doc_id", "hash").agg(F.min("text").alias("text"))
+    both = rows.select("part", F.lit(0).alias("tail"), "doc_id", "hash", "text").unionByName(tails.select(F.col("to").alias("part"), F.lit(1).alias("tail"), "doc_id", "hash", "text"))
+    sorted_ = both.repartition("part").sortWithinPartitions("part", "tail", "doc_id", "hash", "text")
     out = sorted_.mapInArrow(_run, "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return out.withColumn("doc_id", real_id(F.col("doc_id")))
 
@@ -154,14 +177,13 @@ def _done(rows: list[tuple]) -> pa.RecordBatch:
     off = np.cumsum([0, *map(len, raw)])
     prints = [_cut(p) for p in parse(np.frombuffer(b"".join(raw), np.uint8), off)]
     own, new = prints[: len(rows)], prints[len(rows) :]
-    hexa = lambda p: (p.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes().hex()
     return pa.RecordBatch.from_arrays(
         [
             pa.array([rows[k][2] for k in mine], pa.int64()),
             pa.array([len(texts[k]) for k in mine], pa.int64()),
             pa.array(edited, pa.string()),
-            pa.array([hexa(own[k]) for k in mine], pa.string()),
-            pa.array([hexa(p) for p in new], pa.string()),
+            pa.array([_text(own[k]) for k in mine], pa.string()),
+            pa.array([_text(p) for p in new], pa.string()),
             pa.array([likeness(own[k], p) for k, p in zip(mine, new, strict=True)], pa.float64()),
             pa.array([likeness(own[k], own[k + 1]) for k in mine], pa.float64()),
         ],

@@ -7,9 +7,11 @@ the edge: each task its best k of a query at most, by score and then id, which n
 
 Components are floor(256 * x), x as double. Vectors that are null, or hold a null or a component that
 isn't finite, take no part; nor do rows with a null vec_id. Missing components of a shorter vector
-count as 0. Rows with the query's own id aren't its candidates; other repeated rows each count. Empty
-tables, or queries without candidates, give no rows. Other columns don't matter. Queries are taken in
-blocks of about QUERIES, so what is broadcast and gathered on the driver has a bound.
+count as 0. Rows with the query's own id aren't its candidates; other repeated rows each count. Of
+query rows that share an id, the one with the least vector (in the order of arrays) asks. Empty tables,
+or queries without candidates, give no rows. Other columns don't matter. Scores must fit 64 bits;
+components beyond that raise an error. Queries are taken in blocks of about QUERIES, so what is
+broadcast and gathered on the driver has a bound; within a task they meet the vectors in tiles.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir
 
-QUERIES, BINS, ROWS, FEW = 1024, 1024, 2048, 64
+QUERIES, BINS, ROWS, TILE, FEW = 8192, 256, 2048, 512, 64
 RESULT = "query_id long, rank int, vec_id long, score long"
 
 
@@ -50,6 +52,8 @@ def scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Inner products of whole numbers, exactly."""
     if float(np.abs(q).sum(1).max(initial=0)) * float(np.abs(c).max(initial=0)) < 2**53:
         return (q @ c.T).astype(np.int64)
+    if float(np.abs(q).sum(1).max()) * float(np.abs(c).max()) >= 2**63:
+        raise OverflowError("scores don't fit 64 bits")
     return q.astype(np.int64) @ c.astype(np.int64).T
 
 
@@ -63,7 +67,8 @@ def top_k(table: DataFrame, is_query: Column, k: int) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the k best candidates of each query, ties to the smaller vec_id."""
     spark = table.sparkSession
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    queries = rows.filter(is_query)
+    whole = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
+    queries = rows.filter(is_query & whole & F.col("vec_id").isNotNull()).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     blocks = max(1, math.ceil(queries.count() / QUERIES))
     norm = lambda c: F.sqrt(F.aggregate(F.filter(c, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf"))), F.lit(0.0), lambda a, x: a + F.pow(F.lit(256.0) * x + 1, 2) + F.pow(F.lit(256.0) * x - 1, 2)))
     most = float(rows.select(norm(F.col("embedding")).alias("n")).agg(F.max("n")).first()[0] or 0)
@@ -95,9 +100,12 @@ def _search(rows: DataFrame, ids: np.ndarray, vecs: np.ndarray, most: float, k:
             own, q, lo, w = sent.value
             total = np.zeros((len(own), BINS), np.int64)
             for c_ids, c in _parts(batches, dims):
-                bins = (scores(q, c) - lo[:, None]) // w[:, None]
-                ok = (bins >= 0) & (bins < BINS) & (own[:, None] != c_ids)
-                total += np.bincount((np.arange(len(own))[:, None] * BINS + bins)[ok], minlength=total.size).reshape(total.shape)
+                for a in range(0, len(own), TILE):
+                    mine = slice(a, a + TILE)
+                    bins = (scores(q[mine], c) - lo[mine, None]) // w[mine, None]
+                    ok = (bins >= 0) & (bins < BINS) & (own[mine, None] != c_ids)
+                    part = total[mine]
+                    part += np.bincount((np.arange(len(part))[:, None] * BINS + bins)[ok], minlength=part.size).reshape(part.shape)
             q_at, b_at = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(q_at, pa.int32()), pa.array(b_at, pa.int32()), pa.array(total[q_at, b_at])], ["q", "bin", "n"])
 
@@ -124,9 +132,12 @@ def _search(rows: DataFrame, ids: np.ndarray, vecs: np.ndarray, most: float, k:
         own, q, least = sent.value
         best: list[np.ndarray] = [np.zeros(0, np.int64)] * 3  # query, score, id
         for c_ids, c in _parts(batches, dims):
-            s = scores(q, c)
-            x, y = np.nonzero((s >= least[:, None]) & (own[:, None] != c_ids))
-            best = [np.concatenate(p) for p in zip(best, (x, s[x, y], c_ids[y]), strict=True)]
+            found = []
+            for a in range(0, len(own), TILE):
+                s = scores(q[a : a + TILE], c)
+                x, y = np.nonzero((s >= least[a : a + TILE, None]) & (own[a : a + TILE, None] != c_ids))
+                found.append((x + a, s[x, y], c_ids[y]))
+            best = [np.concatenate((b, *(f[j] for f in found))) for j, b in enumerate(best)]
             order = np.lexsort((best[2], -best[1], best[0]))
             best = [b[order] for b in best]
             first = np.searchsorted(best[0], best[0])

@@ -1,18 +1,19 @@
 """Toxicity by a classifier chain.
 
 Categories are predicted one after the other by linear (logistic) models over hashed word features;
-each later model also gets the earlier categories' log-odds. For training, these are out-of-fold: each
-row's come from models that were fitted without its fold, so later models learn from predictions such
-as they will see. At prediction the chain's full models are applied in order.
+each later model also gets the earlier categories' probabilities. For training, these are out-of-fold:
+each row's come from models that were fitted without its fold, so later models learn from predictions
+such as they will see. At prediction the chain's full models are applied in order.
 
 Features of a text are its distinct words in lower case, and their first 4, 5 and 6 bytes, hashed
 into 2 ** BITS; each counts once however long the text. Models are fitted on the driver on a bounded
-sample, MAX_ROWS labelled rows at most, those of least hash of doc_id, of each at most MAX_FEATURES
-features, those of least hash (a text has more from about a thousand distinct words on), and the
-fixed-size weights are broadcast; everything is scored, by all of its features.
+sample of labelled documents: those of least hash of doc_id, MAX_ROWS at most, and no more than have
+MAX_CELLS features together, each with all of its features. The fixed-size weights are broadcast;
+everything is scored, by all of its features.
 
 Null or empty text has no features and gets the models' intercepts. Labels that are null, or rows
-without a text row, don't train. Where a category has rows of one label only, its model is a constant;
+without a text row, don't train. Of labels of one doc_id the greatest holds (toxic, if one says so), of
+its texts the least. Where a category has rows of one label only, its model is a constant;
 without any, nothing is of the category. Repeated rows are scored each; an empty table gives an empty one; other columns don't matter.
 """
 
@@ -22,14 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BYTE_KEYS, WHITE, id_and_text, prefix_hash, real_id, span_hash, texts_of
+from .common import BYTE_KEYS, WHITE, discard, id_and_text, materialise, prefix_hash, real_id, span_hash, texts_of
 
 BITS, HEADS = 18, (4, 5, 6)
-MAX_ROWS, MAX_FEATURES, FOLDS, EPOCHS = 8_000, 4096, 5, 12
+MAX_ROWS, MAX_CELLS, FOLDS, EPOCHS = 8_000, 1 << 25, 5, 12
 AT_ONCE = 1 << 20
 #: The log-odds against a category that no row trains.
 NEVER = 8.0
@@ -70,6 +71,10 @@ def features(data: np.ndarray, off: np.ndarray, wanted: np.ndarray | None = None
     return key & ((1 << BITS) - 1), np.searchsorted(key >> BITS, np.arange(n + 1))
 
 
+def probability(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-z.clip(-30, 30)))
+
+
 class Linear:
     """Logistic regression over sparse sets of features and a few dense columns, by AdaGrad."""
 
@@ -112,7 +117,7 @@ class Linear:
                 at = slots[np.repeat(off[batch] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
                 sums = np.concatenate(([0.0], np.cumsum(w[at])))[np.concatenate(([0], np.cumsum(n)))]
                 z = np.diff(sums) + dense[batch] @ self.v + self.b
-                g = (1 / (1 + np.exp(-z.clip(-30, 30))) - y[batch]) * balance[batch] / len(batch)
+                g = (probability(z) - y[batch]) * balance[batch] / len(batch)
                 grad = np.bincount(at, np.repeat(g, n), minlength=len(w))
                 square += grad**2
                 w -= 0.1 * grad / np.sqrt(square)
@@ -126,7 +131,7 @@ class Linear:
 
 
 def fit_chain(slots: np.ndarray, off: np.ndarray, labels: np.ndarray) -> list[Linear]:
-    """One model for each column of labels; a later one is fitted with out-of-fold log-odds of the earlier."""
+    """One model for each column of labels; a later one is fitted with out-of-fold probabilities of the earlier."""
     n, m = labels.shape
     fold, rows = np.arange(n) % FOLDS, np.arange(n)
     earlier, chain = np.zeros((n, 0)), []
@@ -138,7 +143,7 @@ def fit_chain(slots: np.ndarray, off: np.ndarray, labels: np.ndarray) -> list[Li
             for f in range(FOLDS):
                 model = Linear(k).fit(slots, off, earlier, y, rows[fold != f])
                 out[fold == f] = model.logits(slots, off, earlier)[fold == f]
-            earlier = np.column_stack((earlier, out.clip(-8, 8)))
+            earlier = np.column_stack((earlier, probability(out)))
     return chain
 
 
@@ -148,27 +153,32 @@ def predict(chain: list[Linear], slots: np.ndarray, off: np.ndarray) -> np.ndarr
     out = []
     for model in chain:
         z = model.logits(slots, off, earlier)
-        out.append(1 / (1 + np.exp(-z.clip(-30, 30))))
-        earlier = np.column_stack((earlier, z.clip(-8, 8)))
+        out.append(probability(z))
+        earlier = np.column_stack((earlier, out[-1]))
     return np.column_stack(out)
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], max_rows: int = MAX_ROWS) -> list[Linear]:
     """A chain over the categories (0/1 columns made of labels), in their order, from max_rows labelled documents at most."""
-    wanted = labels.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), *[c.cast("int").alias(f"y{k}") for k, c in enumerate(categories.values())]).dropna().dropDuplicates(["doc_id"])
-    sample = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     names = [f"y{k}" for k in range(len(categories))]
+    wanted = labels.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), *[c.cast("int").alias(n) for n, c in zip(names, categories.values(), strict=True)]).dropna()
+    wanted = wanted.groupBy("doc_id").agg(*[F.max(n).alias(n) for n in names])
+    sample = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 200):
                 rows = b.slice(k, 200)
                 slots, off = features(*texts_of(rows.column("text")))
-                some = [np.sort(x[np.argsort(x * 0x9E3779B1 % 2**31, kind="stable")[:MAX_FEATURES]]) for x in np.split(slots, off[1:-1])]
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *[rows.column(n) for n in names], pa.array(some, pa.list_(pa.int32()))], ["doc_id", *names, "slots"])
-
-    rows = id_and_text(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "text", *names)
-    got = rows.mapInArrow(run, ", ".join(["doc_id long", *[f"{n} int" for n in names], "slots array<int>"])).toArrow().sort_by("doc_id")
+                some = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(slots, pa.int32()))
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *[rows.column(n) for n in names], some], ["doc_id", *names, "slots"])
+
+    rows = id_and_text(docs).join(F.broadcast(sample), "doc_id").groupBy("doc_id", *names).agg(F.min("text").alias("text")).select("doc_id", "text", *names)
+    found = materialise(rows.mapInArrow(run, ", ".join(["doc_id long", *[f"{n} int" for n in names], "slots array<int>"])), "training")
+    sizes = found.select("doc_id", F.size("slots").alias("n"), F.xxhash64("doc_id").alias("hash"))  # max_rows rows at most
+    fits = sizes.withColumn("up", F.sum("n").over(Window.orderBy("hash", "doc_id"))).filter(F.col("up") <= MAX_CELLS).select("doc_id")
+    got = found.join(F.broadcast(fits), "doc_id").toArrow().sort_by("doc_id")
+    discard(found)
     lists = got.column("slots").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
     lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
     off = np.concatenate(([0], np.cumsum(np.diff(lists.offsets.to_numpy().astype(np.int64))))) if got.num_rows else np.zeros(1, np.int64)

@@ -46,6 +46,21 @@ def test_odd_rows(spark):
     assert tox.judge(docs.limit(0), labels).collect() == []
 
 
+def test_labels_of_one_id_that_disagree_and_texts_that_repeat_it(spark):
+    docs = spark.createDataFrame([(k % 40, f"{'vile' if k % 40 < 20 else 'kind'} words number {k}") for k in range(120)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, int(k < 20)) for k in range(40)] + [(k, 0, 0) for k in range(20)], "doc_id long, quality int, toxic int")
+    seen = [{(r.doc_id, r.text, r.p_toxic) for r in tox.judge(docs.orderBy(o), labels.orderBy(o)).collect()} for o in (F.col("doc_id"), F.col("doc_id").desc())]
+    assert seen[0] == seen[1] and all((p >= 0.5) == (d < 20) for d, _, p in seen[0])
+
+
+def test_the_sample_has_a_bound_in_features(spark, sf_dir, monkeypatch):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    monkeypatch.setattr(tox, "MAX_CELLS", 2000)
+    assert tox.train(docs, labels, tox.categories())[1].b != -tox.NEVER
+    monkeypatch.setattr(tox, "MAX_CELLS", 0)
+    assert [m.b for m in tox.train(docs, labels, tox.categories())] == [-tox.NEVER] * 2
+
+
 def test_nothing_is_toxic_without_training_rows(spark):
     docs = brute.odd_documents(spark)
     labels = spark.createDataFrame([(99, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")

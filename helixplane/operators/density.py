@@ -11,8 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bases on either side of a start site that share its density.
-WINDOW = 100
+#: Bases on either side of a start site that share its density; bases of a bin in which sums along a contig are worked out.
+WINDOW, BIN = 100, 1 << 20
 # fixed values: when the iteration stops
 MOST_ITERATIONS, LEAST_CHANGE, PRIOR = 500, 1e-2, 1e-10
 
@@ -34,22 +34,31 @@ def start_sites(mappings: DataFrame) -> DataFrame:
     return mappings.groupBy("chr", _track().alias("track"), pos.alias("pos")).agg(F.sum("cond_prb").alias("value"))
 
 
-def fragments(mappings: DataFrame) -> DataFrame:
+def fragments(mappings: DataFrame, *keys: str) -> DataFrame:
     """M-step of whole fragments: cond_prb spread evenly over [start, stop).
 
-    By differences: two rows a mapping, summed by place, then a running sum; runs between places come out as (pos, end, value).
+    By differences: two rows a mapping, summed by place, then a running sum, within bins of places to which
+    the sum of earlier bins is added; runs between places come out as (pos, end, value). keys: columns by which to tell several densities apart.
     """
     share = F.col("cond_prb") / (F.col("stop") - F.col("start"))
     ends = F.explode(F.array(F.struct(F.col("start").alias("pos"), share.alias("d"), F.lit(1).alias("n")), F.struct(F.col("stop").alias("pos"), (-share).alias("d"), F.lit(-1).alias("n"))))
-    steps = mappings.select("chr", _track().alias("track"), ends.alias("x")).groupBy("chr", "track", F.col("x.pos").alias("pos")).agg(F.sum("x.d").alias("d"), F.sum("x.n").alias("n"))
-    w = Window.partitionBy("chr", "track").orderBy("pos")
-    runs = steps.select("chr", "track", "pos", F.lead("pos").over(w).alias("end"), F.sum("d").over(w).alias("value"), F.sum("n").over(w).alias("depth"))
+    by = [*keys, "chr", "track"]
+    steps = mappings.select(*keys, "chr", _track().alias("track"), ends.alias("x")).groupBy(*by, F.col("x.pos").alias("pos")).agg(F.sum("x.d").alias("d"), F.sum("x.n").alias("n"))
+    steps = steps.withColumn("bin", F.floor(F.col("pos") / BIN))
+    # a row for each bin that has places: what lies before it, and where the next one begins
+    bins = steps.groupBy(*by, "bin").agg(F.sum("d").alias("d"), F.sum("n").alias("n"), F.min("pos").alias("first"))
+    order = Window.partitionBy(*by).orderBy("bin")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.select(*by, "bin", F.coalesce(F.sum("d").over(earlier), F.lit(0.0)).alias("d0"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"), F.lead("first").over(order).alias("next"))
+    w = Window.partitionBy(*by, "bin").orderBy("pos")
+    runs = steps.select(*by, "bin", "pos", F.lead("pos").over(w).alias("end"), F.sum("d").over(w).alias("value"), F.sum("n").over(w).alias("depth")).join(bins, [*by, "bin"])
+    runs = runs.select(*by, "pos", F.coalesce("end", "next").alias("end"), (F.col("value") + F.col("d0")).alias("value"), (F.col("depth") + F.col("n0")).alias("depth"))
     return runs.filter("depth > 0").drop("depth")
 
 
 def bases(runs: DataFrame) -> DataFrame:
     """Runs as one row a base."""
-    return runs.select("chr", "track", F.explode(F.sequence("pos", F.col("end") - 1)).alias("pos"), "value")
+    return runs.select(*[c for c in runs.columns if c not in ("pos", "end", "value")], F.explode(F.sequence("pos", F.col("end") - 1)).alias("pos"), "value")
 
 
 def profile(mappings: DataFrame, shape: DataFrame, contigs: DataFrame | None = None) -> DataFrame:
@@ -68,12 +77,16 @@ def profile(mappings: DataFrame, shape: DataFrame, contigs: DataFrame | None = N
 def near_start(mappings: DataFrame, density: DataFrame, window: int = WINDOW) -> DataFrame:
     """E-step of start sites: cond_prb ∝ 10^score × density within the window (forward [start-w, start+w), reverse [stop-1-w, stop-1+w)).
 
-    One pass over places and mappings together: a range frame sums the density by key and position.
+    One pass over places and mappings together: a range frame sums the density by position within bins;
+    places near a bin's edge go to the next bin too.
     """
     site = F.when(F.col("strand") == "+", F.col("start")).otherwise(F.col("stop") - 1)
     sites = mappings.select("chr", _track().alias("track"), site.cast("long").alias("pos")).distinct().withColumn("asked", F.lit(True)).withColumn("value", F.lit(0.0))
-    both = density.select("chr", "track", F.col("pos").cast("long").alias("pos"), F.lit(False).alias("asked"), F.col("value").cast("double").alias("value")).unionByName(sites)
-    frame = Window.partitionBy("chr", "track").orderBy("pos").rangeBetween(-window, window - 1)
+    bin_ = lambda c: F.floor(c / BIN)
+    around_ = F.sequence(bin_(F.col("pos") - window), bin_(F.col("pos") + window))
+    both = density.select("chr", "track", F.col("pos").cast("long").alias("pos"), F.lit(False).alias("asked"), F.col("value").cast("double").alias("value")).withColumn("bin", F.explode(around_))
+    both = both.unionByName(sites.withColumn("bin", bin_(F.col("pos"))))
+    frame = Window.partitionBy("chr", "track", "bin").orderBy("pos").rangeBetween(-window, window - 1)
     around = both.withColumn("around", F.sum("value").over(frame)).filter("asked").select("chr", "track", "pos", "around")
     rows = mappings.withColumn("track", _track()).withColumn("pos", site.cast("long")).join(around, ["chr", "track", "pos"])
     return _renormalised(rows.withColumn("weight", F.pow(F.lit(10.0), "score") * (F.col("around") + 2 * 2.220446049250313e-16))).drop("track", "pos", "around")
@@ -82,15 +95,25 @@ def near_start(mappings: DataFrame, density: DataFrame, window: int = WINDOW) ->
 def over_fragment(mappings: DataFrame, runs: DataFrame) -> DataFrame:
     """E-step of whole fragments: cond_prb ∝ 10^score × density of both tracks summed over [start, stop).
 
-    By prefix sums of the runs: each end of a mapping looks up the run before it. A read without any density keeps its scores' shares.
+    By prefix sums of the runs: the area up to each end of a mapping, within bins of places to which the
+    area of earlier bins is added. A read without any density keeps its scores' shares.
     """
     both = runs.select("chr", F.explode(F.array(F.struct(F.col("pos").alias("pos"), F.col("value").alias("d")), F.struct(F.col("end").alias("pos"), (-F.col("value")).alias("d")))).alias("x")).groupBy("chr", F.col("x.pos").alias("pos")).agg(F.sum("x.d").alias("d"))
     asked = mappings.select("chr", F.explode(F.array("start", "stop")).alias("pos")).distinct()
     places = both.withColumn("asked", F.lit(False)).unionByName(asked.withColumn("d", F.lit(0.0)).withColumn("asked", F.lit(True)))
-    places = places.groupBy("chr", "pos").agg(F.sum("d").alias("d"), F.max("asked").alias("asked"))
-    w = Window.partitionBy("chr").orderBy("pos")
+    places = places.groupBy("chr", "pos").agg(F.sum("d").alias("d"), F.max("asked").alias("asked")).withColumn("bin", F.floor(F.col("pos") / BIN))
+    # a row for each bin that has places: the level and the area at its first base
+    at = F.col("pos") - F.col("bin") * BIN
+    bins = places.groupBy("chr", "bin").agg(F.sum("d").alias("d"), F.sum(F.col("d") * (BIN - at)).alias("area"))
+    order = Window.partitionBy("chr").orderBy("bin")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumn("level0", F.coalesce(F.sum("d").over(earlier), F.lit(0.0))).withColumn("gap", F.coalesce(F.lead("bin").over(order) - F.col("bin") - 1, F.lit(0)))
+    through = F.col("area") + F.col("level0") * BIN + (F.col("level0") + F.col("d")) * F.col("gap") * BIN
+    bins = bins.select("chr", "bin", "level0", F.coalesce(F.sum(through).over(earlier), F.lit(0.0)).alias("area0"))
+    w = Window.partitionBy("chr", "bin").orderBy("pos")
     level = places.withColumn("level", F.sum("d").over(w)).withColumn("width", F.col("pos") - F.lag("pos").over(w)).withColumn("before", F.lag("level").over(w))
-    prefix = level.withColumn("area", F.sum(F.coalesce(F.col("before") * F.col("width"), F.lit(0.0))).over(w)).filter("asked").select("chr", "pos", "area")
+    prefix = level.withColumn("area", F.sum(F.coalesce(F.col("before") * F.col("width"), F.lit(0.0))).over(w)).filter("asked").join(bins, ["chr", "bin"])
+    prefix = prefix.select("chr", "pos", (F.col("area") + F.col("area0") + F.col("level0") * at).alias("area"))
     rows = mappings.join(prefix.select("chr", F.col("pos").alias("start"), F.col("area").alias("a0")), ["chr", "start"]).join(prefix.select("chr", F.col("pos").alias("stop"), F.col("area").alias("a1")), ["chr", "stop"])
     return _renormalised(rows.withColumn("weight", F.pow(F.lit(10.0), "score") * F.greatest(F.col("a1") - F.col("a0"), F.lit(0.0)))).drop("a0", "a1")
 

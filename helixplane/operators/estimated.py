@@ -11,11 +11,12 @@ from helixplane.functions.sequence import at, pieces, reverse_complement
 from helixplane.functions.stats import estimated_thresholds
 
 from . import errors
-from .search import PIECE
+from .search import piece_size
 
 
-def best_hits(candidates: DataFrame, reads: DataFrame, contigs: DataFrame, size: int = PIECE) -> DataFrame:
+def best_hits(candidates: DataFrame, reads: DataFrame, contigs: DataFrame, size: int | None = None) -> DataFrame:
     """(mate, strand, read, genome, quality) of each read's best candidate, along the read; ties by a hash of the place."""
+    size = piece_size(reads) if size is None else size
     order = Window.partitionBy("read_id", "mate").orderBy(F.desc("penalty"), F.pmod(F.col("start") * 7919 + F.col("chr") * 104_729, F.lit(1_000_003)), "chr", "start", "strand")
     best = candidates.withColumn("rn", F.row_number().over(order)).filter("rn = 1").withColumn("piece_no", F.floor(F.col("start") / size).cast("int"))
     genome = contigs.select("chr", F.posexplode(pieces(F.upper("seq"), size, size)).alias("piece_no", "piece"))
@@ -42,7 +43,7 @@ def penalties(reads: DataFrame, frequencies: DataFrame, default: float = 0.01) -
     return rows.select("read_id", "mate", "strand", F.col("x.good").alias("good"), F.col("x.bad").alias("bad"), "mean", "variance")
 
 
-def rescore(candidates: DataFrame, reads: DataFrame, contigs: DataFrame, frequencies: DataFrame, size: int = PIECE) -> DataFrame:
+def rescore(candidates: DataFrame, reads: DataFrame, contigs: DataFrame, frequencies: DataFrame, size: int | None = None) -> DataFrame:
     """Candidates with the score of the whole read, and the floor that the read's own score distribution allows."""
 
     @F.pandas_udf("double")
@@ -50,6 +51,7 @@ def rescore(candidates: DataFrame, reads: DataFrame, contigs: DataFrame, frequen
         known: dict = {}
         return pd.Series([known.setdefault((m, v), estimated_thresholds(m, v)[0]) if v > 0 else -2.1 for m, v in zip(mean.round(6), variance.round(6), strict=True)])
 
+    size = piece_size(reads) if size is None else size
     own = penalties(reads, frequencies)
     rows = candidates.drop("penalty").join(reads.select("read_id", "mate", "seq"), ["read_id", "mate"]).join(own, ["read_id", "mate", "strand"])
     rows = rows.withColumn("piece_no", F.floor(F.col("start") / size).cast("int"))

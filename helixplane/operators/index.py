@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixplane.functions.sequence import is_known, pieces
+from helixplane.functions.sequence import first_bases, is_known, pieces, windows
 
 #: Sequences with so many copies in the genome count as repeats.
 MIN_COPIES = 150
@@ -13,38 +13,55 @@ MIN_COPIES = 150
 PIECE = 256
 
 
-def kmers(contigs: DataFrame, k: int, step: int = 1, omit_last: bool = False, start: str | None = None) -> DataFrame:
-    """(chr, loc, kmer) of all k-mers of contigs (chr, seq) without unknown bases.
+def packed(contigs: DataFrame, k: int, step: int = 1, omit_last: bool = False, start: str | None = None) -> DataFrame:
+    """(chr, loc, code) of all k-mers of contigs (chr, seq) without unknown bases, as packed words (up to 31 bases).
 
     omit_last: leave out each contig's last k-mer. start: a column to add to positions, for segments.
     """
+    rows = _pieces(contigs, k, start).select("chr", "n", "part", "first", F.posexplode(windows(F.col("piece"), k)).alias("i", "code")).filter("code is not null")
+    return _placed(rows, k, step, omit_last, "code")
+
+
+def kmers(contigs: DataFrame, k: int, step: int = 1, omit_last: bool = False, start: str | None = None) -> DataFrame:
+    """As packed, with the bases as a string, kmer; k may be any length."""
+    rows = _pieces(contigs, k, start)
+    found = F.transform(F.sequence(F.lit(0), F.length("piece") - k, F.lit(1)), lambda i: F.struct(i.alias("i"), F.substring(F.col("piece"), i + 1, F.lit(k)).alias("kmer")))
+    return _placed(rows.select("chr", "n", "part", "first", F.inline(found)).filter(is_known(F.col("kmer"))), k, step, omit_last, "kmer")
+
+
+def _pieces(contigs: DataFrame, k: int, start: str | None) -> DataFrame:
     size = max(PIECE, k)
     first = F.col("part") * size + (F.col(start) if start else F.lit(0))
     rows = contigs.filter(F.length("seq") >= k).select("chr", *([start] if start else []), F.length("seq").alias("n"), F.posexplode(pieces(F.upper(F.col("seq")), size, k - 1)).alias("part", "piece"))
-    rows = rows.filter(F.length("piece") >= k)
-    found = F.transform(F.sequence(F.lit(0), F.length("piece") - k, F.lit(1)), lambda i: F.struct(i.alias("i"), F.substring(F.col("piece"), i + 1, F.lit(k)).alias("kmer")))
-    rows = rows.select("chr", "n", "part", first.alias("first"), F.inline(found))
-    rows = rows.filter(is_known(F.col("kmer")))
+    return rows.filter(F.length("piece") >= k).withColumn("first", first)
+
+
+def _placed(rows: DataFrame, k: int, step: int, omit_last: bool, word: str) -> DataFrame:
+    place = F.col("part") * max(PIECE, k) + F.col("i")
     if omit_last:
-        rows = rows.filter(F.col("part") * size + F.col("i") < F.col("n") - k)
+        rows = rows.filter(place < F.col("n") - k)
     if step > 1:
-        rows = rows.filter((F.col("part") * size + F.col("i")) % step == 0)
-    return rows.select("chr", (F.col("first") + F.col("i")).alias("loc"), "kmer")
+        rows = rows.filter(place % step == 0)
+    return rows.select("chr", (F.col("first") + F.col("i")).alias("loc"), word)
+
+
+def _word(index: DataFrame) -> str:
+    return "code" if "code" in index.columns else "kmer"
 
 
 def repeats(index: DataFrame, min_copies: int = MIN_COPIES) -> DataFrame:
-    """(kmer, copies) of sequences that are in the genome so often; counted where they lie first."""
-    return index.groupBy("kmer").agg(F.count(F.lit(1)).alias("copies")).filter(F.col("copies") >= min_copies)
+    """(kmer or code, copies) of sequences that are in the genome so often; counted where they lie first."""
+    return index.groupBy(_word(index)).agg(F.count(F.lit(1)).alias("copies")).filter(F.col("copies") >= min_copies)
 
 
 def unique_part(index: DataFrame, repeated: DataFrame) -> DataFrame:
     """The index without repeats, which would skew joins."""
-    return index.join(repeated.select("kmer"), "kmer", "left_anti")
+    return index.join(repeated.select(_word(index)), _word(index), "left_anti")
 
 
 def expand_repeats(hits: DataFrame, index: DataFrame) -> DataFrame:
-    """Hits on a repeat (kmer, ...) become hits on all of its places."""
-    return hits.join(index, "kmer")
+    """Hits on a repeat (kmer or code, ...) become hits on all of its places."""
+    return hits.join(index, _word(index))
 
 
 def blocks(index: DataFrame, k: int, parts: int) -> DataFrame:
@@ -54,6 +71,6 @@ def blocks(index: DataFrame, k: int, parts: int) -> DataFrame:
     return index.withColumn("x", F.explode(F.array(*pieces))).select("*", "x.part", "x.block").drop("x")
 
 
-def save(index: DataFrame, path: str, bits: int = 8) -> None:
-    """As Parquet, partitioned by the first bases so that searches read what they need."""
-    index.withColumn("head", F.substring("kmer", 1, bits // 2)).repartition("head").sortWithinPartitions("kmer").write.partitionBy("head").parquet(path)
+def save(index: DataFrame, path: str, k: int, bases: int = 4) -> None:
+    """The packed index as Parquet, partitioned by the first bases (head), so that exact searches read what they need."""
+    index.withColumn("head", first_bases(F.col("code"), k, bases)).repartition("head").sortWithinPartitions("code").write.partitionBy("head").parquet(path)

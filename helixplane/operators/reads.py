@@ -69,18 +69,45 @@ def within_bounds(mappings: DataFrame, contigs: DataFrame) -> DataFrame:
 
 def sam_lines(mappings: DataFrame, reads: DataFrame, contigs: DataFrame, soft_clip: int = 0) -> DataFrame:
     """(read_id, mapping_no, line) of single-end mappings with cond_prb and log_seq_error; positions 1-based; reverse reads reverse complemented, their qualities reversed. soft_clip: the reads' first bases that weren't mapped."""
+    rows = mappings.join(reads.select("read_id", F.col("name").alias("read_name"), "seq", "qual"), "read_id")
+    rows = rows.withColumns({"paired": F.lit(False), "mate": F.lit(1), "length": F.col("stop") - F.col("start"), "next": F.lit("*"), "next_pos": F.lit("0"), "fragment": F.lit("0")})
+    return _sam(rows, contigs, soft_clip).select("read_id", "mapping_no", "line")
+
+
+def sam_pair_lines(mappings: DataFrame, reads: DataFrame, contigs: DataFrame, soft_clip: int = 0) -> DataFrame:
+    """(read_id, mapping_no, mate, line) of mappings with start, length and strand of both mates: a line for each mate, with the place of the other and the fragment's length, negative on the right one (of mates that start together, the second)."""
+    one = lambda m, o: F.struct(F.lit(m).alias("mate"), F.col(f"start{m}").alias("start"), F.col(f"length{m}").alias("length"), F.col(f"strand{m}").alias("strand"), F.col(f"start{o}").alias("other"))
+    rows = mappings.withColumn("frag_len", F.col("stop") - F.col("start")).select("read_id", "mapping_no", "chr", "cond_prb", "log_seq_error", "frag_len", F.inline(F.array(one(1, 2), one(2, 1))))
+    rows = rows.join(reads.select("read_id", "mate", F.col("name").alias("read_name"), "seq", "qual"), ["read_id", "mate"])
+    first = (F.col("start") < F.col("other")) | ((F.col("start") == F.col("other")) & (F.col("mate") == 1))
+    rows = rows.withColumns({"paired": F.lit(True), "next": F.lit("="), "next_pos": (F.col("other") + 1).cast("string"), "fragment": F.when(first, F.col("frag_len")).otherwise(-F.col("frag_len")).cast("string")})
+    return _sam(rows, contigs, soft_clip).select("read_id", "mapping_no", "mate", "line")
+
+
+def _sam(rows: DataFrame, contigs: DataFrame, soft_clip: int) -> DataFrame:
     from helixplane.functions.sequence import reverse_complement
 
-    rows = mappings.join(reads.select("read_id", F.col("name").alias("read_name"), "seq", "qual"), "read_id").join(contigs.select("chr", F.col("name").alias("contig_name")), "chr")
+    rows = rows.join(contigs.select("chr", F.col("name").alias("contig_name")), "chr")
     back = F.col("strand") == "-"
     number = lambda c: F.format_string("%.6f", c)
-    matched, clip = F.concat((F.col("stop") - F.col("start")).cast("string"), F.lit("M")), F.lit(f"{soft_clip}S" if soft_clip else "")
+    matched, clip = F.concat(F.col("length").cast("string"), F.lit("M")), F.lit(f"{soft_clip}S" if soft_clip else "")
     line = F.concat_ws(
-        "\t", "read_name", sam.flag(F.lit(False), back, F.lit(True)).cast("string"), "contig_name", (F.col("start") + 1).cast("string"), sam.mapping_quality(F.col("cond_prb")).cast("string"),
-        F.when(back, F.concat(matched, clip)).otherwise(F.concat(clip, matched)), F.lit("*"), F.lit("0"), F.lit("0"), F.when(back, reverse_complement(F.col("seq"))).otherwise(F.col("seq")), F.when(back, F.reverse("qual")).otherwise(F.col("qual")),
+        "\t", "read_name", sam.flag(F.col("paired"), back, F.col("mate") == 1).cast("string"), "contig_name", (F.col("start") + 1).cast("string"), sam.mapping_quality(F.col("cond_prb")).cast("string"),
+        F.when(back, F.concat(matched, clip)).otherwise(F.concat(clip, matched)), "next", "next_pos", "fragment", F.when(back, reverse_complement(F.col("seq"))).otherwise(F.col("seq")), F.when(back, F.reverse("qual")).otherwise(F.col("qual")),
         F.concat(F.lit("PQ:i:"), sam.score_quality(F.col("log_seq_error")).cast("string")), F.concat(F.lit("XQ:f:"), number(F.col("log_seq_error"))), F.concat(F.lit("XP:f:"), number(F.col("cond_prb"))),
     )
-    return rows.select("read_id", "mapping_no", line.alias("line"))
+    return rows.withColumn("line", line)
+
+
+def quality_encoding(reads: DataFrame) -> str:
+    """The encoding of the reads' quality characters, over all reads; raises ValueError if none fits."""
+    from helixplane.functions.quality import encoding
+
+    codes = F.transform(F.filter(F.split("qual", ""), lambda c: c != ""), F.ascii)
+    row = reads.filter("qual <> ''").agg(F.min(F.array_min(codes)).alias("a"), F.max(F.array_max(codes)).alias("b")).select("a", "b", encoding(F.col("a"), F.col("b")).alias("name")).first()
+    if row.name is None:
+        raise ValueError(f"no quality encoding has characters from {row.a} to {row.b}")
+    return row.name
 
 
 def sam_header(contigs: DataFrame) -> DataFrame:

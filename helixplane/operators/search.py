@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixplane.functions.quality import read_score
-from helixplane.functions.sequence import at, hamming, pieces, reverse_complement, without_n
-
-from .index import blocks
+from helixplane.functions.sequence import MOST_PACKED, at, first_bases, pack, packed_mismatches, pieces, reverse_complement, without_n
 
 MOST_PROBES, MOST_HITS, MOST_FRAGMENT = 5, 5000, 524_287
-#: Bases of the pieces in which genomes join; of the shortest part by which probes and genomes join as they are.
-PIECE, SHORTEST = 2048, 4
+#: Bases of the pieces in which genomes join, unless reads are longer; first bases by which saved indexes are partitioned; most changes under which a target is listed.
+PIECE, SAVED_HEAD, MOST_CHANGES = 2048, 4, 10_000
 
 
 def _regions(reads: DataFrame, k: int, most: int) -> DataFrame:
@@ -45,37 +47,67 @@ def both_strands(probes: DataFrame) -> DataFrame:
     return probes.withColumn("x", F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("seq").alias("target")), F.struct(F.lit("-").alias("strand"), reverse_complement(F.col("seq")).alias("target"))))).select("*", "x.strand", "x.target").drop("x")
 
 
-def search_exact(probes: DataFrame, index: DataFrame) -> DataFrame:
-    """Hits without mismatches, on both strands."""
-    targets = both_strands(probes)
-    return targets.join(index, targets.target == index.kmer).withColumn("penalty", F.lit(0.0)).drop("kmer", "target")
+def search_exact(probes: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """Hits without mismatches, on both strands. Of a saved index only the partitions of the targets' first bases are read."""
+    targets, word = _targets(probes, index)
+    keys = [word]
+    if "head" in index.columns:
+        targets, keys = targets.withColumn("head", first_bases(F.col("code"), k, SAVED_HEAD)), ["head", "code"]
+    return targets.join(index, keys).withColumn("penalty", F.lit(0.0)).drop(*keys, "target")
+
+
+def _targets(probes: DataFrame, index: DataFrame) -> tuple[DataFrame, str]:
+    """Both strands of probes, with what they join the index by."""
+    if "code" in index.columns:
+        return both_strands(probes).withColumn("code", pack(F.col("target"))), "code"
+    return both_strands(probes).withColumn("kmer", F.col("target")), "kmer"
+
 
+def _ball(bases: int, most: int) -> list[int]:
+    """What changes a packed word of so many bases in up to `most` of them, by exclusive or."""
+    return [sum(x << 2 * i for i, x in zip(places, change, strict=True)) for n in range(most + 1) for places in itertools.combinations(range(bases), n) for change in itertools.product((1, 2, 3), repeat=n)]
 
-def _near_blocks(rows: DataFrame) -> DataFrame:
-    """(part, block, kmer): as index.blocks, with each block and all that differ from it in one base."""
-    places = F.sequence(F.lit(1), F.length("block"))
-    changed = F.flatten(F.transform(places, lambda i: F.transform(F.array(*map(F.lit, "ACGT")), lambda b: F.concat(F.substring(F.col("block"), F.lit(1), i - 1), b, F.substring(F.col("block"), i + 1, F.length("block"))))))
-    return rows.withColumn("block", F.explode(F.array_distinct(F.array_union(F.array("block"), changed))))
+
+def _parts(k: int, mismatches: int) -> tuple[list[int], int]:
+    """Where a word is cut, and how many mismatches its best part has at most: the cut with the fewest chance matches whose parts aren't searched under too many changes."""
+
+    def cost(n: int) -> tuple[bool, float]:
+        sizes, h = [k * (p + 1) // n - k * p // n for p in range(n)], mismatches // n
+        balls = [sum(math.comb(s, i) * 3**i for i in range(h + 1)) for s in sizes]
+        return sum(balls) > MOST_CHANGES, sum(b / 4.0**s for b, s in zip(balls, sizes, strict=True)) + n * 1e-7
+
+    n = min(range(1, min(mismatches + 1, k) + 1), key=cost)
+    return [k * p // n for p in range(n + 1)], mismatches // n
 
 
 def search(probes: DataFrame, index: DataFrame, k: int, mismatches: int) -> DataFrame:
     """Hits with up to so many mismatches, on both strands.
 
-    Two strings that differ in m places agree in one of m + 1 parts: parts join by equality, and only
-    distinct pairs of sequences are compared, once. Where such parts have fewer than SHORTEST bases, the
-    strings are cut into m / 2 + 1 parts instead, of which one differs in a base at most. The index isn't
-    shuffled where the probes are small enough for Spark to broadcast; take repeats out first
-    (index.unique_part) where they aren't.
+    Words are cut into n parts, of which one has mismatches // n mismatches at most: each distinct target
+    is listed under all such changes of each part, by one whole number for part and bases, and joins the
+    index's parts by equality. Packed words are compared by exclusive or within the join, so only hits
+    leave it; a pair that meets by several parts counts by the first. The index isn't shuffled where the
+    targets are small enough for Spark to broadcast; take repeats out first (index.unique_part) where they
+    aren't. Index: (chr, loc, code), or (chr, loc, kmer), which is packed here; k is 31 at most.
     """
-    short = k // (mismatches + 1) < SHORTEST
-    parts = mismatches // 2 + 1 if short else mismatches + 1
-    targets = both_strands(probes)
-    wanted = blocks(targets.select(F.col("target").alias("kmer")).distinct(), k, parts)
-    wanted = (_near_blocks(wanted) if short else wanted).withColumnRenamed("kmer", "target")
-    held = blocks(index.select("kmer"), k, parts)
-    near = wanted.join(held, ["part", "block"]).select("target", "kmer").distinct().withColumn("penalty", -hamming(F.col("target"), F.col("kmer")).cast("double"))
-    near = near.filter(F.col("penalty") >= -mismatches)
-    return targets.join(near, "target").join(index, "kmer").drop("kmer", "target")
+    if k > MOST_PACKED:
+        raise ValueError(f"searches take words of up to {MOST_PACKED} bases")
+    if "code" not in index.columns:
+        index = index.withColumn("code", pack(F.col("kmer"))).drop("kmer")
+    edges, h = _parts(k, mismatches)
+    spans = [(k - b, k - a) for a, b in zip(edges[:-1], edges[1:], strict=True)]  # bases from the last
+    targets = both_strands(probes).withColumn("word", pack(F.col("target")))
+    part = lambda c, p: F.shiftrightunsigned(c, 2 * spans[p][0]).bitwiseAND(F.lit((1 << 2 * (spans[p][1] - spans[p][0])) - 1))
+    key = lambda p, block: block * len(spans) + p
+    changes = probes.sparkSession.createDataFrame([(p, x) for p, (a, b) in enumerate(spans) for x in _ball(b - a, h)], "part int, change long")  # MOST_CHANGES rows at most
+    block = functools.reduce(lambda out, p: F.when(F.col("part") == p, part(F.col("word"), p)).otherwise(out), range(len(spans)), F.lit(None).cast("long"))
+    wanted = targets.select("word").distinct().crossJoin(F.broadcast(changes)).select("word", "part", key(F.col("part"), block.bitwiseXOR(F.col("change"))).alias("key"))
+    held = index.withColumn("key", F.explode(F.array(*[key(p, part(F.col("code"), p)) for p in range(len(spans))])))
+    near = packed_mismatches(F.col("word"), F.col("code"), 0, k)
+    # by no earlier part
+    first = functools.reduce(Column.__and__, [(F.col("part") <= p) | (packed_mismatches(F.col("word"), F.col("code"), *spans[p]) > h) for p in range(len(spans) - 1)], F.lit(True))
+    pairs = wanted.join(held, "key").filter((near <= mismatches) & first).withColumn("penalty", -near.cast("double")).drop("key", "part", "code", "head")
+    return targets.join(pairs, "word").drop("word", "target")
 
 
 def best_within(hits: DataFrame, keys: list[str], score: str, spread: Column | float, floor: Column | float | None = None, strict: bool = False) -> DataFrame:
@@ -109,8 +141,14 @@ def read_starts(merged: DataFrame, reads: DataFrame, contigs: DataFrame, k: int)
     return rows.select("read_id", "mate", "chr", F.col("start").cast("long").alias("start"), "length", "strand")
 
 
-def rescore(candidates: DataFrame, reads: DataFrame, contigs: DataFrame, size: int = PIECE) -> DataFrame:
-    """Candidates with the score of the whole read against the genome; null where a read leaves its contig. Genomes join in pieces, by place; reads have `size` bases at most."""
+def piece_size(reads: DataFrame) -> int:
+    """Bases of pieces such that a read lies within the piece of its start and the next."""
+    return max(PIECE, reads.agg(F.max(F.length("seq"))).first()[0] or 0)
+
+
+def rescore(candidates: DataFrame, reads: DataFrame, contigs: DataFrame, size: int | None = None) -> DataFrame:
+    """Candidates with the score of the whole read against the genome; null where a read leaves its contig. Genomes join in pieces, by place; pieces are as long as the longest read at least."""
+    size = piece_size(reads) if size is None else size
     rows = candidates.join(reads.select("read_id", "mate", "seq"), ["read_id", "mate"]).withColumn("piece_no", F.floor(F.col("start") / size).cast("int"))
     rows = rows.join(chunks(contigs, size, size), ["chr", "piece_no"])
     read = F.when(F.col("strand") == "+", F.upper("seq")).otherwise(reverse_complement(F.col("seq")))

@@ -45,12 +45,12 @@ def placed_by(mappings: DataFrame, trace: DataFrame) -> DataFrame:
 
 
 def with_control(ip: DataFrame, nc: DataFrame, n: int = peaks.BOOTSTRAPS, most: int = density.MOST_ITERATIONS) -> DataFrame:
-    """Peak scores (chr, track, pos, count, value): EM places the treatment's reads, one step places the control's by the treatment's density; n bootstraps of each are compared."""
+    """Peak scores (chr, track, pos, count, value): EM places the treatment's reads, one step places the control's by the treatment's density; n bootstraps of the fragments of each are compared, base by base."""
     placed, _ = density.iterate(ip, density.fragments, density.over_fragment, most=most)
     control = density.over_fragment(density.conditional(nc), density.fragments(placed)).drop("lhd")
 
     def drawn(rows: DataFrame, seed: int) -> DataFrame:
         one = sampling.bootstraps(rows.drop("lhd"), n, seed).withColumn("cond_prb", F.col("weight").cast("double"))
-        return one.groupBy("bs", "chr", density._track().alias("track"), F.when(F.col("strand") == "+", F.col("start")).otherwise(F.col("stop") - 1).alias("pos")).agg(F.sum("cond_prb").alias("value"))
+        return density.bases(density.fragments(one, "bs"))
 
     return peaks.scores(peaks.higher_counts(drawn(placed, 1), drawn(control, 2), n), n)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixplane.operators import density, fragments, index
+from helixplane.operators import reads as reads_
 from helixplane.sources import sinks, text
 
 from . import assays
@@ -42,13 +43,17 @@ def run(spark: SparkSession, config: Config) -> sinks.Run:
     out = sinks.Run(spark, config.output)
     out.write("contigs", load_genome(spark, config.genome))
     contigs = out.read("contigs")
-    index.save(index.kmers(contigs, config.k), f"{config.output}/kmers")
+    index.save(index.packed(contigs, config.k), f"{config.output}/kmers", config.k)
     out.write("reads", load_reads(spark, config))
     reads = out.read("reads")
+    config.encoding = reads_.quality_encoding(reads)
+    spark.createDataFrame([(config.dumps(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{config.output}/config")
     lengths = text.fragment_lengths(spark, config.fragment_lengths) if config.fragment_lengths else None
+    if lengths is not None:
+        out.write("fragments", lengths)
     clip = config.clipped
     shorn = reads.withColumn("seq", F.substr("seq", F.lit(clip + 1))).withColumn("qual", F.substr("qual", F.lit(clip + 1))) if clip else reads
-    mappings, rejects = map_reads(shorn, contigs, config.k, config.floor_p, out.read("kmers").select("chr", "loc", "kmer"), lengths, config.model)
+    mappings, rejects = map_reads(shorn, contigs, config.k, config.floor_p, out.read("kmers").select("chr", "loc", "code"), lengths, config.model)
     out.write("mappings", mappings)
     out.write("rejects", rejects)
     mappings = out.read("mappings")
@@ -64,10 +69,8 @@ def run(spark: SparkSession, config: Config) -> sinks.Run:
     sites = density.start_sites(mappings).withColumn("sample", F.lit(0))
     out.write("density", sites if samples is None else sites.unionByName(samples))
     sinks.write_wiggle(out.read("density").filter("sample = 0"), contigs, config.threshold, f"{config.output}/wiggle")
-    if config.unpaired:
-        from helixplane.operators.reads import sam_header, sam_lines
-
-        sinks.write_sam(sam_lines(mappings, reads, contigs, clip), sam_header(contigs), f"{config.output}/sam")
+    lines = (reads_.sam_lines if config.unpaired else reads_.sam_pair_lines)(mappings, reads, contigs, clip)
+    sinks.write_sam(lines, reads_.sam_header(contigs), f"{config.output}/sam")
     sinks.write_rejects(reads, out.read("rejects"), f"{config.output}/rejected_fastq")
     return out
 
@@ -82,12 +85,15 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("-k", type=int, default=20)
     p.add_argument("-a", dest="assay", choices=["cage", "chip"])
     p.add_argument("-f", dest="fragment_lengths")
-    p.add_argument("-s", dest="model", choices=["mismatch", "estimated"], default="mismatch")
+    p.add_argument("-s", dest="model", choices=["mismatch", "estimated"], default="estimated")
     p.add_argument("-p", dest="floor_p", type=float, default=0.1)
     p.add_argument("-n", dest="samples", type=int, default=0)
     p.add_argument("-S", dest="soft_clip", type=int, default=0)
     config = Config(**vars(p.parse_args(args)))
-    run(SparkSession.builder.getOrCreate(), config)
+    spark = SparkSession.builder.getOrCreate()
+    if spark.sparkContext.getCheckpointDir() is None:  # rounds are written there; the output folder is shared
+        spark.sparkContext.setCheckpointDir(f"{config.output}/checkpoints")
+    run(spark, config)
 
 
 if __name__ == "__main__":

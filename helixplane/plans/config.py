@@ -21,6 +21,7 @@ class Config:
     samples: int = 0
     soft_clip: int = 0
     threshold: float = 0.0
+    encoding: str | None = None  # of qualities, as a run finds it
 
     def __post_init__(self) -> None:
         if (self.unpaired is None) == (self.pair1 is None) or (self.pair1 is None) != (self.pair2 is None):

@@ -15,9 +15,10 @@ def map_reads(reads: DataFrame, contigs: DataFrame, k: int, floor_p: float = 0.1
     """(mappings, rejects) under the mismatch model, or one whose error frequencies are estimated from the mismatch model's best candidates.
 
     reads: (read_id, mate, name, seq, qual), mate 1 alone or 1 and 2. mappings: (read_id, mapping_no, chr,
-    start, stop, strand, log_seq_error, score, cond_prb), paired ones over the whole fragment with its mate 1's strand.
+    start, stop, strand, log_seq_error, score, cond_prb), paired ones over the whole fragment with its mate 1's strand, and
+    start, length and strand of each mate.
     """
-    kmers = index.kmers(contigs, k) if kmers is None else kmers
+    kmers = index.packed(contigs, k) if kmers is None else kmers
     probes = search.select_probes(reads, k)
     # probes of reads with n parts allow for different numbers of mismatches
     counts = probes.groupBy("read_id", "mate").agg(F.count(F.lit(1)).alias("n"))
@@ -30,8 +31,10 @@ def map_reads(reads: DataFrame, contigs: DataFrame, k: int, floor_p: float = 0.1
     by_floor = {m: sorted(n for n in present if floors[n] == m) for m in sorted({floors[n] for n in present or {1}})}
     hits = functools.reduce(DataFrame.unionByName, [search.search(classed.filter(F.col("n").isin(ns)), kmers, k, m) for m, ns in by_floor.items()])
     hits = search.best_within(hits, ["read_id", "mate", "probe_no"], "penalty", table(spreads).cast("double")).drop("n")
-    hits, void = search.guard(hits, ["read_id", "mate", "probe_no"])
+    hits, void_probes = search.guard(hits, ["read_id", "mate", "probe_no"])
     found = search.rescore(search.read_starts(search.merge_diagonals(hits), reads, contigs, k), reads, contigs).filter("penalty is not null").checkpoint()
+    # pairs would join all candidates of one mate with all of the other
+    found, void_reads = search.guard(found, ["read_id", "mate"])
     length = F.col("length")
     floor, spread = -F.floor(floor_p * length) - 1.0, F.floor(floor_p / 2 * length) + 1.0
     if model == "estimated":
@@ -49,9 +52,14 @@ def map_reads(reads: DataFrame, contigs: DataFrame, k: int, floor_p: float = 0.1
         pairs = search.pair(found, fragment_lengths).withColumn("length", F.col("length1") + F.col("length2"))
         pairs = pairs.join(floors_, "read_id") if model == "estimated" else pairs
         good = search.best_within(pairs.withColumn("floor", 2 * floor), ["read_id"], "score", spread, F.col("floor"), strict=True)
-        good = good.select("read_id", "chr", F.least("start1", "start2").alias("start"), (F.least("start1", "start2") + F.col("frag_len")).alias("stop"), F.col("strand1").alias("strand"), (F.col("penalty1") + F.col("penalty2")).alias("log_seq_error"), "score")
+        mates = ["start1", "length1", "strand1", "start2", "length2", "strand2"]
+        good = good.select("read_id", "chr", F.least("start1", "start2").alias("start"), (F.least("start1", "start2") + F.col("frag_len")).alias("stop"), F.col("strand1").alias("strand"), (F.col("penalty1") + F.col("penalty2")).alias("log_seq_error"), "score", *mates)
     mappings = density.conditional(reads_.numbered(good, "chr", "start", "strand", "stop", "score")).checkpoint()
-    return mappings, reads_.rejects(reads, (1, probes), (4, hits), (8, found), (9, mappings))
+    rejects = reads_.rejects(reads, (1, probes), (4, hits), (8, found), (9, mappings))
+    # what the guards left out had too many places, not too few
+    void = void_probes.select("read_id").union(void_reads.select("read_id")).distinct().withColumn("void", F.lit(True))
+    error = F.when(F.col("void") & F.col("error").isin(4, 8, 9), 2).otherwise(F.col("error"))
+    return mappings, rejects.join(void, "read_id", "left").select("read_id", error.alias("error"))
 
 
 def posterior_density(mappings: DataFrame) -> DataFrame:

@@ -150,7 +150,7 @@ def covered_span(s, d):
 
 @query(f"WITH {C}, k AS (SELECT chr, unnest(range(length(seq) - {K} + 1)) AS loc, seq FROM c WHERE length(seq) >= {K}) SELECT chr, count(*) AS n, sum(loc)::BIGINT AS locs, count(DISTINCT substr(seq, loc + 1, {K})) AS n_kmers FROM k GROUP BY chr")
 def kmer_explode(s, d):
-    return index.kmers(t.contigs(s, d), K).groupBy("chr").agg(F.count(F.lit(1)).alias("n"), F.sum("loc").alias("locs"), F.countDistinct("kmer").alias("n_kmers"))
+    return index.packed(t.contigs(s, d), K).groupBy("chr").agg(F.count(F.lit(1)).alias("n"), F.sum("loc").alias("locs"), F.countDistinct("code").alias("n_kmers"))
 
 
 _KMERS = f"{C}, k AS (SELECT chr, loc, substr(seq, loc + 1, {K}) AS kmer FROM (SELECT chr, unnest(range(length(seq) - {K} + 1)) AS loc, seq FROM c WHERE length(seq) >= {K}))"
@@ -158,26 +158,26 @@ _KMERS = f"{C}, k AS (SELECT chr, loc, substr(seq, loc + 1, {K}) AS kmer FROM (S
 
 @query(f"WITH {_KMERS} SELECT kmer, count(*) AS copies FROM k GROUP BY kmer HAVING count(*) >= 20")
 def kmer_repeats_collapse(s, d):
-    return index.repeats(index.kmers(t.contigs(s, d), K), 20)
+    return index.repeats(index.packed(t.contigs(s, d), K), 20).select(sequence.unpack(F.col("code"), K).alias("kmer"), "copies")
 
 
 @query(f"WITH {_KMERS}, x AS (SELECT kmer FROM k GROUP BY kmer HAVING count(*) >= 20) SELECT chr, count(*) AS n, sum(loc)::BIGINT AS locs FROM k JOIN x USING (kmer) GROUP BY chr")
 def kmer_repeats_expand(s, d):
-    kmers = index.kmers(t.contigs(s, d), K)
+    kmers = index.packed(t.contigs(s, d), K)
     return index.expand_repeats(index.repeats(kmers, 20), kmers).groupBy("chr").agg(F.count(F.lit(1)).alias("n"), F.sum("loc").alias("locs"))
 
 
 @query(f"WITH {_KMERS}, x AS (SELECT kmer FROM k GROUP BY kmer HAVING count(*) < 20) SELECT chr, count(*) AS n FROM k JOIN x USING (kmer) GROUP BY chr")
 def kmer_unique_part(s, d):
-    kmers = index.kmers(t.contigs(s, d), K)
+    kmers = index.packed(t.contigs(s, d), K)
     return index.unique_part(kmers, index.repeats(kmers, 20)).groupBy("chr").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- probes, search, candidates
 
-_PROBES = f"""{R}, q AS (SELECT *, floor(length(seq) / n)::INT AS size FROM (SELECT *, least(floor(length(seq) / {K}), 5)::INT AS n FROM r) WHERE n > 0),
-    v AS (SELECT *, probe_no * size AS region FROM (SELECT *, unnest(range(n)) AS probe_no FROM q)),
-    w AS (SELECT *, substr(seq, o + 1, {K}) AS win FROM (SELECT *, unnest(range(region, region + greatest(size - {K} - 1, 0) + 1)) AS o FROM v))"""
+_REGIONS = f"""{R}, q AS (SELECT *, floor(length(seq) / n)::INT AS size FROM (SELECT *, least(floor(length(seq) / {K}), 5)::INT AS n FROM r) WHERE n > 0),
+    v AS (SELECT *, probe_no * size AS region FROM (SELECT *, unnest(range(n)) AS probe_no FROM q))"""
+_PROBES = f"""{_REGIONS}, w AS (SELECT *, substr(seq, o + 1, {K}) AS win FROM (SELECT *, unnest(range(region, region + greatest(size - {K} - 1, 0) + 1)) AS o FROM v))"""
 _BEST = _PROBES + f""", pr AS (SELECT read_id, mate, probe_no, o AS "offset", {K} AS length, win AS seq FROM (SELECT *, row_number() OVER (PARTITION BY read_id, mate, probe_no ORDER BY len(regexp_replace(win, '[^N]', '', 'g')), o) AS rn FROM w) WHERE rn = 1)"""
 
 
@@ -186,32 +186,29 @@ def probe_select_best(s, d):
     return search.select_probes(t.reads(s, d), K)
 
 
-@query(f"""WITH {_PROBES.rsplit(", w AS", 1)[0].rsplit("w AS", 1)[0].rstrip().rstrip(",")}, z AS (SELECT *, region + ((read_id * 31 + probe_no * 17 + 5) % greatest(size - {K} + 1, 1))::INT AS o FROM v)
+@query(f"""WITH {_REGIONS}, z AS (SELECT *, region + ((read_id * 31 + probe_no * 17 + 5) % greatest(size - {K} + 1, 1))::INT AS o FROM v)
     SELECT read_id, mate, probe_no, o AS "offset", {K} AS length, substr(seq, o + 1, {K}) AS seq FROM z""")
 def probe_select_hashed(s, d):
     return search.hashed_probes(t.reads(s, d), K, 5)
 
 
 _TARGETS = _BEST + ", tg AS (SELECT *, '+' AS strand, seq AS target FROM pr UNION ALL SELECT *, '-', reverse(translate(seq, 'ACGT', 'TGCA')) FROM pr)"
-_HITS = (
-    f"{_KMERS}, {_TARGETS}"
-    + """, kd AS (SELECT DISTINCT kmer FROM k), td AS (SELECT DISTINCT target FROM tg),
-    nr AS (SELECT DISTINCT target, kmer, -hamming(target, kmer)::DOUBLE AS penalty FROM td JOIN kd ON substr(target, 1, 6) = substr(kmer, 1, 6) OR substr(target, 7, 7) = substr(kmer, 7, 7) OR substr(target, 14, 7) = substr(kmer, 14, 7)),
+_HITS = f"""{_KMERS}, {_TARGETS}, kd AS (SELECT DISTINCT kmer FROM k), td AS (SELECT DISTINCT target FROM tg),
+    nr AS (SELECT DISTINCT target, kmer, -hamming(target, kmer)::DOUBLE AS penalty FROM (
+        SELECT target, kmer FROM td JOIN kd ON substr(target, 1, 6) = substr(kmer, 1, 6)
+        UNION SELECT target, kmer FROM td JOIN kd ON substr(target, 7, 7) = substr(kmer, 7, 7)
+        UNION SELECT target, kmer FROM td JOIN kd ON substr(target, 14, 7) = substr(kmer, 14, 7))),
     h AS (SELECT read_id, mate, probe_no, "offset", strand, chr, loc, penalty FROM tg JOIN nr USING (target) JOIN k USING (kmer) WHERE penalty >= -2)"""
-).replace(
-    "nr AS (SELECT DISTINCT target, kmer, -hamming(target, kmer)::DOUBLE AS penalty FROM td JOIN kd ON substr(target, 1, 6) = substr(kmer, 1, 6) OR substr(target, 7, 7) = substr(kmer, 7, 7) OR substr(target, 14, 7) = substr(kmer, 14, 7))",
-    "nr AS (SELECT DISTINCT target, kmer, -hamming(target, kmer)::DOUBLE AS penalty FROM (SELECT target, kmer FROM td JOIN kd ON substr(target, 1, 6) = substr(kmer, 1, 6) UNION SELECT target, kmer FROM td JOIN kd ON substr(target, 7, 7) = substr(kmer, 7, 7) UNION SELECT target, kmer FROM td JOIN kd ON substr(target, 14, 7) = substr(kmer, 14, 7)))",
-)
 
 
 def _hits(s, d) -> DataFrame:
     rows = t.reads(s, d)
-    return search.search(search.select_probes(rows, K), index.kmers(t.contigs(s, d), K), K, 2)
+    return search.search(search.select_probes(rows, K), index.packed(t.contigs(s, d), K), K, 2)
 
 
 @query(f"WITH {_KMERS}, {_TARGETS} SELECT read_id, probe_no, strand, chr, loc FROM tg JOIN k ON target = kmer")
 def search_exact(s, d):
-    rows = search.search_exact(search.select_probes(t.reads(s, d), K), index.kmers(t.contigs(s, d), K))
+    rows = search.search_exact(search.select_probes(t.reads(s, d), K), index.packed(t.contigs(s, d), K), K)
     return rows.select("read_id", "probe_no", "strand", "chr", "loc")
 
 
@@ -299,9 +296,9 @@ def reject_antijoin(s, d):
 
 
 @query(f"""WITH {P}, rd AS (SELECT o_orderkey AS read_id, 'order_' || o_orderkey AS name, translate(o_orderpriority, '12345-ABCDEFGHIJKLMNOPQRSTUVWXYZ ', 'ACGTACGTACGTACGTACGTACGTACGTACGTA') AS seq FROM orders)
-    SELECT read_id, mapping_no, concat_ws(chr(9), name, CASE WHEN strand = '-' THEN '16' ELSE '0' END, 'supplier_' || chr, (start + 1)::VARCHAR, (CASE WHEN cond_prb >= 1 THEN 254 ELSE least(254, floor(-10 * log10(1 - cond_prb)))::INT END)::VARCHAR, (stop - start) || 'M', '*', '0', '0',
+    SELECT read_id, mapping_no, concat_ws(e'\\t', name, CASE WHEN strand = '-' THEN '16' ELSE '0' END, 'supplier_' || chr, (start + 1)::VARCHAR, (CASE WHEN cond_prb >= 1 THEN 254 ELSE least(254, floor(-10 * log10(1 - cond_prb)))::INT END)::VARCHAR, (stop - start) || 'M', '*', '0', '0',
     CASE WHEN strand = '-' THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END, CASE WHEN strand = '-' THEN reverse(seq) ELSE seq END, 'PQ:i:' || least(254, floor(-10 * score))::INT, 'XQ:f:' || printf('%.6f', score)) AS line, round(cond_prb, 5) AS p
-    FROM p JOIN rd USING (read_id)""".replace("chr(9)", "e'\\t'"))
+    FROM p JOIN rd USING (read_id)""")
 def sam_lines(s, d):
     seq = F.translate("o_orderpriority", "12345-ABCDEFGHIJKLMNOPQRSTUVWXYZ ", "ACGTACGTACGTACGTACGTACGTACGTACGTA")
     rows = t.read(s, d, "orders").select(F.col("o_orderkey").alias("read_id"), F.concat(F.lit("order_"), F.col("o_orderkey").cast("string")).alias("name"), seq.alias("seq"), seq.alias("qual"))
@@ -336,11 +333,12 @@ def run_merge(s, d):
 # --- text formats
 
 
-@query(f"WITH {L}, x AS (SELECT file, line_no // 4 AS read_id, max(CASE WHEN line_no % 4 = 0 THEN line END) AS head, max(CASE WHEN line_no % 4 = 1 THEN line END) AS seq, max(CASE WHEN line_no % 4 = 3 THEN line END) AS qual FROM (SELECT file, line_no, CASE line_no % 4 WHEN 0 THEN '@' || line WHEN 3 THEN lag(line, 2) OVER (PARTITION BY file ORDER BY line_no) ELSE line END AS line FROM l) GROUP BY ALL) SELECT file, read_id, regexp_replace(substr(head, 2), '\\s+\\S*$', '') AS name, seq, qual FROM x WHERE qual IS NOT NULL AND seq IS NOT NULL")
+@query(f"WITH {L}, x AS (SELECT file, line_no // 4 AS read_id, max(CASE WHEN line_no % 4 = 0 THEN line END) AS head, max(CASE WHEN line_no % 4 = 1 THEN line END) AS seq, max(CASE WHEN line_no % 4 = 3 THEN line END) AS qual FROM (SELECT file, line_no, CASE WHEN line_no % 4 = 0 THEN '@' || line WHEN line_no % 4 = 3 THEN lag(line, 2) OVER (PARTITION BY file ORDER BY line_no) WHEN line LIKE '@%' THEN ' ' || line ELSE line END AS line FROM l) GROUP BY ALL) SELECT file, read_id, regexp_replace(substr(head, 2), '\\s+\\S*$', '') AS name, seq, qual FROM x WHERE qual IS NOT NULL AND seq <> '' AND length(seq) = length(qual)")
 def fastq_parse(s, d):
     before = F.lag("line", 2).over(Window.partitionBy("file").orderBy("line_no"))
     rows = t.text_lines(s, d)
-    rows = rows.withColumn("line", F.when(F.col("line_no") % 4 == 0, F.concat(F.lit("@"), "line")).when(F.col("line_no") % 4 == 3, before).otherwise(F.col("line")))
+    k = F.col("line_no") % 4
+    rows = rows.withColumn("line", F.when(k == 0, F.concat(F.lit("@"), "line")).when(k == 2, F.concat(F.lit("+"), "line")).when(k == 3, before).when(F.col("line").startswith("@"), F.concat(F.lit(" "), "line")).otherwise(F.col("line")))
     return text.fastq(rows)
 
 
@@ -412,9 +410,9 @@ def diploid_asof_lift(s, d):
     return diploid.lift(asked, t.dmap(s, d)).select("prefix", F.col("pos").cast("long").alias("pos"), F.col("mat").cast("long").alias("mat"))
 
 
-_SEGMENTS = f"""{A}, n AS (SELECT *, first(CASE WHEN pat > 0 THEN pat END IGNORE NULLS) OVER w AS np, first(CASE WHEN mat > 0 THEN mat END IGNORE NULLS) OVER w AS nm FROM a WINDOW w AS (PARTITION BY prefix ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+_SEGMENTS = f"""{A}, n AS (SELECT *, first_value(CASE WHEN pat > 0 THEN pat END IGNORE NULLS) OVER w AS np, first_value(CASE WHEN mat > 0 THEN mat END IGNORE NULLS) OVER w AS nm FROM a WINDOW w AS (PARTITION BY prefix ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
     sg AS (SELECT prefix, ord, CASE WHEN pat > 0 AND mat > 0 THEN 'shared' WHEN pat > 0 THEN 'paternal' ELSE 'maternal' END AS kind, CASE WHEN pat > 0 THEN pat - 1 END AS pat_start, CASE WHEN mat > 0 THEN mat - 1 END AS mat_start,
-    CASE WHEN pat > 0 AND mat > 0 THEN least(np - pat, nm - mat) WHEN pat > 0 THEN np - pat ELSE nm - mat END AS length FROM n)""".replace("first(CASE", "first_value(CASE")
+    CASE WHEN pat > 0 AND mat > 0 THEN least(np - pat, nm - mat) WHEN pat > 0 THEN np - pat ELSE nm - mat END AS length FROM n)"""
 
 
 @query(f"WITH {_SEGMENTS} SELECT prefix, ord, kind, pat_start, mat_start, length FROM sg WHERE length > 0")
@@ -584,8 +582,8 @@ def trace_uniform(s, d):
 
 _GT = B + """, ip AS (SELECT * FROM b WHERE status = 'F'), nc AS (SELECT * FROM b WHERE status = 'O'),
     g AS (SELECT chr, track, pos, sum(CASE WHEN coalesce(ip.value, 0) > coalesce(nc.value, 0) THEN 1.0 WHEN coalesce(ip.value, 0) = coalesce(nc.value, 0) THEN 0.5 ELSE 0 END)::DOUBLE + (25 - count(*)) * 0.5::DOUBLE AS count FROM ip FULL JOIN nc USING (bs, chr, track, pos) GROUP BY ALL)"""
-_TAIL = "(SELECT sum(factorial(25) / (factorial(i::INT) * factorial((25 - i)::INT)))::DOUBLE / 33554432 FROM range({k}, 26) AS q(i))"
-_PV = "pv AS (SELECT k, " + _TAIL.format(k="0").replace("range(0, 26) AS q(i)", "(SELECT unnest(range(26)) AS i) WHERE i >= k") + " AS p FROM (SELECT unnest(range(26)) AS k))"
+_PV = """pv AS (SELECT k, (SELECT sum(factorial(25) / (factorial(i::INT) * factorial((25 - i)::INT)))::DOUBLE / 33554432 FROM (SELECT unnest(range(26)) AS i) WHERE i >= k) AS p
+    FROM (SELECT unnest(range(26)) AS k))"""
 
 
 @query(f"WITH {_GT} SELECT chr, track, pos, count FROM g")

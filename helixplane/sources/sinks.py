@@ -49,5 +49,7 @@ def write_rejects(reads: DataFrame, rejects: DataFrame, path: str) -> None:
 
 def write_sam(lines: DataFrame, header: DataFrame, path: str) -> None:
     """Header lines, then mappings by read; files in order."""
-    head = header.select(F.lit(-1).cast("long").alias("read_id"), F.col("chr").cast("int").alias("mapping_no"), "line")
-    head.unionByName(lines.select("read_id", F.col("mapping_no").cast("int"), "line")).repartitionByRange("read_id", "mapping_no").sortWithinPartitions("read_id", "mapping_no").select("line").write.text(path)
+    mate = F.col("mate") if "mate" in lines.columns else F.lit(1)
+    order = ["read_id", "mapping_no", "mate"]
+    head = header.select(F.lit(-1).cast("long").alias("read_id"), F.col("chr").cast("int").alias("mapping_no"), F.lit(0).alias("mate"), "line")
+    head.unionByName(lines.select("read_id", F.col("mapping_no").cast("int"), mate.alias("mate"), "line")).repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.text(path)

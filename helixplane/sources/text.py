@@ -1,19 +1,40 @@
 """Text formats whose records or headers span lines: FASTA, FASTQ, wiggle, logs; and plain tables.
 
-Files are read by Spark. Lines get a number that grows within a file (partition of the scan, then place),
-so a large file is split and only records that cross a split are joined again by key.
+Files are read by Spark, each split by a task of its own: lines are numbered within splits, and what a
+file's earlier splits hold is added from a table with a row for each split. What spans lines is worked
+out in blocks of lines in the same way, so no task holds a whole file.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Lines that a task works through together.
+BLOCK_LINES = 250_000
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line): line_no is unique and ascending within a file."""
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
-    return rows.select("file", F.struct("block", "id").alias("at"), "line").withColumn("line_no", F.row_number().over(Window.partitionBy("file").orderBy("at")) - 1).drop("at")
+    """(file, line_no, line): line_no, from 0, is a line's place in its file."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    own = F.row_number().over(Window.partitionBy("file", "split").orderBy("id")) - 1
+    sizes = rows.groupBy("file", "split").agg(F.count(F.lit(1)).alias("n"))
+    return rows.withColumn("own", own).join(_before(sizes, "split"), ["file", "split"]).select("file", (F.col("before") + F.col("own")).alias("line_no"), "line")
+
+
+def _before(sizes: DataFrame, part: str) -> DataFrame:
+    """(file, part, before): the sum of n over a file's earlier parts; a row for each part."""
+    earlier = Window.partitionBy("file").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select("file", part, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+
+
+def _counted(text: DataFrame, flag: Column, name: str) -> DataFrame:
+    """How many lines of a file up to each line have the flag, by blocks of lines."""
+    rows = text.withColumn("block", F.floor(F.col("line_no") / BLOCK_LINES)).withColumn("flag", F.coalesce(flag, F.lit(False)).cast("long"))
+    inside = F.sum("flag").over(Window.partitionBy("file", "block").orderBy("line_no"))
+    sizes = rows.groupBy("file", "block").agg(F.sum("flag").alias("n"))
+    return rows.withColumn("inside", inside).join(_before(sizes, "block"), ["file", "block"]).withColumn(name, F.col("before") + F.col("inside")).drop("block", "flag", "inside", "before")
 
 
 def fasta(text: DataFrame) -> DataFrame:
@@ -23,7 +44,7 @@ def fasta(text: DataFrame) -> DataFrame:
     Contigs are numbered from 1 by file and place: 0 stands for none.
     """
     header = F.col("line").startswith(">")
-    rows = text.withColumn("group", F.sum(header.cast("int")).over(Window.partitionBy("file").orderBy("line_no")))
+    rows = _counted(text, header, "group")
     rows = rows.groupBy("file", "group").agg(F.max(F.when(header, F.regexp_extract("line", r"^>\s*(\S*)", 1))).alias("name"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~header, F.struct("line_no", "line")))), lambda x: x["line"]), "").alias("seq"))
     rows = rows.select("file", "group", F.coalesce("name", F.lit("Default")).alias("name"), F.regexp_replace("seq", "[^A-Za-z]", "").alias("seq")).filter("seq <> ''")
     # a row for each contig, without its sequence
@@ -32,20 +53,32 @@ def fasta(text: DataFrame) -> DataFrame:
 
 
 def fastq(text: DataFrame) -> DataFrame:
-    """(file, read_id, name, seq, qual) of FASTQ text in records of four lines; names are cut at the last space; read_id is the place in the file. Records that don't begin with @, or whose lengths differ, are dropped."""
-    rows = text.withColumn("read_id", F.floor(F.col("line_no") / 4)).withColumn("k", F.col("line_no") % 4)
-    part = lambda k: F.max(F.when(F.col("k") == k, F.col("line")))
-    rows = rows.groupBy("file", "read_id").agg(part(0).alias("head"), part(1).alias("seq"), part(3).alias("qual"))
-    rows = rows.filter(F.col("head").startswith("@") & (F.length("seq") == F.length("qual")))
-    return rows.select("file", "read_id", F.regexp_replace(F.substring("head", 2, 1 << 30), r"\s+\S*$", "").alias("name"), "seq", "qual")
+    """(file, read_id, name, seq, qual) of FASTQ text.
+
+    A record begins at a line with @ whose second next line begins with +, wherever it stands, so stray
+    lines cost no other record. Names are cut at the last space; read_id is the record's place in the
+    file. Records whose lengths differ, or whose sequence is empty, are dropped; they keep their place.
+    """
+    block = F.floor(F.col("line_no") / BLOCK_LINES)
+    # the first lines of a block are the last ones of a record that begins in the block before
+    blocks = F.array(block, F.when((F.col("line_no") % BLOCK_LINES < 3) & (block > 0), block - 1))
+    rows = text.withColumn("block", F.explode(F.array_compact(blocks)))
+    w = Window.partitionBy("file", "block").orderBy("line_no")
+    rows = rows.select("file", "block", "line_no", F.col("line").alias("head"), *[F.lead("line", k).over(w).alias(name) for k, name in ((1, "seq"), (2, "plus"), (3, "qual"))])
+    heads = rows.filter((F.floor(F.col("line_no") / BLOCK_LINES) == F.col("block")) & F.col("head").startswith("@") & F.col("plus").startswith("+"))
+    sizes = heads.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
+    heads = heads.withColumn("own", F.row_number().over(w) - 1).join(_before(sizes, "block"), ["file", "block"]).withColumn("read_id", F.col("before") + F.col("own"))
+    heads = heads.filter((F.length("seq") == F.length("qual")) & (F.length("seq") > 0))
+    return heads.select("file", "read_id", F.regexp_replace(F.substring("head", 2, 1 << 30), r"\s+\S*$", "").alias("name"), "seq", "qual")
 
 
 def paired(first: DataFrame, second: DataFrame) -> DataFrame:
-    """(read_id, mate, name, seq, qual) of two files whose records belong together by place; mates must have one name but for /1 and /2. What only one file has is left out."""
+    """(read_id, mate, name, seq, qual) of two files whose records belong together by place; mates must have one name but for /1 and /2, else it fails. Records that only one file has whole are left out."""
     bare = lambda c: F.regexp_replace(c, "/[12]$", "")
-    both = first.alias("a").join(second.alias("b"), "read_id").filter(bare("a.name") == bare("b.name"))
-    one = lambda m, x: F.struct(F.lit(m).alias("mate"), F.col(f"{x}.seq").alias("seq"), F.col(f"{x}.qual").alias("qual"))
-    return both.select("read_id", bare("a.name").alias("name"), F.explode(F.array(one(1, "a"), one(2, "b"))).alias("x")).select("read_id", "x.mate", "name", "x.seq", "x.qual")
+    both = first.select("read_id", bare("name").alias("n1"), F.struct(F.lit(1).alias("mate"), "seq", "qual").alias("m1")).join(second.select("read_id", bare("name").alias("n2"), F.struct(F.lit(2).alias("mate"), "seq", "qual").alias("m2")), "read_id")
+    wrong = F.raise_error(F.concat(F.lit("mates don't belong together: "), "n1", F.lit(", "), "n2"))
+    both = both.withColumn("name", F.when(F.col("n1") == F.col("n2"), F.col("n1")).otherwise(wrong)).filter("name is not null")
+    return both.select("read_id", "name", F.explode(F.array("m1", "m2")).alias("x")).select("read_id", "x.mate", "name", "x.seq", "x.qual")
 
 
 def split_mates(reads: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -77,10 +110,13 @@ def wiggle(text: DataFrame) -> DataFrame:
     """(file, track, chrom, pos, value) of wiggle text; pos as written, from 1. fixedStep lines fail."""
     fixed = F.when(F.col("line").startswith("fixedStep"), F.raise_error(F.lit("fixedStep wiggles aren't supported")))
     rows = text.withColumn("line", F.coalesce(fixed, F.col("line")))
-    w = Window.partitionBy("file").orderBy("line_no")
     track = F.when(F.col("line").startswith("track"), F.regexp_extract("line", r'name="?([^"\s]*)', 1))
     chrom = F.when(F.col("line").startswith("variableStep"), F.regexp_extract("line", r"chrom=(\S+)", 1))
-    rows = rows.withColumn("track", F.last(track, ignorenulls=True).over(w)).withColumn("chrom", F.last(chrom, ignorenulls=True).over(w)).filter(F.col("line").rlike(r"^[0-9]+\s"))
+    for name, head in (("track", track), ("chrom", chrom)):  # a row for each header
+        rows = _counted(rows, head.isNotNull(), "group")
+        heads = rows.withColumn(name, head).filter(F.col(name).isNotNull()).select("file", "group", name)
+        rows = rows.join(heads, ["file", "group"], "left").drop("group")
+    rows = rows.filter(F.col("line").rlike(r"^[0-9]+\s"))
     part = F.split("line", r"\s+")
     return rows.select("file", "track", "chrom", part[0].cast("long").alias("pos"), part[1].cast("double").alias("value"))
 
@@ -94,8 +130,10 @@ def log_rows(text: DataFrame) -> DataFrame:
 
 
 def fragment_lengths(spark: SparkSession, path: str) -> DataFrame:
-    """(len, p) of a tab-separated file without header."""
-    return spark.read.csv(path, sep="\t", schema="len int, p double")
+    """(len, p) of a tab-separated file without header; lengths between the least and the greatest that the file leaves out have p 0."""
+    rows = spark.read.csv(path, sep="\t", schema="len int, p double")
+    every = rows.agg(F.min("len").alias("a"), F.max("len").alias("b")).filter("a is not null").select(F.explode(F.sequence("a", "b")).alias("len"))
+    return every.join(rows, "len", "left").select("len", F.coalesce("p", F.lit(0.0)).alias("p"))
 
 
 def diploid_map(spark: SparkSession, path: str, prefix: str) -> DataFrame:

@@ -287,3 +287,109 @@ def test_command_line_single_chip_with_samples_and_soft_clip(spark, genome, tmp_
     assert [r.sample for r in out.read("samples").collect()] == [1]
     sam = [x.split("\t") for p in sorted((tmp_path / "run/sam").glob("part*")) for x in p.read_text().splitlines() if x[0] != "@"]
     assert {(int(x[1]) & 16, x[5], len(x[9])) for x in sam} == {(0, "3S50M", 53), (16, "50M3S", 53)}
+
+
+def test_stray_lines_cost_no_other_record(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text, "BLOCK_LINES", 5)
+    records = [(f"r{k}", "ACGTACGT"[: 1 + k % 8], "@IIIIIII"[: 1 + k % 8]) for k in range(40)]
+    body = [f"@{n} x\n{s}\n+\n{q}\n" for n, s, q in records]
+    body[3] += "stray\n"
+    body[7] = "@cut\nACGT\n+\nII\n"
+    body[20] += "\n\n"
+    (tmp_path / "a.fq").write_text("".join(body))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        lines = text.lines(spark, str(tmp_path / "a.fq"))
+        assert [(r.line_no, r.line) for r in lines.orderBy("line_no").collect()] == list(enumerate("".join(body).split("\n")[:-1]))
+        got = [(r.read_id, r.name, r.seq, r.qual) for r in text.fastq(lines).orderBy("read_id").collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == [(k, *r) for k, r in enumerate(records) if k != 7]
+
+
+def test_mates_of_other_names_fail(spark):
+    one = lambda *names: spark.createDataFrame([(k, n, "AC", "II") for k, n in enumerate(names)], "read_id long, name string, seq string, qual string")
+    assert text.paired(one("a/1", "b/1"), one("a/2", "b/2", "c/2")).count() == 4
+    with pytest.raises(Exception, match="mates don't belong together"):
+        text.paired(one("a/1", "b/1"), one("a/2", "x/2")).collect()
+
+
+def test_headers_are_carried_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(text, "BLOCK_LINES", 3)
+    body = ["track name=a", "variableStep chrom=c1", "1 0.5", "2 1", "3 2", "4 3", "variableStep chrom=c2", "7 1", "8 1", "9 1", "track name=b", "1 4"]
+    rows = text.wiggle(spark.createDataFrame([("f", k, x) for k, x in enumerate(body)], "file string, line_no long, line string"))
+    got = sorted((r.track, r.chrom, r.pos, r.value) for r in rows.collect())
+    assert got == sorted([("a", "c1", 1, 0.5), ("a", "c1", 2, 1.0), ("a", "c1", 3, 2.0), ("a", "c1", 4, 3.0), ("a", "c2", 7, 1.0), ("a", "c2", 8, 1.0), ("a", "c2", 9, 1.0), ("b", "c2", 1, 4.0)])
+    fa = [">x", "AC", "GT", "AA", "CC", ">y", "TT"]
+    seqs = text.fasta(spark.createDataFrame([("f", k, x) for k, x in enumerate(fa)], "file string, line_no long, line string"))
+    assert [(r.chr, r.name, r.seq) for r in seqs.orderBy("chr").collect()] == [(1, "x", "ACGTAACC"), (2, "y", "TT")]
+
+
+def test_sums_along_a_contig_do_not_depend_on_bins(spark, monkeypatch):
+    rows = density.conditional(mapped_rows(spark, 200)).checkpoint()
+
+    def results():
+        runs = density.fragments(rows)
+        out = [sorted((r.chr, r.track, r.pos, round(r.value, 9)) for r in density.bases(runs).collect() if abs(r.value) > 1e-12)]
+        for step in (density.over_fragment(rows.drop("cond_prb"), runs), density.near_start(rows.drop("cond_prb"), density.start_sites(rows))):
+            out.append(sorted((r.read_id, r.mapping_no, round(r.cond_prb, 9)) for r in step.collect()))
+        return out
+
+    whole = results()
+    for size in (7, 64, 300):
+        monkeypatch.setattr(density, "BIN", size)
+        assert results() == whole
+
+
+def test_sam_of_pairs(spark, genome):
+    seq = genome[1][2]
+    rows = [(0, 1, "p", seq[100:140], "I" * 40), (0, 2, "p", back(seq[260:300]), "J" * 40), (1, 1, "q", back(seq[900:940]), "I" * 40), (1, 2, "q", seq[800:840], "J" * 40)]
+    contigs = spark.createDataFrame(genome, CONTIGS)
+    pairs = spark.createDataFrame(rows, READS)
+    mapped, _ = map_reads(pairs, contigs, 20)
+    lines = [r.line.split("\t") for r in reads.sam_pair_lines(mapped, pairs, contigs).orderBy("read_id", "mate").collect()]
+    assert [x[:9] for x in lines] == [
+        ["p", "67", "chr2", "101", "254", "40M", "=", "261", "200"], ["p", "147", "chr2", "261", "254", "40M", "=", "101", "-200"],
+        ["q", "83", "chr2", "901", "254", "40M", "=", "801", "-140"], ["q", "131", "chr2", "801", "254", "40M", "=", "901", "140"],
+    ]
+    assert lines[1][9] == seq[260:300] and lines[2][9] == seq[900:940]
+
+
+def test_reads_with_too_many_places_say_so(spark, monkeypatch):
+    rng = random.Random(12)
+    unit = "".join(rng.choice("ACGT") for _ in range(60))
+    contigs = spark.createDataFrame([(1, "c", unit * 30 + "".join(rng.choice("ACGT") for _ in range(300)))], CONTIGS)
+    rows = spark.createDataFrame([(0, 1, "many", unit[:40], "I" * 40), (1, 1, "none", "ACGGT" * 8, "I" * 40)], READS)
+    monkeypatch.setattr(search.guard, "__defaults__", (20,))
+    _, rejected = map_reads(rows, contigs, 20)
+    assert {r.read_id: r.error for r in rejected.collect()} == {0: 2, 1: 4}
+
+
+def test_long_reads_map_whole(spark):
+    rng = random.Random(13)
+    seq = "".join(rng.choice("ACGT") for _ in range(9000))
+    rows = spark.createDataFrame([(0, 1, "long", seq[1500:6500], "I" * 5000), (1, 1, "short", seq[100:160], "I" * 60)], READS)
+    mapped, _ = map_reads(rows, spark.createDataFrame([(1, "c", seq)], CONTIGS), 20)
+    assert {(r.read_id, r.start, r.stop) for r in mapped.collect()} == {(0, 1500, 6500), (1, 100, 160)}
+
+
+def test_quality_encoding_of_reads(spark):
+    of = lambda *q: reads.quality_encoding(spark.createDataFrame([(x,) for x in q], "qual string"))
+    assert (of("!5I", "II", ""), of("!J"), of(";h"), of("Bh"), of("@h")) == ("sanger", "illumina_1.8", "solexa", "illumina_1.5", "illumina_1.3")
+    with pytest.raises(ValueError):
+        of("~~")
+
+
+def test_packed_words(spark):
+    from helixplane.functions import sequence
+
+    rng = random.Random(14)
+    s = "".join(rng.choice("ACGTN" if k % 17 == 0 else "ACGT") for k in range(90))
+    df = spark.createDataFrame([(s,), ("ACG",), ("",)], "seq string")
+    for k in (1, 2, 3, 7, 12, 20, 31):
+        code = lambda w: None if "N" in w else sum("ACGT".index(c) * 4 ** (len(w) - 1 - i) for i, c in enumerate(w))
+        got = [r[0] for r in df.select(sequence.windows(F.col("seq"), k)).collect()]
+        assert got == [[code(x[i : i + k]) for i in range(len(x) - k + 1)] for x in (s, "ACG", "")]

@@ -25,12 +25,17 @@ def test_run(spark, sf_dir):
     kept = {d for d, _, _, k in brute.near_duplicates(rows) if k}
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    expect = [(d, len(i := enc.encode_ordinary(t)), brute.sha(" ".join(map(str, i))), brute.sha(t)) for d, t in rows if d in kept]
-    assert brute.ordered(cp.run(spark, sf_dir).collect()) == brute.ordered(expect)
+    sources = [(r.h, r.doc_id, r.source) for r in docs.selectExpr("shiftrightunsigned(xxhash64(doc_id, 11), 1) as h", "doc_id", "source").collect() if r.doc_id in kept]
+    place = {d: k for k, d in enumerate(brute.mixed(sources))}
+    expect = [(d, len(i := enc.encode_ordinary(t)), brute.sha(" ".join(map(str, i))), brute.sha(t), place[d]) for d, t in rows if d in kept]
+    out = cp.run(spark, sf_dir)
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "mix_place"]
+    got = [tuple(r) for r in out.collect()]
+    assert got == sorted(expect, key=lambda r: r[4])
 
 
 def test_stages_on_odd_rows(spark, sf_dir):
-    docs = brute.odd_documents(spark).selectExpr("doc_id", "text", "chunk as source", "blob", "'x' as kept")
+    docs = brute.odd_documents(spark).selectExpr("doc_id", "text", "chunk as source", "blob", "'x' as kept", "'x' as kept_id", "'x' as `no text`", "1 as rest", "2 as `null`", "3 as doc_id_")
     for name, stage in cp.STAGES[:-1]:
         out = stage(spark, docs, sf_dir)
         assert out.columns == docs.columns, name

@@ -40,33 +40,6 @@ def pack(seq: Column) -> Column:
     return F.when(is_known(seq) & (F.length(seq) <= MOST_PACKED), code)
 
 
-def windows(seq: Column, k: int) -> Column:
-    """Array of the packed words of k bases (MOST_PACKED at most) from each base on; null where one has an unknown base.
-
-    By doubling: words of 1, 2, 4, ... bases, of which k is put together.
-    """
-    letters = F.filter(F.split(F.upper(seq), ""), lambda c: c != "")
-    first = F.transform(letters, lambda c: F.nullif(F.instr(F.lit(BASES), c), F.lit(0)).cast("long") - 1)
-
-    def joined(a: Column, b: Column, at: int, size: int) -> Column:
-        """Each word of a, and that of b which begins so many bases on and has the given size."""
-        return F.zip_with(a, F.slice(b, at + 1, F.size(b)), lambda x, y: x * (1 << 2 * size) + y)
-
-    def grown(word: Column, size: int, done: Column | None, so_far: int) -> Column:
-        # an array of one element stands for a name, so nothing is worked out twice
-        if k & size:
-            done, so_far = (word, size) if done is None else (joined(done, word, so_far, size), so_far + size)
-        if 2 * size > k:
-            return done
-        bind = lambda x, f: F.transform(F.array(x), f)[0]
-        if done is None:
-            return bind(joined(word, word, size, size), lambda w: grown(w, 2 * size, None, so_far))
-        return bind(F.struct(joined(word, word, size, size).alias("w"), done.alias("d")), lambda p: grown(p["w"], 2 * size, p["d"], so_far))
-
-    words = F.transform(F.array(first), lambda w: grown(w, 1, None, 0))[0]
-    return F.slice(words, 1, F.greatest(F.length(seq) - k + 1, F.lit(0)))
-
-
 def packed_mismatches(a: Column, b: Column, low: int = 0, high: int = 31) -> Column:
     """Of packed words, among the bases low to high - 1 counted from the last."""
     differ = a.bitwiseXOR(b)

@@ -58,8 +58,10 @@ def rescore(candidates: DataFrame, reads: DataFrame, contigs: DataFrame, frequen
     rows = rows.join(contigs.select("chr", F.posexplode(pieces(F.upper("seq"), size, size)).alias("piece_no", "piece")), ["chr", "piece_no"])
     place = at(F.col("piece"), F.col("start") - F.col("piece_no") * size, F.col("length"))
     genome = F.when(F.col("strand") == "+", place).otherwise(reverse_complement(place))
-    cells = F.arrays_zip(F.split(F.upper("seq"), "").alias("r"), F.split(genome, "").alias("g"), F.col("good").alias("good"), F.col("bad").alias("bad"))
+    trim = F.col("trim") if "trim" in candidates.columns else F.lit(0)
+    rest = lambda c: F.slice(c, trim + 1, F.size(c))
+    cells = F.arrays_zip(F.split(F.upper(F.substr("seq", trim + 1)), "").alias("r"), F.split(genome, "").alias("g"), rest(F.col("good")).alias("good"), rest(F.col("bad")).alias("bad"))
     one = lambda x: F.when(x["good"].isNull(), 0.0).when(x["g"] == "N", F.lit(N_SCORE)).when(x["r"] == x["g"], x["good"]).otherwise(x["bad"])
     score = F.when(genome.isNotNull(), F.aggregate(F.transform(cells, one), F.lit(0.0), lambda a, x: a + x))
     rows = rows.withColumn("penalty", score).withColumn("floor", floor("mean", "variance"))
-    return rows.select("read_id", "mate", "chr", "start", "length", "strand", "penalty", "floor")
+    return rows.select("read_id", "mate", "chr", "start", "length", "strand", *(["trim"] if "trim" in candidates.columns else []), "penalty", "floor")

@@ -68,7 +68,7 @@ def within_bounds(mappings: DataFrame, contigs: DataFrame) -> DataFrame:
 
 
 def sam_lines(mappings: DataFrame, reads: DataFrame, contigs: DataFrame, soft_clip: int = 0) -> DataFrame:
-    """(read_id, mapping_no, line) of single-end mappings with cond_prb and log_seq_error; positions 1-based; reverse reads reverse complemented, their qualities reversed. soft_clip: the reads' first bases that weren't mapped."""
+    """(read_id, mapping_no, line) of single-end mappings with cond_prb and log_seq_error; positions 1-based; reverse reads reverse complemented, their qualities reversed. soft_clip: the reads' first bases that weren't mapped; a mapping's `trim`, if there is such a column, adds to them."""
     rows = mappings.join(reads.select("read_id", F.col("name").alias("read_name"), "seq", "qual"), "read_id")
     rows = rows.withColumns({"paired": F.lit(False), "mate": F.lit(1), "length": F.col("stop") - F.col("start"), "next": F.lit("*"), "next_pos": F.lit("0"), "fragment": F.lit("0")})
     return _sam(rows, contigs, soft_clip).select("read_id", "mapping_no", "line")
@@ -90,7 +90,8 @@ def _sam(rows: DataFrame, contigs: DataFrame, soft_clip: int) -> DataFrame:
     rows = rows.join(contigs.select("chr", F.col("name").alias("contig_name")), "chr")
     back = F.col("strand") == "-"
     number = lambda c: F.format_string("%.6f", c)
-    matched, clip = F.concat(F.col("length").cast("string"), F.lit("M")), F.lit(f"{soft_clip}S" if soft_clip else "")
+    clipped = F.lit(soft_clip) + (F.col("trim") if "trim" in rows.columns else F.lit(0))
+    matched, clip = F.concat(F.col("length").cast("string"), F.lit("M")), F.when(clipped > 0, F.concat(clipped.cast("string"), F.lit("S"))).otherwise("")
     line = F.concat_ws(
         "\t", "read_name", sam.flag(F.col("paired"), back, F.col("mate") == 1).cast("string"), "contig_name", (F.col("start") + 1).cast("string"), sam.mapping_quality(F.col("cond_prb")).cast("string"),
         F.when(back, F.concat(matched, clip)).otherwise(F.concat(clip, matched)), "next", "next_pos", "fragment", F.when(back, reverse_complement(F.col("seq"))).otherwise(F.col("seq")), F.when(back, F.reverse("qual")).otherwise(F.col("qual")),
@@ -114,8 +115,20 @@ def sam_header(contigs: DataFrame) -> DataFrame:
     return contigs.select("chr", F.concat(F.lit("@SQ\tSN:"), F.col("name"), F.lit("\tLN:"), F.length("seq").cast("string")).alias("line"))
 
 
-def untemplated_g(candidates: DataFrame, most: int = 1, score: float = -1.30103) -> DataFrame:
+#: The log10 chance of an untemplated G.
+UNTEMPLATED = -1.30103
+
+
+def untemplated_g(candidates: DataFrame, most: int = 1, score: float = UNTEMPLATED) -> DataFrame:
     """Each candidate, and variants whose first bases, leading Gs, aren't templated: (…, trim). Needs `seq`, the read."""
     rows = candidates.withColumn("trim", F.explode(F.sequence(F.lit(0), F.lit(most))))
     rows = rows.filter(F.upper(F.substring("seq", F.lit(1), F.col("trim"))) == F.repeat(F.lit("G"), F.col("trim")))
     return rows.select("read_id", "chr", "strand", "trim", F.when(F.col("strand") == "+", F.col("start") + F.col("trim")).otherwise(F.col("start")).alias("start"), (F.col("length") - F.col("trim")).alias("length"), (F.col("penalty") + F.col("trim") * score).alias("penalty"))
+
+
+def with_untemplated_g(candidates: DataFrame, reads: DataFrame, most: int) -> DataFrame:
+    """Candidates of reads that were searched without their first `most` bases, as candidates of the whole reads (trim 0) and, where a read's first bases are G, of the reads without these (trim 1 to most). Scores come after."""
+    rows = candidates.join(reads.select("read_id", "mate", "seq"), ["read_id", "mate"]).withColumn("trim", F.explode(F.sequence(F.lit(0), F.lit(most))))
+    rows = rows.filter(F.upper(F.substring("seq", F.lit(1), F.col("trim"))) == F.repeat(F.lit("G"), F.col("trim")))
+    start = F.when(F.col("strand") == "+", F.col("start") - most + F.col("trim")).otherwise(F.col("start"))
+    return rows.withColumn("start", start).withColumn("length", F.col("length") + most - F.col("trim")).filter("start >= 0").drop("seq")

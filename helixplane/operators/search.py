@@ -15,6 +15,8 @@ from helixplane.functions.sequence import MOST_PACKED, at, first_bases, pack, pa
 MOST_PROBES, MOST_HITS, MOST_FRAGMENT = 5, 5000, 524_287
 #: Bases of the pieces in which genomes join, unless reads are longer; first bases by which saved indexes are partitioned; most changes under which a target is listed.
 PIECE, SAVED_HEAD, MOST_CHANGES = 2048, 4, 10_000
+#: Rows of targets under their changes (24 bytes each) that are broadcast at most.
+MOST_BROADCAST = 1_000_000
 
 
 def _regions(reads: DataFrame, k: int, most: int) -> DataFrame:
@@ -87,8 +89,8 @@ def search(probes: DataFrame, index: DataFrame, k: int, mismatches: int) -> Data
     is listed under all such changes of each part, by one whole number for part and bases, and joins the
     index's parts by equality. Packed words are compared by exclusive or within the join, so only hits
     leave it; a pair that meets by several parts counts by the first. The index isn't shuffled where the
-    targets are small enough for Spark to broadcast; take repeats out first (index.unique_part) where they
-    aren't. Index: (chr, loc, code), or (chr, loc, kmer), which is packed here; k is 31 at most.
+    targets, which are counted, make up to MOST_BROADCAST rows; beyond, both sides are dealt by key, and
+    repeats are better taken out first (index.unique_part). Index: (chr, loc, code), or (chr, loc, kmer), which is packed here; k is 31 at most.
     """
     if k > MOST_PACKED:
         raise ValueError(f"searches take words of up to {MOST_PACKED} bases")
@@ -99,14 +101,17 @@ def search(probes: DataFrame, index: DataFrame, k: int, mismatches: int) -> Data
     targets = both_strands(probes).withColumn("word", pack(F.col("target")))
     part = lambda c, p: F.shiftrightunsigned(c, 2 * spans[p][0]).bitwiseAND(F.lit((1 << 2 * (spans[p][1] - spans[p][0])) - 1))
     key = lambda p, block: block * len(spans) + p
-    changes = probes.sparkSession.createDataFrame([(p, x) for p, (a, b) in enumerate(spans) for x in _ball(b - a, h)], "part int, change long")  # MOST_CHANGES rows at most
+    listed = [(p, x) for p, (a, b) in enumerate(spans) for x in _ball(b - a, h)]  # MOST_CHANGES at most
+    changes = probes.sparkSession.createDataFrame(listed, "part int, change long")
     block = functools.reduce(lambda out, p: F.when(F.col("part") == p, part(F.col("word"), p)).otherwise(out), range(len(spans)), F.lit(None).cast("long"))
-    wanted = targets.select("word").distinct().crossJoin(F.broadcast(changes)).select("word", "part", key(F.col("part"), block.bitwiseXOR(F.col("change"))).alias("key"))
+    distinct = targets.select("word").distinct()
+    few = distinct.count() * len(listed) <= MOST_BROADCAST
+    wanted = distinct.crossJoin(F.broadcast(changes)).select("word", "part", key(F.col("part"), block.bitwiseXOR(F.col("change"))).alias("key"))
     held = index.withColumn("key", F.explode(F.array(*[key(p, part(F.col("code"), p)) for p in range(len(spans))])))
     near = packed_mismatches(F.col("word"), F.col("code"), 0, k)
     # by no earlier part
     first = functools.reduce(Column.__and__, [(F.col("part") <= p) | (packed_mismatches(F.col("word"), F.col("code"), *spans[p]) > h) for p in range(len(spans) - 1)], F.lit(True))
-    pairs = wanted.join(held, "key").filter((near <= mismatches) & first).withColumn("penalty", -near.cast("double")).drop("key", "part", "code", "head")
+    pairs = (F.broadcast(wanted) if few else wanted).join(held, "key").filter((near <= mismatches) & first).withColumn("penalty", -near.cast("double")).drop("key", "part", "code", "head")
     return targets.join(pairs, "word").drop("word", "target")
 
 
@@ -147,11 +152,12 @@ def piece_size(reads: DataFrame) -> int:
 
 
 def rescore(candidates: DataFrame, reads: DataFrame, contigs: DataFrame, size: int | None = None) -> DataFrame:
-    """Candidates with the score of the whole read against the genome; null where a read leaves its contig. Genomes join in pieces, by place; pieces are as long as the longest read at least."""
+    """Candidates with the score of the whole read (but for its first `trim` bases, if there is such a column) against the genome; null where a read leaves its contig. Genomes join in pieces, by place; pieces are as long as the longest read at least."""
     size = piece_size(reads) if size is None else size
     rows = candidates.join(reads.select("read_id", "mate", "seq"), ["read_id", "mate"]).withColumn("piece_no", F.floor(F.col("start") / size).cast("int"))
     rows = rows.join(chunks(contigs, size, size), ["chr", "piece_no"])
-    read = F.when(F.col("strand") == "+", F.upper("seq")).otherwise(reverse_complement(F.col("seq")))
+    whole = F.substr("seq", F.col("trim") + 1) if "trim" in candidates.columns else F.col("seq")
+    read = F.when(F.col("strand") == "+", F.upper(whole)).otherwise(reverse_complement(whole))
     return rows.withColumn("penalty", read_score(read, at(F.col("piece"), F.col("start") - F.col("piece_no") * size, F.col("length")))).drop("seq", "piece", "piece_no")
 
 

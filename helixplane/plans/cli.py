@@ -53,7 +53,7 @@ def run(spark: SparkSession, config: Config) -> sinks.Run:
         out.write("fragments", lengths)
     clip = config.clipped
     shorn = reads.withColumn("seq", F.substr("seq", F.lit(clip + 1))).withColumn("qual", F.substr("qual", F.lit(clip + 1))) if clip else reads
-    mappings, rejects = map_reads(shorn, contigs, config.k, config.floor_p, out.read("kmers").select("chr", "loc", "code"), lengths, config.model)
+    mappings, rejects = map_reads(shorn, contigs, config.k, config.floor_p, out.read("kmers").select("chr", "loc", "code"), lengths, config.model, config.untemplated)
     out.write("mappings", mappings)
     out.write("rejects", rejects)
     mappings = out.read("mappings")

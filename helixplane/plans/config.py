@@ -35,13 +35,18 @@ class Config:
         if self.samples and not self.assay:
             raise ValueError("samples need an assay")
         if self.assay == "cage":
-            self.soft_clip += 1
+            self.soft_clip += 1  # for an untemplated G
 
     @property
     def clipped(self) -> int:
-        """Bases cut from reads before mapping; without the one that cage adds for untemplated Gs, which runs don't handle."""
+        """Bases cut from reads before mapping; the one that cage adds is left out in searches only."""
         return self.soft_clip - (self.assay == "cage")
 
+    @property
+    def untemplated(self) -> int:
+        """Gs before a read that the genome may not have."""
+        return int(self.assay == "cage" and self.unpaired is not None)
+
     def dumps(self) -> str:
         return json.dumps(dataclasses.asdict(self), indent=1)
 

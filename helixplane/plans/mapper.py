@@ -11,15 +11,17 @@ from helixplane.functions.stats import probe_thresholds
 from helixplane.operators import density, estimated, index, reads as reads_, search
 
 
-def map_reads(reads: DataFrame, contigs: DataFrame, k: int, floor_p: float = 0.1, kmers: DataFrame | None = None, fragment_lengths: DataFrame | None = None, model: str = "mismatch") -> tuple[DataFrame, DataFrame]:
+def map_reads(reads: DataFrame, contigs: DataFrame, k: int, floor_p: float = 0.1, kmers: DataFrame | None = None, fragment_lengths: DataFrame | None = None, model: str = "mismatch", untemplated: int = 0) -> tuple[DataFrame, DataFrame]:
     """(mappings, rejects) under the mismatch model, or one whose error frequencies are estimated from the mismatch model's best candidates.
 
     reads: (read_id, mate, name, seq, qual), mate 1 alone or 1 and 2. mappings: (read_id, mapping_no, chr,
     start, stop, strand, log_seq_error, score, cond_prb), paired ones over the whole fragment with its mate 1's strand, and
-    start, length and strand of each mate.
+    start, length and strand of each mate. untemplated: so many Gs may stand before a (single) read that the genome doesn't have;
+    mappings then have `trim`, the Gs left out.
     """
     kmers = index.packed(contigs, k) if kmers is None else kmers
-    probes = search.select_probes(reads, k)
+    inner = reads.withColumn("seq", F.substr("seq", F.lit(untemplated + 1))).withColumn("qual", F.substr("qual", F.lit(untemplated + 1))) if untemplated else reads
+    probes = search.select_probes(inner, k)
     # probes of reads with n parts allow for different numbers of mismatches
     counts = probes.groupBy("read_id", "mate").agg(F.count(F.lit(1)).alias("n"))
     floors = {n: -probe_thresholds(k, n, floor_p, floor_p / 2)[0] for n in range(1, search.MOST_PROBES + 1)}
@@ -32,22 +34,28 @@ def map_reads(reads: DataFrame, contigs: DataFrame, k: int, floor_p: float = 0.1
     hits = functools.reduce(DataFrame.unionByName, [search.search(classed.filter(F.col("n").isin(ns)), kmers, k, m) for m, ns in by_floor.items()])
     hits = search.best_within(hits, ["read_id", "mate", "probe_no"], "penalty", table(spreads).cast("double")).drop("n")
     hits, void_probes = search.guard(hits, ["read_id", "mate", "probe_no"])
-    found = search.rescore(search.read_starts(search.merge_diagonals(hits), reads, contigs, k), reads, contigs).filter("penalty is not null").checkpoint()
+    places = search.read_starts(search.merge_diagonals(hits), inner, contigs, k)
+    if untemplated:
+        places = reads_.with_untemplated_g(places, reads, untemplated)
+    found = search.rescore(places, reads, contigs).filter("penalty is not null").checkpoint()
     # pairs would join all candidates of one mate with all of the other
     found, void_reads = search.guard(found, ["read_id", "mate"])
     length = F.col("length")
     floor, spread = -F.floor(floor_p * length) - 1.0, F.floor(floor_p / 2 * length) + 1.0
     if model == "estimated":
-        frequencies = estimated.learn(found, reads, contigs).checkpoint()
+        frequencies = estimated.learn(found.filter("trim = 0") if untemplated else found, reads, contigs).checkpoint()
         found = estimated.rescore(found, reads, contigs, frequencies).filter("penalty is not null").checkpoint()
         floors_ = found.groupBy("read_id").agg(F.min("floor").alias("read_floor"))
         floor, spread = F.col("read_floor"), F.lit(2.0)
+    trimmed = ["trim"] if untemplated else []
+    if untemplated:
+        found = found.withColumn("penalty", F.col("penalty") + F.col("trim") * reads_.UNTEMPLATED)
     single = reads.filter("mate = 2").isEmpty()
     if single:
         good = found.withColumn("score", F.col("penalty"))
         good = (good.join(floors_, "read_id") if model == "estimated" else good).withColumn("floor", 2 * floor)
         good = search.best_within(good, ["read_id"], "score", spread, F.col("floor"), strict=True)
-        good = good.select("read_id", "chr", "start", (F.col("start") + length).alias("stop"), "strand", F.col("score").alias("log_seq_error"), "score")
+        good = good.select("read_id", "chr", "start", (F.col("start") + length).alias("stop"), "strand", F.col("score").alias("log_seq_error"), "score", *trimmed)
     else:
         pairs = search.pair(found, fragment_lengths).withColumn("length", F.col("length1") + F.col("length2"))
         pairs = pairs.join(floors_, "read_id") if model == "estimated" else pairs

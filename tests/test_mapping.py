@@ -384,12 +384,40 @@ def test_quality_encoding_of_reads(spark):
 
 
 def test_packed_words(spark):
-    from helixplane.functions import sequence
-
     rng = random.Random(14)
-    s = "".join(rng.choice("ACGTN" if k % 17 == 0 else "ACGT") for k in range(90))
-    df = spark.createDataFrame([(s,), ("ACG",), ("",)], "seq string")
+    s = "".join(rng.choice("ACGTNacgt" if k % 17 == 0 else "ACGT") for k in range(900))
+    df = spark.createDataFrame([("a", s), ("b", "ACG"), ("c", ""), ("d", s[5:40])], "chr string, seq string")
+    code = lambda w: sum("ACGT".index(c) * 4 ** (len(w) - 1 - i) for i, c in enumerate(w))
     for k in (1, 2, 3, 7, 12, 20, 31):
-        code = lambda w: None if "N" in w else sum("ACGT".index(c) * 4 ** (len(w) - 1 - i) for i, c in enumerate(w))
-        got = [r[0] for r in df.select(sequence.windows(F.col("seq"), k)).collect()]
-        assert got == [[code(x[i : i + k]) for i in range(len(x) - k + 1)] for x in (s, "ACG", "")]
+        for step, omit in ((1, False), (3, True)):
+            got = sorted(tuple(r) for r in index.packed(df, k, step, omit).collect())
+            expect = [(n, i, x[i : i + k].upper()) for n, x in (("a", s), ("b", "ACG"), ("d", s[5:40])) for i in range(0, len(x) - k + (not omit), step)]
+            assert got == [(n, i, code(w)) for n, i, w in expect if "N" not in w]
+
+
+def test_searches_with_and_without_broadcast_agree(spark, genome, monkeypatch):
+    probes = spark.createDataFrame([(i, 1, 0, 0, 20, genome[i % 3][2][40 * i : 40 * i + 20]) for i in range(10)], "read_id long, mate int, probe_no int, offset int, length int, seq string")
+    held = index.packed(spark.createDataFrame(genome, CONTIGS), 20)
+    one = sorted(tuple(r) for r in search.search(probes, held, 20, 2).collect())
+    monkeypatch.setattr(search, "MOST_BROADCAST", 0)
+    assert one == sorted(tuple(r) for r in search.search(probes, held, 20, 2).collect()) and len(one) >= 10
+
+
+@pytest.mark.parametrize("model", ["mismatch", "estimated"])
+def test_untemplated_gs(spark, genome, model):
+    seq = genome[1][2]
+    starts = [at for at in range(60, 2400, 60) if seq[at - 1] != "G"][:20]
+    rows = [(i, 1, f"r{i}", "G" + seq[at : at + 49], "I" * 50) for i, at in enumerate(starts)]
+    stops = [at for at in range(300, 2400, 70) if seq[at] != "C"][:20]
+    rows += [(100 + i, 1, f"s{i}", "G" + back(seq[at - 49 : at]), "I" * 50) for i, at in enumerate(stops)]
+    rows += [(200 + i, 1, f"t{i}", seq[at : at + 50], "I" * 50) for i, at in enumerate(range(100, 2000, 50)) if seq[at] != "G"]
+    reads_, contigs = spark.createDataFrame(rows, READS), spark.createDataFrame(genome, CONTIGS)
+    mapped, _ = map_reads(reads_, contigs, 20, model=model, untemplated=1)
+    got = {(r.read_id, r.chr, r.start, r.stop, r.strand, r.trim): r.score for r in mapped.collect()}
+    assert {(i, 2, at, at + 49, "+", 1) for i, at in enumerate(starts)} <= set(got)
+    assert {(100 + i, 2, at - 49, at, "-", 1) for i, at in enumerate(stops)} <= set(got)
+    assert all(x[5] == 0 for x in got if x[0] >= 200)
+    if model == "mismatch":
+        assert all(abs(got[i, 2, at, at + 49, "+", 1] + 1.30103) < 1e-9 and abs(got[i, 2, at - 1, at + 49, "+", 0] + 1) < 1e-9 for i, at in enumerate(starts))
+    cigars = {x.split("\t")[5] for x in (r.line for r in reads.sam_lines(mapped.filter("trim = 1 and strand = '+'"), reads_, contigs).collect())}
+    assert cigars == {"1S49M"}

@@ -182,4 +182,4 @@ def find(docs: DataFrame) -> DataFrame:
 
 def digests(out: DataFrame) -> DataFrame:
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return out.select("doc_id", *map(count, KINDS), F.sha2(_join(F.col("base")).cast("binary"), 256).alias("base_sha256"), _join(F.col("spans")).alias("spans"))
+    return out.select("doc_id", *map(count, KINDS), F.sha2(_join(F.col("base")).cast("binary"), 256).alias("base_sha256"), _join(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))

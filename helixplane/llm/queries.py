@@ -76,6 +76,22 @@ ORACLE: dict[str, str] = {
         u AS (SELECT doc_id, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS p FROM d),
         k AS (SELECT doc_id, count(c.p) AS n, string_agg(t, ' ' ORDER BY p) FILTER (WHERE c.p IS NULL) AS kept FROM u LEFT JOIN c USING (doc_id, p) GROUP BY doc_id)
         SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
+    "op4_suffix": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        -- pieces of 500 windows, as a window of a long text is slow to cut
+        w AS (SELECT doc_id, j, substr(h, 1000 * j + 1, 1098) AS piece FROM (SELECT doc_id, h, unnest(range(length(h) // 1000 + 1)) AS j FROM d)),
+        x AS (SELECT doc_id, 500 * j + o AS i, substr(piece, 2 * o + 1, 100) AS s FROM (SELECT doc_id, j, piece, unnest(range(greatest(length(piece) // 2 - 49, 0))) AS o FROM w)),
+        f AS (SELECT s, min(doc_id) AS m FROM x GROUP BY s HAVING min(doc_id) <> max(doc_id)),
+        c AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM x JOIN f USING (s) WHERE m < doc_id),
+        g AS (SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i > p + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM c),
+        z AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY doc_id, run),
+        n AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM z GROUP BY doc_id),
+        y AS (
+            SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS s, a AS e FROM z
+            UNION ALL SELECT doc_id, coalesce(max(b), 0), max(length(h) // 2) FROM d LEFT JOIN z USING (doc_id) GROUP BY doc_id
+        ), k AS (SELECT doc_id, string_agg(substr(h, 2 * s + 1, 2 * (e - s)), '' ORDER BY s) AS kept FROM y JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(kept)) AS kept_sha256
+        FROM d JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)""",
     "op7_lines": r"""
         WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
         l AS (SELECT doc_id, unnest(a) AS line, unnest(range(len(a))) AS i FROM s),

@@ -35,7 +35,7 @@ AT_ONCE = 1 << 20
 #: The log-odds against a category that no row trains.
 NEVER = 8.0
 #: Least chi-square statistic, and rows, of a feature that gets a weight; how far classes are balanced, from 0 to 1.
-CHI, MIN_ROWS, BALANCE = 30.0, 4, 0.5
+CHI, MIN_ROWS, BALANCE = 30.0, 4, 0.7
 #: Bytes that part words: white space and ASCII punctuation; A-Z are lowered.
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[ord("A") : ord("Z") + 1] += 32

@@ -30,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_KEYS, id_and_text, mix, prefix_hash, real_id, span_hash
+from .common import BYTE_KEYS, hand_back, id_and_text, mix, prefix_hash, real_id, span_hash
 
 KEPT, SHORT, FINE, BOTTOM, TOP, ROUNDS = 64, 16, 32, 3, 4, 3
 #: Documents in a range of ids, most ranges, and bytes that are parsed at a time.
-RANGE_ROWS, MOST_RANGES, AT_ONCE = 500, 20_000, 1 << 19
+RANGE_ROWS, MOST_RANGES, AT_ONCE = 500, 20_000, 1 << 18
 
 
 LOW_BIT = np.array([0, *((x & -x).bit_length() - 1 for x in range(1, 256))], np.uint8)
@@ -91,9 +91,9 @@ def parse(data: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarray, np.ndarra
 
 def _least(found: list[tuple[np.ndarray, np.ndarray]], n: int, most: int, wanted: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """The least distinct names of each text that wants them, and how many distinct ones it has."""
+    if not wanted.all():
+        found = [(names[some], owners[some]) for names, owners in found for some in [wanted[owners]]]
     names, owners = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, t) for k, t in enumerate((np.uint64, np.int32)))
-    some = wanted[owners]
-    names, owners = names[some], owners[some]
     order = np.lexsort((names, owners))
     names, owners = names[order], owners[order]
     new = np.ones(len(names), bool)
@@ -164,8 +164,10 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if size >= AT_ONCE and len(rows) > 1:
                 yield _done(rows)
                 rows, size = rows[-1:], len(rows[-1][3])
+        hand_back()
     if len(rows) > 1:
         yield _done(rows)
+    hand_back()
 
 
 def _done(rows: list[tuple]) -> pa.RecordBatch:

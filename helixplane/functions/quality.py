@@ -47,6 +47,16 @@ def estimated_score(read: Column, genome: Column, p: Column) -> Column:
     return F.when(genome == "N", F.lit(N_SCORE)).when(read == genome, F.log10(1 - p)).otherwise(F.log10(p) - LOG10_3)
 
 
+def mismatch_probability(match_scores: Column) -> Column:
+    """The chance that a base isn't the genome's, from an array of the scores of the letters it may be."""
+    return 1 - F.pow(F.lit(10.0), F.array_max(match_scores))
+
+
+def probe_score(scores: Column, start: Column, length: int) -> Column:
+    """The sum of match scores (an array along the read) of a probe; unknown bases have N_SCORE there."""
+    return F.aggregate(F.slice(scores, start + 1, length), F.lit(0.0), lambda a, x: a + x)
+
+
 def read_score(read: Column, genome: Column) -> Column:
     """Of a whole read at a place, under the mismatch model; an unknown genome base costs N_SCORE."""
     pairs = F.zip_with(F.split(read, ""), F.split(genome, ""), lambda r, g: F.when(g == "N", F.lit(N_SCORE)).otherwise(mismatch_score(r, g)))

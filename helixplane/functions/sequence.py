@@ -16,8 +16,10 @@ def base_code(base: Column) -> Column:
     return F.instr(F.lit(BASES), F.upper(base)) - 1
 
 
-def complement(seq: Column) -> Column:
-    return F.translate(F.upper(seq), "ACGT", "TGCA")
+def complement(seq: Column, strict: bool = False) -> Column:
+    """N stays N; strict: it fails instead."""
+    out = F.translate(F.upper(seq), "ACGT", "TGCA")
+    return F.when(seq.rlike("[^ACGTacgt]"), F.raise_error(F.concat(F.lit("unknown base in "), seq))).otherwise(out) if strict else out
 
 
 def reverse_complement(seq: Column) -> Column:

@@ -56,6 +56,11 @@ def fragments(mappings: DataFrame, *keys: str) -> DataFrame:
     return runs.filter("depth > 0").drop("depth")
 
 
+def single_track(mappings: DataFrame) -> DataFrame:
+    """As fragments, with both strands on track 0."""
+    return fragments(mappings.withColumn("strand", F.lit("+")))
+
+
 def bases(runs: DataFrame) -> DataFrame:
     """Runs as one row a base."""
     return runs.select(*[c for c in runs.columns if c not in ("pos", "end", "value")], F.explode(F.sequence("pos", F.col("end") - 1)).alias("pos"), "value")

@@ -112,6 +112,11 @@ def unique_part(index: DataFrame, repeated: DataFrame) -> DataFrame:
     return index.join(repeated.select(_word(index)), _word(index), "left_anti")
 
 
+def pseudo_locations(index: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(kmer or code, chr, loc): where the repeats lie, to be stored beside an index without them."""
+    return index.join(repeated.select(_word(index)), _word(index)).select(_word(index), "chr", "loc")
+
+
 def expand_repeats(hits: DataFrame, index: DataFrame) -> DataFrame:
     """Hits on a repeat (kmer or code, ...) become hits on all of its places."""
     return hits.join(index, _word(index))

@@ -37,6 +37,14 @@ def rejects(reads: DataFrame, *stages: tuple[int, DataFrame]) -> DataFrame:
     return rows.select("read_id", reason.alias("error")).filter("error is not null")
 
 
+def counters(reads: DataFrame, mappings: DataFrame, rejected: DataFrame) -> DataFrame:
+    """(counter, n): reads, mapped reads, mappings, and rejected reads by reason."""
+    count = lambda rows, name, distinct: rows.agg((F.countDistinct("read_id") if distinct else F.count(F.lit(1))).alias("n")).select(F.lit(name).alias("counter"), "n")
+    names = F.element_at(F.create_map(*[F.lit(x) for kv in REASONS.items() for x in kv]), F.col("error"))
+    by_reason = rejected.groupBy(F.concat(F.lit("rejected: "), names).alias("counter")).agg(F.count(F.lit(1)).alias("n"))
+    return count(reads, "reads", True).unionByName(count(mappings, "mapped reads", True)).unionByName(count(mappings, "mappings", False)).unionByName(by_reason)
+
+
 def merge_runs(*runs: DataFrame) -> DataFrame:
     """Reads or mappings of several runs as one, with run_id; read ids go on where the run before ends."""
     out = None

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEYS = ["chr", "track", "pos"]
@@ -22,6 +24,17 @@ def scale(trace: DataFrame, factor: float) -> DataFrame:
     return trace.withColumn("value", F.col("value") * factor)
 
 
+def divide(trace: DataFrame, by: DataFrame) -> DataFrame:
+    """Place by place; where the divisor has no row or is 0, there is no row."""
+    rows = trace.join(by.filter("value <> 0").select(*KEYS, F.col("value").alias("by")), KEYS)
+    return rows.withColumn("value", F.col("value") / F.col("by")).drop("by")
+
+
+def apply(trace: DataFrame, f: Callable[[Column], Column]) -> DataFrame:
+    """A function of each value that has a row."""
+    return trace.withColumn("value", f(F.col("value")))
+
+
 def zero(trace: DataFrame) -> DataFrame:
     return trace.withColumn("value", F.lit(0.0))
 

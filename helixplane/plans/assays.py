@@ -6,21 +6,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixplane.operators import density, peaks, sampling
+from helixplane.sources.sinks import Run
 
 
-def posterior_samples(mappings: DataFrame, n: int, most: int = density.MOST_ITERATIONS, m_step=density.start_sites, e_step=density.near_start) -> tuple[DataFrame, DataFrame]:
-    """(density of start sites with a sample column, samples with their log_lhd): random starts, each iterated to its end by the assay's steps."""
+def posterior_samples(mappings: DataFrame, n: int, most: int = density.MOST_ITERATIONS, m_step=density.start_sites, e_step=density.near_start, first: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(density of start sites with a sample column, samples with their log_lhd): random starts, each iterated to its end by the assay's steps; samples are numbered from `first`, which also seeds them."""
     spark, out, found = mappings.sparkSession, None, []
-    for k in range(n):
+    for k in range(first, first + n):
         start = sampling.random_start(mappings, k, m_step=m_step, e_step=e_step).withColumn("cond_prb", F.lit(1.0))
-        first = e_step(density.conditional(mappings).drop("cond_prb"), m_step(start)).drop("lhd").checkpoint()
-        rows, history = _iterated(first, most, m_step, e_step)
+        begun = e_step(density.conditional(mappings).drop("cond_prb"), m_step(start)).drop("lhd").checkpoint()
+        rows, history = _iterated(begun, most, m_step, e_step)
         found.append((k, float(history)))
         own = density.start_sites(rows).withColumn("sample", F.lit(k))
         out = own if out is None else out.unionByName(own)
     return out, spark.createDataFrame(found, "sample int, log_lhd double")
 
 
+def more_samples(run: Run, n: int, most: int = density.MOST_ITERATIONS, m_step=density.start_sites, e_step=density.near_start) -> None:
+    """n more posterior samples of a finished run, added to its `density` and `samples` after the last one there."""
+    last = run.read("samples").agg(F.max("sample")).first()[0] or 0
+    trace, found = posterior_samples(run.read("mappings"), n, most, m_step, e_step, last + 1)
+    run.write("density", trace, "append")
+    run.write("samples", found, "append")
+
+
 def _iterated(rows: DataFrame, most: int, m_step=density.start_sites, e_step=density.near_start) -> tuple[DataFrame, float]:
     lhd = 0.0
     for _ in range(most):

@@ -44,6 +44,8 @@ def run(spark: SparkSession, config: Config) -> sinks.Run:
     out.write("contigs", load_genome(spark, config.genome))
     contigs = out.read("contigs")
     index.save(index.packed(contigs, config.k), f"{config.output}/kmers", config.k)
+    held = out.read("kmers").select("chr", "loc", "code")
+    out.write("repeats", index.pseudo_locations(held, index.repeats(held)))
     out.write("reads", load_reads(spark, config))
     reads = out.read("reads")
     config.encoding = reads_.quality_encoding(reads)
@@ -56,6 +58,7 @@ def run(spark: SparkSession, config: Config) -> sinks.Run:
     mappings, rejects = map_reads(shorn, contigs, config.k, config.floor_p, out.read("kmers").select("chr", "loc", "code"), lengths, config.model, config.untemplated)
     out.write("mappings", mappings)
     out.write("rejects", rejects)
+    out.write("counters", reads_.counters(reads, out.read("mappings"), out.read("rejects")))
     mappings = out.read("mappings")
     samples = None
     if config.assay:

@@ -421,3 +421,37 @@ def test_untemplated_gs(spark, genome, model):
         assert all(abs(got[i, 2, at, at + 49, "+", 1] + 1.30103) < 1e-9 and abs(got[i, 2, at - 1, at + 49, "+", 0] + 1) < 1e-9 for i, at in enumerate(starts))
     cigars = {x.split("\t")[5] for x in (r.line for r in reads.sam_lines(mapped.filter("trim = 1 and strand = '+'"), reads_, contigs).collect())}
     assert cigars == {"1S49M"}
+
+
+def test_more_samples_of_a_finished_run(spark, tmp_path):
+    from helixplane.plans import assays
+
+    run = sinks.Run(spark, str(tmp_path))
+    run.write("mappings", density.conditional(mapped_rows(spark, 60)))
+    trace, found = assays.posterior_samples(run.read("mappings"), 1, 1, first=1)
+    run.write("density", trace)
+    run.write("samples", found)
+    assays.more_samples(run, 1, 1)
+    assert sorted(r.sample for r in run.read("samples").collect()) == [1, 2]
+    assert {r.sample: round(r.v, 6) for r in run.read("density").groupBy("sample").agg(F.sum("value").alias("v")).collect()} == {1: 60.0, 2: 60.0}
+
+
+def test_small_operators(spark):
+    from helixplane.functions import quality, sequence
+
+    one = spark.createDataFrame([([-0.1, -2.0, -3.0], "ACGN")], "p array<double>, s string")
+    r = one.select(quality.mismatch_probability(F.col("p")).alias("m"), quality.probe_score(F.col("p"), F.lit(1), 2).alias("q"), sequence.complement(F.col("s")).alias("c")).first()
+    assert abs(r.m - (1 - 10**-0.1)) < 1e-12 and r.q == -5.0 and r.c == "TGCN"
+    with pytest.raises(Exception, match="unknown base"):
+        one.select(sequence.complement(F.col("s"), strict=True)).collect()
+    a = spark.createDataFrame([(1, 0, 5, 6.0), (1, 0, 6, 2.0), (1, 1, 5, 1.0)], "chr int, track int, pos int, value double")
+    b = spark.createDataFrame([(1, 0, 5, 3.0), (1, 0, 6, 0.0)], a.schema)
+    assert [tuple(r) for r in traces.divide(a, b).collect()] == [(1, 0, 5, 2.0)]
+    assert sorted(r.value for r in traces.apply(a, F.sqrt).collect()) == [1.0, 2.0**0.5, 6.0**0.5]
+    rows = density.conditional(mapped_rows(spark, 40))
+    assert {r.track for r in density.single_track(rows).collect()} == {0}
+    assert abs(density.bases(density.single_track(rows)).agg(F.sum("value")).first()[0] - 40) < 1e-6
+    got = {r.counter: r.n for r in reads.counters(rows, rows.filter("read_id < 30"), spark.createDataFrame([(35, 4), (36, 4), (37, 1)], "read_id long, error int")).collect()}
+    assert got["reads"] == 40 and got["mapped reads"] == 30 and got["rejected: too few valid probes"] == 2 and got["rejected: no probes"] == 1
+    kmers = index.packed(spark.createDataFrame([(1, "ACGTACGTTT")], "chr int, seq string"), 4)
+    assert sorted(r.loc for r in index.pseudo_locations(kmers, index.repeats(kmers, 2)).collect()) == [0, 4]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, lines, minhash, mixing, pii, substring, suffix, topk, toxicity
+from . import bpe, fingerprint, importance, language, lines, minhash, mixing, pii, runs, substring, suffix, topk, toxicity
 from .common import table
 
 
@@ -54,6 +54,18 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.digests(fingerprint.fingerprints(table(spark, sf_dir, "documents")))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 5, 42)
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict_languages(table(spark, sf_dir, "documents"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.runs(table(spark, sf_dir, "documents"), alter=True))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring": op1_substring,
     "op2_toxicity": op2_toxicity,
@@ -65,6 +77,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_topk": op9_topk,
     "op10_fingerprints": op10_fingerprints,
+    "op11_importance": op11_importance,
+    "op12_language": op12_language,
+    "op13_runs": op13_runs,
 }
 #: DuckDB SQL for those that SQL can express; tests hold the others against plain versions.
 ORACLE: dict[str, str] = {
@@ -108,6 +123,25 @@ ORACLE: dict[str, str] = {
             FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
         ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op11_importance": r"""
+        WITH d AS (SELECT 0 AS side, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+            UNION ALL SELECT 1, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+        x AS (SELECT side, doc_id, array_to_string(w[i:i + n - 1], ' ') AS f FROM (SELECT side, doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT unnest([1, 2, 3]) AS n) WHERE len(w) >= n)),
+        g AS (SELECT f, side, doc_id, count(*) AS n FROM x GROUP BY ALL),
+        -- a crc32, bit by bit, of each distinct feature
+        u AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM g)),
+        c AS (
+            SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(length(h) // 2), lambda i: list_transform(range(8), lambda k: (('0x' || h[2 * i + 1:2 * i + 2])::BIGINT >> k) & 1)))),
+                lambda a, b: xor(a >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295) % 10000 AS bucket FROM u
+        ), s AS (SELECT bucket, sum(n) FILTER (WHERE side = 0) AS s, sum(n) FILTER (WHERE side = 1) AS t FROM g JOIN c USING (f) GROUP BY bucket),
+        k AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (SELECT sum(s)::DOUBLE + 10000 FROM s) / ((coalesce(s, 0) + 1)::DOUBLE * (SELECT coalesce(sum(t), 0)::DOUBLE + 10000 FROM s))))::BIGINT AS gain FROM s),
+        v AS (SELECT doc_id, sum(n)::BIGINT AS n, sum(n * gain)::BIGINT AS w FROM g JOIN c USING (f) JOIN k USING (bucket) WHERE side = 0 GROUP BY doc_id),
+        r AS (
+            SELECT d.doc_id, coalesce(v.n, 0) AS n_features, coalesce(v.w, 0) AS weight, len(d.w) >= 20 AS asked,
+                coalesce(v.w, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('42:' || d.doc_id), 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+            FROM d LEFT JOIN v USING (doc_id) WHERE side = 0
+        ), o AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY score DESC, doc_id) AS place, count(*) FILTER (WHERE asked) OVER () AS n FROM r)
+        SELECT doc_id, n_features, weight, score, CASE WHEN asked AND place <= 5 * n // 100 THEN place END AS rank FROM o""",
     "op3_minhash": r"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS a FROM documents),
         s AS (

@@ -8,6 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import index as index_
+
+#: Bases of a bin in which k-mers meet the segments that hold them.
+BIN = 4096
+
 
 def segments(dmap: DataFrame) -> DataFrame:
     """(prefix, ord, kind, pat_start, mat_start, length): from each anchor to the next of either copy; kind shared, paternal or maternal; starts 0-based, null where absent."""
@@ -45,3 +50,53 @@ def snps(paternal: DataFrame, maternal: DataFrame, shared: DataFrame) -> DataFra
     marked = F.filter(F.transform(both, lambda x, i: F.struct(i.alias("i"), x["a"].alias("pat_base"), x["b"].alias("mat_base"))), lambda x: x["pat_base"] != x["mat_base"])
     rows = rows.filter("p <> m").select("prefix", "pat_start", "mat_start", F.inline(marked))
     return rows.select("prefix", (F.col("pat_start") + F.col("i")).alias("pat_pos"), (F.col("mat_start") + F.col("i")).alias("mat_pos"), "pat_base", "mat_base")
+
+
+def copies(contigs: DataFrame) -> DataFrame:
+    """(prefix, pat_chr, pat_len, mat_chr, mat_len) of contigs (chr, name, seq) that come in a paternal and a maternal copy: names are the prefix, an underscore, and a rest that says which. Other contigs are haploid."""
+    kind = F.regexp_extract(F.lower("name"), "(paternal|maternal)", 1)
+    rows = contigs.select(F.substring_index("name", "_", 1).alias("prefix"), "chr", F.length("seq").alias("len"), kind.alias("kind")).filter("kind <> ''")
+    one = lambda k, c: rows.filter(F.col("kind") == k).select("prefix", F.col("chr").alias(f"{c}_chr"), F.col("len").alias(f"{c}_len"))
+    return one("paternal", "pat").join(one("maternal", "mat"), "prefix")
+
+
+def closed(dmap: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The map with an anchor behind each pair's last bases, so that what follows the last anchor is a segment too."""
+    last = dmap.groupBy("prefix").agg((F.max("ord") + 1).alias("ord")).join(pairs, "prefix")
+    kinds = {c: dmap.schema[c].dataType for c in ("prefix", "ord", "pat", "mat")}
+    ends = last.select(F.col("prefix").cast(kinds["prefix"]).alias("prefix"), F.col("ord").cast(kinds["ord"]).alias("ord"), (F.col("pat_len") + 1).cast(kinds["pat"]).alias("pat"), (F.col("mat_len") + 1).cast(kinds["mat"]).alias("mat"))
+    return dmap.select("prefix", "ord", "pat", "mat").unionByName(ends)
+
+
+def index(contigs: DataFrame, dmap: DataFrame, k: int) -> DataFrame:
+    """(chr, loc, code, source, mat_chr, mat_loc): the packed k-mers of a genome whose contigs may come in two copies.
+
+    A word that lies within shared sequence and is the same in both copies has one row, with the paternal place and the
+    maternal one (source shared); words over a differing base, over a segment's edge or in one copy only
+    have a row for each copy that has them (paternal, maternal); haploid contigs' words are `reference`. Words meet
+    segments by bins of BIN bases, and the other copy's words by place and word.
+    """
+    words, pairs = index_.packed(contigs, k), copies(contigs)
+    shared = segments(closed(dmap, pairs)).filter("kind = 'shared'").join(pairs, "prefix")
+    bins = F.sequence(F.floor(F.col("pat_start") / BIN), F.floor((F.col("pat_start") + F.col("length") - 1) / BIN))
+    held = shared.select("pat_chr", "mat_chr", "pat_start", "mat_start", "length", F.explode(bins).alias("bin"))
+    pat = words.join(pairs.select(F.col("pat_chr").alias("chr")), "chr", "left_semi").withColumn("bin", F.floor(F.col("loc") / BIN))
+    inside = (F.col("loc") >= F.col("pat_start")) & (F.col("loc") + k <= F.col("pat_start") + F.col("length"))
+    lifted = pat.withColumnRenamed("chr", "pat_chr").join(held, ["pat_chr", "bin"]).filter(inside)
+    lifted = lifted.select(F.col("pat_chr").alias("chr"), "loc", "code", "mat_chr", (F.col("loc") - F.col("pat_start") + F.col("mat_start")).cast("long").alias("mat_loc"))
+    mat = words.join(pairs.select(F.col("mat_chr").alias("chr")), "chr", "left_semi")
+    both = lifted.join(mat.select(F.col("chr").alias("mat_chr"), F.col("loc").alias("mat_loc"), "code"), ["mat_chr", "mat_loc", "code"], "left_semi")
+    none = lambda rows, source: rows.withColumns({"source": F.lit(source), "mat_chr": F.lit(None).cast(contigs.schema["chr"].dataType), "mat_loc": F.lit(None).cast("long")})
+    out = both.withColumn("source", F.lit("shared"))
+    out = out.unionByName(none(pat.drop("bin").join(both.select("chr", "loc"), ["chr", "loc"], "left_anti"), "paternal"))
+    out = out.unionByName(none(mat.join(both.select(F.col("mat_chr").alias("chr"), F.col("mat_loc").alias("loc")), ["chr", "loc"], "left_anti"), "maternal"))
+    paired = pairs.select(F.explode(F.array("pat_chr", "mat_chr")).alias("chr"))
+    return out.unionByName(none(words.join(paired, "chr", "left_anti"), "reference")).select("chr", "loc", "code", "source", "mat_chr", "mat_loc")
+
+
+def expand_hits(hits: DataFrame) -> DataFrame:
+    """Hits of a diploid index with a row for each copy: shared ones become a paternal and a maternal one. They are counted and filtered before, as one."""
+    own = F.struct(F.col("chr").alias("chr"), F.col("loc").alias("loc"), F.when(F.col("source") == "shared", "paternal").otherwise(F.col("source")).alias("source"))
+    other = F.struct(F.col("mat_chr").alias("chr"), F.col("mat_loc").alias("loc"), F.lit("maternal").alias("source"))
+    rows = hits.withColumn("x", F.explode(F.when(F.col("source") == "shared", F.array(own, other)).otherwise(F.array(own))))
+    return rows.drop("chr", "loc", "source", "mat_chr", "mat_loc").select("*", "x.*").drop("x")

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,8 @@ from helixplane.functions.sequence import BASES, MOST_PACKED, first_bases, is_kn
 
 #: Sequences with so many copies in the genome count as repeats.
 MIN_COPIES = 150
+#: Places of a repeat that are listed together.
+POSTED = 150
 #: Bases of a piece in which k-mers are enumerated, and pieces at a time; base codes by letter, -1 for others.
 PIECE, AT_ONCE = 256, 2000
 CODES = np.full(256, -1, np.int8)
@@ -122,11 +124,28 @@ def expand_repeats(hits: DataFrame, index: DataFrame) -> DataFrame:
     return hits.join(index, _word(index))
 
 
-def blocks(index: DataFrame, k: int, parts: int) -> DataFrame:
-    """(part, block, kmer): each k-mer under each of its parts, for searches with parts - 1 mismatches."""
-    edges = [k * p // parts for p in range(parts + 1)]
-    pieces = [F.struct(F.lit(p).alias("part"), F.substring("kmer", edges[p] + 1, edges[p + 1] - edges[p]).alias("block")) for p in range(parts)]
-    return index.withColumn("x", F.explode(F.array(*pieces))).select("*", "x.part", "x.block").drop("x")
+def collapsed(index: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The packed index with one row for each repeat, without a place: (chr, loc, code, copies, repeat); repeat is the word there, null elsewhere."""
+    kinds = {c: index.schema[c].dataType for c in ("chr", "loc")}
+    once = unique_part(index, repeated).withColumns({"copies": F.lit(1).cast("long"), "repeat": F.lit(None).cast("long")})
+    return once.unionByName(repeated.select(*[F.lit(None).cast(t).alias(c) for c, t in kinds.items()], "code", F.col("copies").cast("long").alias("copies"), F.col("code").alias("repeat")), allowMissingColumns=True)
+
+
+def _lists(copies: Column) -> Column:
+    return F.ceil(copies / POSTED).cast("int")
+
+
+def postings(index: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(repeat, list_no, chr, loc, …): where repeats lie, in lists of about POSTED places each, told apart by a hash of the place: no list grows with a word's copies."""
+    rows = index.join(repeated.select("code", "copies"), "code")
+    return rows.withColumn("list_no", F.pmod(F.xxhash64("chr", "loc"), _lists(F.col("copies"))).cast("int")).withColumnRenamed("code", "repeat").drop("copies")
+
+
+def expand_postings(hits: DataFrame, lists: DataFrame) -> DataFrame:
+    """Hits of a collapsed index with all places of the repeats among them; each list of a word's places is met by a key of its own."""
+    places = [c for c in lists.columns if c not in ("repeat", "list_no")]
+    many = hits.filter("repeat is not null").drop(*places).withColumn("list_no", F.explode(F.sequence(F.lit(0), _lists(F.col("copies")) - 1)))
+    return hits.filter("repeat is null").drop("copies", "repeat").unionByName(many.join(lists, ["repeat", "list_no"]).drop("copies", "repeat", "list_no"))
 
 
 def save(index: DataFrame, path: str, k: int, bases: int = 4) -> None:

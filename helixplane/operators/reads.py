@@ -78,13 +78,15 @@ def within_bounds(mappings: DataFrame, contigs: DataFrame) -> DataFrame:
 def sam_lines(mappings: DataFrame, reads: DataFrame, contigs: DataFrame, soft_clip: int = 0) -> DataFrame:
     """(read_id, mapping_no, line) of single-end mappings with cond_prb and log_seq_error; positions 1-based; reverse reads reverse complemented, their qualities reversed. soft_clip: the reads' first bases that weren't mapped; a mapping's `trim`, if there is such a column, adds to them."""
     rows = mappings.join(reads.select("read_id", F.col("name").alias("read_name"), "seq", "qual"), "read_id")
-    rows = rows.withColumns({"paired": F.lit(False), "mate": F.lit(1), "length": F.col("stop") - F.col("start"), "next": F.lit("*"), "next_pos": F.lit("0"), "fragment": F.lit("0")})
+    covered = F.col("stop") - F.col("start") - (F.col("gap") if "gap" in mappings.columns else F.lit(0))
+    rows = rows.withColumns({"paired": F.lit(False), "mate": F.lit(1), "length": covered, "next": F.lit("*"), "next_pos": F.lit("0"), "fragment": F.lit("0")})
     return _sam(rows, contigs, soft_clip).select("read_id", "mapping_no", "line")
 
 
 def sam_pair_lines(mappings: DataFrame, reads: DataFrame, contigs: DataFrame, soft_clip: int = 0) -> DataFrame:
     """(read_id, mapping_no, mate, line) of mappings with start, length and strand of both mates: a line for each mate, with the place of the other and the fragment's length, negative on the right one (of mates that start together, the second)."""
-    one = lambda m, o: F.struct(F.lit(m).alias("mate"), F.col(f"start{m}").alias("start"), F.col(f"length{m}").alias("length"), F.col(f"strand{m}").alias("strand"), F.col(f"start{o}").alias("other"))
+    own = ["start", "length", "strand", *[c for c in ("split", "gap") if f"{c}1" in mappings.columns]]
+    one = lambda m, o: F.struct(F.lit(m).alias("mate"), *[F.col(f"{c}{m}").alias(c) for c in own], F.col(f"start{o}").alias("other"))
     rows = mappings.withColumn("frag_len", F.col("stop") - F.col("start")).select("read_id", "mapping_no", "chr", "cond_prb", "log_seq_error", "frag_len", F.inline(F.array(one(1, 2), one(2, 1))))
     rows = rows.join(reads.select("read_id", "mate", F.col("name").alias("read_name"), "seq", "qual"), ["read_id", "mate"])
     first = (F.col("start") < F.col("other")) | ((F.col("start") == F.col("other")) & (F.col("mate") == 1))
@@ -100,6 +102,10 @@ def _sam(rows: DataFrame, contigs: DataFrame, soft_clip: int) -> DataFrame:
     number = lambda c: F.format_string("%.6f", c)
     clipped = F.lit(soft_clip) + (F.col("trim") if "trim" in rows.columns else F.lit(0))
     matched, clip = F.concat(F.col("length").cast("string"), F.lit("M")), F.when(clipped > 0, F.concat(clipped.cast("string"), F.lit("S"))).otherwise("")
+    if "gap" in rows.columns:
+        part = lambda op, n: F.struct(F.lit(op).alias("op"), n.cast("int").alias("len"))
+        spliced = sam.cigar_text(F.array(part("M", F.col("split")), part("N", F.col("gap")), part("M", F.col("length") - F.col("split"))))
+        matched = F.when(F.col("gap") > 0, spliced).otherwise(matched)
     line = F.concat_ws(
         "\t", "read_name", sam.flag(F.col("paired"), back, F.col("mate") == 1).cast("string"), "contig_name", (F.col("start") + 1).cast("string"), sam.mapping_quality(F.col("cond_prb")).cast("string"),
         F.when(back, F.concat(matched, clip)).otherwise(F.concat(clip, matched)), "next", "next_pos", "fragment", F.when(back, reverse_complement(F.col("seq"))).otherwise(F.col("seq")), F.when(back, F.reverse("qual")).otherwise(F.col("qual")),

@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PRIME = 1_000_003
+#: Bits of a uniform number: hexadecimal digits of an md5, as many as a double holds exactly.
+DIGITS = 13
 
 
 def uniform(*keys: Column | int) -> Column:
-    """In [0, 1), from whole numbers by multiplication modulo a prime: the same in any engine."""
-    x: Column = F.lit(7).cast("long")
-    for k in keys:
-        x = F.pmod(x * 69_069 + (F.lit(k) if isinstance(k, int) else k) * 31_337 + 12_345, F.lit(PRIME))
-    return F.pmod(x * x + x * 3 + 1, F.lit(PRIME)) / PRIME
+    """In [0, 1): the first DIGITS hexadecimal digits of the md5 of the keys, whole numbers joined by colons. Any engine can repeat it; numbers of different keys only meet by chance (2 ** -52)."""
+    name = F.concat_ws(":", *[F.lit(str(k)) if isinstance(k, int) else k.cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(F.encode(name, "utf-8")), 1, DIGITS), 16, 10).cast("double") / float(1 << 4 * DIGITS)
 
 
 def choose(mappings: DataFrame, u: Column, *keys: str) -> DataFrame:
@@ -25,24 +24,32 @@ def choose(mappings: DataFrame, u: Column, *keys: str) -> DataFrame:
     return rows.withColumn("rn", first).filter("rn = 1").drop("rn", "up", "u")
 
 
-def poisson_weight(u: Column, most: int = 8) -> Column:
-    """A Poisson(1) number from a uniform one."""
-    p, total, out = 0.36787944117144233, 0.0, F.lit(most)
-    edges = []
-    for k in range(most):
-        total += p
-        edges.append((total, k))
-        p /= k + 1
-    for edge, k in reversed(edges):
-        out = F.when(u < edge, k).otherwise(out)
-    return out
+def numbered(ids: DataFrame, key: str, name: str = "number") -> DataFrame:
+    """Distinct keys numbered from 0 in their order: by ranges of keys, and within each; no task holds them all."""
+    rows = ids.select(key).distinct().repartitionByRange(key).sortWithinPartitions(key).withColumn("at", F.monotonically_increasing_id())
+    rows = rows.withColumn("part", F.shiftright("at", 33)).withColumn("own", F.col("at").bitwiseAND((1 << 33) - 1)).drop("at").checkpoint()
+    # a row for each range
+    before = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return rows.join(F.broadcast(before), "part").select(key, (F.col("before") + F.col("own")).alias(name))
 
 
 def bootstraps(mappings: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """(bs, …, weight): each read drawn a Poisson(1) number of times, at one chosen mapping, for n bootstraps at once."""
-    rows = mappings.withColumn("bs", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    drawn = choose(rows, uniform(F.col("read_id"), F.col("bs"), seed), "bs")
-    return drawn.withColumn("u", uniform(F.col("read_id"), F.col("bs"), seed + 1)).withColumn("weight", poisson_weight(F.col("u"))).filter("weight > 0").drop("u")
+    """(bs, …, weight): for each of n bootstraps as many reads as there are are drawn with replacement, each draw at a mapping of its own; weight counts draws, and sums to the number of reads in every bootstrap.
+
+    Reads are numbered; draw j of bootstrap bs takes read floor(u n), u from the seed, bs and j, and its mapping by another number. Draws meet reads by an equality on the read's number, evenly
+    spread, and a read's mappings (a few) go with it as one row.
+    """
+    spark, ids = mappings.sparkSession, numbered(mappings, "read_id")
+    total = ids.count()
+    draws = spark.range(total).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("bs"))
+    draws = draws.select("bs", F.floor(uniform(seed, F.col("bs"), F.col("draw")) * total).alias("number"), uniform(seed + 1, F.col("bs"), F.col("draw")).alias("u"))
+    others = [c for c in mappings.columns if c != "read_id"]
+    up = F.sum("cond_prb").over(Window.partitionBy("read_id").orderBy("mapping_no"))
+    nested = mappings.withColumn("up", up).groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("mapping_no", "up", F.struct(*others).alias("own")))).alias("places"))
+    first = F.element_at(F.filter("places", lambda x: x["up"] >= F.col("u")), 1)
+    rows = nested.join(ids, "read_id").join(draws, "number").select("bs", "read_id", F.coalesce(first, F.element_at("places", -1))["own"].alias("own"))
+    drawn = rows.groupBy("bs", "read_id", F.col("own.mapping_no").alias("mapping_no")).agg(F.first("own").alias("own"), F.count(F.lit(1)).alias("weight"))
+    return drawn.select("bs", "read_id", *[F.col("own")[c].alias(c) for c in others], "weight")
 
 
 def random_start(mappings: DataFrame, sample: int, batches: int = 16, window: int = 100, m_step=None, e_step=None) -> DataFrame:

@@ -151,14 +151,28 @@ def piece_size(reads: DataFrame) -> int:
     return max(PIECE, reads.agg(F.max(F.length("seq"))).first()[0] or 0)
 
 
+def aligned(candidates: DataFrame, contigs: DataFrame, size: int) -> DataFrame:
+    """Candidates (chr, start, length, …) with `genome`, the bases that they cover along the forward strand; null where they leave their contig. Candidates with an intron (split, gap) cover what lies on both its sides. Genomes join in pieces, by place; pieces are as long as the longest read at least."""
+    cut = chunks(contigs, size, size)
+    rows = candidates.withColumn("piece_no", F.floor(F.col("start") / size).cast("int")).join(cut, ["chr", "piece_no"])
+    inside = F.col("start") - F.col("piece_no") * size
+    whole = at(F.col("piece"), inside, F.col("length"))
+    if "split" not in candidates.columns:
+        return rows.withColumn("genome", whole).drop("piece", "piece_no")
+    far = F.col("start") + F.when(F.col("gap") > 0, F.col("split") + F.col("gap")).otherwise(0)
+    rows = rows.withColumn("genome", F.when(F.col("gap") > 0, at(F.col("piece"), inside, F.col("split"))).otherwise(whole)).drop("piece")
+    rows = rows.withColumn("piece_no", F.floor(far / size).cast("int")).join(cut, ["chr", "piece_no"])
+    rest = at(F.col("piece"), far - F.col("piece_no") * size, F.col("length") - F.col("split"))
+    return rows.withColumn("genome", F.when(F.col("gap") > 0, F.concat("genome", rest)).otherwise(F.col("genome"))).drop("piece", "piece_no")
+
+
 def rescore(candidates: DataFrame, reads: DataFrame, contigs: DataFrame, size: int | None = None) -> DataFrame:
-    """Candidates with the score of the whole read (but for its first `trim` bases, if there is such a column) against the genome; null where a read leaves its contig. Genomes join in pieces, by place; pieces are as long as the longest read at least."""
+    """Candidates with the score of the whole read (but for its first `trim` bases, if there is such a column) against the genome; null where a read leaves its contig."""
     size = piece_size(reads) if size is None else size
-    rows = candidates.join(reads.select("read_id", "mate", "seq"), ["read_id", "mate"]).withColumn("piece_no", F.floor(F.col("start") / size).cast("int"))
-    rows = rows.join(chunks(contigs, size, size), ["chr", "piece_no"])
+    rows = aligned(candidates.join(reads.select("read_id", "mate", "seq"), ["read_id", "mate"]), contigs, size)
     whole = F.substr("seq", F.col("trim") + 1) if "trim" in candidates.columns else F.col("seq")
     read = F.when(F.col("strand") == "+", F.upper(whole)).otherwise(reverse_complement(whole))
-    return rows.withColumn("penalty", read_score(read, at(F.col("piece"), F.col("start") - F.col("piece_no") * size, F.col("length")))).drop("seq", "piece", "piece_no")
+    return rows.withColumn("penalty", read_score(read, F.col("genome"))).drop("seq", "genome")
 
 
 def chunks(contigs: DataFrame, size: int, overlap: int) -> DataFrame:
@@ -171,9 +185,11 @@ def fragment_length(start1: Column, length1: Column, start2: Column, length2: Co
 
 
 def pair(candidates: DataFrame, fragment_scores: DataFrame | None = None, most: int = MOST_FRAGMENT) -> DataFrame:
-    """Mates' candidates of a read on one contig, within a fragment of `most` bases; score: both mates' and the log10 chance of the length, if given (len, p)."""
-    one = lambda m: candidates.filter(F.col("mate") == m).select("read_id", "chr", F.col("start").alias(f"start{m}"), F.col("length").alias(f"length{m}"), F.col("strand").alias(f"strand{m}"), F.col("penalty").alias(f"penalty{m}"))
-    rows = one(1).join(one(2), ["read_id", "chr"]).withColumn("frag_len", fragment_length(F.col("start1"), F.col("length1"), F.col("start2"), F.col("length2"))).filter(F.col("frag_len") <= most)
+    """Mates' candidates of a read on one contig, within a fragment of `most` bases (introns of the mates are part of it); score: both mates' and the log10 chance of the length, if given (len, p)."""
+    own = ["start", "length", "strand", "penalty", *[c for c in ("split", "gap") if c in candidates.columns]]
+    one = lambda m: candidates.filter(F.col("mate") == m).select("read_id", "chr", *[F.col(c).alias(f"{c}{m}") for c in own])
+    covers = lambda m: F.col(f"length{m}") + (F.col(f"gap{m}") if "gap" in own else F.lit(0))
+    rows = one(1).join(one(2), ["read_id", "chr"]).withColumn("frag_len", fragment_length(F.col("start1"), covers(1), F.col("start2"), covers(2))).filter(F.col("frag_len") <= most)
     score = F.col("penalty1") + F.col("penalty2")
     if fragment_scores is not None:
         rows = rows.join(fragment_scores.select(F.col("len").alias("frag_len"), F.col("p")), "frag_len")

@@ -4,66 +4,132 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixplane.functions.stats import probe_thresholds
-from helixplane.operators import density, estimated, index, reads as reads_, search
+from helixplane.operators import density, diploid, estimated, index, reads as reads_, search, spliced
 
+#: Reads from which error frequencies are learnt, about so many by a hash of their id; the spread of scores under the estimated model.
+LEARNT, SPREAD = 200_000, 2.0
 
-def map_reads(reads: DataFrame, contigs: DataFrame, k: int, floor_p: float = 0.1, kmers: DataFrame | None = None, fragment_lengths: DataFrame | None = None, model: str = "mismatch", untemplated: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(mappings, rejects) under the mismatch model, or one whose error frequencies are estimated from the mismatch model's best candidates.
+
+def _table(values: dict, key: str) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col(key).cast("int"))
+
+
+def _probes(reads: DataFrame, k: int, introns: tuple[int, int] | None) -> DataFrame:
+    """Probes with n, how many their read has."""
+    probes = spliced.end_probes(reads, k) if introns else search.select_probes(reads, k)
+    counts = probes.groupBy("read_id", "mate").agg(F.count(F.lit(1)).alias("n"))
+    return probes.join(counts, ["read_id", "mate"]).checkpoint()
+
+
+def mismatch_hits(probes: DataFrame, kmers: DataFrame, k: int, floor_p: float) -> DataFrame:
+    """Hits by mismatches: each class of probes (n to a read) has its own floor and spread."""
+    floors = {n: -probe_thresholds(k, n, floor_p, floor_p / 2)[0] for n in range(1, search.MOST_PROBES + 1)}
+    spreads = {n: float(probe_thresholds(k, n, floor_p, floor_p / 2)[1]) for n in range(1, search.MOST_PROBES + 1)}
+    present = {r.n for r in probes.select("n").distinct().collect()}  # MOST_PROBES numbers
+    by_floor = {m: sorted(n for n in present if floors[n] == m) for m in sorted({floors[n] for n in present or {1}})}
+    hits = functools.reduce(DataFrame.unionByName, [search.search(probes.filter(F.col("n").isin(ns)), kmers, k, m) for m, ns in by_floor.items()])
+    return search.best_within(hits, ["read_id", "mate", "probe_no"], "penalty", _table(spreads, "n")).drop("n")
+
+
+def estimated_hits(probes: DataFrame, reads: DataFrame, kmers: DataFrame, k: int, frequencies: DataFrame, genome: int) -> DataFrame:
+    """Hits by scores under learnt error frequencies; probes that tell too little for a genome of so many bases aren't searched."""
+    targets = estimated.probe_targets(probes, reads, frequencies).filter(F.pow(F.lit(4.0), "information") / 2 > genome)
+    return search.best_within(estimated.search(targets, kmers, k), ["read_id", "mate", "probe_no"], "penalty", SPREAD).drop("n")
+
+
+def _whole(hits: DataFrame, repeats: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Hits with all their places, and the probes that have too many: copies of repeats count before they are listed."""
+    keys = ["read_id", "mate", "probe_no"]
+    if repeats is not None:
+        void = hits.groupBy(*keys).agg(F.sum("copies").alias("n_hits")).filter(F.col("n_hits") > search.guard.__defaults__[0])
+        hits = index.expand_postings(hits.join(void.select(*keys), keys, "left_anti"), repeats)
+    else:
+        hits, void = search.guard(hits, keys)
+    return (diploid.expand_hits(hits) if "mat_loc" in hits.columns else hits), void
+
+
+def _candidates(hits: DataFrame, reads: DataFrame, whole: DataFrame, contigs: DataFrame, k: int, untemplated: int, introns: tuple[int, int] | None) -> DataFrame:
+    places = search.read_starts(search.merge_diagonals(hits), reads, contigs, k)
+    if introns:
+        both = places.withColumns({"split": F.lit(0), "gap": F.lit(0)})
+        return both.unionByName(spliced.candidates(hits, reads, contigs, k, *introns))
+    return reads_.with_untemplated_g(places, whole, untemplated) if untemplated else places
+
+
+def map_reads(
+    reads: DataFrame, contigs: DataFrame, k: int, floor_p: float = 0.1, kmers: DataFrame | None = None, fragment_lengths: DataFrame | None = None, model: str = "mismatch", untemplated: int = 0,
+    repeats: DataFrame | None = None, introns: tuple[int, int] | None = None, frequencies: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(mappings, rejects) under the mismatch model, or one whose error frequencies are estimated: learnt (unless they are given) from a search by mismatches of LEARNT reads, then used in the search of all.
 
     reads: (read_id, mate, name, seq, qual), mate 1 alone or 1 and 2. mappings: (read_id, mapping_no, chr,
     start, stop, strand, log_seq_error, score, cond_prb), paired ones over the whole fragment with its mate 1's strand, and
     start, length and strand of each mate. untemplated: so many Gs may stand before a (single) read that the genome doesn't have;
-    mappings then have `trim`, the Gs left out.
+    mappings then have `trim`, the Gs left out. kmers: an index, which may be collapsed (repeats then holds the places of its repeats) or
+    diploid (shared hits then come in both copies). introns: the least and greatest length of an intron within a read; mappings then have
+    `split` and `gap` (of each mate).
     """
+    if introns and untemplated:
+        raise ValueError("untemplated Gs and introns exclude each other")
     kmers = index.packed(contigs, k) if kmers is None else kmers
     inner = reads.withColumn("seq", F.substr("seq", F.lit(untemplated + 1))).withColumn("qual", F.substr("qual", F.lit(untemplated + 1))) if untemplated else reads
-    probes = search.select_probes(inner, k)
-    # probes of reads with n parts allow for different numbers of mismatches
-    counts = probes.groupBy("read_id", "mate").agg(F.count(F.lit(1)).alias("n"))
-    floors = {n: -probe_thresholds(k, n, floor_p, floor_p / 2)[0] for n in range(1, search.MOST_PROBES + 1)}
-    spreads = {n: probe_thresholds(k, n, floor_p, floor_p / 2)[1] for n in range(1, search.MOST_PROBES + 1)}
-    table = lambda d: F.element_at(F.create_map(*[F.lit(x) for kv in d.items() for x in kv]), F.col("n").cast("int"))
-    # each class of probes is searched with its own floor
-    classed = probes.join(counts, ["read_id", "mate"]).checkpoint()
-    present = {r.n for r in classed.select("n").distinct().collect()}
-    by_floor = {m: sorted(n for n in present if floors[n] == m) for m in sorted({floors[n] for n in present or {1}})}
-    hits = functools.reduce(DataFrame.unionByName, [search.search(classed.filter(F.col("n").isin(ns)), kmers, k, m) for m, ns in by_floor.items()])
-    hits = search.best_within(hits, ["read_id", "mate", "probe_no"], "penalty", table(spreads).cast("double")).drop("n")
-    hits, void_probes = search.guard(hits, ["read_id", "mate", "probe_no"])
-    places = search.read_starts(search.merge_diagonals(hits), inner, contigs, k)
-    if untemplated:
-        places = reads_.with_untemplated_g(places, reads, untemplated)
-    found = search.rescore(places, reads, contigs).filter("penalty is not null").checkpoint()
+    probes = _probes(inner, k, introns)
+    searched = probes
+    if model == "estimated":
+        if frequencies is None:
+            n = reads.count()
+            sample = F.pmod(F.xxhash64("read_id"), F.lit(1 << 20)) < max(1, (LEARNT << 20) // max(n, LEARNT))
+            some = probes.filter(sample)
+            own, _ = _whole(mismatch_hits(some, kmers, k, floor_p), repeats)
+            first = search.rescore(_candidates(own, inner, reads, contigs, k, untemplated, introns), reads, contigs).filter("penalty is not null").checkpoint()
+            first, _ = search.guard(first, ["read_id", "mate"])
+            frequencies = estimated.learn(first.filter("trim = 0") if untemplated else first, reads, contigs).checkpoint()
+        size = contigs.agg(F.sum(F.length("seq").cast("long"))).first()[0] or 0
+        # frequencies hold for places along the whole read
+        shift = F.col("pos") - untemplated
+        hits = estimated_hits(probes, inner, kmers, k, frequencies.withColumn("pos", shift) if untemplated else frequencies, size)
+    else:
+        hits = mismatch_hits(probes, kmers, k, floor_p)
+    hits, void_probes = _whole(hits.checkpoint(), repeats)
+    hits, void_probes = hits.checkpoint(), void_probes.checkpoint()
+    places = _candidates(hits, inner, reads, contigs, k, untemplated, introns)
+    if model == "estimated":
+        found = estimated.rescore(places, reads, contigs, frequencies).filter("penalty is not null").checkpoint()
+    else:
+        found = search.rescore(places, reads, contigs).filter("penalty is not null").checkpoint()
     # pairs would join all candidates of one mate with all of the other
     found, void_reads = search.guard(found, ["read_id", "mate"])
     length = F.col("length")
     floor, spread = -F.floor(floor_p * length) - 1.0, F.floor(floor_p / 2 * length) + 1.0
     if model == "estimated":
-        frequencies = estimated.learn(found.filter("trim = 0") if untemplated else found, reads, contigs).checkpoint()
-        found = estimated.rescore(found, reads, contigs, frequencies).filter("penalty is not null").checkpoint()
         floors_ = found.groupBy("read_id").agg(F.min("floor").alias("read_floor"))
-        floor, spread = F.col("read_floor"), F.lit(2.0)
-    trimmed = ["trim"] if untemplated else []
+        floor, spread = F.col("read_floor"), F.lit(SPREAD)
+    more = ["trim"] if untemplated else ["split", "gap"] if introns else []
     if untemplated:
         found = found.withColumn("penalty", F.col("penalty") + F.col("trim") * reads_.UNTEMPLATED)
+    if introns:
+        found = found.withColumn("penalty", F.col("penalty") + F.when(F.col("gap") > 0, spliced.INTRON).otherwise(0.0))
+        floor = floor + spliced.INTRON  # which makes no read too poor
     single = reads.filter("mate = 2").isEmpty()
     if single:
         good = found.withColumn("score", F.col("penalty"))
-        good = (good.join(floors_, "read_id") if model == "estimated" else good).withColumn("floor", 2 * floor)
+        good = (good.drop("floor").join(floors_, "read_id") if model == "estimated" else good).withColumn("floor", 2 * floor)
         good = search.best_within(good, ["read_id"], "score", spread, F.col("floor"), strict=True)
-        good = good.select("read_id", "chr", "start", (F.col("start") + length).alias("stop"), "strand", F.col("score").alias("log_seq_error"), "score", *trimmed)
+        stop = F.col("start") + length + (F.col("gap") if introns else F.lit(0))
+        good = good.select("read_id", "chr", "start", stop.alias("stop"), "strand", F.col("score").alias("log_seq_error"), "score", *more)
     else:
         pairs = search.pair(found, fragment_lengths).withColumn("length", F.col("length1") + F.col("length2"))
         pairs = pairs.join(floors_, "read_id") if model == "estimated" else pairs
         good = search.best_within(pairs.withColumn("floor", 2 * floor), ["read_id"], "score", spread, F.col("floor"), strict=True)
-        mates = ["start1", "length1", "strand1", "start2", "length2", "strand2"]
+        mates = [f"{c}{m}" for m in (1, 2) for c in ["start", "length", "strand", *more]]
         good = good.select("read_id", "chr", F.least("start1", "start2").alias("start"), (F.least("start1", "start2") + F.col("frag_len")).alias("stop"), F.col("strand1").alias("strand"), (F.col("penalty1") + F.col("penalty2")).alias("log_seq_error"), "score", *mates)
-    mappings = density.conditional(reads_.numbered(good, "chr", "start", "strand", "stop", "score")).checkpoint()
-    rejects = reads_.rejects(reads, (1, probes), (4, hits), (8, found), (9, mappings))
+    order = ["chr", "start", "strand", "stop", "score", *[c for c in ("split", "gap") if c in good.columns]]
+    mappings = density.conditional(reads_.numbered(good, *order)).checkpoint()
+    rejects = reads_.rejects(reads, (1, searched), (4, hits), (8, found), (9, mappings))
     # what the guards left out had too many places, not too few
     void = void_probes.select("read_id").union(void_reads.select("read_id")).distinct().withColumn("void", F.lit(True))
     error = F.when(F.col("void") & F.col("error").isin(4, 8, 9), 2).otherwise(F.col("error"))

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import itertools
-import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixplane.functions import quality, sam, sequence, stats
-from helixplane.operators import density, diploid, errors, fragments, index, peaks, reads, sampling, search, traces
+from helixplane.operators import density, diploid, errors, estimated, fragments, index, peaks, reads, sampling, search, spliced, traces
 from helixplane.sources import sinks, text
 
 from . import driver_tables as t
@@ -37,10 +35,7 @@ def r6(c) -> object:
 
 
 def _u(*keys: str) -> str:
-    x = "7"
-    for k in keys:
-        x = f"(({x}) * 69069 + ({k}) * 31337 + 12345) % 1000003"
-    return f"list_transform([{x}], lambda x: (x * x + x * 3 + 1) % 1000003)[1]"
+    return f"(('0x' || left(md5(concat_ws(':', {', '.join(keys)})), 13))::BIGINT / 4503599627370496)"
 
 
 # --- sequences and qualities
@@ -128,7 +123,7 @@ def expected_scores(s, d):
     return t.contigs(s, d).filter("seq <> ''").select("chr", r6(quality.expected_score(_probs())).alias("expected"))
 
 
-@query(f"SELECT l_orderkey AS read_id, l_linenumber AS n, CASE WHEN u < 0.4 THEN 'A' WHEN u < 0.4 + 0.3 THEN 'C' WHEN u < 0.4 + 0.3 + 0.2 THEN 'G' ELSE 'T' END AS base FROM (SELECT *, {_u('l_orderkey', 'l_linenumber')} / 1000003 AS u FROM lineitem)")
+@query(f"SELECT l_orderkey AS read_id, l_linenumber AS n, CASE WHEN u < 0.4 THEN 'A' WHEN u < 0.4 + 0.3 THEN 'C' WHEN u < 0.4 + 0.3 + 0.2 THEN 'G' ELSE 'T' END AS base FROM (SELECT *, {_u('l_orderkey', 'l_linenumber')} AS u FROM lineitem)")
 def drawn_bases(s, d):
     u = sampling.uniform(F.col("l_orderkey"), F.col("l_linenumber"))
     return t.read(s, d, "lineitem").select(F.col("l_orderkey").alias("read_id"), F.col("l_linenumber").alias("n"), quality.drawn_base(u, F.lit(0.4), F.lit(0.3), F.lit(0.2)).alias("base"))
@@ -330,6 +325,90 @@ def run_merge(s, d):
     return reads.merge_runs(one, two).groupBy("run_id", "read_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+# --- searches under learnt errors, over two copies, with lists of repeats, over introns
+
+
+def _frequencies(s, d) -> DataFrame:
+    """Error frequencies that differ by quality, place and strand."""
+    cells = t.reads(s, d).select("mate", F.posexplode(F.split("qual", "")).alias("i", "q")).filter("q <> ''").select("mate", F.ascii("q").alias("qual"), (F.col("i") + 1).alias("pos")).distinct()
+    rows = cells.withColumn("strand", F.explode(F.array(F.lit("+"), F.lit("-"))))
+    factor = 1 + 0.1 * (F.col("pos") % 3) + F.when(F.col("strand") == "-", 0.05).otherwise(0.0)
+    return rows.withColumn("p", F.pow(F.lit(10.0), -(F.col("qual") - 33) / 10.0) * factor)
+
+
+_P = "(pow(10, -(ascii(translate(base, 'ACGT', '5:?D')) - 33) / 10.0) * (1 + 0.1 * ((pos + 1) % 3) + CASE WHEN strand = '-' THEN 0.05 ELSE 0 END))"
+
+
+@query(f"""WITH {_KMERS}, {_TARGETS}, kd AS (SELECT DISTINCT kmer FROM k), td AS (SELECT DISTINCT target FROM tg),
+    nr AS (SELECT DISTINCT target, kmer FROM (
+        SELECT target, kmer FROM td JOIN kd ON substr(target, 1, 6) = substr(kmer, 1, 6) UNION SELECT target, kmer FROM td JOIN kd ON substr(target, 7, 7) = substr(kmer, 7, 7)
+        UNION SELECT target, kmer FROM td JOIN kd ON substr(target, 14, 7) = substr(kmer, 14, 7)) WHERE hamming(target, kmer) <= 2),
+    pe AS (SELECT read_id, probe_no, strand, target, j, {_P} AS p FROM (SELECT *, CASE WHEN strand = '+' THEN "offset" + j ELSE "offset" + {K - 1} - j END AS pos, CASE WHEN strand = '+' THEN substr(target, j + 1, 1) ELSE translate(substr(target, j + 1, 1), 'ACGT', 'TGCA') END AS base FROM (SELECT *, unnest(range({K})) AS j FROM tg))),
+    sc AS (SELECT read_id, probe_no, strand, kmer, sum(CASE WHEN substr(target, j + 1, 1) = substr(kmer, j + 1, 1) THEN log10(1 - p) ELSE log10(p) - 0.477121 END) AS penalty FROM pe JOIN nr USING (target) GROUP BY ALL)
+    SELECT read_id, probe_no, strand, chr, loc, round(penalty, 5) AS penalty FROM sc JOIN k USING (kmer) WHERE penalty >= -7""")
+def search_estimated(s, d):
+    rows = t.reads(s, d)
+    probes = search.select_probes(rows, K).withColumn("n", F.lit(1))
+    targets = estimated.probe_targets(probes, rows, _frequencies(s, d)).withColumn("floor", F.lit(-7.0))
+    return estimated.search(targets, index.packed(t.contigs(s, d), K), K).select("read_id", "probe_no", "strand", "chr", "loc", F.round("penalty", 5).alias("penalty"))
+
+
+def _two_copies(s, d) -> tuple[DataFrame, DataFrame]:
+    """Contigs as paternal copies; maternal ones lack five bases and differ in some; and the map between them."""
+    rows = t.contigs(s, d).filter("length(seq) >= 200")
+    copy = lambda kind, add, seq: rows.select((F.col("chr") * 2 + add).alias("chr"), F.concat(F.lit("d"), F.col("chr").cast("string"), F.lit(f"_{kind}")).alias("name"), seq.alias("seq"))
+    other = F.replace(F.concat(F.substring("seq", 1, 100), F.expr("substr(seq, 106)")), F.lit("GATA"), F.lit("GCTA"))
+    anchors = F.array(*[F.struct(F.lit(o).alias("ord"), F.lit(p).alias("pat"), F.lit(m).alias("mat")) for o, p, m in ((1, 1, 1), (2, 101, 0), (3, 106, 101))])
+    dmap = rows.select(F.concat(F.lit("d"), F.col("chr").cast("string")).alias("prefix"), F.inline(anchors))
+    return copy("paternal", 0, F.col("seq")).unionByName(copy("maternal", 1, other)), dmap
+
+
+_COPIES = f"cc AS (SELECT chr * 2 AS chr, 'paternal' AS source, seq FROM c WHERE length(seq) >= 200 UNION ALL SELECT chr * 2 + 1, 'maternal', replace(substr(seq, 1, 100) || substr(seq, 106), 'GATA', 'GCTA') FROM c WHERE length(seq) >= 200), ck AS (SELECT chr, source, loc, substr(seq, loc + 1, {K}) AS kmer FROM (SELECT *, unnest(range(length(seq) - {K} + 1)) AS loc FROM cc))"
+
+
+@query(f"WITH {C}, {_COPIES}, {_TARGETS} SELECT read_id, probe_no, strand, chr, loc, source FROM tg JOIN ck ON target = kmer")
+def diploid_hits(s, d):
+    contigs, dmap = _two_copies(s, d)
+    hits = search.search_exact(search.select_probes(t.reads(s, d), K), diploid.index(contigs, dmap, K), K)
+    return diploid.expand_hits(hits).select("read_id", "probe_no", "strand", "chr", "loc", "source")
+
+
+@query(f"WITH {C}, {_COPIES}, p AS (SELECT chr, loc, kmer, CASE WHEN loc + {K} <= 100 THEN loc WHEN loc >= 105 THEN loc - 5 END AS spot FROM ck WHERE source = 'paternal'), m AS (SELECT chr - 1 AS chr, loc AS spot, kmer FROM ck WHERE source = 'maternal'), s AS (SELECT count(*) AS n FROM p JOIN m USING (chr, spot, kmer)) SELECT 'shared' AS source, n FROM s UNION ALL SELECT 'paternal', (SELECT count(*) FROM p) - n FROM s UNION ALL SELECT 'maternal', (SELECT count(*) FROM m) - n FROM s")
+def diploid_index(s, d):
+    return diploid.index(*_two_copies(s, d), K).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_KMERS}, {_TARGETS} SELECT read_id, probe_no, strand, chr, loc FROM tg JOIN k ON target = kmer")
+def search_postings(s, d):
+    kmers = index.packed(t.contigs(s, d), K)
+    repeated = index.repeats(kmers, 20)
+    hits = search.search_exact(search.select_probes(t.reads(s, d), K), index.collapsed(kmers, repeated), K)
+    return index.expand_postings(hits, index.postings(kmers, repeated)).select("read_id", "probe_no", "strand", "chr", "loc")
+
+
+_INTRONS = f"""{_KMERS}, {R}, sr AS (SELECT read_id, substr(seq, 1, 40) || substr(seq, 71, 40) AS seq FROM r WHERE length(seq) >= 110),
+    sp AS (SELECT read_id, 0 AS probe_no, 0 AS o, substr(seq, 1, {K}) AS w FROM sr UNION ALL SELECT read_id, 1, {80 - K}, substr(seq, {80 - K + 1}, {K}) FROM sr),
+    st AS (SELECT read_id, '+' AS strand, o AS spot, w FROM sp UNION ALL SELECT read_id, '-', {80 - K} - o, reverse(translate(w, 'ACGT', 'TGCA')) FROM sp),
+    sh AS (SELECT read_id, strand, spot, chr, loc - spot AS start FROM st JOIN k ON w = kmer),
+    sc AS (SELECT x.read_id, x.strand, x.chr, x.start, y.start - x.start AS gap, min(x.spot + {K}) AS low, max(y.spot) AS high FROM sh AS x JOIN sh AS y USING (read_id, strand, chr) WHERE y.start - x.start BETWEEN 4 AND 1000 AND x.spot + {K} <= y.spot GROUP BY ALL),
+    so AS (SELECT sc.*, unnest(range(low, high + 1)) AS s, CASE WHEN strand = '+' THEN sr.seq ELSE reverse(translate(sr.seq, 'ACGT', 'TGCA')) END AS q, c.seq AS g FROM sc JOIN sr USING (read_id) JOIN c USING (chr) WHERE start >= 0 AND start + gap + 80 <= length(c.seq)),
+    sx AS (SELECT *, hamming(left(q, s), substr(g, start + 1, s)) + hamming(substr(q, s + 1), substr(g, start + gap + s + 1, 80 - s)) AS wrong,
+        (substr(g, start + s + 1, 2) = 'GT' AND substr(g, start + gap + s - 1, 2) = 'AG') OR (substr(g, start + s + 1, 2) = 'CT' AND substr(g, start + gap + s - 1, 2) = 'AC') AS usual FROM so),
+    sb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY read_id, strand, chr, start, gap ORDER BY wrong, usual DESC, s) AS rn FROM sx) WHERE rn = 1)"""
+
+
+@query(f"WITH {_INTRONS} SELECT read_id, chr, strand, start, gap, s AS split, usual AS canonical, -wrong::DOUBLE AS penalty, s || 'M' || gap || 'N' || (80 - s) || 'M' AS cigar FROM sb")
+def spliced_mappings(s, d):
+    rows = t.reads(s, d).filter("length(seq) >= 110").withColumn("seq", F.concat(F.substring("seq", 1, 40), F.substring("seq", 71, 40)))
+    genome = t.contigs(s, d)
+    hits = search.search_exact(spliced.end_probes(rows, K), index.packed(genome, K), K)
+    found = spliced.split(spliced.chain(hits, rows, K, 4, 1000), rows, genome)
+    scored = search.rescore(found, rows, genome)
+    part = lambda op, n: F.struct(F.lit(op).alias("op"), n.cast("int").alias("len"))
+    cigar = sam.cigar_text(F.array(part("M", F.col("split")), part("N", F.col("gap")), part("M", F.col("length") - F.col("split"))))
+    return scored.select("read_id", "chr", "strand", "start", "gap", F.col("split").cast("long").alias("split"), "canonical", "penalty", cigar.alias("cigar"))
+
+
 # --- text formats
 
 
@@ -524,7 +603,7 @@ def marginal_density(s, d):
 
 
 
-_CHOSEN = "{to} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY CASE WHEN up >= u THEN 0 ELSE 1 END, mapping_no) AS rn FROM (SELECT *, round(sum(cond_prb) OVER (PARTITION BY {by} ORDER BY mapping_no), 9) AS up, {u} / 1000003 AS u FROM {of})) WHERE rn = 1)"
+_CHOSEN = "{to} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY CASE WHEN up >= u THEN 0 ELSE 1 END, mapping_no) AS rn FROM (SELECT *, round(sum(cond_prb) OVER (PARTITION BY {by} ORDER BY mapping_no), 9) AS up, {u} AS u FROM {of})) WHERE rn = 1)"
 
 
 @query(f"WITH {P}, {_CHOSEN.format(to='ch', by='read_id', u=_u('read_id', '3'), of='p')} SELECT read_id, mapping_no FROM ch")
@@ -532,13 +611,15 @@ def weighted_choice(s, d):
     return sampling.choose(_prior(s, d), sampling.uniform(F.col("read_id"), 3)).select("read_id", "mapping_no")
 
 
-_STEPS = itertools.accumulate(0.36787944117144233 / math.factorial(k) for k in range(8))
-_EDGES = "CASE " + " ".join(f"WHEN u2 < {e!r} THEN {k}" for k, e in enumerate(_STEPS)) + " ELSE 8 END"
+_DRAWS = P + f""", ids AS (SELECT read_id, row_number() OVER (ORDER BY read_id) - 1 AS number FROM (SELECT DISTINCT read_id FROM p)), n AS (SELECT count(*) AS n FROM ids),
+    dr AS (SELECT bs, floor({_u("'11'", 'bs', 'draw')} * n)::BIGINT AS number, {_u("'12'", 'bs', 'draw')} AS u FROM (SELECT unnest(range(25)) AS bs), (SELECT unnest(range(n)) AS draw, n FROM n)),
+    up AS (SELECT *, sum(cond_prb) OVER (PARTITION BY read_id ORDER BY mapping_no) AS up, lag(mapping_no) OVER (PARTITION BY read_id ORDER BY mapping_no) IS NULL AS head, lead(mapping_no) OVER (PARTITION BY read_id ORDER BY mapping_no) IS NULL AS tail FROM p),
+    sp AS (SELECT *, CASE WHEN head THEN -1 ELSE lag(up) OVER (PARTITION BY read_id ORDER BY mapping_no) END AS low, CASE WHEN tail THEN 2 ELSE up END AS high FROM up)"""
 
 
-@query(f"WITH {P}, x AS (SELECT p.*, bs FROM p, (SELECT unnest(range(5)) AS bs)), {_CHOSEN.format(to='ch', by='bs, read_id', u=_u('read_id', 'bs', '11'), of='x')}, y AS (SELECT *, {_EDGES} AS weight FROM (SELECT *, {_u('read_id', 'bs', '12')} / 1000003 AS u2 FROM ch)) SELECT bs, chr, track, site AS pos, sum(weight)::DOUBLE AS value FROM y WHERE weight > 0 GROUP BY ALL")
+@query(f"WITH {_DRAWS} SELECT bs, chr, track, site AS pos, count(*)::DOUBLE AS value FROM dr JOIN ids USING (number) JOIN sp ON sp.read_id = ids.read_id AND u > low AND u <= high GROUP BY ALL")
 def bootstrap_density(s, d):
-    drawn = sampling.bootstraps(_prior(s, d), 5, 11)
+    drawn = sampling.bootstraps(_prior(s, d), 25, 11)
     pos = F.when(F.col("strand") == "+", F.col("start")).otherwise(F.col("stop") - 1)
     return drawn.groupBy(F.col("bs").cast("long").alias("bs"), "chr", F.when(F.col("strand") == "+", 0).otherwise(1).alias("track"), pos.alias("pos")).agg(F.sum("weight").cast("double").alias("value"))
 

@@ -44,7 +44,7 @@ def fragments(mappings: DataFrame, *keys: str) -> DataFrame:
     ends = F.explode(F.array(F.struct(F.col("start").alias("pos"), share.alias("d"), F.lit(1).alias("n")), F.struct(F.col("stop").alias("pos"), (-share).alias("d"), F.lit(-1).alias("n"))))
     by = [*keys, "chr", "track"]
     steps = mappings.select(*keys, "chr", _track().alias("track"), ends.alias("x")).groupBy(*by, F.col("x.pos").alias("pos")).agg(F.sum("x.d").alias("d"), F.sum("x.n").alias("n"))
-    steps = steps.withColumn("bin", F.floor(F.col("pos") / BIN))
+    steps = steps.withColumn("bin", F.floor(F.col("pos") / BIN)).checkpoint()  # read twice
     # a row for each bin that has places: what lies before it, and where the next one begins
     bins = steps.groupBy(*by, "bin").agg(F.sum("d").alias("d"), F.sum("n").alias("n"), F.min("pos").alias("first"))
     order = Window.partitionBy(*by).orderBy("bin")
@@ -66,17 +66,17 @@ def bases(runs: DataFrame) -> DataFrame:
     return runs.select(*[c for c in runs.columns if c not in ("pos", "end", "value")], F.explode(F.sequence("pos", F.col("end") - 1)).alias("pos"), "value")
 
 
-def profile(mappings: DataFrame, shape: DataFrame, contigs: DataFrame | None = None) -> DataFrame:
+def profile(mappings: DataFrame, shape: DataFrame, contigs: DataFrame | None = None, *keys: str) -> DataFrame:
     """M-step of single-end fragments: each start carries the binding-site profile (offset, d), forward or mirrored.
 
-    Mappings with one place are summed before the profile is laid over them. contigs: (chr, length), at whose ends profiles are cut.
+    Mappings with one place are summed before the profile is laid over them. contigs: (chr, length), at whose ends profiles are cut. keys: columns by which to tell several densities apart.
     """
     anchor = F.when(F.col("strand") == "+", F.col("start")).otherwise(F.col("stop") - 1)
-    sums = mappings.groupBy("chr", _track().alias("track"), anchor.alias("anchor")).agg(F.sum("cond_prb").alias("p"))
+    sums = mappings.groupBy(*keys, "chr", _track().alias("track"), anchor.alias("anchor")).agg(F.sum("cond_prb").alias("p"))
     pos = F.when(F.col("track") == 0, F.col("anchor") + F.col("offset")).otherwise(F.col("anchor") - F.col("offset"))
     laid = sums.crossJoin(F.broadcast(shape)).withColumn("pos", pos).filter("pos >= 0")  # the profile has a row for each base of a fragment
-    laid = laid if contigs is None else laid.join(F.broadcast(contigs.select("chr", "length")), "chr").filter("pos < length")
-    return laid.groupBy("chr", "track", "pos").agg(F.sum(F.col("p") * F.col("d")).alias("value"))
+    laid = laid if contigs is None else laid.join(contigs.select("chr", "length"), "chr").filter("pos < length")
+    return laid.groupBy(*keys, "chr", "track", "pos").agg(F.sum(F.col("p") * F.col("d")).alias("value"))
 
 
 def near_start(mappings: DataFrame, density: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -106,7 +106,7 @@ def over_fragment(mappings: DataFrame, runs: DataFrame) -> DataFrame:
     both = runs.select("chr", F.explode(F.array(F.struct(F.col("pos").alias("pos"), F.col("value").alias("d")), F.struct(F.col("end").alias("pos"), (-F.col("value")).alias("d")))).alias("x")).groupBy("chr", F.col("x.pos").alias("pos")).agg(F.sum("x.d").alias("d"))
     asked = mappings.select("chr", F.explode(F.array("start", "stop")).alias("pos")).distinct()
     places = both.withColumn("asked", F.lit(False)).unionByName(asked.withColumn("d", F.lit(0.0)).withColumn("asked", F.lit(True)))
-    places = places.groupBy("chr", "pos").agg(F.sum("d").alias("d"), F.max("asked").alias("asked")).withColumn("bin", F.floor(F.col("pos") / BIN))
+    places = places.groupBy("chr", "pos").agg(F.sum("d").alias("d"), F.max("asked").alias("asked")).withColumn("bin", F.floor(F.col("pos") / BIN)).checkpoint()  # read twice
     # a row for each bin that has places: the level and the area at its first base
     at = F.col("pos") - F.col("bin") * BIN
     bins = places.groupBy("chr", "bin").agg(F.sum("d").alias("d"), F.sum(F.col("d") * (BIN - at)).alias("area"))

@@ -57,10 +57,15 @@ def floors(mean: pd.Series, variance: pd.Series, share: pd.Series) -> pd.Series:
     return rows.merge(distinct.assign(f=found), on=["m", "v", "a"], how="left")["f"]
 
 
-def rescore(candidates: DataFrame, reads: DataFrame, contigs: DataFrame, frequencies: DataFrame, size: int | None = None) -> DataFrame:
-    """Candidates with the score of the whole read, and the floor that the read's own score distribution allows."""
+def informative(own: DataFrame, genome: int) -> DataFrame:
+    """(read_id, mate) of the reads (penalties()) whose bases, less the errors to expect, tell more than a genome of so many bases."""
+    expected = F.aggregate("good", F.lit(0.0), lambda a, x: a + 1 - F.pow(F.lit(10.0), x))
+    return own.filter("strand = '+'").filter(F.pow(F.lit(4.0), F.size("good") - F.floor(expected) - 1) / 2 > genome).select("read_id", "mate")
+
+
+def rescore(candidates: DataFrame, reads: DataFrame, contigs: DataFrame, own: DataFrame, size: int | None = None) -> DataFrame:
+    """Candidates with the score of the whole read under its own penalties(), and the floor that the read's own score distribution allows."""
     size = piece_size(reads) if size is None else size
-    own = penalties(reads, frequencies)
     rows = candidates.drop("penalty").join(reads.select("read_id", "mate", "seq"), ["read_id", "mate"]).join(own, ["read_id", "mate", "strand"])
     rows = aligned(rows, contigs, size)
     genome = F.when(F.col("strand") == "+", F.col("genome")).otherwise(reverse_complement(F.col("genome")))
@@ -79,12 +84,11 @@ PARTS = (2, 3, 4, 5, 6)
 UNIT, AT_ONCE, WIDEST = 20, 512, 11
 
 
-def probe_targets(probes: DataFrame, reads: DataFrame, frequencies: DataFrame, default: float = 0.01) -> DataFrame:
-    """Both strands of probes (…, strand, target) with `base`, the score of a full match, `loss`, what a mismatch costs at each base of the target, and `floor`, which a probe's own score distribution allows when so many probes (n, a column) must all miss a read with chance 0.01; `information`, the bases that tell something."""
-    own = penalties(reads, frequencies, default).select("read_id", "mate", "strand", "good", "bad")
-    rows = both_strands(probes).join(own, ["read_id", "mate", "strand"]).join(reads.select("read_id", "mate", F.col("seq").alias("whole")), ["read_id", "mate"])
+def probe_targets(probes: DataFrame, reads: DataFrame, own: DataFrame, skipped: int = 0) -> DataFrame:
+    """Under penalties() of reads whose first `skipped` bases the probes' reads lack: both strands of probes (…, strand, target) with `base`, the score of a full match, `loss`, what a mismatch costs at each base of the target, and `floor`, which a probe's own score distribution allows when so many probes (n, a column) must all miss a read with chance 0.01; `information`, the bases that tell something."""
+    rows = both_strands(probes).join(own.select("read_id", "mate", "strand", "good", "bad"), ["read_id", "mate", "strand"]).join(reads.select("read_id", "mate", F.col("seq").alias("whole")), ["read_id", "mate"])
     known = F.transform(F.filter(F.split(F.upper(F.substr("whole", F.col("offset") + 1, F.col("length"))), ""), lambda x: x != ""), lambda x: x != "N")
-    cut = lambda c: F.slice(c, F.col("offset") + 1, F.col("length"))
+    cut = lambda c: F.slice(c, F.col("offset") + skipped + 1, F.col("length"))
     # an unknown base costs the same whatever the genome has
     cells = F.zip_with(F.arrays_zip(cut("good").alias("good"), cut("bad").alias("bad")), known, lambda x, k: F.struct(F.when(k, x["good"]).otherwise(N_SCORE).alias("good"), F.when(k, x["bad"]).otherwise(N_SCORE).alias("bad"), F.when(k, 1 - F.pow(F.lit(10.0), x["good"])).otherwise(0.75).alias("p")))
     rows = rows.withColumn("cells", F.when(F.col("strand") == "+", cells).otherwise(F.reverse(cells))).drop("good", "bad", "whole")

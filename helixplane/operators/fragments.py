@@ -25,6 +25,13 @@ def normal(spark: SparkSession, mean: float, sd: float) -> DataFrame:
     return rows.crossJoin(rows.agg(F.sum("d").alias("total"))).select(F.col("id").alias("len"), (F.col("d") / F.col("total")).alias("p"))
 
 
+def learnt(mappings: DataFrame, least: int = 100, mean: float = 200, sd: float = 25) -> DataFrame:
+    """empirical(), or where fewer than `least` reads tell their fragment's length, a normal distribution."""
+    found = empirical(mappings).checkpoint()
+    told = mappings.groupBy("read_id").agg(F.min(F.col("stop") - F.col("start")).alias("a"), F.max(F.col("stop") - F.col("start")).alias("b")).filter("a = b").limit(least).count()
+    return found if told >= least else normal(mappings.sparkSession, mean, sd).select(F.col("len").cast(found.schema["len"].dataType).alias("len"), "p")
+
+
 def binding_profile(lengths: DataFrame) -> DataFrame:
     """(offset, d): the chance that a fragment that starts at 0 has its binding site there."""
     return lengths.withColumn("offset", F.explode(F.sequence(F.lit(0).cast("long"), F.col("len").cast("long") - 1))).groupBy("offset").agg(F.sum(F.col("p") / F.col("len")).alias("d"))

@@ -45,6 +45,14 @@ def counters(reads: DataFrame, mappings: DataFrame, rejected: DataFrame) -> Data
     return count(reads, "reads", True).unionByName(count(mappings, "mapped reads", True)).unionByName(count(mappings, "mappings", False)).unionByName(by_reason)
 
 
+def offsets(*runs: DataFrame) -> list[int]:
+    """Where each run's read ids begin when they go on from those of the runs before: a number a run."""
+    out = [0]
+    for run in runs:
+        out.append(out[-1] + (run.agg(F.max("read_id")).first()[0] if not run.isEmpty() else -1) + 1)
+    return out[:-1]
+
+
 def merge_runs(*runs: DataFrame) -> DataFrame:
     """Reads or mappings of several runs as one, with run_id; read ids go on where the run before ends."""
     out = None

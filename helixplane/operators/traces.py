@@ -10,10 +10,19 @@ from pyspark.sql import functions as F
 KEYS = ["chr", "track", "pos"]
 
 
+def _one(how: str, n: int) -> Column:
+    absent = F.count(F.lit(1)) < n
+    return {"sum": F.sum("value"), "max": F.when(absent, F.greatest(F.max("value"), F.lit(0.0))).otherwise(F.max("value")), "min": F.when(absent, F.least(F.min("value"), F.lit(0.0))).otherwise(F.min("value"))}[how]
+
+
 def aggregate(traces: DataFrame, how: str, n: int, keys: list[str] | None = None) -> DataFrame:
     """min, max or sum over n traces stacked in one table; a trace without a row has 0 there."""
-    one = {"sum": F.sum("value"), "max": F.greatest(F.max("value"), F.when(F.count(F.lit(1)) < n, F.lit(0.0)).otherwise(F.max("value"))), "min": F.when(F.count(F.lit(1)) < n, F.least(F.lit(0.0), F.min("value"))).otherwise(F.min("value"))}[how]
-    return traces.groupBy(*(keys or KEYS)).agg(one.alias("value"))
+    return traces.groupBy(*(keys or KEYS)).agg(_one(how, n).alias("value"))
+
+
+def aggregates(traces: DataFrame, n: int, keys: list[str] | None = None) -> DataFrame:
+    """min_value, max_value and sum_value at once."""
+    return traces.groupBy(*(keys or KEYS)).agg(*[_one(how, n).alias(f"{how}_value") for how in ("min", "max", "sum")])
 
 
 def over_threshold(trace: DataFrame, least: float) -> DataFrame:

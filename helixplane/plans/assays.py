@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixplane.operators import density, peaks, sampling
+from helixplane.operators import density, overlay, peaks, sampling
 from helixplane.sources.sinks import Run
 
 
@@ -53,13 +53,14 @@ def placed_by(mappings: DataFrame, trace: DataFrame) -> DataFrame:
     return density.near_start(density.conditional(mappings), trace).drop("lhd")
 
 
-def with_control(ip: DataFrame, nc: DataFrame, n: int = peaks.BOOTSTRAPS, most: int = density.MOST_ITERATIONS) -> DataFrame:
-    """Peak scores (chr, track, pos, count, value): EM places the treatment's reads, one step places the control's by the treatment's density; n bootstraps of the fragments of each are compared, base by base."""
-    placed, _ = density.iterate(ip, density.fragments, density.over_fragment, most=most)
-    control = density.over_fragment(density.conditional(nc), density.fragments(placed)).drop("lhd")
+def with_control(ip: DataFrame, nc: DataFrame, n: int = peaks.BOOTSTRAPS, most: int = density.MOST_ITERATIONS, m_step=density.fragments, e_step=density.over_fragment) -> DataFrame:
+    """Peak scores (chr, track, pos, end, count, value) by runs: EM places the treatment's reads, one step places the control's by the treatment's density; n bootstraps of each are compared wherever any of them changes. m_step, e_step: the assay's; m_step takes the column that tells bootstraps apart."""
+    placed, _ = density.iterate(ip, m_step, e_step, most=most)
+    control = e_step(density.conditional(nc), m_step(placed)).drop("lhd")
 
     def drawn(rows: DataFrame, seed: int) -> DataFrame:
         one = sampling.bootstraps(rows.drop("lhd"), n, seed).withColumn("cond_prb", F.col("weight").cast("double"))
-        return density.bases(density.fragments(one, "bs"))
+        runs = m_step(one, "bs")
+        return runs if "end" in runs.columns else runs.withColumn("end", F.col("pos") + 1)
 
-    return peaks.scores(peaks.higher_counts(drawn(placed, 1), drawn(control, 2), n), n)
+    return peaks.scores(overlay.higher_counts(drawn(placed, 1), drawn(control, 2), n), n)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixplane.functions.stats import probe_thresholds
-from helixplane.operators import density, diploid, estimated, index, reads as reads_, search, spliced
+from helixplane.operators import density, diploid, errors, estimated, index, reads as reads_, search, spliced
 
 #: Reads from which error frequencies are learnt, about so many by a hash of their id; the spread of scores under the estimated model.
 LEARNT, SPREAD = 200_000, 2.0
@@ -35,9 +35,10 @@ def mismatch_hits(probes: DataFrame, kmers: DataFrame, k: int, floor_p: float) -
     return search.best_within(hits, ["read_id", "mate", "probe_no"], "penalty", _table(spreads, "n")).drop("n")
 
 
-def estimated_hits(probes: DataFrame, reads: DataFrame, kmers: DataFrame, k: int, frequencies: DataFrame, genome: int) -> DataFrame:
-    """Hits by scores under learnt error frequencies; probes that tell too little for a genome of so many bases aren't searched."""
-    targets = estimated.probe_targets(probes, reads, frequencies).filter(F.pow(F.lit(4.0), "information") / 2 > genome)
+def estimated_hits(probes: DataFrame, reads: DataFrame, kmers: DataFrame, k: int, own: DataFrame, genome: int, skipped: int = 0) -> DataFrame:
+    """Hits by scores under penalties of reads; reads and probes that tell too little for a genome of so many bases aren't searched."""
+    told = probes.join(estimated.informative(own, genome), ["read_id", "mate"], "left_semi")
+    targets = estimated.probe_targets(told, reads, own, skipped).filter(F.pow(F.lit(4.0), "information") / 2 > genome)
     return search.best_within(estimated.search(targets, kmers, k), ["read_id", "mate", "probe_no"], "penalty", SPREAD).drop("n")
 
 
@@ -60,6 +61,24 @@ def _candidates(hits: DataFrame, reads: DataFrame, whole: DataFrame, contigs: Da
     return reads_.with_untemplated_g(places, whole, untemplated) if untemplated else places
 
 
+def _inner(reads: DataFrame, untemplated: int) -> DataFrame:
+    """Reads without the bases that may be untemplated."""
+    rest = lambda c: F.substr(c, F.lit(untemplated + 1))
+    return reads.withColumn("seq", rest("seq")).withColumn("qual", rest("qual")) if untemplated else reads
+
+
+def learn(reads: DataFrame, contigs: DataFrame, k: int, floor_p: float, kmers: DataFrame, untemplated: int = 0, repeats: DataFrame | None = None, introns: tuple[int, int] | None = None, probes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(errors, frequencies): counts by mate, strand, quality and place where LEARNT reads (by a hash of their id) lie best by mismatches, and the frequencies fitted to them."""
+    inner = _inner(reads, untemplated)
+    probes = _probes(inner, k, introns) if probes is None else probes
+    sample = F.pmod(F.xxhash64("read_id"), F.lit(1 << 20)) < max(1, (LEARNT << 20) // max(reads.count(), LEARNT))
+    hits, _ = _whole(mismatch_hits(probes.filter(sample), kmers, k, floor_p).checkpoint(), repeats)
+    found = search.rescore(_candidates(hits.checkpoint(), inner, reads, contigs, k, untemplated, introns), reads, contigs).filter("penalty is not null").checkpoint()
+    found, _ = search.guard(found, ["read_id", "mate"])
+    counts = errors.counts(estimated.best_hits(found.filter("trim = 0") if untemplated else found, reads, contigs)).checkpoint()
+    return counts, errors.fit(counts).checkpoint()
+
+
 def map_reads(
     reads: DataFrame, contigs: DataFrame, k: int, floor_p: float = 0.1, kmers: DataFrame | None = None, fragment_lengths: DataFrame | None = None, model: str = "mismatch", untemplated: int = 0,
     repeats: DataFrame | None = None, introns: tuple[int, int] | None = None, frequencies: DataFrame | None = None,
@@ -76,29 +95,21 @@ def map_reads(
     if introns and untemplated:
         raise ValueError("untemplated Gs and introns exclude each other")
     kmers = index.packed(contigs, k) if kmers is None else kmers
-    inner = reads.withColumn("seq", F.substr("seq", F.lit(untemplated + 1))).withColumn("qual", F.substr("qual", F.lit(untemplated + 1))) if untemplated else reads
+    inner = _inner(reads, untemplated)
     probes = _probes(inner, k, introns)
-    searched = probes
     if model == "estimated":
         if frequencies is None:
-            n = reads.count()
-            sample = F.pmod(F.xxhash64("read_id"), F.lit(1 << 20)) < max(1, (LEARNT << 20) // max(n, LEARNT))
-            some = probes.filter(sample)
-            own, _ = _whole(mismatch_hits(some, kmers, k, floor_p), repeats)
-            first = search.rescore(_candidates(own, inner, reads, contigs, k, untemplated, introns), reads, contigs).filter("penalty is not null").checkpoint()
-            first, _ = search.guard(first, ["read_id", "mate"])
-            frequencies = estimated.learn(first.filter("trim = 0") if untemplated else first, reads, contigs).checkpoint()
+            _, frequencies = learn(reads, contigs, k, floor_p, kmers, untemplated, repeats, introns, probes)
         size = contigs.agg(F.sum(F.length("seq").cast("long"))).first()[0] or 0
-        # frequencies hold for places along the whole read
-        shift = F.col("pos") - untemplated
-        hits = estimated_hits(probes, inner, kmers, k, frequencies.withColumn("pos", shift) if untemplated else frequencies, size)
+        own = estimated.penalties(reads, frequencies).checkpoint()
+        hits = estimated_hits(probes, inner, kmers, k, own, size, untemplated)
     else:
         hits = mismatch_hits(probes, kmers, k, floor_p)
     hits, void_probes = _whole(hits.checkpoint(), repeats)
     hits, void_probes = hits.checkpoint(), void_probes.checkpoint()
     places = _candidates(hits, inner, reads, contigs, k, untemplated, introns)
     if model == "estimated":
-        found = estimated.rescore(places, reads, contigs, frequencies).filter("penalty is not null").checkpoint()
+        found = estimated.rescore(places, reads, contigs, own).filter("penalty is not null").checkpoint()
     else:
         found = search.rescore(places, reads, contigs).filter("penalty is not null").checkpoint()
     # pairs would join all candidates of one mate with all of the other
@@ -129,7 +140,7 @@ def map_reads(
         good = good.select("read_id", "chr", F.least("start1", "start2").alias("start"), (F.least("start1", "start2") + F.col("frag_len")).alias("stop"), F.col("strand1").alias("strand"), (F.col("penalty1") + F.col("penalty2")).alias("log_seq_error"), "score", *mates)
     order = ["chr", "start", "strand", "stop", "score", *[c for c in ("split", "gap") if c in good.columns]]
     mappings = density.conditional(reads_.numbered(good, *order)).checkpoint()
-    rejects = reads_.rejects(reads, (1, searched), (4, hits), (8, found), (9, mappings))
+    rejects = reads_.rejects(reads, (1, probes), (4, hits), (8, found), (9, mappings))
     # what the guards left out had too many places, not too few
     void = void_probes.select("read_id").union(void_reads.select("read_id")).distinct().withColumn("void", F.lit(True))
     error = F.when(F.col("void") & F.col("error").isin(4, 8, 9), 2).otherwise(F.col("error"))

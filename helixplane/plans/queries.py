@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixplane.functions import quality, sam, sequence, stats
-from helixplane.operators import density, diploid, errors, estimated, fragments, index, peaks, reads, sampling, search, spliced, traces
+from helixplane.operators import density, diploid, errors, estimated, fragments, index, overlay, peaks, reads, sampling, search, spliced, traces
 from helixplane.sources import sinks, text
 
 from . import driver_tables as t
@@ -349,7 +349,7 @@ _P = "(pow(10, -(ascii(translate(base, 'ACGT', '5:?D')) - 33) / 10.0) * (1 + 0.1
 def search_estimated(s, d):
     rows = t.reads(s, d)
     probes = search.select_probes(rows, K).withColumn("n", F.lit(1))
-    targets = estimated.probe_targets(probes, rows, _frequencies(s, d)).withColumn("floor", F.lit(-7.0))
+    targets = estimated.probe_targets(probes, rows, estimated.penalties(rows, _frequencies(s, d))).withColumn("floor", F.lit(-7.0))
     return estimated.search(targets, index.packed(t.contigs(s, d), K), K).select("read_id", "probe_no", "strand", "chr", "loc", F.round("penalty", 5).alias("penalty"))
 
 
@@ -634,9 +634,7 @@ def random_start(s, d):
 
 @query(f"WITH {D} SELECT chr, track, pos, sum(value) AS sum_value, CASE WHEN count(*) < 7 THEN greatest(max(value), 0) ELSE max(value) END AS max_value, CASE WHEN count(*) < 7 THEN least(min(value), 0) ELSE min(value) END AS min_value FROM d GROUP BY ALL")
 def trace_min_max_sum(s, d):
-    rows = t.densities(s, d)
-    one = lambda how: traces.aggregate(rows, how, 7).withColumnRenamed("value", f"{how}_value")
-    return one("sum").join(one("max"), traces.KEYS).join(one("min"), traces.KEYS)
+    return traces.aggregates(t.densities(s, d), 7)
 
 
 @query(f"WITH {D} SELECT chr, track, pos, max(value) AS value FROM d GROUP BY ALL HAVING max(value) >= 25")
@@ -659,6 +657,29 @@ def trace_uniform(s, d):
     return traces.uniform(t.contigs(s, d), 2).withColumn("value", F.round("value", 12))
 
 
+def _depths(s, d) -> DataFrame:
+    """Runs of the depth of fragments, a member for each line number from 0."""
+    rows = t.mappings(s, d).withColumns({"member": F.least(F.col("mapping_no"), F.lit(6)).cast("int"), "cond_prb": (F.col("stop") - F.col("start")).cast("double")})
+    return density.fragments(rows, "member")
+
+
+_DEPTHS = M + ", x AS (SELECT least(mapping_no, 6) AS member, chr, CASE WHEN strand = '+' THEN 0 ELSE 1 END AS track, unnest(range(start, stop)) AS pos FROM m), y AS (SELECT member, chr, track, pos, count(*)::DOUBLE AS n FROM x GROUP BY ALL)"
+
+
+@query(f"WITH {_DEPTHS}, z AS (SELECT chr, track, pos, max(n) AS hi, CASE WHEN count(*) < 7 THEN 0 ELSE min(n) END AS lo, sum(n) AS su FROM y GROUP BY ALL) SELECT chr, track, pos, 'max' AS how, hi AS value FROM z UNION ALL SELECT chr, track, pos, 'min', lo FROM z UNION ALL SELECT chr, track, pos, 'sum', su FROM z")
+def overlay_aggregates(s, d):
+    runs = _depths(s, d).checkpoint()
+    one = lambda how: density.bases(overlay.aggregate(runs, how, 7)).select("chr", "track", F.col("pos").cast("int").alias("pos"), F.lit(how).alias("how"), "value")
+    return one("max").unionByName(one("min")).unionByName(one("sum"))
+
+
+@query(f"WITH {_DEPTHS}, z AS (SELECT chr, track, pos, a.n AS ip, b.n AS nc FROM (SELECT member AS bs, * FROM y WHERE member < 3) AS a FULL JOIN (SELECT member - 3 AS bs, * FROM y WHERE member BETWEEN 3 AND 5) AS b USING (bs, chr, track, pos)) SELECT chr, track, pos, (sum(CASE WHEN coalesce(ip, 0) > coalesce(nc, 0) THEN 1.0 WHEN coalesce(ip, 0) = coalesce(nc, 0) THEN 0.5 ELSE 0 END) + (3 - count(*)) * 0.5)::DOUBLE AS count FROM z GROUP BY ALL")
+def ip_gt_nc_runs(s, d):
+    runs = _depths(s, d).withColumnRenamed("member", "bs").checkpoint()
+    out = overlay.higher_counts(runs.filter("bs < 3"), runs.filter("bs between 3 and 5").withColumn("bs", F.col("bs") - 3), 3)
+    return density.bases(out.withColumnRenamed("count", "value")).select("chr", "track", F.col("pos").cast("int").alias("pos"), F.col("value").alias("count"))
+
+
 # --- peaks
 
 _GT = B + """, ip AS (SELECT * FROM b WHERE status = 'F'), nc AS (SELECT * FROM b WHERE status = 'O'),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Tables of a run and the columns that they are partitioned by.
-TABLES = {"contigs": [], "kmers": [], "repeats": [], "counters": [], "dmap": [], "reads": [], "mappings": [], "rejects": [], "density": ["sample", "track"], "samples": [], "errors": [], "frequencies": [], "fragments": []}
+TABLES = {"contigs": [], "kmers": [], "repeats": [], "counters": [], "dmap": [], "reads": [], "mappings": [], "rejects": [], "density": ["sample", "track"], "samples": [], "errors": [], "frequencies": [], "fragments": [], "control": [], "peaks": ["track"], "aggregates": ["track"], "pool": []}
 
 
 class Run:

@@ -7,14 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from helixplane.operators import index
 from helixplane.plans.mapper import map_reads
 
 
 def map_stream(reads: DataFrame, contigs: DataFrame, k: int, path: str, checkpoint: str, sink: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Each micro-batch's mappings below path, in a folder of its own: a batch that is run again replaces what it wrote."""
+    """Each micro-batch's mappings below path, in a folder of its own: a batch that is run again replaces what it wrote. The genome is indexed once, before the first."""
+    contigs = contigs.checkpoint()
+    kmers = index.packed(contigs, k).checkpoint()
 
     def one(batch: DataFrame, number: int) -> None:
-        mappings, _ = map_reads(batch, contigs, k)
+        mappings, _ = map_reads(batch, contigs, k, kmers=kmers)
         mappings.write.mode("overwrite").parquet(f"{path}/batch={number}")
         if sink:
             sink(mappings, number)

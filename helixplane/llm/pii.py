@@ -129,8 +129,9 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("base", F.sort_array(F.concat(*[named_spans(i, k) for i, k in enumerate(KINDS)])))
     able = lambda s: (F.length(s["surface"]) >= 6) & (s["surface"].contains("@") | s["surface"].rlike("^(?:[^0-9]*+[0-9]){4}"))
     loose = F.filter(matches(text, TOKEN, "[0-9@]"), able)
-    rows = rows.withColumn("loose", F.transform(loose, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.regexp_replace(F.lower(s["surface"]), "[.,;:!?]+$", "").alias("surface"), _patterns(s).alias("patterns"))))
-    rows = rows.withColumn("loose", F.transform("loose", lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["surface"])).alias("end"), s["surface"].alias("surface"), s["patterns"].alias("patterns"))))
+    # a place ends where the text's own letters do; lower case, which may be longer, is for comparison only
+    rows = rows.withColumn("loose", F.transform(loose, lambda s: F.struct(s["start"].alias("start"), F.regexp_replace(s["surface"], "[.,;:!?]+$", "").alias("surface"), _patterns(s).alias("patterns"))))
+    rows = rows.withColumn("loose", F.transform("loose", lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["surface"])).alias("end"), F.lower(s["surface"]).alias("surface"), s["patterns"].alias("patterns"))))
     return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", _apart(F.col("loose"), F.col("base")).alias("candidates"))
 
 

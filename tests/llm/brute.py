@@ -217,8 +217,8 @@ def discovered(texts, kinds, valid, token, shapes, confidence=0.8, seeds=5):
         seen |= {(x, k, s) for _, _, _, k, p, s in own for x in p}
         some = []
         for m, p in matches(token, text):
-            surface = re.sub(r"[.,;:!?]+\Z", "", m[0].lower())
-            end = m.start() + len(surface)
+            trimmed = re.sub(r"[.,;:!?]+\Z", "", m[0])
+            surface, end = trimmed.lower(), m.start() + len(trimmed)
             if len(m[0]) >= 6 and ("@" in m[0] or len(re.findall("[0-9]", m[0])) >= 4) and not any(a < end and b > m.start() for a, _, b, _ in base[-1]):
                 some.append((m.start(), end, surface))
                 able |= {(x, surface) for x in p}

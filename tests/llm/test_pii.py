@@ -89,6 +89,13 @@ def test_rows_that_share_an_id_get_the_spans_of_their_own_text(spark):
     assert [s for d, s in got if d == 20] == ["", "email:15:35"] and [s for d, s in got if d == brute.NO_ID] == ["", "email:12:32"]
 
 
+def test_places_count_the_texts_own_letters(spark):
+    rows = [(k, f"please write to user{k}@host{k}.example today") for k in range(30)]
+    rows += [(50, "write to İ@host1234 today x"), (51, "please write to İİ.a@host77, today"), (52, "write to ẞ9999@İ. today")]
+    got = {r.doc_id: r.spans for r in pii.digests(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert (got[50], got[51], got[52]) == ("email:9:19", "email:16:27", "email:9:16")
+
+
 def test_very_long_texts_take_time_in_proportion(spark):
     text = " ".join(f"token{k} 4{k:07d}" if k % 3 else f"u{k}@h.example" for k in range(48_000))
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")

@@ -188,12 +188,16 @@ def train(docs: DataFrame, max_rows: int = MAX_ROWS) -> Network | None:
             data, off = texts_of(b.column("text"))
             start, text = windows(data, off)
             first = np.searchsorted(text, np.arange(b.num_rows + 1))
-            cut = []
-            for k in range(b.num_rows):
-                mine = start[first[k] : first[k + 1]]
-                mine = mine[np.unique(np.linspace(0, len(mine) - 1, PER_TEXT).round().astype(np.int64))]
-                x = symbols(data, mine, np.full(len(mine), off[k + 1]))
-                cut.append(x[(x > 1).any(1)].tobytes())
+            n = np.diff(first)
+            spread = (np.arange(PER_TEXT)[None, :] * (n - 1)[:, None] / (PER_TEXT - 1)).round().astype(np.int64)
+            # evenly spaced from the first to the last, each once
+            some = (n[:, None] > 0) & np.concatenate((np.ones((len(n), 1), bool), np.diff(spread) > 0), 1)
+            own, at = np.nonzero(some)
+            x = symbols(data, start[first[own] + spread[own, at]], off[1:][own])
+            told = (x > 1).any(1)
+            x, own = x[told], own[told]
+            ends = np.searchsorted(own, np.arange(b.num_rows + 1))
+            cut = [x[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("hash"), pa.array(cut, pa.binary())], ["lang", "hash", "cut"])
 
     found = rows.mapInArrow(run, "lang string, hash long, cut binary").groupBy("hash").agg(F.min(F.struct("lang", "cut")).alias("x"))

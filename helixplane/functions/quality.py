@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .stats import probe_thresholds
+
 # fixed values of the scoring rules
 LOG10_3 = 0.477121
 N_SCORE = -0.60206
@@ -93,3 +95,14 @@ def drawn_base(u: Column, a: Column, c: Column, g: Column) -> Column:
 def is_distribution(chances: Column, tolerance: float = 1e-6) -> Column:
     """Whether an array of log10 probabilities sums to 1."""
     return F.abs(F.aggregate(chances, F.lit(0.0), lambda a, x: a + F.pow(F.lit(10.0), x)) - 1) <= tolerance
+
+
+def probe_limits(probes: Column, k: int, most: int, floor_p: float, spread_p: float) -> tuple[Column, Column]:
+    """Floor and spread of mismatch scores of probes of k bases, so many (1 to most) to a read: a number for each class."""
+    found = [probe_thresholds(k, n, floor_p, spread_p) for n in range(1, most + 1)]
+    return F.element_at(F.array(*[F.lit(f) for f, _ in found]), probes), F.element_at(F.array(*[F.lit(s) for _, s in found]), probes)
+
+
+def read_limits(length: Column, floor_p: float, spread_p: float) -> tuple[Column, Column]:
+    """Floor and spread of mismatch scores of whole reads."""
+    return -F.floor(floor_p * length) - 1, F.floor(spread_p * length) + 1

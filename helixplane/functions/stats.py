@@ -72,12 +72,3 @@ def half_tails(n: int = 25) -> Iterator[tuple[int, float]]:
     """(k, P(X >= k)) of a Binomial(n, 1/2)."""
     for k in range(n + 1):
         yield k, math.fsum(math.comb(n, i) for i in range(k, n + 1)) / 2**n
-
-
-def simulated_floor(p: list[float], alpha: float = 0.99, draws: int = 5000, rounds: int = 10, seed: int = 1) -> float:
-    """The score that a share alpha of reads with these error probabilities exceed: the mean over rounds of a quantile of simulated reads."""
-    import numpy as np
-
-    rng, p_ = np.random.default_rng(seed), np.array(p)
-    good, bad = np.log10(1 - p_), np.log10(p_) - 0.477121
-    return float(np.mean([np.quantile(np.where(rng.random((draws, len(p_))) < p_, bad, good).sum(1), 1 - alpha) for _ in range(rounds)]))

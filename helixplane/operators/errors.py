@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,39 +27,105 @@ def limits(errors: DataFrame) -> DataFrame:
     return errors.groupBy("mate", "strand").agg(F.min("qual").alias("min_qual"), F.max("qual").alias("max_qual"), F.max("pos").alias("max_pos"), F.sum("n").alias("n"), F.sum("mm").alias("mm"))
 
 
-def _fit(x: np.ndarray, n: np.ndarray, k: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
-    """Binomial regression by reweighted least squares: fitted probabilities."""
-    beta = np.zeros(x.shape[1])
-    rate = (k.sum() + 0.5) / (n.sum() + 1)
-    beta[0] = np.log(rate / (1 - rate))
-    for _ in range(50):
-        eta = (x @ beta).clip(-20, 20)
-        p = 1 / (1 + np.exp(-eta))
-        w = n * p * (1 - p) + 1e-9
-        penalty = ridge * np.eye(x.shape[1])
-        penalty[0, 0] = 0
-        step = np.linalg.solve(x.T @ (w[:, None] * x) + penalty, x.T @ (k - n * p) - penalty @ beta)
-        beta += step
-        if np.abs(step).max() < 1e-8:
-            break
-    return 1 / (1 + np.exp(-(x @ beta).clip(-20, 20)))
+#: Pieces of the splines of quality and position; weights of the penalty that are tried; most rounds.
+KNOTS, PENALTIES, ROUNDS = 8, tuple(10.0**e for e in range(-2, 5)), 25
+
+
+def splines(x: np.ndarray, low: float, high: float, pieces: int = KNOTS) -> np.ndarray:
+    """Cubic B-splines over [low, high] cut into so many equal pieces: pieces + 3 columns that sum to 1."""
+    step = (high - low) / pieces
+    t = (np.clip(x, low, high) - low) / step if step else np.zeros(len(x))
+    at = np.minimum(t.astype(np.int64), pieces - 1)
+    u = t - at
+    parts = ((1 - u) ** 3 / 6, (3 * u**3 - 6 * u**2 + 4) / 6, (-3 * u**3 + 3 * u**2 + 3 * u + 1) / 6, u**3 / 6)
+    out = np.zeros((len(x), pieces + 3))
+    for k, part in enumerate(parts):
+        out[np.arange(len(x)), at + k] = part
+    return out
+
+
+def _design(qual: np.ndarray, pos: np.ndarray, ends: tuple[float, float, float, float]) -> np.ndarray:
+    """A spline of the position and one of the quality; the latter's first column is left out, as both sum to 1."""
+    return np.column_stack((splines(pos.astype(float), ends[2], ends[3]), splines(qual.astype(float), ends[0], ends[1])[:, 1:]))
+
+
+def _penalty() -> np.ndarray:
+    """Second differences of neighbouring coefficients, and a little of all of them."""
+    n, m = KNOTS + 3, KNOTS + 2
+    d, e = np.diff(np.eye(n), 2, axis=0), np.diff(np.eye(m + 1), 2, axis=0)[:, 1:]
+    out = 1e-6 * np.eye(n + m)
+    out[:n, :n] += d.T @ d
+    out[n:, n:] += e.T @ e
+    return out
+
 
+def _solved(sums: np.ndarray, cells: float) -> np.ndarray:
+    """Coefficients from the sums of a round (x'wx, x'wz, z'wz), with the penalty that generalised cross-validation likes best."""
+    xx, xz, zz = sums[:-1, :-1], sums[:-1, -1], sums[-1, -1]
+    best, out = np.inf, xz
+    for weight in PENALTIES:
+        both = xx + weight * _penalty()
+        beta = np.linalg.solve(both, xz)
+        free = cells - np.trace(np.linalg.solve(both, xx))
+        score = max(zz - 2 * beta @ xz + beta @ xx @ beta, 0) * cells / max(free, 1e-3) ** 2
+        if score < best:
+            best, out = score, beta
+    return out
 
-def fit_group(cells: pd.DataFrame) -> pd.DataFrame:
-    """Smooth marginals of quality and position, then their interaction; floored; cells with few observations keep their own rate."""
-    q, p, n, k = (cells[c].to_numpy(float) for c in ("qual", "pos", "n", "mm"))
-    scale = lambda v: (v - v.min()) / max(np.ptp(v), 1)
-    a, b = scale(q), scale(p)
-    columns = [np.ones(len(q)), b, b**2, b**3]
-    if len(np.unique(q)) > 2:
-        columns += [a, a**2, a**3, a * b]
-    fitted = _fit(np.column_stack(columns), n, k)
-    dense = n >= LEAST_OBSERVATIONS
-    least = max(LEAST_PROBABILITY, fitted[dense].min() if dense.any() else 0)
-    out = np.where(dense, np.maximum(fitted, least), k / (n + 0.01))
-    return cells[KEYS].assign(p=out)
+
+def _rates(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-(x @ beta).clip(-25, 25)))
 
 
 def fit(errors: DataFrame) -> DataFrame:
-    """(mate, strand, qual, pos, p). A group has a cell for each quality and position: some ten thousand at most, whatever the number of reads."""
-    return errors.select(*KEYS, "n", "mm").groupBy("mate", "strand").applyInPandas(fit_group, "mate int, strand string, qual int, pos int, p double")
+    """(mate, strand, qual, pos, p): a binomial regression (logit) on penalised splines of position and quality, a fit for each mate and strand; p is floored, and cells with few observations keep their own rate.
+
+    Reweighted least squares: in each round tasks sum up what their cells add to the normal equations, and the driver solves one small
+    system a group (mates and strands: four). The table of cells is spread as it is: no group sits in one task.
+    """
+    cells = errors.select(*KEYS, F.col("n").cast("double").alias("n"), F.col("mm").cast("double").alias("mm")).checkpoint()
+    groups = cells.groupBy("mate", "strand").agg(F.min("qual").alias("q0"), F.max("qual").alias("q1"), F.min("pos").alias("p0"), F.max("pos").alias("p1"), F.sum("n").alias("n"), F.sum("mm").alias("mm"), F.count(F.lit(1)).alias("cells")).collect()
+    ends = {(r.mate, r.strand): (float(r.q0), float(r.q1), float(r.p0), float(r.p1)) for r in groups}
+    size = 2 * KNOTS + 5
+    rate = {(r.mate, r.strand): (r.mm + 0.5) / (r.n + 1) for r in groups}
+    beta = {k: np.concatenate((np.full(KNOTS + 3, np.log(p / (1 - p))), np.zeros(KNOTS + 2))) for k, p in rate.items()}
+
+    def sums(now: dict) -> dict:
+        """x'wx, x'wz and z'wz of each group."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total: dict = {}
+            for b in batches:
+                for key, own in b.groupby(["mate", "strand"]):
+                    x = _design(own["qual"].to_numpy(), own["pos"].to_numpy(), ends[key])
+                    n, k = own["n"].to_numpy(), own["mm"].to_numpy()
+                    p = _rates(x, now[key])
+                    w = n * p * (1 - p) + 1e-9
+                    both = np.column_stack((x, (x @ now[key]).clip(-25, 25) + (k - n * p) / w))
+                    total[key] = total.get(key, 0) + both.T @ (w[:, None] * both)
+            yield pd.DataFrame([(m, s, v.ravel().tolist()) for (m, s), v in total.items()], columns=["mate", "strand", "sums"])
+
+        # one small matrix a task and group
+        out: dict = {}
+        for r in cells.mapInPandas(run, "mate int, strand string, sums array<double>").collect():
+            out[r.mate, r.strand] = out.get((r.mate, r.strand), 0) + np.array(r.sums).reshape(size + 1, size + 1)
+        return out
+
+    for _ in range(ROUNDS if groups else 0):
+        found = sums(beta)
+        after = {k: _solved(found[k], next(float(r.cells) for r in groups if (r.mate, r.strand) == k)) for k in beta}
+        change = max(np.abs(after[k] - beta[k]).max() for k in beta)
+        beta = after
+        if change < 1e-4:
+            break
+
+    def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            p = np.zeros(len(b))
+            for key, rows in b.groupby(["mate", "strand"]).indices.items():
+                own = b.iloc[rows]
+                p[rows] = _rates(_design(own["qual"].to_numpy(), own["pos"].to_numpy(), ends[key]), beta[key])
+            dense = (b["n"] >= LEAST_OBSERVATIONS).to_numpy()
+            yield b[KEYS].assign(p=np.where(dense, np.maximum(p, LEAST_PROBABILITY), b["mm"] / (b["n"] + 0.01)))
+
+    return cells.mapInPandas(fitted, "mate int, strand string, qual int, pos int, p double")

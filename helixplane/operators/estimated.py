@@ -17,6 +17,7 @@ from helixplane.functions.sequence import MOST_PACKED, pack, packed_mismatches,
 from helixplane.functions.stats import estimated_thresholds
 
 from . import errors
+from .sampling import uniform
 from .search import MOST_BROADCAST, MOST_CHANGES, aligned, both_strands, piece_size
 
 
@@ -57,6 +58,14 @@ def floors(mean: pd.Series, variance: pd.Series, share: pd.Series) -> pd.Series:
     return rows.merge(distinct.assign(f=found), on=["m", "v", "a"], how="left")["f"]
 
 
+def simulated_floors(reads: DataFrame, draws: int = 1000, alpha: float = 0.99, seed: int | None = None) -> DataFrame:
+    """(read_id, floor) of reads (read_id, p: the error probability of each base): the score that a share alpha of so many simulated reads exceed, interpolated. Numbers come from read, draw and base."""
+    rows = reads.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    more = [] if seed is None else [seed]
+    score = F.aggregate(F.transform("p", lambda p, i: F.when(uniform(F.col("read_id"), F.col("draw"), i, *more) < p, F.log10(p) - LOG10_3).otherwise(F.log10(1 - p))), F.lit(0.0), lambda a, x: a + x)
+    return rows.select("read_id", score.alias("score")).groupBy("read_id").agg(F.percentile("score", 1 - alpha).alias("floor"))
+
+
 def informative(own: DataFrame, genome: int) -> DataFrame:
     """(read_id, mate) of the reads (penalties()) whose bases, less the errors to expect, tell more than a genome of so many bases."""
     expected = F.aggregate("good", F.lit(0.0), lambda a, x: a + 1 - F.pow(F.lit(10.0), x))

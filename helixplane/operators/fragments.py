@@ -19,10 +19,18 @@ def empirical(mappings: DataFrame, low: float = LOW, high: float = HIGH) -> Data
     return rows.filter((F.col("up") > F.col("total") * low) & (F.col("up") <= F.col("total") * high)).select("len", (F.col("n") / F.col("total")).alias("p"))
 
 
+def normals(settings: DataFrame) -> DataFrame:
+    """(…, len, p) of normal distributions with the mean and sd of each row, cut at two standard deviations; a row's other columns tell them apart."""
+    own = [c for c in settings.columns if c not in ("mean", "sd")]
+    lengths = F.sequence((F.col("mean") - 2 * F.col("sd")).cast("long"), (F.col("mean") + 2 * F.col("sd")).cast("long"))
+    rows = settings.withColumn("x", F.transform(lengths, lambda n: F.struct(n.alias("len"), F.exp(-F.pow((n - F.col("mean")) / F.col("sd"), F.lit(2)) / 2).alias("d"))))
+    rows = rows.withColumn("total", F.aggregate("x", F.lit(0.0), lambda a, y: a + y["d"]))
+    return rows.select(*own, "total", F.inline("x")).select(*own, "len", (F.col("d") / F.col("total")).alias("p"))
+
+
 def normal(spark: SparkSession, mean: float, sd: float) -> DataFrame:
-    """(len, p) of a normal distribution cut at two standard deviations."""
-    rows = spark.range(int(mean - 2 * sd), int(mean + 2 * sd) + 1).withColumn("d", F.exp(-F.pow((F.col("id") - mean) / sd, 2) / 2))
-    return rows.crossJoin(rows.agg(F.sum("d").alias("total"))).select(F.col("id").alias("len"), (F.col("d") / F.col("total")).alias("p"))
+    """(len, p) of one."""
+    return normals(spark.createDataFrame([(float(mean), float(sd))], "mean double, sd double"))
 
 
 def learnt(mappings: DataFrame, least: int = 100, mean: float = 200, sd: float = 25) -> DataFrame:

@@ -115,6 +115,23 @@ def search(probes: DataFrame, index: DataFrame, k: int, mismatches: int) -> Data
     return targets.join(pairs, "word").drop("word", "target")
 
 
+def staged(probes: DataFrame, index: DataFrame, k: int, mismatches: int, spread: int) -> DataFrame:
+    """As search and then best_within (keys read_id, mate, probe_no), in stages of more mismatches: a probe whose best hit is so good that all hits within its spread are known doesn't go to the next, which lists a target under many more changes."""
+    keys, out = ["read_id", "mate", "probe_no"], None
+    stages = sorted({min(spread, mismatches), min(spread + 1, mismatches), mismatches})
+    for m in stages:
+        hits = search(probes, index, k, m)
+        if m < mismatches:
+            hits = hits.checkpoint()
+            done = hits.groupBy(*keys).agg(F.max("penalty").alias("best")).filter(F.col("best") >= spread - m).select(*keys).checkpoint()
+            hits, probes = hits.join(done, keys, "left_semi"), probes.join(done, keys, "left_anti").checkpoint()
+        hits = best_within(hits, keys, "penalty", float(spread))
+        out = hits if out is None else out.unionByName(hits)
+        if m < mismatches and probes.isEmpty():
+            break
+    return out
+
+
 def best_within(hits: DataFrame, keys: list[str], score: str, spread: Column | float, floor: Column | float | None = None, strict: bool = False) -> DataFrame:
     """Rows whose score is within the spread of the best one of the same keys (and of the floor, if higher)."""
     best = F.max(score).over(Window.partitionBy(*keys))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixplane.functions.stats import probe_thresholds
@@ -14,10 +14,6 @@ from helixplane.operators import density, diploid, errors, estimated, index, rea
 LEARNT, SPREAD = 200_000, 2.0
 
 
-def _table(values: dict, key: str) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col(key).cast("int"))
-
-
 def _probes(reads: DataFrame, k: int, introns: tuple[int, int] | None) -> DataFrame:
     """Probes with n, how many their read has."""
     probes = spliced.end_probes(reads, k) if introns else search.select_probes(reads, k)
@@ -27,12 +23,12 @@ def _probes(reads: DataFrame, k: int, introns: tuple[int, int] | None) -> DataFr
 
 def mismatch_hits(probes: DataFrame, kmers: DataFrame, k: int, floor_p: float) -> DataFrame:
     """Hits by mismatches: each class of probes (n to a read) has its own floor and spread."""
-    floors = {n: -probe_thresholds(k, n, floor_p, floor_p / 2)[0] for n in range(1, search.MOST_PROBES + 1)}
-    spreads = {n: float(probe_thresholds(k, n, floor_p, floor_p / 2)[1]) for n in range(1, search.MOST_PROBES + 1)}
-    present = {r.n for r in probes.select("n").distinct().collect()}  # MOST_PROBES numbers
-    by_floor = {m: sorted(n for n in present if floors[n] == m) for m in sorted({floors[n] for n in present or {1}})}
-    hits = functools.reduce(DataFrame.unionByName, [search.search(probes.filter(F.col("n").isin(ns)), kmers, k, m) for m, ns in by_floor.items()])
-    return search.best_within(hits, ["read_id", "mate", "probe_no"], "penalty", _table(spreads, "n")).drop("n")
+    classes: dict[tuple[int, int], list[int]] = {}
+    for r in probes.select("n").distinct().orderBy("n").collect():  # MOST_PROBES numbers
+        floor, spread = probe_thresholds(k, r.n, floor_p, floor_p / 2)
+        classes.setdefault((-floor, spread), []).append(r.n)
+    found = [search.staged(probes.filter(F.col("n").isin(ns)), kmers, k, m, spread) for (m, spread), ns in (classes or {(0, 0): [0]}).items()]
+    return functools.reduce(DataFrame.unionByName, found).drop("n")
 
 
 def estimated_hits(probes: DataFrame, reads: DataFrame, kmers: DataFrame, k: int, own: DataFrame, genome: int, skipped: int = 0) -> DataFrame:

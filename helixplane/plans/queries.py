@@ -112,10 +112,23 @@ def penalty_mismatch(s, d):
     return rows.select("chr", quality.read_score(F.substring("seq", F.lit(1), n), F.substring("seq", F.lit(2), n)).alias("score"))
 
 
-@query()
+_BINOM = "(SELECT k FROM (SELECT k, (SELECT sum(factorial({n}) / (factorial(i::INT) * factorial(({n} - i)::INT)) * pow({p}, i) * pow(1 - {p}, {n} - i)) FROM (SELECT unnest(range({n} + 1)) AS i) WHERE i > k) AS tail FROM (SELECT unnest(range({n} + 1)) AS k)) WHERE coalesce(tail, 0) <= pow(0.01, 1.0 / probes) * (1 + 1e-12) ORDER BY k LIMIT 1)"
+
+
+@query(f"WITH {R}, x AS (SELECT read_id, length(seq)::INT AS length, least(length(seq) // {K}, 5)::INT AS probes FROM r WHERE length(seq) >= {K}), n AS (SELECT probes, -{_BINOM.format(n=K, p=0.1)}::INT AS probe_floor, {_BINOM.format(n=K, p=0.05)}::INT AS probe_spread FROM (SELECT unnest(range(1, 6)) AS probes)) SELECT read_id, length, probes, probe_floor, probe_spread, (-floor(length / 10.0) - 1)::INT AS read_floor, (floor(length / 20.0) + 1)::INT AS read_spread FROM x JOIN n USING (probes)")
 def thresholds(s, d):
-    rows = [("probe", k, n, *stats.probe_thresholds(k, n, 0.1, 0.05)) for k in (20, 24) for n in range(1, 6)] + [("read", n, 1, *stats.read_thresholds(n, 0.1, 0.05)) for n in range(25, 201, 25)]
-    return s.createDataFrame(rows, "what string, length int, probes int, floor int, spread int")
+    rows = t.reads(s, d).select("read_id", F.length("seq").alias("length"), F.least(F.floor(F.length("seq") / K), F.lit(search.MOST_PROBES)).cast("int").alias("probes")).filter("probes > 0")
+    floor, spread = quality.probe_limits(F.col("probes"), K, search.MOST_PROBES, 0.1, 0.05)
+    return rows.select("*", floor.alias("probe_floor"), spread.alias("probe_spread"), *[c.cast("int").alias(n) for n, c in zip(("read_floor", "read_spread"), quality.read_limits(F.col("length"), 0.1, 0.05), strict=True)])
+
+
+@query(f"""WITH {R}, c AS (SELECT read_id, i, CASE b WHEN 'A' THEN 0.01 WHEN 'C' THEN 0.03 WHEN 'G' THEN 0.1 ELSE 0.3 END AS p FROM (SELECT read_id, unnest(range(least(length(seq), 40))) AS i, unnest(string_split(left(seq, 40), '')) AS b FROM r)),
+    u AS (SELECT read_id, draw, sum(CASE WHEN {_u('read_id', 'draw', 'i')} < p THEN log10(p) - 0.477121 ELSE log10(1 - p) END) AS score FROM c, (SELECT unnest(range(200)) AS draw) GROUP BY ALL)
+    SELECT read_id, round(quantile_cont(score, 0.01), 6) AS floor FROM u GROUP BY read_id""")
+def simulated_floors(s, d):
+    letters = F.filter(F.split(F.substring("seq", 1, 40), ""), lambda b: b != "")
+    p = F.transform(letters, lambda b: F.when(b == "A", 0.01).when(b == "C", 0.03).when(b == "G", 0.1).otherwise(0.3))
+    return estimated.simulated_floors(t.reads(s, d).select("read_id", p.alias("p")), 200, 0.99).withColumn("floor", r6("floor"))
 
 
 @query(f"WITH {C}, x AS (SELECT chr, {_PROBS} AS p FROM c WHERE seq <> '') SELECT chr, round(list_sum(list_transform(p, lambda e: e * log10(e))), 6) AS expected FROM x")
@@ -582,6 +595,28 @@ def em_two_iterations(s, d):
     return rows.select("read_id", "mapping_no", r6("cond_prb").alias("cond_prb"))
 
 
+@query(f"""WITH {P}, sh AS (SELECT unnest(range(4)) AS o, unnest({_SHAPE}) AS w), dn AS (SELECT chr, CASE WHEN track = 0 THEN site + o ELSE site - o END AS pos, sum(cond_prb * w) AS v FROM p, sh GROUP BY ALL HAVING pos >= 0),
+    ar AS (SELECT read_id, mapping_no, any_value(score) AS score, sum(coalesce(v, 0) * w) AS area FROM (SELECT p.read_id, p.mapping_no, p.score, p.chr, CASE WHEN track = 0 THEN site + o ELSE site - o END AS pos, w FROM p, sh) LEFT JOIN dn USING (chr, pos) GROUP BY ALL)
+    SELECT read_id, mapping_no, round(pow(10, score) * area / sum(pow(10, score) * area) OVER (PARTITION BY read_id), 6) AS cond_prb FROM ar""")
+def estep_profile(s, d):
+    rows = _prior(s, d)
+    return density.over_profile(rows, density.profile(rows, _shape(s)), _shape(s)).select("read_id", "mapping_no", r6("cond_prb").alias("cond_prb"))
+
+
+def _rounds(n: int) -> str:
+    """So many rounds, each from a density that sums to 1."""
+    out = _SITES + ", r0 AS (SELECT * FROM p)"
+    for k in range(n):
+        out += f", z{k} AS MATERIALIZED (SELECT chr, track, site AS pos, sum(cond_prb) / sum(sum(cond_prb)) OVER () AS value FROM r{k} GROUP BY chr, track, site), " + _NEAR.format(to=f"x{k}", of=f"r{k}", z=f"z{k}", more="") + f", r{k + 1} AS MATERIALIZED (SELECT * EXCLUDE (lhd) FROM x{k})"
+    return out
+
+
+@query(f"WITH {_rounds(4)} SELECT read_id, mapping_no, round(cond_prb, 5) AS cond_prb FROM r4")
+def em_four_rounds(s, d):
+    rows, _ = density.iterate(t.mappings(s, d), most=4, stop_ratio=-1, least_change=0.0)
+    return rows.select("read_id", "mapping_no", F.round("cond_prb", 5).alias("cond_prb"))
+
+
 @query()
 def em_converged(s, d):
     rows, _ = density.iterate(t.mappings(s, d), stop_ratio=-1)
@@ -725,9 +760,11 @@ def fl_dist_empirical(s, d):
     return fragments.empirical(t.mappings(s, d)).withColumn("p", F.round("p", 9))
 
 
-@query("WITH x AS (SELECT i AS len, exp(-pow((i - 200) / 25.0, 2) / 2) AS d FROM range(150, 251) AS r(i)) SELECT len, round(d / sum(d) OVER (), 9) AS p FROM x")
+@query("WITH s AS (SELECT DISTINCT p_size AS id, p_size + 100.0::DOUBLE AS mean, (p_size % 7 + 5)::DOUBLE AS sd FROM part), x AS (SELECT id, len, exp(-pow((len - mean) / sd, 2) / 2) AS d FROM (SELECT *, unnest(range((mean - 2 * sd)::BIGINT, (mean + 2 * sd)::BIGINT + 1)) AS len FROM s)) SELECT id, len, round(d / sum(d) OVER (PARTITION BY id), 9) AS p FROM x")
 def fl_dist_normal(s, d):
-    return fragments.normal(s, 200, 25).withColumn("p", F.round("p", 9))
+    size = F.col("p_size")
+    settings = t.read(s, d, "part").select(size.alias("id"), (size + 100).cast("double").alias("mean"), (size % 7 + 5).cast("double").alias("sd")).distinct()
+    return fragments.normals(settings).withColumn("p", F.round("p", 9))
 
 
 @query(f"WITH {_FL}, x AS (SELECT unnest(range(len)) AS o, p / len AS v FROM fl) SELECT o AS \"offset\", round(sum(v), 9) AS d FROM x GROUP BY o")

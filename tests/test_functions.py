@@ -59,10 +59,17 @@ def test_sam(spark):
     assert [(r.flag, r.q) for r in got] == [(147, 254), (0, 10), (67, 3)]
 
 
-def test_simulated_floor_is_near_the_gamma_fit():
-    p = [0.01] * 60
-    mean = sum((1 - x) * math.log10(1 - x) + x * (math.log10(x) - 0.477121) for x in p)
-    assert stats.simulated_floor(p, draws=800, rounds=3) < mean < 0
+def test_simulated_floors_are_near_the_gamma_fit(spark):
+    from helixplane.operators import estimated
+
+    rows = spark.createDataFrame([(k, [p] * 60) for k, p in enumerate((0.01, 0.05, 0.2))], "read_id long, p array<double>")
+    floors = {r.read_id: r.floor for r in estimated.simulated_floors(rows, 2000).collect()}
+    for k, p in enumerate((0.01, 0.05, 0.2)):
+        good, bad = math.log10(1 - p), math.log10(p) - 0.477121
+        mean = 60 * ((1 - p) * good + p * bad)
+        variance = 60 * ((1 - p) * good**2 + p * bad**2 - (mean / 60) ** 2)
+        fitted = stats.estimated_thresholds(mean, variance)[0] + 2.1
+        assert abs(floors[k] - fitted) < 0.6 + 0.15 * abs(fitted) and floors[k] < mean
 
 
 def test_genome_groups():

@@ -1,5 +1,6 @@
 """Reads of known origin are found again; densities, samples and runs keep their invariants."""
 
+import math
 import random
 
 import pytest
@@ -126,8 +127,13 @@ def test_samples(spark):
     rows = density.conditional(mapped_rows(spark))
     one = sampling.choose(rows, sampling.uniform(F.col("read_id"), 3))
     assert one.count() == one.select("read_id").distinct().count() == 300
-    drawn = sampling.bootstraps(rows, 20).groupBy("bs").agg(F.sum("weight").alias("n")).collect()
-    assert len(drawn) == 20 and abs(sum(r.n for r in drawn) / 20 - 300) < 25
+    drawn = sampling.bootstraps(rows, 20).checkpoint()
+    assert {r.bs: r.n for r in drawn.groupBy("bs").agg(F.sum("weight").alias("n")).collect()} == {b: 300 for b in range(20)}
+    reads_drawn = drawn.groupBy("bs", "read_id").agg(F.sum("weight").alias("n")).collect()
+    # about as many reads are left out as 1 / e of them, and as many drawn twice as half of those
+    assert abs(len(reads_drawn) / 6000 - (1 - math.exp(-1))) < 0.03 and abs(sum(r.n == 2 for r in reads_drawn) / 6000 - math.exp(-1) / 2) < 0.03
+    share = drawn.join(rows.select("read_id", "mapping_no", "cond_prb").withColumnRenamed("cond_prb", "p"), ["read_id", "mapping_no"]).agg(F.sum("weight").alias("n"), F.sum(F.when(F.col("p") < 0.5, F.col("weight"))).alias("low"), F.count(F.lit(1))).first()
+    assert share.n == 6000 and abs(share.low / 6000 - rows.filter("cond_prb < 0.5").agg(F.sum("cond_prb")).first()[0] / 300) < 0.04
     assert sampling.random_start(mapped_rows(spark), 1, batches=2).count() == 300
 
 
@@ -187,7 +193,7 @@ def test_command_line(spark, genome, tmp_path):
 def test_config():
     c = Config(genome=["g.fa"], output="o", unpaired="r.fq", assay="cage")
     assert c.soft_clip == 1 and Config.loads(c.dumps()) == c
-    for bad in ({"unpaired": None}, {"assay": "rna"}, {"assay": "chip"}, {"pair1": "x"}):
+    for bad in ({"unpaired": None}, {"assay": "dna"}, {"assay": "chip"}, {"control": "c"}, {"encoding": "x"}, {"assay": "rna", "samples": 1}, {"pair1": "x"}):
         with pytest.raises(ValueError):
             Config(**{"genome": ["g"], "output": "o", "unpaired": "r", **bad})
 
@@ -214,7 +220,7 @@ def test_assays(spark):
     peak = spark.createDataFrame([(i, 0, 1, 500, 530, "+", 0.0) for i in range(60)], rows.schema)
     scored = assays.with_control(peak, mapped_rows(spark, 60, 7), most=3)
     top = scored.orderBy(F.desc("value"), "pos").first()
-    assert top.pos == 500 and top["count"] == 25.0 and top.value > 0.99
+    assert (top.pos, top.end) == (500, 530) and top["count"] == 25.0 and top.value > 0.99
     assert assays.most_likely(rows).count() > 0
     assert assays.placed_by(rows, density.start_sites(density.conditional(rows))).count() == rows.count()
 

@@ -101,7 +101,7 @@ def fit(errors: DataFrame) -> DataFrame:
                     n, k = own["n"].to_numpy(), own["mm"].to_numpy()
                     p = _rates(x, now[key])
                     w = n * p * (1 - p) + 1e-9
-                    both = np.column_stack((x, (x @ now[key]).clip(-25, 25) + (k - n * p) / w))
+                    both = np.column_stack((x, (x @ now[key]).clip(-25, 25) + ((k - n * p) / w).clip(-4, 4)))  # a step at a time
                     total[key] = total.get(key, 0) + both.T @ (w[:, None] * both)
             yield pd.DataFrame([(m, s, v.ravel().tolist()) for (m, s), v in total.items()], columns=["mate", "strand", "sums"])
 

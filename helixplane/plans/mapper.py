@@ -69,10 +69,13 @@ def learn(reads: DataFrame, contigs: DataFrame, k: int, floor_p: float, kmers: D
     probes = _probes(inner, k, introns) if probes is None else probes
     sample = F.pmod(F.xxhash64("read_id"), F.lit(1 << 20)) < max(1, (LEARNT << 20) // max(reads.count(), LEARNT))
     hits, _ = _whole(mismatch_hits(probes.filter(sample), kmers, k, floor_p).checkpoint(), repeats)
-    found = search.rescore(_candidates(hits.checkpoint(), inner, reads, contigs, k, untemplated, introns), reads, contigs).filter("penalty is not null").checkpoint()
+    # bases that may be untemplated tell nothing of errors: they have the frequencies of the first base after them
+    found = search.rescore(_candidates(hits.checkpoint(), inner, inner, contigs, k, 0, introns), inner, contigs).filter("penalty is not null").checkpoint()
     found, _ = search.guard(found, ["read_id", "mate"])
-    counts = errors.counts(estimated.best_hits(found.filter("trim = 0") if untemplated else found, reads, contigs)).checkpoint()
-    return counts, errors.fit(counts).checkpoint()
+    counts = errors.counts(estimated.best_hits(found, inner, contigs)).withColumn("pos", F.col("pos") + untemplated).checkpoint()
+    fitted = errors.fit(counts).checkpoint()
+    first = [fitted.filter(F.col("pos") == untemplated + 1).withColumn("pos", F.lit(p)) for p in range(1, untemplated + 1)]
+    return counts, functools.reduce(DataFrame.unionByName, first, fitted)
 
 
 def map_reads(

@@ -9,7 +9,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixplane.functions.quality import read_score
+from helixplane.functions.quality import N_SCORE, error_probability, read_score
 from helixplane.functions.sequence import MOST_PACKED, at, first_bases, pack, packed_mismatches, pieces, reverse_complement, without_n
 
 MOST_PROBES, MOST_HITS, MOST_FRAGMENT = 5, 5000, 524_287
@@ -37,6 +37,14 @@ def select_probes(reads: DataFrame, k: int, most: int = MOST_PROBES, score: Colu
     return best.select("read_id", "mate", "probe_no", F.col("x.offset").alias("offset"), F.lit(k).alias("length"), without_n(F.col("x.window")).alias("seq"))
 
 
+def window_quality(k: int, shift: int, log_odds: bool = False) -> Column:
+    """A score for select_probes: the sum of what matches of the window's bases score by their quality characters; an unknown base has N_SCORE."""
+    letters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    match = lambda q: F.log10(1 - F.least(error_probability(q, shift, log_odds), F.lit(0.75)))
+    scores = F.zip_with(letters(F.col("window")), letters(F.substr("qual", F.col("offset") + 1, F.lit(k))), lambda b, q: F.when(F.upper(b) == "N", F.lit(N_SCORE)).otherwise(match(q)))
+    return F.round(F.aggregate(scores, F.lit(0.0), lambda a, x: a + x), 9)
+
+
 def hashed_probes(reads: DataFrame, k: int, seed: int, most: int = MOST_PROBES) -> DataFrame:
     """As select_probes, at places that only depend on the read and the seed."""
     rows = _regions(reads, k, most)

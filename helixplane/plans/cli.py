@@ -74,11 +74,11 @@ def run(spark: SparkSession, config: Config) -> sinks.Run:
     shorn = _shorn(reads, clip)
     frequencies = None
     if config.model == "estimated":
-        errors, frequencies = learn(shorn, contigs, config.k, config.floor_p, words, config.untemplated, repeats, config.introns)
+        errors, frequencies = learn(shorn, contigs, config.k, config.floor_p, words, config.untemplated, repeats, config.introns, encoding=config.encoding)
         out.write("errors", errors)
         out.write("frequencies", frequencies)
         frequencies = out.read("frequencies")
-    one = functools.partial(map_reads, contigs=contigs, k=config.k, floor_p=config.floor_p, kmers=words, fragment_lengths=lengths, model=config.model, untemplated=config.untemplated, repeats=repeats, introns=config.introns, frequencies=frequencies)
+    one = functools.partial(map_reads, contigs=contigs, k=config.k, floor_p=config.floor_p, kmers=words, fragment_lengths=lengths, model=config.model, untemplated=config.untemplated, repeats=repeats, introns=config.introns, frequencies=frequencies, encoding=config.encoding)
     mappings, rejects = one(shorn)
     out.write("mappings", mappings)
     out.write("rejects", rejects)

@@ -7,6 +7,7 @@ import functools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixplane.functions.quality import ENCODINGS
 from helixplane.functions.stats import probe_thresholds
 from helixplane.operators import density, diploid, errors, estimated, index, reads as reads_, search, spliced
 
@@ -14,9 +15,10 @@ from helixplane.operators import density, diploid, errors, estimated, index, rea
 LEARNT, SPREAD = 200_000, 2.0
 
 
-def _probes(reads: DataFrame, k: int, introns: tuple[int, int] | None) -> DataFrame:
-    """Probes with n, how many their read has."""
-    probes = spliced.end_probes(reads, k) if introns else search.select_probes(reads, k)
+def _probes(reads: DataFrame, k: int, introns: tuple[int, int] | None, encoding: str | None = None) -> DataFrame:
+    """Probes with n, how many their read has: windows with the best qualities if their encoding is given, else with the fewest unknown bases."""
+    score = search.window_quality(k, *ENCODINGS[encoding]) if encoding else None
+    probes = spliced.end_probes(reads, k, score) if introns else search.select_probes(reads, k, score=score)
     counts = probes.groupBy("read_id", "mate").agg(F.count(F.lit(1)).alias("n"))
     return probes.join(counts, ["read_id", "mate"]).checkpoint()
 
@@ -63,10 +65,10 @@ def _inner(reads: DataFrame, untemplated: int) -> DataFrame:
     return reads.withColumn("seq", rest("seq")).withColumn("qual", rest("qual")) if untemplated else reads
 
 
-def learn(reads: DataFrame, contigs: DataFrame, k: int, floor_p: float, kmers: DataFrame, untemplated: int = 0, repeats: DataFrame | None = None, introns: tuple[int, int] | None = None, probes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def learn(reads: DataFrame, contigs: DataFrame, k: int, floor_p: float, kmers: DataFrame, untemplated: int = 0, repeats: DataFrame | None = None, introns: tuple[int, int] | None = None, probes: DataFrame | None = None, encoding: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(errors, frequencies): counts by mate, strand, quality and place where LEARNT reads (by a hash of their id) lie best by mismatches, and the frequencies fitted to them."""
     inner = _inner(reads, untemplated)
-    probes = _probes(inner, k, introns) if probes is None else probes
+    probes = _probes(inner, k, introns, encoding) if probes is None else probes
     sample = F.pmod(F.xxhash64("read_id"), F.lit(1 << 20)) < max(1, (LEARNT << 20) // max(reads.count(), LEARNT))
     hits, _ = _whole(mismatch_hits(probes.filter(sample), kmers, k, floor_p).checkpoint(), repeats)
     # bases that may be untemplated tell nothing of errors: they have the frequencies of the first base after them
@@ -80,7 +82,7 @@ def learn(reads: DataFrame, contigs: DataFrame, k: int, floor_p: float, kmers: D
 
 def map_reads(
     reads: DataFrame, contigs: DataFrame, k: int, floor_p: float = 0.1, kmers: DataFrame | None = None, fragment_lengths: DataFrame | None = None, model: str = "mismatch", untemplated: int = 0,
-    repeats: DataFrame | None = None, introns: tuple[int, int] | None = None, frequencies: DataFrame | None = None,
+    repeats: DataFrame | None = None, introns: tuple[int, int] | None = None, frequencies: DataFrame | None = None, encoding: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(mappings, rejects) under the mismatch model, or one whose error frequencies are estimated: learnt (unless they are given) from a search by mismatches of LEARNT reads, then used in the search of all.
 
@@ -89,13 +91,13 @@ def map_reads(
     start, length and strand of each mate. untemplated: so many Gs may stand before a (single) read that the genome doesn't have;
     mappings then have `trim`, the Gs left out. kmers: an index, which may be collapsed (repeats then holds the places of its repeats) or
     diploid (shared hits then come in both copies). introns: the least and greatest length of an intron within a read; mappings then have
-    `split` and `gap` (of each mate).
+    `split` and `gap` (of each mate). encoding: of the qualities, by which probes are then chosen.
     """
     if introns and untemplated:
         raise ValueError("untemplated Gs and introns exclude each other")
     kmers = index.packed(contigs, k) if kmers is None else kmers
     inner = _inner(reads, untemplated)
-    probes = _probes(inner, k, introns)
+    probes = _probes(inner, k, introns, encoding)
     if model == "estimated":
         if frequencies is None:
             _, frequencies = learn(reads, contigs, k, floor_p, kmers, untemplated, repeats, introns, probes)

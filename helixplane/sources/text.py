@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Lines that a task works through together.
 BLOCK_LINES = 250_000
+#: Primers of a trimming.
+MOST_PRIMERS = 2_000
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -93,14 +95,18 @@ def trimmed(reads: DataFrame, start: int, end: int) -> DataFrame:
 
 
 def primer_trimmed(reads: DataFrame, primers: DataFrame, mismatches: int, strict: bool = False) -> DataFrame:
-    """Reads without the longest primer (a table of few rows) that their start matches with up to so many mismatches; strict: reads without a primer go. Adds `trimmed`, the bases cut."""
+    """Reads without the longest primer that their start matches with up to so many mismatches; strict: reads without a primer go. Adds `trimmed`, the bases cut.
+
+    Primers are counted, MOST_PRIMERS at most; they go with each read as one list, longest first, so reads aren't shuffled.
+    """
     from helixplane.functions.sequence import hamming
 
-    head = F.substring("seq", F.lit(1), F.length("primer"))
-    near = (F.length("seq") >= F.length("primer")) & (hamming(F.upper(head), F.upper("primer")) <= mismatches)
-    best = reads.join(F.broadcast(primers.select("primer").distinct()), near, "left")
-    columns = [F.col(c) for c in reads.columns]
-    best = best.groupBy(*columns).agg(F.coalesce(F.max(F.length("primer")), F.lit(0)).alias("trimmed"))
+    rows = [r.primer for r in primers.select(F.upper("primer").alias("primer")).filter("primer <> ''").distinct().limit(MOST_PRIMERS + 1).collect()]
+    if len(rows) > MOST_PRIMERS:
+        raise ValueError(f"more than {MOST_PRIMERS} primers")
+    listed = F.array(*[F.lit(p) for p in sorted(rows, key=lambda p: (-len(p), p))]) if rows else F.array().cast("array<string>")
+    near = lambda p: (F.length("seq") >= F.length(p)) & (hamming(F.upper(F.substring("seq", F.lit(1), F.length(p))), p) <= mismatches)
+    best = reads.withColumn("trimmed", F.coalesce(F.length(F.get(F.filter(listed, near), F.lit(0))), F.lit(0)))
     rest = lambda c: F.substring(c, F.col("trimmed") + 1, F.length(c)).alias(c)
     best = best.filter("trimmed > 0") if strict else best
     return best.select(*[rest(c) if c in ("seq", "qual") else c for c in reads.columns], "trimmed")

@@ -189,3 +189,20 @@ def test_a_stream_of_reads(spark, genome, tmp_path):
 def test_traces_at_once(spark):
     rows = spark.createDataFrame([(1, 0, 5, -2.0), (1, 0, 5, 3.0), (1, 0, 6, -1.0)], "chr int, track int, pos int, value double")
     assert sorted(tuple(r) for r in traces.aggregates(rows, 2).collect()) == [(1, 0, 5, -2.0, 3.0, 1.0), (1, 0, 6, -1.0, 0.0, -1.0)]
+
+
+def test_probes_are_the_best_windows(spark):
+    q = "I" * 30 + "#" * 10 + "I" * 24
+    rows = spark.createDataFrame([(0, 1, "a", "ACGT" * 16, "#" * 3 + q[3:]), (1, 1, "b", "N" + "ACGT" * 15 + "ACG", "I" * 64)], READS)
+    got = {(r.read_id, r.probe_no): r.offset for r in search.select_probes(rows, 20, most=2, score=search.window_quality(20, 33)).collect()}
+    assert got == {(0, 0): 3, (0, 1): 40, (1, 0): 1, (1, 1): 32}
+
+
+def test_primers(spark):
+    from helixplane.sources import text
+
+    rows = spark.createDataFrame([(0, "ACGTTAGG", "IIIIIIII"), (1, "ACGATAGG", "JJJJJJJJ"), (2, "TTTT", "KKKK"), (3, "AC", "LL")], "read_id long, seq string, qual string")
+    primers = spark.createDataFrame([("ACG",), ("ACGTT",), ("acgtt",), ("",)], "primer string")
+    got = {r.read_id: (r.seq, r.qual, r.trimmed) for r in text.primer_trimmed(rows, primers, 1).collect()}
+    assert got == {0: ("AGG", "III", 5), 1: ("AGG", "JJJ", 5), 2: ("TTTT", "KKKK", 0), 3: ("AC", "LL", 0)}
+    assert text.primer_trimmed(rows, primers, 0, strict=True).count() == 2 and text.primer_trimmed(rows, primers.limit(0), 1).count() == 4

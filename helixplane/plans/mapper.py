@@ -148,6 +148,16 @@ def map_reads(
     return mappings, rejects.join(void, "read_id", "left").select("read_id", error.alias("error"))
 
 
+def mapped_errors(mappings: DataFrame, reads: DataFrame, contigs: DataFrame) -> DataFrame:
+    """Error counts (mate, strand, qual, pos, n, mm) where each read's best mapping lies; of mappings without untemplated bases or introns."""
+    if "start1" in mappings.columns:
+        mates = F.array(*[F.struct(F.lit(m).alias("mate"), F.col(f"start{m}").alias("start"), F.col(f"length{m}").alias("length"), F.col(f"strand{m}").alias("strand")) for m in (1, 2)])
+        rows = mappings.select("read_id", "chr", F.col("score").alias("penalty"), F.inline(mates))
+    else:
+        rows = mappings.select("read_id", "chr", F.col("score").alias("penalty"), F.lit(1).alias("mate"), "start", (F.col("stop") - F.col("start")).alias("length"), "strand")
+    return errors.counts(estimated.best_hits(rows, reads, contigs))
+
+
 def posterior_density(mappings: DataFrame) -> DataFrame:
     """Marginal density of start sites under the prior of the scores."""
     return density.start_sites(mappings)

@@ -186,6 +186,42 @@ def test_a_stream_of_reads(spark, genome, tmp_path):
     assert got == {(10 * k + i, at) for k, ats in starts.items() for i, at in enumerate(ats)} and len(seen) == len(set(seen)) and seen
 
 
+def test_a_stream_learns_from_earlier_batches_and_repeats_them_alike(spark, genome, tmp_path):
+    from helixplane.streaming import blocks
+
+    rng = random.Random(17)
+    for k in range(2):
+        rows = []
+        for i in range(25):
+            at = rng.randrange(5900)
+            s = list(genome[at : at + 50])
+            s[10 + k] = rng.choice("ACGT")
+            rows.append((100 * k + i, 1, f"r{i}", "".join(s), "I" * 50))
+        spark.createDataFrame(rows, READS).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in{k}"))
+    contigs = spark.createDataFrame([(1, "c", genome)], CONTIGS)
+
+    def run(out, check, folder):
+        stream = spark.readStream.schema(READS).parquet(str(tmp_path / folder))
+        blocks.map_stream(stream, contigs, 20, str(tmp_path / out), str(tmp_path / check), model="estimated").awaitTermination()
+
+    import shutil
+
+    shutil.copytree(tmp_path / "in0", tmp_path / "in")
+    run("a", "check", "in")
+    for f in (tmp_path / "in1").glob("part*"):
+        shutil.copy(f, tmp_path / "in" / f"later-{f.name}")
+    shutil.copytree(tmp_path / "check", tmp_path / "before")
+    run("a", "check", "in")
+    rows = lambda: sorted((r.batch, r.read_id, r.start, r.strand, round(r.score, 9)) for r in spark.read.parquet(str(tmp_path / "a")).collect())
+    first = rows()
+    assert {r[0] for r in first} == {0, 1} and len({r[1] for r in first}) >= 45
+    counts = {(r.batch, r.pos): r.mm for r in spark.read.parquet(str(tmp_path / "a_errors")).groupBy("batch", "pos").agg(F.sum("mm").alias("mm")).collect()}
+    assert counts[0, 11] + counts[0, 40] >= 10 and counts[0, 12] + counts[0, 39] < counts[1, 12] + counts[1, 39]
+    # the second batch is run again, as after a failure: from the state before it, over what it had written
+    run("a", "before", "in")
+    assert rows() == first
+
+
 def test_traces_at_once(spark):
     rows = spark.createDataFrame([(1, 0, 5, -2.0), (1, 0, 5, 3.0), (1, 0, 6, -1.0)], "chr int, track int, pos int, value double")
     assert sorted(tuple(r) for r in traces.aggregates(rows, 2).collect()) == [(1, 0, 5, -2.0, 3.0, 1.0), (1, 0, 6, -1.0, 0.0, -1.0)]

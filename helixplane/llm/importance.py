@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, id_and_text, materialise, real_id, texts_of
+from .common import id_and_text, materialise, real_id, texts_of
 
 BUCKETS, ORDERS, LEAST_WORDS = 10_000, 3, 20
 #: Bytes of text worked through at a time; bytes of a word that are hashed for all words together, longer words' rest one by one.

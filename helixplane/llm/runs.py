@@ -21,7 +21,6 @@ one; an empty table gives an empty one; other columns don't matter. Texts of any
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from helixplane.functions import quality, sam, sequence, stats
+from helixplane.functions import quality, sam, sequence
 from helixplane.operators import density, diploid, errors, estimated, fragments, index, overlay, peaks, reads, sampling, search, spliced, traces
 from helixplane.sources import sinks, text
 

@@ -5,7 +5,6 @@ import math
 import random
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
 from helixplane.operators import diploid, estimated, index, reads, search, spliced
@@ -176,8 +175,7 @@ def test_diploid_index_holds_each_word_of_either_copy_once(spark):
     assert len([r for r in rows if r.source == "reference"]) == 181
 
 
-@pytest.mark.parametrize("model", ["mismatch", "estimated"])
-def test_a_diploid_run(spark, tmp_path, model):
+def test_a_diploid_run(spark, tmp_path):
     rng = random.Random(33)
     pat, mat, anchors = two_copies(rng)
     (tmp_path / "c_paternal.fa").write_text(f">c_paternal\n{pat}\n")
@@ -187,7 +185,7 @@ def test_a_diploid_run(spark, tmp_path, model):
     rows = [("both", pat[200:250]), ("snp", mat[680:730]), ("lost", pat[985:1035]), ("more", mat[1975:2025])]
     rows += [(f"x{i}", pat[i : i + 50]) for i in range(0, 600, 60)]
     (tmp_path / "r.fq").write_text("".join(f"@{n}\n{s}\n+\n{'I' * 50}\n" for n, s in rows))
-    out = cli.run(spark, Config(genome=[str(tmp_path / f) for f in ("c_paternal.fa", "c_maternal.fa", "c.map")], output=str(tmp_path / "run"), unpaired=str(tmp_path / "r.fq"), model=model))
+    out = cli.run(spark, Config(genome=[str(tmp_path / f) for f in ("c_paternal.fa", "c_maternal.fa", "c.map")], output=str(tmp_path / "run"), unpaired=str(tmp_path / "r.fq")))
     names = {r.chr: r.name for r in out.read("contigs").collect()}
     best = {}
     for r in out.read("mappings").join(out.read("reads").select("read_id", "name"), "read_id").collect():

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from helixplane.functions.quality import ENCODINGS
 from helixplane.operators import density, diploid, fragments, index
 from helixplane.operators import reads as reads_
-from helixplane.sources import inputs, sinks, text
+from helixplane.sources import binary, inputs, sinks, text
 
 from . import assays
 from .config import Config
@@ -19,6 +19,9 @@ from .mapper import learn, map_reads
 
 
 def load_genome(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Contigs of FASTA files, or of one binary store (.genome)."""
+    if len(paths) == 1 and paths[0].endswith(".genome"):
+        return binary.joined(binary.read_genome(spark, paths[0]))
     return text.fasta(functools.reduce(DataFrame.unionByName, [text.lines(spark, p) for p in paths]))
 
 
@@ -124,7 +127,7 @@ def session(folder: str) -> SparkSession:
 
 def main(args: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description="Maps reads to a genome under a probability model.")
-    p.add_argument("-g", dest="genome", nargs="+", required=True, help="FASTA files, and .map files of diploid genomes")
+    p.add_argument("-g", dest="genome", nargs="+", required=True, help="FASTA files and .map files of diploid genomes, or a .genome store")
     p.add_argument("-o", dest="output", required=True)
     p.add_argument("-r", dest="unpaired")
     p.add_argument("-1", dest="pair1")

@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 
 from helixplane.operators import density, traces
 from helixplane.operators import reads as reads_
-from helixplane.sources import sinks, text
+from helixplane.sources import binary, sinks, text
 
 from . import assays, cli
 from .config import Config
 
+#: Names of the tracks of stores: forward and reverse.
+TRACKS = ["fwd_strnd_read_density", "rev_strnd_read_density"]
+
 
 def config_of(spark: SparkSession, path: str) -> Config:
     return Config.loads("\n".join(r.value for r in spark.read.text(f"{path}/config", wholetext=True).collect()))
@@ -50,6 +53,14 @@ def sample(run: sinks.Run, n: int = 1, most: int = density.MOST_ITERATIONS) -> N
     assays.more_samples(run, n, most, m, e)
 
 
+def export(run: sinks.Run, path: str, sample: int = 0) -> None:
+    """A run's genome and the density of one of its samples as binary stores: path.genome and path.trace."""
+    contigs = run.read("contigs")
+    binary.write_genome(contigs, f"{path}.genome")
+    trace = run.read("density").filter(F.col("sample") == sample)
+    binary.write_trace(trace, contigs.select("chr", "name", F.length("seq").alias("length")), TRACKS, f"{path}.trace")
+
+
 def merge(spark: SparkSession, paths: list[str], output: str) -> sinks.Run:
     """Runs over one genome and assay as one: reads, mappings and rejects, whose ids go on, and the density of all start sites."""
     configs, runs, out = [config_of(spark, p) for p in paths], [sinks.Run(spark, p) for p in paths], sinks.Run(spark, output)
@@ -104,6 +115,9 @@ def main(args: list[str] | None = None) -> None:
         one.add_argument("run")
         if name == "sample":
             one.add_argument("-n", type=int, default=1)
+    one = sub.add_parser("export")
+    one.add_argument("run")
+    one.add_argument("path")
     one = sub.add_parser("merge")
     one.add_argument("output")
     one.add_argument("runs", nargs="+")
@@ -127,7 +141,7 @@ def main(args: list[str] | None = None) -> None:
         pool(spark, given.pop("manifest"), given.pop("genome"), given.pop("output"), **given)
     else:
         run = sinks.Run(spark, given["run"])
-        {"peaks": lambda: peaks(run), "aggregates": lambda: aggregates(run), "sample": lambda: sample(run, given["n"])}[command]()
+        {"peaks": lambda: peaks(run), "aggregates": lambda: aggregates(run), "sample": lambda: sample(run, given["n"]), "export": lambda: export(run, given["path"])}[command]()
 
 
 if __name__ == "__main__":

@@ -1,9 +1,13 @@
-"""The binary trace store as a Spark data source: `trace_store`.
+"""Binary stores of traces and genomes as Spark data sources: `trace_store` and `genome_store`.
 
-Layout (fixed values, little endian): the magic BTRACE; the number of tracks (int32); the length of each track's
+Layout of traces (fixed values, little endian): the magic BTRACE; the number of tracks (int32); the length of each track's
 name (uint64), then the names; the number of contigs (int32); the length of each contig's name (uint64), then the names; the
 length of each contig (uint32); then a float32 for each base, contig by contig, track by track.
 
+Layout of genomes: the magic SM_OD_GEN; version 1, the bytes of the whole store and where the genome begins (uint64 each); the number of contigs
+(int32); for each the length of its name with a closing zero (int32) and the name; the contigs' lengths (uint32); their sources (int32: 1
+reference, 2 paternal, 3 maternal); then their bases. Contig 0 is a pseudo one without bases. Rows are (chr, name, source, pos, seq), a row a slice.
+
 A store is a file, or a folder of parts that are the file cut in the order of their names (what the writer leaves, as tasks can't write
 into one file; `cat` makes it one). Reading: the header is read once; each task reads the bytes of its own slice of a contig and
 gives rows (track, contig, pos, value) of the values that aren't 0. The options `track` and `contig` leave out the slices of
@@ -24,6 +28,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 MAGIC, SLICE = b"BTRACE", 1 << 20
+GENOME_MAGIC, GENOME_VERSION, PSEUDO = b"SM_OD_GEN", 1, "Pseudo"
+SOURCES = ["reference", "paternal", "maternal"]
+GENOME_SCHEMA = "chr int, name string, source string, pos long, seq string"
 SCHEMA = "track string, contig string, pos long, value float"
 PARTS = "slice_no long, blob binary"
 
@@ -135,6 +142,83 @@ class PartWriter(DataSourceWriter):
         return WriterCommitMessage()
 
 
+@dataclasses.dataclass
+class Genome:
+    """What a genome store says before its bases; contig 0 among them."""
+
+    names: list[str]
+    lengths: list[int]
+    sources: list[int]
+
+    def dumps(self) -> bytes:
+        n = len(self.names)
+        body = struct.pack("<i", n) + b"".join(struct.pack("<i", len(x.encode()) + 1) + x.encode() + b"\0" for x in self.names)
+        body += struct.pack(f"<{n}I", *self.lengths) + struct.pack(f"<{n}i", *self.sources)
+        begin = len(GENOME_MAGIC) + 24
+        return GENOME_MAGIC + struct.pack("<3Q", GENOME_VERSION, begin + len(body) + sum(self.lengths), begin) + body
+
+    @classmethod
+    def read(cls, fs: pafs.FileSystem, files: list[tuple[str, int]]) -> tuple[Genome, int]:
+        at = len(GENOME_MAGIC) + 24
+        head = _bytes(fs, files, 0, at)
+        if not head.startswith(GENOME_MAGIC):
+            raise ValueError("not a genome store")
+        version, size, at = struct.unpack("<3Q", head[len(GENOME_MAGIC) :])
+        if version != GENOME_VERSION or size != sum(n for _, n in files):
+            raise ValueError("the store's version or size isn't what its header should say")
+
+        def take(n: int) -> bytes:
+            nonlocal at
+            at += n
+            return _bytes(fs, files, at - n, n)
+
+        (n,) = struct.unpack("<i", take(4))
+        names = [take(struct.unpack("<i", take(4))[0])[:-1].decode() for _ in range(n)]
+        return cls(names, list(struct.unpack(f"<{n}I", take(4 * n))), list(struct.unpack(f"<{n}i", take(4 * n)))), at
+
+
+@dataclasses.dataclass
+class Bases(InputPartition):
+    chr: int
+    name: str
+    source: str
+    pos: int
+    size: int
+    offset: int
+
+
+class GenomeReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.path, self.slice, self.contig = options["path"], int(options.get("slice", SLICE)), options.get("contig")
+
+    def partitions(self) -> list[Bases]:
+        head, at = Genome.read(*_files(self.path))
+        out = []
+        for k, (name, n, source) in enumerate(zip(head.names, head.lengths, head.sources, strict=True)):
+            if self.contig in (None, name):
+                out += [Bases(k, name, SOURCES[source - 1], p, min(self.slice, n - p), at + p) for p in range(0, n, self.slice)]
+            at += n
+        return out
+
+    def read(self, part: Bases) -> Iterator[tuple]:
+        yield part.chr, part.name, part.source, part.pos, _bytes(*_files(self.path), part.offset, part.size).decode("ascii")
+
+
+class GenomeStore(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "genome_store"
+
+    def schema(self) -> str:
+        return GENOME_SCHEMA
+
+    def reader(self, schema) -> DataSourceReader:
+        return GenomeReader(dict(self.options))
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return PartWriter(dict(self.options))
+
+
 class TraceStore(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -187,3 +271,35 @@ def write_trace(density: DataFrame, contigs: DataFrame, tracks: list[str], path:
     parts = slots.groupBy("chr", "track", "k").cogroup(held.groupBy("chr", "track", "k")).applyInArrow(run, PARTS)
     parts = parts.unionByName(spark.createDataFrame([(0, head.dumps())], PARTS))
     parts.write.format("trace_store").option("path", path).mode("append").save()
+
+
+def read_genome(spark: SparkSession, path: str, contig: str | None = None, slice_: int = SLICE) -> DataFrame:
+    """(chr, name, source, pos, seq) of a store, a row a slice, or of one contig of it."""
+    spark.dataSource.register(GenomeStore)
+    reader = spark.read.format("genome_store").option("path", path).option("slice", slice_)
+    return (reader if contig is None else reader.option("contig", contig)).load()
+
+
+def joined(slices: DataFrame) -> DataFrame:
+    """Contigs (chr, name, seq, source), a row each, of slices."""
+    pieces = F.array_sort(F.collect_list(F.struct("pos", "seq")))
+    return slices.groupBy("chr", "name", "source").agg(F.array_join(F.transform(pieces, lambda x: x["seq"]), "").alias("seq")).select("chr", "name", "seq", "source")
+
+
+def write_genome(contigs: DataFrame, path: str, slice_: int = SLICE) -> None:
+    """Contigs (chr from 1, name, seq and, if there is such a column, source) as a store in a folder, in the order of chr; each part is a slice."""
+    from helixplane.functions.sequence import pieces
+
+    spark = contigs.sparkSession
+    spark.dataSource.register(GenomeStore)
+    own = contigs.select("chr", "name", "seq", F.col("source") if "source" in contigs.columns else F.lit(SOURCES[0]).alias("source"))
+    rows = own.select("chr", "name", "source", F.length("seq").alias("length")).orderBy("chr").collect()  # a row a contig, as in the header
+    head = Genome([PSEUDO, *[r.name for r in rows]], [0, *[r.length for r in rows]], [1, *[SOURCES.index(r.source) + 1 for r in rows]])
+    before, total = [], 1
+    for r in rows:
+        before.append((r.chr, total))
+        total += -(-r.length // slice_)
+    first = spark.createDataFrame(before, own.select("chr").schema.add("before", "long"))
+    cut = own.filter("seq <> ''").select("chr", F.posexplode(pieces(F.col("seq"), slice_, 0)).alias("k", "piece")).join(first, "chr")
+    parts = cut.select((F.col("before") + F.col("k")).alias("slice_no"), F.encode("piece", "utf-8").alias("blob"))
+    parts.unionByName(spark.createDataFrame([(0, head.dumps())], PARTS)).write.format("genome_store").option("path", path).mode("append").save()

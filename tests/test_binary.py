@@ -54,6 +54,35 @@ def test_a_density_is_written_as_the_file_is(spark, tmp_path):
         assert {(r.track, r.contig, r.pos) for r in back} == {(t, c, p) for (t, c), x in VALUES.items() for p in x}
 
 
+def plain_genome(contigs):
+    """The bytes of a genome store, from its layout alone."""
+    every = [("Pseudo", "", 1), *contigs]
+    body = struct.pack("<i", len(every))
+    for name, _, _ in every:
+        body += struct.pack("<i", len(name) + 1) + name.encode() + b"\0"
+    body += b"".join(struct.pack("<I", len(s)) for _, s, _ in every) + b"".join(struct.pack("<i", k) for _, _, k in every)
+    body += "".join(s for _, s, _ in every).encode()
+    return b"SM_OD_GEN" + struct.pack("<QQQ", 1, 33 + len(body), 33) + body
+
+
+def test_genomes_there_and_back(spark, tmp_path):
+    contigs = [("c_paternal", "ACGTNacgt" * 37, 2), ("c_maternal", "GATTACA" * 51, 3), ("m", "T", 1)]
+    raw = plain_genome(contigs)
+    (tmp_path / "g").write_bytes(raw)
+    names = ["reference", "paternal", "maternal"]
+    for size in (50, 1 << 20):
+        slices = binary.read_genome(spark, str(tmp_path / "g"), slice_=size)
+        rows = binary.joined(slices).orderBy("chr").collect()
+        assert [(r.chr, r.name, r.seq, r.source) for r in rows] == [(k, n, s, names[x - 1]) for k, (n, s, x) in enumerate(contigs, 1)]
+        binary.write_genome(binary.joined(slices), str(tmp_path / f"out{size}"), size)
+        assert b"".join(p.read_bytes() for p in sorted((tmp_path / f"out{size}").glob("part-*"))) == raw
+    one = binary.read_genome(spark, str(tmp_path / "out50"), "c_maternal", 100).collect()
+    assert [(r.pos, len(r.seq)) for r in one] == [(0, 100), (100, 100), (200, 100), (300, 57)]
+    (tmp_path / "short").write_bytes(raw[:-1])
+    with pytest.raises(Exception, match="size"):
+        binary.read_genome(spark, str(tmp_path / "short")).collect()
+
+
 def test_what_is_no_store_fails(spark, tmp_path):
     raw = plain_store(TRACKS, CONTIGS, VALUES)
     for name, bad in (("magic", b"XTRACE" + raw[6:]), ("short", raw[:-4]), ("long", raw + b"\0")):

@@ -143,6 +143,12 @@ def test_a_run_with_a_control_its_peaks_aggregates_and_a_merge(spark, genome, tm
     top = out.read("peaks").orderBy(F.desc("value"), F.desc(F.col("end") - F.col("pos"))).first()
     assert 2000 <= top.pos < top.end <= 2200 and top.value > 0.99 and out.read("control").select("read_id").distinct().count() == 60
     assert commands.config_of(spark, out.path).encoding == "sanger" and out.read("fragments").count() == 101
+    commands.export(out, str(tmp_path / "kept"))
+    from helixplane.sources import binary
+
+    assert cli.load_genome(spark, [str(tmp_path / "kept.genome")]).first().seq == genome
+    kept = binary.read_trace(spark, str(tmp_path / "kept.trace"))
+    assert {(r.contig, r.track) for r in kept.collect()} == {("c", "fwd_strnd_read_density")} and kept.agg(F.sum("value")).first()[0] == pytest.approx(out.read("density").agg(F.sum("value")).first()[0], rel=1e-5)
     trace = density.start_sites(out.read("mappings"))
     out.write("density", trace.withColumn("sample", F.lit(1)).unionByName(trace.filter("value < 1").withColumn("sample", F.lit(2))), "append")
     out.write("samples", spark.createDataFrame([(1, -1.0), (2, -2.0)], "sample int, log_lhd double"))

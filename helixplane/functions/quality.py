@@ -11,6 +11,8 @@ from .stats import probe_thresholds
 LOG10_3 = 0.477121
 N_SCORE = -0.60206
 LEAST_ERROR = 1e-6
+#: Decimals to which sums of probabilities are told apart.
+SUM_DECIMALS = 6
 #: Encodings: type, shift, log odds.
 ENCODINGS = {"sanger": (33, False), "illumina_1.8": (33, False), "solexa": (59, True), "illumina_1.3": (64, False), "illumina_1.5": (64, False), "shifted_50": (50, False)}
 
@@ -74,8 +76,8 @@ def score_moments(p: Column) -> tuple[Column, Column]:
 
 
 def effective_length(p: Column) -> Column:
-    """Bases of a read that tell something: its length less expected errors, less one."""
-    return F.size(p) - F.floor(F.aggregate(p, F.lit(0.0), lambda a, x: a + x)) - 1
+    """Bases of a read that tell something: its length less expected errors, less one. Errors are summed to SUM_DECIMALS: sums of doubles may end just below the whole number that they make."""
+    return F.size(p) - F.floor(F.round(F.aggregate(p, F.lit(0.0), lambda a, x: a + x), SUM_DECIMALS)) - 1
 
 
 def is_informative(p: Column, genome_length: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import index as index_
+from .search import asked
 
 #: Bases of a bin in which k-mers meet the segments that hold them.
 BIN = 4096
@@ -68,15 +69,18 @@ def closed(dmap: DataFrame, pairs: DataFrame) -> DataFrame:
     return dmap.select("prefix", "ord", "pat", "mat").unionByName(ends)
 
 
-def index(contigs: DataFrame, dmap: DataFrame, k: int) -> DataFrame:
+def index(contigs: DataFrame, dmap: DataFrame, k: int, probes: DataFrame | None = None) -> DataFrame:
     """(chr, loc, code, source, mat_chr, mat_loc): the packed k-mers of a genome whose contigs may come in two copies.
 
     A word that lies within shared sequence and is the same in both copies has one row, with the paternal place and the
     maternal one (source shared); words over a differing base, over a segment's edge or in one copy only
     have a row for each copy that has them (paternal, maternal); haploid contigs' words are `reference`. Words meet
-    segments by bins of BIN bases, and the other copy's words by place and word.
+    segments by bins of BIN bases, and the other copy's words by place and word. probes: only words that
+    exact searches of these ask for; they are told apart as in the whole index.
     """
-    words, pairs = index_.packed(contigs, k), copies(contigs)
+    words, pairs = index_.packed(contigs, k), copies(contigs).checkpoint()  # a row a pair, read often
+    if probes is not None:
+        words = asked(probes, words).checkpoint()  # read four times
     shared = segments(closed(dmap, pairs)).filter("kind = 'shared'").join(pairs, "prefix")
     bins = F.sequence(F.floor(F.col("pat_start") / BIN), F.floor((F.col("pat_start") + F.col("length") - 1) / BIN))
     held = shared.select("pat_chr", "mat_chr", "pat_start", "mat_start", "length", F.explode(bins).alias("bin"))

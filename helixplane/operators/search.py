@@ -17,6 +17,8 @@ MOST_PROBES, MOST_HITS, MOST_FRAGMENT = 5, 5000, 524_287
 PIECE, SAVED_HEAD, MOST_CHANGES = 2048, 4, 10_000
 #: Rows of targets under their changes (24 bytes each) that are broadcast at most.
 MOST_BROADCAST = 1_000_000
+#: Targets, with their probes' columns (some 100 bytes), that are broadcast at most.
+MOST_TARGETS = 200_000
 
 
 def _regions(reads: DataFrame, k: int, most: int) -> DataFrame:
@@ -58,12 +60,12 @@ def both_strands(probes: DataFrame) -> DataFrame:
 
 
 def search_exact(probes: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """Hits without mismatches, on both strands. Of a saved index only the partitions of the targets' first bases are read."""
+    """Hits without mismatches, on both strands. Of a saved index only the partitions of the targets' first bases are read; the index isn't shuffled where up to MOST_TARGETS targets, which are counted, are asked for."""
     targets, word = _targets(probes, index)
     keys = [word]
     if "head" in index.columns:
         targets, keys = targets.withColumn("head", first_bases(F.col("code"), k, SAVED_HEAD)), ["head", "code"]
-    return targets.join(index, keys).withColumn("penalty", F.lit(0.0)).drop(*keys, "target")
+    return (F.broadcast(targets) if targets.count() <= MOST_TARGETS else targets).join(index, keys).withColumn("penalty", F.lit(0.0)).drop(*keys, "target")
 
 
 def _targets(probes: DataFrame, index: DataFrame) -> tuple[DataFrame, str]:
@@ -73,18 +75,25 @@ def _targets(probes: DataFrame, index: DataFrame) -> tuple[DataFrame, str]:
     return both_strands(probes).withColumn("kmer", F.col("target")), "kmer"
 
 
+def asked(probes: DataFrame, index: DataFrame) -> DataFrame:
+    """What an index (chr, loc, code or kmer, …) has of the words that exact searches of the probes ask for, with all their places; what is derived from it for such a search (repeats, postings) is the same as from the whole index."""
+    targets, word = _targets(probes, index)
+    words = targets.select(word).distinct()
+    return index.join(F.broadcast(words) if words.count() <= MOST_BROADCAST else words, word, "left_semi")
+
+
 def _ball(bases: int, most: int) -> list[int]:
     """What changes a packed word of so many bases in up to `most` of them, by exclusive or."""
     return [sum(x << 2 * i for i, x in zip(places, change, strict=True)) for n in range(most + 1) for places in itertools.combinations(range(bases), n) for change in itertools.product((1, 2, 3), repeat=n)]
 
 
-def _parts(k: int, mismatches: int) -> tuple[list[int], int]:
-    """Where a word is cut, and how many mismatches its best part has at most: the cut with the fewest chance matches whose parts aren't searched under too many changes."""
+def _parts(k: int, mismatches: int, most: int = MOST_CHANGES) -> tuple[list[int], int]:
+    """Where a word is cut, and how many mismatches its best part has at most: the cut with the fewest chance matches whose parts aren't searched under more than `most` changes, or MOST_CHANGES if none is."""
 
-    def cost(n: int) -> tuple[bool, float]:
+    def cost(n: int) -> tuple[bool, bool, float]:
         sizes, h = [k * (p + 1) // n - k * p // n for p in range(n)], mismatches // n
         balls = [sum(math.comb(s, i) * 3**i for i in range(h + 1)) for s in sizes]
-        return sum(balls) > MOST_CHANGES, sum(b / 4.0**s for b, s in zip(balls, sizes, strict=True)) + n * 1e-7
+        return sum(balls) > MOST_CHANGES, sum(balls) > most, sum(b / 4.0**s for b, s in zip(balls, sizes, strict=True)) + n * 1e-7
 
     n = min(range(1, min(mismatches + 1, k) + 1), key=cost)
     return [k * p // n for p in range(n + 1)], mismatches // n
@@ -96,31 +105,32 @@ def search(probes: DataFrame, index: DataFrame, k: int, mismatches: int) -> Data
     Words are cut into n parts, of which one has mismatches // n mismatches at most: each distinct target
     is listed under all such changes of each part, by one whole number for part and bases, and joins the
     index's parts by equality. Packed words are compared by exclusive or within the join, so only hits
-    leave it; a pair that meets by several parts counts by the first. The index isn't shuffled where the
-    targets, which are counted, make up to MOST_BROADCAST rows; beyond, both sides are dealt by key, and
+    leave it; a pair that meets by several parts counts by the first. The targets are counted: words are cut
+    so that they make up to MOST_BROADCAST rows, if any cut does, and the index isn't shuffled; beyond, both sides are dealt by key, and
     repeats are better taken out first (index.unique_part). Index: (chr, loc, code), or (chr, loc, kmer), which is packed here; k is 31 at most.
     """
     if k > MOST_PACKED:
         raise ValueError(f"searches take words of up to {MOST_PACKED} bases")
     if "code" not in index.columns:
         index = index.withColumn("code", pack(F.col("kmer"))).drop("kmer")
-    edges, h = _parts(k, mismatches)
-    spans = [(k - b, k - a) for a, b in zip(edges[:-1], edges[1:], strict=True)]  # bases from the last
     targets = both_strands(probes).withColumn("word", pack(F.col("target")))
+    distinct = targets.select("word").distinct()
+    n = targets.agg(F.count(F.lit(1)).alias("all"), F.countDistinct("word").alias("words")).first()
+    edges, h = _parts(k, mismatches, MOST_BROADCAST // max(n.words, 1))
+    spans = [(k - b, k - a) for a, b in zip(edges[:-1], edges[1:], strict=True)]  # bases from the last
     part = lambda c, p: F.shiftrightunsigned(c, 2 * spans[p][0]).bitwiseAND(F.lit((1 << 2 * (spans[p][1] - spans[p][0])) - 1))
     key = lambda p, block: block * len(spans) + p
     listed = [(p, x) for p, (a, b) in enumerate(spans) for x in _ball(b - a, h)]  # MOST_CHANGES at most
     changes = probes.sparkSession.createDataFrame(listed, "part int, change long")
     block = functools.reduce(lambda out, p: F.when(F.col("part") == p, part(F.col("word"), p)).otherwise(out), range(len(spans)), F.lit(None).cast("long"))
-    distinct = targets.select("word").distinct()
-    few = distinct.count() * len(listed) <= MOST_BROADCAST
+    few = n.words * len(listed) <= MOST_BROADCAST
     wanted = distinct.crossJoin(F.broadcast(changes)).select("word", "part", key(F.col("part"), block.bitwiseXOR(F.col("change"))).alias("key"))
     held = index.withColumn("key", F.explode(F.array(*[key(p, part(F.col("code"), p)) for p in range(len(spans))])))
     near = packed_mismatches(F.col("word"), F.col("code"), 0, k)
     # by no earlier part
     first = functools.reduce(Column.__and__, [(F.col("part") <= p) | (packed_mismatches(F.col("word"), F.col("code"), *spans[p]) > h) for p in range(len(spans) - 1)], F.lit(True))
     pairs = (F.broadcast(wanted) if few else wanted).join(held, "key").filter((near <= mismatches) & first).withColumn("penalty", -near.cast("double")).drop("key", "part", "code", "head")
-    return targets.join(pairs, "word").drop("word", "target")
+    return (F.broadcast(targets) if n.all <= MOST_TARGETS else targets).join(pairs, "word").drop("word", "target")
 
 
 def staged(probes: DataFrame, index: DataFrame, k: int, mismatches: int, spread: int) -> DataFrame:

@@ -153,9 +153,9 @@ def convergence(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = ("r
 
 
 def normalised(density: DataFrame, *keys: str) -> DataFrame:
-    """Values that sum to 1, over everything or for each key; the sum is a row a key."""
+    """Values that sum to 1, over everything or for each key; the sum is a row a key. Keys are few (tracks, samples): sums are broadcast, as rows dealt by few keys would lie in few tasks."""
     total = density.groupBy(*keys).agg(F.sum("value").alias("total")) if keys else density.agg(F.sum("value").alias("total"))
-    joined = density.join(total, list(keys)) if keys else density.crossJoin(F.broadcast(total))
+    joined = density.join(F.broadcast(total), list(keys)) if keys else density.crossJoin(F.broadcast(total))
     return joined.withColumn("value", F.col("value") / F.col("total")).drop("total")
 
 

@@ -37,7 +37,8 @@ def bootstraps(mappings: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """(bs, …, weight): for each of n bootstraps as many reads as there are are drawn with replacement, each draw at a mapping of its own; weight counts draws, and sums to the number of reads in every bootstrap.
 
     Reads are numbered; draw j of bootstrap bs takes read floor(u n), u from the seed, bs and j, and its mapping by another number. Draws meet reads by an equality on the read's number, evenly
-    spread, and a read's mappings (a few) go with it as one row.
+    spread, and a read's mappings (a few) go with it as one row. The join is a merge: draws are exploded numbers, whose size Spark takes for that of the numbers alone, and
+    would broadcast.
     """
     spark, ids = mappings.sparkSession, numbered(mappings, "read_id")
     total = ids.count()
@@ -47,7 +48,7 @@ def bootstraps(mappings: DataFrame, n: int, seed: int = 0) -> DataFrame:
     up = F.sum("cond_prb").over(Window.partitionBy("read_id").orderBy("mapping_no"))
     nested = mappings.withColumn("up", up).groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("mapping_no", "up", F.struct(*others).alias("own")))).alias("places"))
     first = F.element_at(F.filter("places", lambda x: x["up"] >= F.col("u")), 1)
-    rows = nested.join(ids, "read_id").join(draws, "number").select("bs", "read_id", F.coalesce(first, F.element_at("places", -1))["own"].alias("own"))
+    rows = nested.join(ids, "read_id").join(draws.hint("merge"), "number").select("bs", "read_id", F.coalesce(first, F.element_at("places", -1))["own"].alias("own"))
     drawn = rows.groupBy("bs", "read_id", F.col("own.mapping_no").alias("mapping_no")).agg(F.first("own").alias("own"), F.count(F.lit(1)).alias("weight"))
     return drawn.select("bs", "read_id", *[F.col("own")[c].alias(c) for c in others], "weight")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,10 @@ MIN_COPIES = 150
 POSTED = 150
 #: Bases of a piece in which k-mers are enumerated, and pieces at a time; base codes by letter, -1 for others.
 PIECE, AT_ONCE = 256, 2000
+#: Words that a task sorts at a time when they are dealt in blocks, and that a bucket gets on average; bases of a contig whose words are told apart within its task.
+BLOCK, BUCKET, LONG = 1 << 21, 1 << 21, 1 << 22
+#: Names of such longer or repeated contigs that are broadcast at most.
+MOST_OTHER = 200_000
 CODES = np.full(256, -1, np.int8)
 for _code, _base in enumerate(BASES):
     CODES[[ord(_base), ord(_base.lower())]] = _code
@@ -32,6 +36,13 @@ def packed(contigs: DataFrame, k: int, step: int = 1, omit_last: bool = False, s
     """
     if k > MOST_PACKED:
         raise ValueError(f"packed words have up to {MOST_PACKED} bases")
+    rows, run = _enumerated(contigs, k, step, omit_last, start)
+    kinds = T.StructType([T.StructField("chr", rows.schema["chr"].dataType), T.StructField("loc", T.LongType()), T.StructField("code", T.LongType())])
+    return rows.mapInArrow(run, kinds)
+
+
+def _enumerated(contigs: DataFrame, k: int, step: int = 1, omit_last: bool = False, start: str | None = None) -> tuple[DataFrame, Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]]:
+    """Pieces of contigs, and what makes (chr, loc, code) of batches of them."""
     size = max(PIECE, k)
     rows = _pieces(contigs, k, start).select("chr", F.col("n").cast("long").alias("n"), (F.col("part") * size).cast("long").alias("at"), F.col("first").cast("long").alias("first"), "piece")
 
@@ -56,8 +67,7 @@ def packed(contigs: DataFrame, k: int, step: int = 1, omit_last: bool = False, s
                 row, i, at = row[keep], i[keep], at[keep]
                 yield pa.RecordBatch.from_arrays([b.column("chr").take(pa.array(row)), pa.array(b.column("first").to_numpy()[row] + i), pa.array(words[at])], ["chr", "loc", "code"])
 
-    kinds = T.StructType([T.StructField("chr", rows.schema["chr"].dataType), T.StructField("loc", T.LongType()), T.StructField("code", T.LongType())])
-    return rows.mapInArrow(run, kinds)
+    return rows, run
 
 
 def _packed(codes: np.ndarray, k: int) -> np.ndarray:
@@ -109,6 +119,128 @@ def repeats(index: DataFrame, min_copies: int = MIN_COPIES) -> DataFrame:
     return index.groupBy(_word(index)).agg(F.count(F.lit(1)).alias("copies")).filter(F.col("copies") >= min_copies)
 
 
+def contents(contigs: DataFrame, k: int) -> DataFrame:
+    """(chr, n, locs, n_kmers): of each contig with words, their number, the sum of their places, and how many differ. A contig of up to LONG bases that comes once is worked out where it lies; words of the others are dealt by word."""
+    kinds = T.StructType([T.StructField("chr", contigs.schema["chr"].dataType), *[T.StructField(c, T.LongType()) for c in ("n", "locs", "n_kmers")]])
+    rows = contigs.filter(F.length("seq") >= k).select("chr", "seq")
+    rest = rows.groupBy("chr").agg(F.count(F.lit(1)).alias("rows"), F.max(F.length("seq")).alias("most")).filter((F.col("rows") > 1) | (F.col("most") > LONG)).select(F.col("chr").alias("other")).checkpoint()
+    rest = F.broadcast(rest) if rest.count() <= MOST_OTHER else rest  # contigs stay where they are
+    same = F.col("chr").eqNullSafe(F.col("other"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for i, seq in enumerate(b.column("seq").to_pylist()):
+                codes = CODES[np.frombuffer(seq.encode(), np.uint8)]
+                unknown = np.concatenate(([0], np.cumsum(codes < 0)))
+                loc = np.flatnonzero(unknown[k:] == unknown[:-k])
+                if len(loc):
+                    found.append((i, len(loc), int(loc.sum()), len(np.unique(_packed(codes, k)[loc]))))
+            if found:
+                at, *sums = map(list, zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([b.column("chr").take(pa.array(at)), *map(pa.array, sums)], kinds.names)
+
+    own = rows.join(rest, same, "left_anti").mapInArrow(run, kinds)
+    words = packed(rows.join(rest, same, "left_semi"), k)
+    return own.unionByName(words.groupBy("chr").agg(F.count(F.lit(1)).alias("n"), F.sum("loc").alias("locs"), F.countDistinct("code").alias("n_kmers")))
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers as their first bytes, second bytes, ...: those that are 0 take next to no room when packed."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def _numbers(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel()
+
+
+def _blocks(contigs: DataFrame, k: int, places: bool) -> tuple[DataFrame, int]:
+    """Words of contigs in buckets, as differences of sorted numbers, and what number times a word gives its number.
+
+    A row is what a block of BLOCK words has of a bucket: `words`, and `copies` of each within the block, or with places a word each time that it occurs
+    with its `loc` and the contig, `owner` in the list `chrs`. Numbers are words times an odd number, within 2k bits:
+    high bits, by which buckets are told apart, depend on all bases, and a word has one number.
+    """
+    bases_ = contigs.agg(F.sum(F.length("seq"))).first()[0] or 0
+    bits = min(int(bases_ // BUCKET).bit_length(), 2 * k, 20)
+    odd, mask, shift = 0x9E3779B97F4A7C15 & ((1 << 2 * k) - 1) | 1, (1 << 2 * k) - 1, 2 * k - bits
+    pieces_, enumerate_ = _enumerated(contigs, k)
+    kinds = [T.StructField("bucket", T.IntegerType()), T.StructField("words", T.BinaryType())]
+    kinds += [T.StructField("loc", T.BinaryType()), T.StructField("owner", T.BinaryType()), T.StructField("chrs", T.ArrayType(pieces_.schema["chr"].dataType))] if places else [T.StructField("copies", T.BinaryType())]
+
+    def block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        code = np.concatenate([b.column("code").to_numpy() for b in held]).astype(np.uint64)
+        number = (code * np.uint64(odd) & np.uint64(mask)).astype(np.int64)
+        if places:
+            order = np.argsort(number, kind="stable")
+            number, loc = number[order], np.concatenate([b.column("loc").to_numpy() for b in held])[order]
+            names = pa.chunked_array([b.column("chr") for b in held]).combine_chunks().dictionary_encode("encode")
+            owner = names.indices.to_numpy()[order].astype(np.int64)
+        else:
+            number, copies = np.unique(number, return_counts=True)
+        edges = np.searchsorted(number, np.arange((1 << bits) + 1, dtype=np.int64) << shift)
+        spans = [(n, a, b) for n, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b]
+        out = [pa.array([n for n, _, _ in spans], pa.int32()), pa.array([_planes(np.diff(number[a:b], prepend=0)) for _, a, b in spans], pa.binary())]
+        if not places:
+            return pa.RecordBatch.from_arrays([*out, pa.array([_planes(copies[a:b].astype(np.int64)) for _, a, b in spans], pa.binary())], [x.name for x in kinds])
+        own = [np.unique(owner[a:b], return_inverse=True) for _, a, b in spans]
+        out += [pa.array([_planes(loc[a:b]) for _, a, b in spans], pa.binary()), pa.array([_planes(i.astype(np.int64)) for _, i in own], pa.binary())]
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[len(u) for u, _ in own]]), pa.int32()), names.dictionary.take(pa.array(np.concatenate([u for u, _ in own]))))
+        return pa.RecordBatch.from_arrays([*out, lists], [x.name for x in kinds])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in enumerate_(batches):
+            held, n = [*held, b], n + b.num_rows
+            if n >= BLOCK:
+                yield block(held)
+                held, n = [], 0
+        if n:
+            yield block(held)
+
+    return pieces_.mapInArrow(run, T.StructType(kinds)), odd
+
+
+def repeated(contigs: DataFrame, k: int, min_copies: int = MIN_COPIES) -> DataFrame:
+    """As repeats of the packed index, (code, copies): words are counted in blocks, which are dealt instead of words."""
+    blocks, odd = _blocks(contigs, k, False)
+    back, mask = np.uint64(pow(odd, -1, 1 << 2 * k)), np.uint64((1 << 2 * k) - 1)
+
+    def run(t: pa.Table) -> pa.Table:
+        number = np.concatenate([np.cumsum(_numbers(x)) for x in t.column("words").to_pylist()])
+        copies = np.concatenate([_numbers(x) for x in t.column("copies").to_pylist()])
+        order = np.argsort(number, kind="stable")
+        number, copies = number[order], copies[order]
+        first = np.flatnonzero(np.diff(number, prepend=-1))
+        total = np.add.reduceat(copies, first)
+        often = total >= min_copies
+        return pa.table([pa.array((number[first[often]].astype(np.uint64) * back & mask).astype(np.int64)), pa.array(total[often])], ["code", "copies"])
+
+    return blocks.groupBy("bucket").applyInArrow(run, "code long, copies long")
+
+
+def occurrences(contigs: DataFrame, k: int, min_copies: int, often: bool = True) -> DataFrame:
+    """(chr, n, locs): how often repeats occur in each contig that has some, and the sum of their places; often=False: the same of all other words. As expand_repeats and unique_part of the packed index, but words are dealt once, in blocks."""
+    blocks, _ = _blocks(contigs, k, True)
+    kinds = T.StructType([T.StructField("chr", blocks.schema["chrs"].dataType.elementType), T.StructField("n", T.LongType()), T.StructField("locs", T.LongType())])
+
+    def run(t: pa.Table) -> pa.Table:
+        words = [np.cumsum(_numbers(x)) for x in t.column("words").to_pylist()]
+        _, which, total = np.unique(np.concatenate(words), return_inverse=True, return_counts=True)
+        keep = (total >= min_copies)[which] == often
+        chrs = t.column("chrs").combine_chunks()
+        names = chrs.flatten().dictionary_encode("encode")
+        begin = np.concatenate(([0], np.cumsum(chrs.value_lengths().to_numpy())))
+        at = names.indices.to_numpy()[np.concatenate([_numbers(x) + b for x, b in zip(t.column("owner").to_pylist(), begin, strict=False)])][keep]
+        loc = np.concatenate([_numbers(x) for x in t.column("loc").to_pylist()])[keep]
+        order = np.argsort(at, kind="stable")
+        own, first, n = np.unique(at[order], return_index=True, return_counts=True)
+        locs = np.add.reduceat(loc[order], first) if len(own) else loc
+        return pa.table([names.dictionary.take(pa.array(own)), pa.array(n.astype(np.int64)), pa.array(locs)], kinds.names)
+
+    return blocks.groupBy("bucket").applyInArrow(run, kinds).groupBy("chr").agg(F.sum("n").alias("n"), F.sum("locs").alias("locs"))
+
+
 def unique_part(index: DataFrame, repeated: DataFrame) -> DataFrame:
     """The index without repeats, which would skew joins."""
     return index.join(repeated.select(_word(index)), _word(index), "left_anti")

@@ -2,25 +2,69 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # fixed values of the fit
 LEAST_OBSERVATIONS, LEAST_PROBABILITY = 10, 1e-4
 KEYS = ["mate", "strand", "qual", "pos"]
+#: Reads whose cells are summed up at a time.
+AT_ONCE = 500
 
 
 def counts(best: DataFrame) -> DataFrame:
-    """(mate, strand, qual, pos, n, mm) from reads with the genome where each lies best (read, genome, qual strings); pos from 1."""
-    letters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
-    cells = F.arrays_zip(letters("read").alias("read"), letters("genome").alias("genome"), letters("quality").alias("quality"))
-    rows = best.select("mate", "strand", F.posexplode(cells).alias("i", "x"))
-    rows = rows.select("mate", "strand", F.ascii("x.quality").alias("qual"), (F.col("i") + 1).alias("pos"), (F.col("x.read") != F.col("x.genome")).alias("bad"))
-    return rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("mm"))
+    """(mate, strand, qual, pos, n, mm) from reads with the genome where each lies best (read, genome, quality strings); pos from 1.
+
+    Tasks sum up what some reads have in each cell before cells are dealt; reads whose strings aren't ASCII or differ in length go base by base.
+    """
+    kinds = T.StructType([*[T.StructField(c, best.schema[c].dataType) for c in ("mate", "strand")], T.StructField("qual", T.IntegerType()), T.StructField("pos", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("mm", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for low in range(0, b.num_rows, AT_ONCE):
+                yield from _summed(b.slice(low, AT_ONCE), kinds.names)
+
+    cells = best.select("mate", "strand", "read", "genome", "quality").mapInArrow(run, kinds)
+    return cells.groupBy(*KEYS).agg(F.sum("n").alias("n"), F.sum("mm").alias("mm"))
+
+
+def _summed(b: pa.RecordBatch, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Cells of a batch of reads."""
+    plain, other = [], {}
+    for i, (mate, strand, *texts) in enumerate(zip(*(b.column(c).to_pylist() for c in ("mate", "strand", "read", "genome", "quality")), strict=True)):
+        if any(x is None for x in texts):
+            continue
+        if mate is not None and strand is not None and len({*map(len, texts)}) == 1 and all(x.isascii() for x in texts):
+            plain.append(i)
+            continue
+        for pos, (x, g, q) in enumerate(itertools.zip_longest(*texts), 1):
+            cell = other.setdefault((mate, strand, None if q is None else ord(q), pos), [0, 0])
+            cell[0] += 1
+            cell[1] += x is not None and g is not None and x != g
+    if other:
+        columns = zip(*((*key, *sums) for key, sums in other.items()), strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (b.column("mate").type, b.column("strand").type, pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names)
+    b = b.take(pa.array(plain, pa.int64()))
+    read, genome, quality = (np.frombuffer("".join(b.column(c).to_pylist()).encode(), np.uint8) for c in ("read", "genome", "quality"))
+    if not len(read):
+        return
+    size = np.array([len(x) for x in b.column("read").to_pylist()])
+    pos = np.arange(len(read)) - np.repeat(np.cumsum(size) - size, size)
+    mate, strand = (b.column(c).dictionary_encode() for c in ("mate", "strand"))
+    group = np.repeat(mate.indices.to_numpy().astype(np.int64) * len(strand.dictionary) + strand.indices.to_numpy(), size)
+    cell, at, n = np.unique((group * 256 + quality) * int(size.max()) + pos, return_inverse=True, return_counts=True)
+    wrong = np.bincount(at[read != genome], minlength=len(cell))
+    group, pos = np.divmod(cell, size.max())
+    group, qual = np.divmod(group, 256)
+    m, s = np.divmod(group, len(strand.dictionary))
+    yield pa.RecordBatch.from_arrays([mate.dictionary.take(pa.array(m)), strand.dictionary.take(pa.array(s)), pa.array(qual.astype(np.int32)), pa.array((pos + 1).astype(np.int32)), pa.array(n.astype(np.int64)), pa.array(wrong.astype(np.int64))], names)
 
 
 def limits(errors: DataFrame) -> DataFrame:

@@ -5,14 +5,22 @@ Maps are (prefix, ord, pat, mat): 1-based anchors where both copies go on togeth
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import index as index_
-from .search import asked
+from .search import asked, wanted
 
-#: Bases of a bin in which k-mers meet the segments that hold them.
-BIN = 4096
+#: Words of a contig that are compared with its other copy's at a time, and that go on together.
+STRETCH = 1 << 18
+# fixed values: which copies have a word
+COPIES = ["shared", "paternal", "maternal", "reference"]
 
 
 def segments(dmap: DataFrame) -> DataFrame:
@@ -74,28 +82,104 @@ def index(contigs: DataFrame, dmap: DataFrame, k: int, probes: DataFrame | None
 
     A word that lies within shared sequence and is the same in both copies has one row, with the paternal place and the
     maternal one (source shared); words over a differing base, over a segment's edge or in one copy only
-    have a row for each copy that has them (paternal, maternal); haploid contigs' words are `reference`. Words meet
-    segments by bins of BIN bases, and the other copy's words by place and word. probes: only words that
-    exact searches of these ask for; they are told apart as in the whole index.
+    have a row for each copy that has them (paternal, maternal); haploid contigs' words are `reference`. Contigs are
+    read once; copies and the map meet by prefix, and words are compared there, STRETCH at a time: no word is shuffled.
+    probes: only words that exact searches of these ask for; they are told apart as in the whole index.
     """
-    words, pairs = index_.packed(contigs, k), copies(contigs).checkpoint()  # a row a pair, read often
-    if probes is not None:
-        words = asked(probes, words).checkpoint()  # read four times
-    shared = segments(closed(dmap, pairs)).filter("kind = 'shared'").join(pairs, "prefix")
-    bins = F.sequence(F.floor(F.col("pat_start") / BIN), F.floor((F.col("pat_start") + F.col("length") - 1) / BIN))
-    held = shared.select("pat_chr", "mat_chr", "pat_start", "mat_start", "length", F.explode(bins).alias("bin"))
-    pat = words.join(pairs.select(F.col("pat_chr").alias("chr")), "chr", "left_semi").withColumn("bin", F.floor(F.col("loc") / BIN))
-    inside = (F.col("loc") >= F.col("pat_start")) & (F.col("loc") + k <= F.col("pat_start") + F.col("length"))
-    lifted = pat.withColumnRenamed("chr", "pat_chr").join(held, ["pat_chr", "bin"]).filter(inside)
-    lifted = lifted.select(F.col("pat_chr").alias("chr"), "loc", "code", "mat_chr", (F.col("loc") - F.col("pat_start") + F.col("mat_start")).cast("long").alias("mat_loc"))
-    mat = words.join(pairs.select(F.col("mat_chr").alias("chr")), "chr", "left_semi")
-    both = lifted.join(mat.select(F.col("chr").alias("mat_chr"), F.col("loc").alias("mat_loc"), "code"), ["mat_chr", "mat_loc", "code"], "left_semi")
-    none = lambda rows, source: rows.withColumns({"source": F.lit(source), "mat_chr": F.lit(None).cast(contigs.schema["chr"].dataType), "mat_loc": F.lit(None).cast("long")})
-    out = both.withColumn("source", F.lit("shared"))
-    out = out.unionByName(none(pat.drop("bin").join(both.select("chr", "loc"), ["chr", "loc"], "left_anti"), "paternal"))
-    out = out.unionByName(none(mat.join(both.select(F.col("mat_chr").alias("chr"), F.col("mat_loc").alias("loc")), ["chr", "loc"], "left_anti"), "maternal"))
-    paired = pairs.select(F.explode(F.array("pat_chr", "mat_chr")).alias("chr"))
-    return out.unionByName(none(words.join(paired, "chr", "left_anti"), "reference")).select("chr", "loc", "code", "source", "mat_chr", "mat_loc")
+    only = None if probes is None else wanted(probes)
+    kind = F.regexp_extract(F.lower("name"), "(paternal|maternal)", 1)
+    # haploid contigs may have one prefix: each is dealt by itself
+    rows = contigs.select(F.substring_index("name", "_", 1).alias("prefix"), F.when(kind == "", F.col("chr").cast("string")).otherwise("").alias("alone"), F.struct(kind.alias("kind"), "chr", "seq").alias("x"))
+    anchors = dmap.groupBy("prefix").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("pat").cast("long").alias("pat"), F.col("mat").cast("long").alias("mat")))).alias("x"))
+    anchors = anchors.select("prefix", F.lit("").alias("alone"), F.col("x.pat").alias("pat"), F.col("x.mat").alias("mat"))
+    both = rows.groupBy("prefix", "alone").agg(F.collect_list("x").alias("x")).join(anchors, ["prefix", "alone"], "left").select("x.kind", "x.chr", "x.seq", "pat", "mat")
+    own = contigs.schema["chr"].dataType
+    kinds = T.StructType([T.StructField("chr", own), T.StructField("loc", T.LongType()), T.StructField("code", T.LongType()), T.StructField("copy", T.ByteType()), T.StructField("mat_chr", own), T.StructField("mat_loc", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tell = index_.among(only)
+        for b in batches:
+            held, n = [], 0
+            names = b.column("chr").flatten()
+            begin, places = 0, pa.array(np.arange(len(names)))
+            for i in range(b.num_rows):
+                copies_, seqs = b.column("kind")[i].as_py(), b.column("seq")[i].as_py()
+                codes = [index_.CODES[np.frombuffer(seq.encode(), np.uint8)] for seq in seqs]
+                found = _told_apart(copies_, codes, [np.asarray(b.column(c)[i].as_py() or [], np.int64) for c in ("pat", "mat")], k)
+                for copy, at, loc, code, other, far in found:
+                    keep = tell(code)
+                    held.append((copy, begin + at, loc[keep], code[keep], None if far is None else begin + other, None if far is None else far[keep]))
+                    n += len(held[-1][2])
+                    if n >= STRETCH:
+                        yield _batch(held, names, kinds.names)
+                        held, n = [], 0
+                begin += len(seqs)
+            if n:
+                yield _batch(held, names, kinds.names)
+
+    source = functools.reduce(lambda out, x: F.when(F.col("copy") == x, COPIES[x]).otherwise(out), range(1, len(COPIES)), F.lit(COPIES[0]))
+    out = both.mapInArrow(run, kinds).withColumn("source", source).select("chr", "loc", "code", "source", "mat_chr", "mat_loc")
+    return out if probes is None or only is not None else asked(probes, out)
+
+
+def _batch(held: list[tuple], names: pa.Array, columns: list[str]) -> pa.RecordBatch:
+    """Rows of stretches, whose contigs are places in `names`."""
+    size = [len(x[2]) for x in held]
+    each = lambda c, none: np.repeat([none if x[c] is None else x[c] for x in held], size)
+    other = each(4, -1)
+    far = np.concatenate([np.zeros(len(x[2]), np.int64) if x[5] is None else x[5] for x in held])
+    loc, code = (np.concatenate([x[c] for x in held]) for c in (2, 3))
+    arrays = [names.take(pa.array(each(1, 0))), pa.array(loc), pa.array(code), pa.array(each(0, 0).astype(np.int8)), names.take(pa.array(other, mask=other < 0)), pa.array(far, mask=other < 0)]
+    return pa.RecordBatch.from_arrays(arrays, columns)
+
+
+def _lengths(pat: np.ndarray, mat: np.ndarray, sizes: tuple[int, int]) -> list[np.ndarray]:
+    """As segments() of a closed map: starts in both copies and lengths of what is shared."""
+    if not len(pat):
+        return [pat, mat, pat]
+    ends = []
+    for at, size in ((pat, sizes[0]), (mat, sizes[1])):
+        closed_ = np.append(at, size + 1)
+        ahead = np.minimum.accumulate(np.where(closed_ > 0, np.arange(len(closed_)), len(closed_) - 1)[::-1])[::-1][1:]
+        ends.append(closed_[ahead])
+    n = np.minimum(ends[0] - pat, ends[1] - mat)
+    keep = (pat > 0) & (mat > 0) & (n > 0)
+    return [pat[keep] - 1, mat[keep] - 1, n[keep]]
+
+
+def _told_apart(kinds: list[str], codes: list[np.ndarray], anchors: list[np.ndarray], k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int | None, np.ndarray | None]]:
+    """(copy, contig, places, words, other contig, places there) of the contigs of a prefix, by stretches: shared words, and those that a contig has for itself."""
+
+    def words(seq: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """Those that begin from low to high - 1, and which have all their bases known."""
+        part = seq[low : high + k - 1]
+        unknown = np.concatenate(([0], np.cumsum(part < 0)))
+        return index_._packed(part, k), unknown[k:] == unknown[:-k]
+
+    for own, kind in enumerate(kinds):
+        others = [i for i, x in enumerate(kinds) if kind and x and x != kind]
+        copy = COPIES.index(kind if others else "reference")
+        spans = []
+        for i in others:
+            pair = (own, i) if kind == "paternal" else (i, own)
+            begin, far, n = _lengths(*anchors, (len(codes[pair[0]]), len(codes[pair[1]])))
+            begin, far = (begin, far) if kind == "paternal" else (far, begin)
+            # words that end within the segment and within both contigs
+            spans.append((i, begin, far, begin + np.minimum(np.minimum(n, len(codes[own]) - begin), len(codes[i]) - far) - k + 1))
+        for low in range(0, len(codes[own]) - k + 1, STRETCH):
+            high = min(low + STRETCH, len(codes[own]) - k + 1)
+            code, known = words(codes[own], low, high)
+            met = np.zeros(high - low, bool)
+            for i, begin, far, end in spans:
+                for x in np.flatnonzero((begin < high) & (end > low) & (end > begin)):
+                    a, b, shift = max(low, int(begin[x])), min(high, int(end[x])), int(far[x] - begin[x])
+                    there, known_there = words(codes[i], a + shift, b + shift)
+                    same = np.flatnonzero(known[a - low : b - low] & known_there & (code[a - low : b - low] == there)) + a
+                    met[same - low] = True
+                    if kind == "paternal":
+                        yield 0, own, same, code[same - low], i, same + shift
+            alone = np.flatnonzero(known & ~met)
+            yield copy, own, alone + low, code[alone], None, None
 
 
 def expand_hits(hits: DataFrame) -> DataFrame:

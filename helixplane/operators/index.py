@@ -27,26 +27,45 @@ for _code, _base in enumerate(BASES):
     CODES[[ord(_base), ord(_base.lower())]] = _code
 
 
-def packed(contigs: DataFrame, k: int, step: int = 1, omit_last: bool = False, start: str | None = None) -> DataFrame:
+def packed(contigs: DataFrame, k: int, step: int = 1, omit_last: bool = False, start: str | None = None, only: np.ndarray | None = None) -> DataFrame:
     """(chr, loc, code) of all k-mers of contigs (chr, seq) without unknown bases, as packed words (MOST_PACKED bases at most).
 
-    omit_last: leave out each contig's last k-mer. start: a column to add to positions, for segments. Words
+    omit_last: leave out each contig's last k-mer. start: a column to add to positions, for segments. only: sorted words; others
+    don't leave their task. Words
     are put together in Arrow batches: built-in functions take some 20 operations of arrays, or of base
     conversion, for each base (measured: ten times as long).
     """
     if k > MOST_PACKED:
         raise ValueError(f"packed words have up to {MOST_PACKED} bases")
-    rows, run = _enumerated(contigs, k, step, omit_last, start)
+    rows, run = _enumerated(contigs, k, step, omit_last, start, only)
     kinds = T.StructType([T.StructField("chr", rows.schema["chr"].dataType), T.StructField("loc", T.LongType()), T.StructField("code", T.LongType())])
     return rows.mapInArrow(run, kinds)
 
 
-def _enumerated(contigs: DataFrame, k: int, step: int = 1, omit_last: bool = False, start: str | None = None) -> tuple[DataFrame, Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]]:
+def among(few: np.ndarray | None) -> Callable[[np.ndarray], np.ndarray]:
+    """What tells which words are among a few sorted ones, most by their last bases; all are, if there is None."""
+    if few is None:
+        return lambda words: np.ones(len(words), bool)
+    last = np.zeros(1 << 22, bool)
+    last[few & (len(last) - 1)] = True
+
+    def tell(words: np.ndarray) -> np.ndarray:
+        found = last[words & (len(last) - 1)]
+        at = np.flatnonzero(found)
+        if len(few):
+            found[at] = few[np.minimum(np.searchsorted(few, words[at]), len(few) - 1)] == words[at]
+        return found
+
+    return tell
+
+
+def _enumerated(contigs: DataFrame, k: int, step: int = 1, omit_last: bool = False, start: str | None = None, only: np.ndarray | None = None) -> tuple[DataFrame, Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]]:
     """Pieces of contigs, and what makes (chr, loc, code) of batches of them."""
     size = max(PIECE, k)
     rows = _pieces(contigs, k, start).select("chr", F.col("n").cast("long").alias("n"), (F.col("part") * size).cast("long").alias("at"), F.col("first").cast("long").alias("first"), "piece")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tell = among(only)
         for whole in batches:
             for low in range(0, whole.num_rows, AT_ONCE):
                 b = whole.slice(low, AT_ONCE)
@@ -64,6 +83,8 @@ def _enumerated(contigs: DataFrame, k: int, step: int = 1, omit_last: bool = Fal
                     keep &= place < b.column("n").to_numpy()[row] - k
                 if step > 1:
                     keep &= place % step == 0
+                if only is not None:
+                    keep &= tell(words[at])
                 row, i, at = row[keep], i[keep], at[keep]
                 yield pa.RecordBatch.from_arrays([b.column("chr").take(pa.array(row)), pa.array(b.column("first").to_numpy()[row] + i), pa.array(words[at])], ["chr", "loc", "code"])
 

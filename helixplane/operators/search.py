@@ -6,6 +6,7 @@ import functools
 import itertools
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,6 +83,12 @@ def asked(probes: DataFrame, index: DataFrame) -> DataFrame:
     return index.join(F.broadcast(words) if words.count() <= MOST_BROADCAST else words, word, "left_semi")
 
 
+def wanted(probes: DataFrame) -> np.ndarray | None:
+    """The packed words, sorted, that exact searches of the probes ask for, for index.packed to leave out all others; None if they are over MOST_TARGETS, which are counted."""
+    words = both_strands(probes).select(pack(F.col("target")).alias("code")).filter("code is not null").distinct().limit(MOST_TARGETS + 1).toArrow()
+    return None if words.num_rows > MOST_TARGETS else np.sort(words.column("code").to_numpy())
+
+
 def _ball(bases: int, most: int) -> list[int]:
     """What changes a packed word of so many bases in up to `most` of them, by exclusive or."""
     return [sum(x << 2 * i for i, x in zip(places, change, strict=True)) for n in range(most + 1) for places in itertools.combinations(range(bases), n) for change in itertools.product((1, 2, 3), repeat=n)]

@@ -113,18 +113,23 @@ def primer_trimmed(reads: DataFrame, primers: DataFrame, mismatches: int, strict
 
 
 def wiggle(text: DataFrame) -> DataFrame:
-    """(file, track, chrom, pos, value) of wiggle text; pos as written, from 1. fixedStep lines fail."""
+    """(file, track, chrom, pos, value) of wiggle text; pos as written, from 1. fixedStep lines fail.
+
+    Headers hold for the lines after them, by blocks of lines; what earlier blocks end with is broadcast, a row for each block but a file's first.
+    """
     fixed = F.when(F.col("line").startswith("fixedStep"), F.raise_error(F.lit("fixedStep wiggles aren't supported")))
-    rows = text.withColumn("line", F.coalesce(fixed, F.col("line")))
+    line = F.coalesce(fixed, F.col("line"))
     track = F.when(F.col("line").startswith("track"), F.regexp_extract("line", r'name="?([^"\s]*)', 1))
     chrom = F.when(F.col("line").startswith("variableStep"), F.regexp_extract("line", r"chrom=(\S+)", 1))
-    for name, head in (("track", track), ("chrom", chrom)):  # a row for each header
-        rows = _counted(rows, head.isNotNull(), "group")
-        heads = rows.withColumn(name, head).filter(F.col(name).isNotNull()).select("file", "group", name)
-        rows = rows.join(heads, ["file", "group"], "left").drop("group")
-    rows = rows.filter(F.col("line").rlike(r"^[0-9]+\s"))
+    rows = text.select("file", "line_no", F.floor(F.col("line_no") / BLOCK_LINES).alias("block"), line.alias("line")).withColumns({"track": track, "chrom": chrom})
+    last = lambda c, w: F.last(c, ignorenulls=True).over(w)
+    ends = rows.groupBy("file", "block").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("line_no"))).alias(c) for c in ("track", "chrom")])
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("file", "block", last("track", earlier).alias("track0"), last("chrom", earlier).alias("chrom0")).filter("block > 0")
+    own = Window.partitionBy("file", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.select("file", "block", "line", last("track", own).alias("track"), last("chrom", own).alias("chrom")).filter(F.col("line").rlike(r"^[0-9]+\s")).join(F.broadcast(ends), ["file", "block"], "left")
     part = F.split("line", r"\s+")
-    return rows.select("file", "track", "chrom", part[0].cast("long").alias("pos"), part[1].cast("double").alias("value"))
+    return rows.select("file", F.coalesce("track", "track0").alias("track"), F.coalesce("chrom", "chrom0").alias("chrom"), part[0].cast("long").alias("pos"), part[1].cast("double").alias("value"))
 
 
 def log_rows(text: DataFrame) -> DataFrame:

@@ -188,6 +188,12 @@ def read_starts(merged: DataFrame, reads: DataFrame, contigs: DataFrame, k: int)
     return rows.select("read_id", "mate", "chr", F.col("start").cast("long").alias("start"), "length", "strand")
 
 
+def held(contigs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The contigs that candidates (chr, …) lie on, told by a broadcast if they are up to MOST_TARGETS; else all, and joins by place do it."""
+    names = candidates.select("chr").distinct()
+    return contigs.join(F.broadcast(names), "chr", "left_semi") if names.limit(MOST_TARGETS + 1).count() <= MOST_TARGETS else contigs
+
+
 def piece_size(reads: DataFrame) -> int:
     """Bases of pieces such that a read lies within the piece of its start and the next."""
     return max(PIECE, reads.agg(F.max(F.length("seq"))).first()[0] or 0)

@@ -150,15 +150,48 @@ def over_fragment(mappings: DataFrame, runs: DataFrame) -> DataFrame:
 def over_profile(mappings: DataFrame, density: DataFrame, shape: DataFrame) -> DataFrame:
     """E-step of single-end fragments: cond_prb ∝ 10^score × density of both tracks times the binding-site profile (offset, d), from the read's first base on, forward or mirrored.
 
-    Each place where reads begin is asked for once. A read without any density keeps its scores' shares.
+    A read without any density keeps its scores' shares.
     """
+    asked = _sited(mappings).withColumns({"height": F.lit(0.0), "asked": F.lit(True)})
+    laid = density.select("chr", F.lit(0).alias("track"), F.col("pos").cast("long").alias("site"), F.col("value").alias("height"), F.lit(False).alias("asked"))
+    return _over_places(asked.unionByName(laid, allowMissingColumns=True), shape)
+
+
+def over_own_profile(mappings: DataFrame, shape: DataFrame) -> DataFrame:
+    """over_profile by the mappings' own profiles, which nothing cuts but a contig's start: the same in two shuffles, by place and by read. `was` keeps the shares before."""
+    rows = _sited(mappings.select(*[c for c in mappings.columns if c not in ("lhd", "was")]))
+    return _over_places(rows.withColumns({"was": F.col("cond_prb"), "height": F.col("cond_prb"), "asked": F.lit(True)}), shape, own=True)
+
+
+def _sited(mappings: DataFrame) -> DataFrame:
     site = F.when(F.col("strand") == "+", F.col("start")).otherwise(F.col("stop") - 1).cast("long")
-    at = F.when(F.col("track") == 0, F.col("site") + F.col("offset")).otherwise(F.col("site") - F.col("offset"))
-    asked = mappings.select("chr", _track().alias("track"), site.alias("site")).distinct().crossJoin(F.broadcast(shape.select("offset", "d"))).withColumn("pos", at)
-    both = density.groupBy("chr", F.col("pos").cast("long").alias("pos")).agg(F.sum("value").alias("value"))
-    areas = asked.join(both, ["chr", "pos"]).groupBy("chr", "track", "site").agg(F.sum(F.col("value") * F.col("d")).alias("area"))
-    rows = mappings.withColumn("track", _track()).withColumn("site", site).join(areas, ["chr", "track", "site"], "left")
-    return _renormalised(rows.withColumn("weight", F.pow(F.lit(10.0), "score") * F.coalesce("area", F.lit(0.0)))).drop("track", "site", "area")
+    return mappings.withColumns({"track": _track(), "site": site})
+
+
+def _over_places(rows: DataFrame, shape: DataFrame, own: bool = False) -> DataFrame:
+    """Rows that hold a density of `height` at `site` or, if own, the profile times it from there on; those asked are mappings, which get their shares by what all rows have under their profiles.
+
+    Rows are dealt once, by bins of ROUND bases; those near a bin's edge are seen by the next bin too. Within a bin, each place where rows are asked or held is laid out once for each base of the profile.
+    """
+    shape = shape.filter("offset IS NOT NULL AND d IS NOT NULL")
+    reach = shape.agg(F.coalesce(F.max(F.abs("offset")), F.lit(0)).cast("long").alias("reach"))
+    home, far = F.floor(F.col("site") / ROUND), F.col("reach") * (2 if own else 1)
+    cut = rows.crossJoin(F.broadcast(reach)).withColumn("bin", F.explode_outer(F.sequence(F.floor((F.col("site") - far) / ROUND), F.floor((F.col("site") + far) / ROUND))))
+    cut = cut.drop("reach").repartition("chr", "bin")
+    # rows of one place: the first of them stands for all
+    place = Window.partitionBy("chr", "bin", "track", "site", "asked")
+    first = F.row_number().over(place.orderBy("site")) == 1
+    cut = cut.withColumn("first", first).withColumn("height", F.sum("height").over(place))
+    bases_ = shape.agg(F.sort_array(F.collect_list(F.struct(F.col("offset").cast("long").alias("offset"), F.col("d").cast("double").alias("d")))).alias("bases"))
+    one = F.array(F.struct(F.lit(0).cast("long").alias("offset"), F.lit(None).cast("double").alias("d")))
+    laid = cut.crossJoin(F.broadcast(bases_)).withColumn("bases", F.when(F.col("asked") & F.col("first"), F.concat(one, F.col("bases"))).otherwise(one)).withColumn("x", F.explode("bases")).drop("bases")
+    pos = F.when(F.col("track") == 0, F.col("site") + F.col("x.offset")).otherwise(F.col("site") - F.col("x.offset"))
+    # what a row adds to the density at its base: nothing without a base of the profile, unless it is density itself
+    adds = F.when(F.col("asked"), F.col("height") * F.col("x.d")).otherwise(F.when(F.col("first"), F.col("height")))
+    laid = laid.withColumn("pos", pos).withColumn("held", F.sum(F.when(F.col("pos") >= 0, adds)).over(Window.partitionBy("chr", "bin", "pos"))).filter("asked")
+    area = F.sum(F.when(F.col("pos") >= 0, F.col("held") * F.col("x.d"))).over(Window.partitionBy("chr", "bin", "track", "site"))
+    areas = laid.withColumn("area", F.when(F.col("chr").isNotNull(), area)).filter("x.d IS NULL").filter(F.coalesce(F.col("bin") == home, F.lit(True)))
+    return _renormalised(areas.withColumn("weight", F.pow(F.lit(10.0), "score") * F.coalesce("area", F.lit(0.0)))).drop("track", "site", "height", "asked", "bin", "first", "x", "pos", "held", "area")
 
 
 def _renormalised(rows: DataFrame) -> DataFrame:

@@ -124,27 +124,42 @@ def near_own_start(mappings: DataFrame, total: float | None = None, window: int
 def over_fragment(mappings: DataFrame, runs: DataFrame) -> DataFrame:
     """E-step of whole fragments: cond_prb ∝ 10^score × density of both tracks summed over [start, stop).
 
-    By prefix sums of the runs: the area up to each end of a mapping, within bins of places to which the
-    area of earlier bins is added. A read without any density keeps its scores' shares.
+    A read without any density keeps its scores' shares.
+    """
+    asked = mappings.withColumns({"from": F.col("start"), "to": F.col("stop"), "height": F.lit(0.0), "asked": F.lit(True)})
+    laid = runs.select("chr", F.col("pos").alias("from"), F.col("end").alias("to"), F.col("value").alias("height"), F.lit(False).alias("asked"))
+    return _over_runs(asked.unionByName(laid, allowMissingColumns=True))
+
+
+def over_own_fragments(mappings: DataFrame, total: float | None = None) -> DataFrame:
+    """over_fragment by the density of the mappings' own fragments, divided by `total` if given: the same in two shuffles, by place and by read, and without piling up fragments. `was` keeps the shares before."""
+    share = F.when(F.col("stop") > F.col("start"), F.col("cond_prb") / (F.col("stop") - F.col("start"))) / F.lit(1.0 if total is None else total)
+    rows = mappings.select(*[c for c in mappings.columns if c not in ("lhd", "was")])
+    return _over_runs(rows.withColumns({"was": F.col("cond_prb"), "from": F.col("start"), "to": F.col("stop"), "height": F.coalesce(share, F.lit(0.0)), "asked": F.lit(True)}))
+
+
+def _over_runs(rows: DataFrame) -> DataFrame:
+    """Rows that hold a density of `height` over [from, to); those asked are mappings, which get their shares by what all rows have there.
+
+    Rows are dealt once, cut at the edges of bins of ROUND bases. Within a bin, each end changes the level, and the area up to a place is
+    place × level less the sum of changes × their places; both are running sums. Parts of a mapping in several bins add up by read.
     """
-    both = runs.select("chr", F.explode(F.array(F.struct(F.col("pos").alias("pos"), F.col("value").alias("d")), F.struct(F.col("end").alias("pos"), (-F.col("value")).alias("d")))).alias("x")).groupBy("chr", F.col("x.pos").alias("pos")).agg(F.sum("x.d").alias("d"))
-    asked = mappings.select("chr", F.explode(F.array("start", "stop")).alias("pos")).distinct()
-    places = both.withColumn("asked", F.lit(False)).unionByName(asked.withColumn("d", F.lit(0.0)).withColumn("asked", F.lit(True)))
-    places = places.groupBy("chr", "pos").agg(F.sum("d").alias("d"), F.max("asked").alias("asked")).withColumn("bin", F.floor(F.col("pos") / BIN)).checkpoint()  # read twice
-    # a row for each bin that has places: the level and the area at its first base
-    at = F.col("pos") - F.col("bin") * BIN
-    bins = places.groupBy("chr", "bin").agg(F.sum("d").alias("d"), F.sum(F.col("d") * (BIN - at)).alias("area"))
-    order = Window.partitionBy("chr").orderBy("bin")
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.withColumn("level0", F.coalesce(F.sum("d").over(earlier), F.lit(0.0))).withColumn("gap", F.coalesce(F.lead("bin").over(order) - F.col("bin") - 1, F.lit(0)))
-    through = F.col("area") + F.col("level0") * BIN + (F.col("level0") + F.col("d")) * F.col("gap") * BIN
-    bins = bins.select("chr", "bin", "level0", F.coalesce(F.sum(through).over(earlier), F.lit(0.0)).alias("area0"))
-    w = Window.partitionBy("chr", "bin").orderBy("pos")
-    level = places.withColumn("level", F.sum("d").over(w)).withColumn("width", F.col("pos") - F.lag("pos").over(w)).withColumn("before", F.lag("level").over(w))
-    prefix = level.withColumn("area", F.sum(F.coalesce(F.col("before") * F.col("width"), F.lit(0.0))).over(w)).filter("asked").join(bins, ["chr", "bin"])
-    prefix = prefix.select("chr", "pos", (F.col("area") + F.col("area0") + F.col("level0") * at).alias("area"))
-    rows = mappings.join(prefix.select("chr", F.col("pos").alias("start"), F.col("area").alias("a0")), ["chr", "start"]).join(prefix.select("chr", F.col("pos").alias("stop"), F.col("area").alias("a1")), ["chr", "stop"])
-    return _renormalised(rows.withColumn("weight", F.pow(F.lit(10.0), "score") * F.greatest(F.col("a1") - F.col("a0"), F.lit(0.0)))).drop("a0", "a1")
+    low, high = F.col("from").cast("long"), F.greatest("from", "to").cast("long")
+    bins = F.sequence(F.floor(low / ROUND), F.floor(F.greatest(low, high - 1) / ROUND))
+    cut = rows.withColumn("bin", F.explode_outer(bins)).repartition("chr", "bin")
+    inside = lambda c: F.least(F.greatest(c - F.col("bin") * ROUND, F.lit(0)), F.lit(ROUND))
+    end = lambda at, sign: F.struct(inside(at).alias("at"), F.lit(sign).alias("sign"))
+    ends = cut.withColumn("x", F.explode(F.array(end(low, 1.0), end(high, -1.0)))).withColumn("at", F.col("x.at"))
+    change = F.col("height") * F.col("x.sign")
+    w = Window.partitionBy("chr", "bin").orderBy("at")
+    ends = ends.withColumn("up_to", F.col("at") * F.sum(change).over(w) - F.sum(change * F.col("at")).over(w)).filter("asked")
+    # both ends of a mapping lie in this task; what it has itself is there, whatever is lost between large sums
+    own = Window.partitionBy("chr", "bin", "read_id", "mapping_no")
+    part = F.greatest(-F.sum(F.col("up_to") * F.col("x.sign")).over(own), F.sum(-change * F.col("at")).over(own), F.lit(0.0))
+    parts = ends.withColumn("part", F.when(F.col("chr").isNotNull(), part)).filter("x.sign > 0").withColumn("home", F.coalesce(F.col("bin") == F.floor(low / ROUND), F.lit(True)))
+    area = F.coalesce(F.sum("part").over(Window.partitionBy("read_id", "mapping_no")), F.lit(0.0))
+    whole = parts.drop("from", "to", "height", "asked", "bin", "x", "at", "up_to").repartition("read_id").withColumn("area", area).filter("home")
+    return _renormalised(whole.withColumn("weight", F.pow(F.lit(10.0), "score") * F.col("area"))).drop("part", "home", "area")
 
 
 def over_profile(mappings: DataFrame, density: DataFrame, shape: DataFrame) -> DataFrame:
@@ -222,14 +237,14 @@ def iterate(mappings: DataFrame, m_step=start_sites, e_step=near_start, most: in
     Each round is written to the checkpoint folder, so lineage stays short and lost executors cost one round.
     """
     now, history = conditional(mappings).checkpoint(), []
-    own = m_step is start_sites and e_step is near_start
-    total = now.agg(F.sum("cond_prb")).first()[0] if own else None
+    own = {(start_sites, near_start): near_own_start, (fragments, over_fragment): over_own_fragments}.get((m_step, e_step))
+    total = now.agg(F.sum("cond_prb")).first()[0] if own is near_own_start else None
     for k in range(most):
         if own:
-            after = near_own_start(now, total).checkpoint()
+            after = own(now, total).checkpoint()
             row = after.groupBy("read_id").agg(F.sum(F.abs(F.col("cond_prb") - F.col("was"))).alias("change"), F.max("lhd").alias("lhd"), F.sum("cond_prb").alias("sum"))
             row = row.agg(F.max("change").alias("max_change"), F.sum(F.when(F.col("lhd") > 0, F.log10("lhd"))).alias("log_lhd"), F.sum("sum").alias("total")).first()
-            after, total = after.drop("was"), row.total
+            after, total = after.drop("was"), row.total if own is near_own_start else None
         else:
             after = e_step(now.drop("lhd"), normalised(m_step(now)) if m_step is start_sites else m_step(now)).checkpoint()
             row = convergence(now, after).first()

@@ -37,19 +37,22 @@ def bootstraps(mappings: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """(bs, …, weight): for each of n bootstraps as many reads as there are are drawn with replacement, each draw at a mapping of its own; weight counts draws, and sums to the number of reads in every bootstrap.
 
     Reads are numbered; draw j of bootstrap bs takes read floor(u n), u from the seed, bs and j, and its mapping by another number. Draws meet reads by an equality on the read's number, evenly
-    spread, and a read's mappings (a few) go with it as one row. The join is a merge: draws are exploded numbers, whose size Spark takes for that of the numbers alone, and
-    would broadcast.
+    spread, and a read's mappings (a few) go with it as one row. A draw is dealt once, as two numbers, one of which tells bs and j: what follows from them is worked out where it arrives, and draws of a mapping are counted there. The join is a merge: Spark may take draws for fewer than they are, and broadcast them.
     """
     spark, ids = mappings.sparkSession, numbered(mappings, "read_id")
     total = ids.count()
-    draws = spark.range(total).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("bs"))
-    draws = draws.select("bs", F.floor(uniform(seed, F.col("bs"), F.col("draw")) * total).alias("number"), uniform(seed + 1, F.col("bs"), F.col("draw")).alias("u"))
+    bs, draw = F.pmod("id", F.lit(n)).cast("int"), F.floor(F.col("id") / n)
+    draws = spark.range(total * n).select("id", F.floor(uniform(seed, bs, draw) * total).alias("number"))
     others = [c for c in mappings.columns if c != "read_id"]
     up = F.sum("cond_prb").over(Window.partitionBy("read_id").orderBy("mapping_no"))
     nested = mappings.withColumn("up", up).groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("mapping_no", "up", F.struct(*others).alias("own")))).alias("places"))
+    # exploded, as it would be worked out for each place of a read else
+    u = F.explode(F.array(uniform(seed + 1, bs, draw)))
+    rows = nested.join(ids, "read_id").join(draws.hint("merge"), "number").select("number", "read_id", bs.alias("bs"), "places", u.alias("u"))
     first = F.element_at(F.filter("places", lambda x: x["up"] >= F.col("u")), 1)
-    rows = nested.join(ids, "read_id").join(draws.hint("merge"), "number").select("bs", "read_id", F.coalesce(first, F.element_at("places", -1))["own"].alias("own"))
-    drawn = rows.groupBy("bs", "read_id", F.col("own.mapping_no").alias("mapping_no")).agg(F.first("own").alias("own"), F.count(F.lit(1)).alias("weight"))
+    rows = rows.select("number", "bs", "read_id", F.coalesce(first, F.element_at("places", -1))["own"].alias("own"))
+    # rows of a number lie in one task already
+    drawn = rows.groupBy("number", "bs", "read_id", "own").agg(F.count(F.lit(1)).alias("weight"))
     return drawn.select("bs", "read_id", *[F.col("own")[c].alias(c) for c in others], "weight")
 
 

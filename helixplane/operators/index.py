@@ -6,12 +6,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helixplane.functions.sequence import BASES, MOST_PACKED, first_bases, is_known, pieces
 
+from . import rounds
+
 #: Sequences with so many copies in the genome count as repeats.
 MIN_COPIES = 150
 #: Places of a repeat that are listed together.
@@ -175,39 +179,34 @@ def _numbers(x: bytes) -> np.ndarray:
     return np.frombuffer(x, np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel()
 
 
-def _blocks(contigs: DataFrame, k: int, places: bool) -> tuple[DataFrame, int]:
-    """Words of contigs in buckets, as differences of sorted numbers, and what number times a word gives its number.
+class _Numbers:
+    """Words as numbers: words times an odd number, within 2k bits. High bits, by which buckets are told apart, depend on all bases, and a word has one number."""
 
-    A row is what a block of BLOCK words has of a bucket: `words`, and `copies` of each within the block, or with places a word each time that it occurs
-    with its `loc` and the contig, `owner` in the list `chrs`. Numbers are words times an odd number, within 2k bits:
-    high bits, by which buckets are told apart, depend on all bases, and a word has one number.
-    """
-    bases_ = contigs.agg(F.sum(F.length("seq"))).first()[0] or 0
-    bits = min(int(bases_ // BUCKET).bit_length(), 2 * k, 20)
-    odd, mask, shift = 0x9E3779B97F4A7C15 & ((1 << 2 * k) - 1) | 1, (1 << 2 * k) - 1, 2 * k - bits
+    def __init__(self, bases: int, k: int):
+        self.mask, self.bits = np.uint64((1 << 2 * k) - 1), min(int(bases // BUCKET).bit_length(), 2 * k, 20)
+        self.odd, self.shift = 0x9E3779B97F4A7C15 & int(self.mask) | 1, 2 * k - self.bits
+        self.back = pow(self.odd, -1, 1 << 2 * k)
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        return (words.astype(np.uint64) * np.uint64(self.odd) & self.mask).astype(np.int64)
+
+    def words(self, numbers: np.ndarray) -> np.ndarray:
+        return (numbers.astype(np.uint64) * np.uint64(self.back) & self.mask).astype(np.int64)
+
+    def spans(self, numbers: np.ndarray) -> list[tuple[int, int, int]]:
+        """(bucket, from, to) of sorted numbers."""
+        edges = np.searchsorted(numbers, np.arange((1 << self.bits) + 1, dtype=np.int64) << self.shift)
+        return [(n, int(a), int(b)) for n, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b]
+
+
+def _blocks(contigs: DataFrame, k: int) -> tuple[DataFrame, _Numbers]:
+    """(bucket, words, copies): words of contigs in buckets, as differences of sorted numbers, and how often each occurs. A row is what a block of BLOCK words has of a bucket."""
+    numbers = _Numbers(contigs.agg(F.sum(F.length("seq"))).first()[0] or 0, k)
     pieces_, enumerate_ = _enumerated(contigs, k)
-    kinds = [T.StructField("bucket", T.IntegerType()), T.StructField("words", T.BinaryType())]
-    kinds += [T.StructField("loc", T.BinaryType()), T.StructField("owner", T.BinaryType()), T.StructField("chrs", T.ArrayType(pieces_.schema["chr"].dataType))] if places else [T.StructField("copies", T.BinaryType())]
 
     def block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        code = np.concatenate([b.column("code").to_numpy() for b in held]).astype(np.uint64)
-        number = (code * np.uint64(odd) & np.uint64(mask)).astype(np.int64)
-        if places:
-            order = np.argsort(number, kind="stable")
-            number, loc = number[order], np.concatenate([b.column("loc").to_numpy() for b in held])[order]
-            names = pa.chunked_array([b.column("chr") for b in held]).combine_chunks().dictionary_encode("encode")
-            owner = names.indices.to_numpy()[order].astype(np.int64)
-        else:
-            number, copies = np.unique(number, return_counts=True)
-        edges = np.searchsorted(number, np.arange((1 << bits) + 1, dtype=np.int64) << shift)
-        spans = [(n, a, b) for n, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b]
-        out = [pa.array([n for n, _, _ in spans], pa.int32()), pa.array([_planes(np.diff(number[a:b], prepend=0)) for _, a, b in spans], pa.binary())]
-        if not places:
-            return pa.RecordBatch.from_arrays([*out, pa.array([_planes(copies[a:b].astype(np.int64)) for _, a, b in spans], pa.binary())], [x.name for x in kinds])
-        own = [np.unique(owner[a:b], return_inverse=True) for _, a, b in spans]
-        out += [pa.array([_planes(loc[a:b]) for _, a, b in spans], pa.binary()), pa.array([_planes(i.astype(np.int64)) for _, i in own], pa.binary())]
-        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[len(u) for u, _ in own]]), pa.int32()), names.dictionary.take(pa.array(np.concatenate([u for u, _ in own]))))
-        return pa.RecordBatch.from_arrays([*out, lists], [x.name for x in kinds])
+        number, copies = np.unique(numbers.of(np.concatenate([b.column("code").to_numpy() for b in held])), return_counts=True)
+        return _dealt(numbers, number, copies)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -219,13 +218,37 @@ def _blocks(contigs: DataFrame, k: int, places: bool) -> tuple[DataFrame, int]:
         if n:
             yield block(held)
 
-    return pieces_.mapInArrow(run, T.StructType(kinds)), odd
+    return pieces_.mapInArrow(run, "bucket int, words binary, copies binary"), numbers
+
+
+def _dealt(numbers: _Numbers, number: np.ndarray, copies: np.ndarray) -> pa.RecordBatch:
+    spans = numbers.spans(number)
+    out = [pa.array([n for n, _, _ in spans], pa.int32()), pa.array([_planes(np.diff(number[a:b], prepend=0)) for _, a, b in spans], pa.binary())]
+    return pa.RecordBatch.from_arrays([*out, pa.array([_planes(copies[a:b].astype(np.int64)) for _, a, b in spans], pa.binary())], ["bucket", "words", "copies"])
+
+
+def _chunks(contigs: DataFrame, k: int) -> DataFrame:
+    """(chunk, bases, data): pieces of contigs of some BLOCK bases together, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, chunk = [], 0, TaskContext.get().partitionId() << 32
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([n]), pa.array([rounds.frozen(pa.Table.from_batches(held))], pa.binary())], ["chunk", "bases", "data"])
+        for whole in batches:
+            for low in range(0, whole.num_rows, AT_ONCE):
+                b = whole.slice(low, AT_ONCE)
+                held, n = [*held, b], n + (pc.sum(pc.utf8_length(b.column("piece"))).as_py() or 0)
+                if n >= BLOCK:
+                    yield row()
+                    held, n, chunk = [], 0, chunk + 1
+        if held:
+            yield row()
+
+    return _enumerated(contigs, k)[0].mapInArrow(run, "chunk long, bases long, data binary")
 
 
 def repeated(contigs: DataFrame, k: int, min_copies: int = MIN_COPIES) -> DataFrame:
     """As repeats of the packed index, (code, copies): words are counted in blocks, which are dealt instead of words."""
-    blocks, odd = _blocks(contigs, k, False)
-    back, mask = np.uint64(pow(odd, -1, 1 << 2 * k)), np.uint64((1 << 2 * k) - 1)
+    blocks, numbers = _blocks(contigs, k)
 
     def run(t: pa.Table) -> pa.Table:
         number = np.concatenate([np.cumsum(_numbers(x)) for x in t.column("words").to_pylist()])
@@ -235,31 +258,58 @@ def repeated(contigs: DataFrame, k: int, min_copies: int = MIN_COPIES) -> DataFr
         first = np.flatnonzero(np.diff(number, prepend=-1))
         total = np.add.reduceat(copies, first)
         often = total >= min_copies
-        return pa.table([pa.array((number[first[often]].astype(np.uint64) * back & mask).astype(np.int64)), pa.array(total[often])], ["code", "copies"])
+        return pa.table([pa.array(numbers.words(number[first[often]])), pa.array(total[often])], ["code", "copies"])
 
     return blocks.groupBy("bucket").applyInArrow(run, "code long, copies long")
 
 
 def occurrences(contigs: DataFrame, k: int, min_copies: int, often: bool = True) -> DataFrame:
-    """(chr, n, locs): how often repeats occur in each contig that has some, and the sum of their places; often=False: the same of all other words. As expand_repeats and unique_part of the packed index, but words are dealt once, in blocks."""
-    blocks, _ = _blocks(contigs, k, True)
-    kinds = T.StructType([T.StructField("chr", blocks.schema["chrs"].dataType.elementType), T.StructField("n", T.LongType()), T.StructField("locs", T.LongType())])
+    """(chr, n, locs): how often repeats occur in each contig that has some, and the sum of their places; often=False: the same of all other words. As expand_repeats and unique_part of the packed index.
 
-    def run(t: pa.Table) -> pa.Table:
+    Chunks of contigs deal their words once, as sorted numbers without their places, and get back a bit for each word, by which they tell their places themselves.
+    """
+    chunks = _chunks(contigs, k).checkpoint()  # read three times
+    enumerate_ = _enumerated(contigs, k)[1]
+    numbers = _Numbers(chunks.agg(F.sum("bases")).first()[0] or 0, k)
+    kinds = T.StructType([T.StructField("chr", contigs.schema["chr"].dataType), T.StructField("n", T.LongType()), T.StructField("locs", T.LongType())])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, data in zip(b.column("chunk").to_pylist(), b.column("data"), strict=True):
+                codes = [x.column("code").to_numpy() for x in enumerate_(rounds.thawed(data.as_py()).to_batches())]
+                out = _dealt(numbers, *np.unique(numbers.of(np.concatenate(codes)), return_counts=True))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(out.num_rows, chunk)), *out.columns], ["chunk", *out.schema.names])
+
+    def told(t: pa.Table) -> pa.Table:
         words = [np.cumsum(_numbers(x)) for x in t.column("words").to_pylist()]
-        _, which, total = np.unique(np.concatenate(words), return_inverse=True, return_counts=True)
-        keep = (total >= min_copies)[which] == often
-        chrs = t.column("chrs").combine_chunks()
-        names = chrs.flatten().dictionary_encode("encode")
-        begin = np.concatenate(([0], np.cumsum(chrs.value_lengths().to_numpy())))
-        at = names.indices.to_numpy()[np.concatenate([_numbers(x) + b for x, b in zip(t.column("owner").to_pylist(), begin, strict=False)])][keep]
-        loc = np.concatenate([_numbers(x) for x in t.column("loc").to_pylist()])[keep]
-        order = np.argsort(at, kind="stable")
-        own, first, n = np.unique(at[order], return_index=True, return_counts=True)
-        locs = np.add.reduceat(loc[order], first) if len(own) else loc
-        return pa.table([names.dictionary.take(pa.array(own)), pa.array(n.astype(np.int64)), pa.array(locs)], kinds.names)
-
-    return blocks.groupBy("bucket").applyInArrow(run, kinds).groupBy("chr").agg(F.sum("n").alias("n"), F.sum("locs").alias("locs"))
+        _, which = np.unique(np.concatenate(words), return_inverse=True)
+        # copies are far fewer than a double holds exactly
+        total = np.bincount(which, np.concatenate([_numbers(x) for x in t.column("copies").to_pylist()]))
+        bits = np.split((total >= min_copies)[which], np.cumsum([len(x) for x in words])[:-1])
+        some = [i for i, x in enumerate(bits) if x.any()]
+        return pa.table([*(t.column(c).combine_chunks().take(pa.array(some, pa.int64())) for c in ("chunk", "bucket")), pa.array([np.packbits(bits[i]).tobytes() for i in some], pa.binary())], ["chunk", "bucket", "bits"])
+
+    def summed(data: pa.Table, bits: pa.Table) -> pa.Table:
+        none = pa.Table.from_batches([], pa.schema([("chr", names_of(data)), ("n", pa.int64()), ("locs", pa.int64())]))
+        found = [x for d in data.column("data") for x in enumerate_(rounds.thawed(d.as_py()).to_batches())]
+        t = pa.Table.from_batches(found)
+        number, which = np.unique(numbers.of(t.column("code").to_numpy()), return_inverse=True)
+        repeated_, by = np.zeros(len(number), bool), dict(zip(bits.column("bucket").to_pylist(), bits.column("bits").to_pylist(), strict=True))
+        for n, a, b in numbers.spans(number):
+            if n in by:
+                repeated_[a:b] = np.unpackbits(np.frombuffer(by[n], np.uint8), count=b - a)
+        t = t.filter(pa.array(repeated_[which] == often))
+        if not len(t):
+            return none
+        sums = t.group_by("chr").aggregate([("loc", "count"), ("loc", "sum")])
+        return pa.table([sums.column("chr"), sums.column("loc_count"), sums.column("loc_sum")], kinds.names)
+
+    def names_of(data: pa.Table) -> pa.DataType:
+        return rounds.thawed(data.column("data")[0].as_py()).schema.field("chr").type
+
+    flags = chunks.select("chunk", "data").mapInArrow(counted, "chunk long, bucket int, words binary, copies binary").groupBy("bucket").applyInArrow(told, "chunk long, bucket int, bits binary")
+    out = chunks.select("chunk", "data").groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(summed, kinds)
+    return out.groupBy("chr").agg(F.sum("n").alias("n"), F.sum("locs").alias("locs"))
 
 
 def unique_part(index: DataFrame, repeated: DataFrame) -> DataFrame:
